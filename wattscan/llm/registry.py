@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from wattscan.llm import exact_dedup
+from wattscan.llm import exact_dedup, quality
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_quality_rules": quality.op6_quality_rules,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op6_quality_rules": quality.OP6_SQL,
 }
