@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wattscan.llm import exact_dedup, quality
+from wattscan.llm import bpe, exact_dedup, quality
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
