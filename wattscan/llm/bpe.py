@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from wattscan.llm.common import table
 
 SHORT = 64
-#: Words that a worker remembers (about 250 bytes each) before it starts anew.
-REMEMBERED = 300_000
+#: Runs of words that a worker remembers (about 150 bytes each) before it starts anew.
+REMEMBERED = 200_000
+ROWS = 200
 NONE = 1 << 30
 
 
@@ -46,82 +47,93 @@ class WordBpe:
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["decoder"]:
             raise ValueError("not a word-end BPE vocabulary of the known kind")
-        self.ids = model["vocab"]
-        self.merges = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
-        self.end = model["end_of_word_suffix"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        #: Adjacent ids as one number -> rank, and rank -> id of the merged part.
+        self.ranks = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(model["merges"])}
+        self.merged = [ids[a + b] for a, b in model["merges"]]
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.white = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.letters = byte_letters()
+        self.inner, self.last = [ids[x] for x in byte_letters()], [ids[x + end] for x in byte_letters()]
         self.known = Remembered(self)
 
-    def parts(self, word: str) -> list[str]:
-        """The tokens of one word."""
-        letters = [self.letters[b] for b in word.encode("utf-8")]
-        letters[-1] += self.end
-        return (self.scanned if len(letters) <= SHORT else self.heaped)(letters)
-
-    def scanned(self, parts: list[str]) -> list[str]:
-        starts = list(range(len(parts) + 1))
-        rank = lambda i: self.merges.get(("".join(parts[starts[i] : starts[i + 1]]), "".join(parts[starts[i + 1] : starts[i + 2]])), NONE) if i + 2 < len(starts) else NONE
-        ranks = [rank(i) for i in range(len(parts))]
-        while (least := min(ranks)) < NONE:
+    def word(self, word: str) -> list[int]:
+        """The ids of one word."""
+        raw = word.encode("utf-8")
+        parts = [self.inner[b] for b in raw]
+        parts[-1] = self.last[raw[-1]]
+        return (self.scanned if len(parts) <= SHORT else self.heaped)(parts)
+
+    def scanned(self, parts: list[int]) -> list[int]:
+        get = self.ranks.get
+        ranks = [get(a << 32 | b, NONE) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < NONE:
             i = ranks.index(least)
-            del starts[i + 1], ranks[i + 1]
-            ranks[i] = rank(i)
+            parts[i] = self.merged[least]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank(i - 1)
-        return ["".join(parts[a:b]) for a, b in zip(starts, starts[1:])]
+                ranks[i - 1] = get(parts[i - 1] << 32 | parts[i], NONE)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] << 32 | parts[i + 1], NONE)
+        return parts
 
-    def heaped(self, parts: list[str]) -> list[str]:
-        parts, n = list(parts), len(parts)
+    def heaped(self, parts: list[int]) -> list[int]:
+        n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.merges.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get(parts[i] << 32 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j >= n or parts[j] != right:
-                continue
-            parts[i], parts[j], after[i] = left + right, "", after[j]
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = self.merged[rank], -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := self.merges.get((parts[a], parts[b]))) is not None:
+                if a >= 0 and b < n and (r := self.ranks.get(parts[a] << 32 | parts[b])) is not None:
                     heapq.heappush(heap, (r, a, parts[a], parts[b]))
-        return [p for p in parts if p]
+        return [p for p in parts if p >= 0]
 
-    def normal(self, text: str) -> str:
-        # Lower-casing is by character, without the word-final form of sigma.
-        return self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a run of words, as bytes."""
+        return np.array([i for w in self.words.findall(chunk) for i in self.word(w)], np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text."""
+        """The ids of a whole text.
+
+        No word holds white space, so each run between white space is looked up as a whole. Python also splits at
+        four control characters that belong to words here; a text with one of them is not split.
+        """
         if len(self.known) > REMEMBERED:
             self.known.clear()
         out = []
         for piece in self.marks.split(text) if "<|" in text else (text,):
             if piece in self.special:
                 out.append(np.int32(self.special[piece]).tobytes())
+                continue
+            # Lower-casing is by character, without the word-final form of sigma.
+            piece = (piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")).lower()
+            if any(c in piece for c in "\x1c\x1d\x1e\x1f"):
+                out.append(self.chunk(piece))
             else:
-                out.extend(map(self.known.__getitem__, self.words.findall(self.normal(piece))))
+                out.extend(map(self.known.__getitem__, piece.split()))
         return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Without a decoder the library joins the tokens' names by spaces."""
-        return " ".join(map(self.names.__getitem__, ids))
+        return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
 class Remembered(dict):
-    """Word -> its ids as bytes."""
+    """Run of words -> its ids as bytes."""
 
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
 
-    def __missing__(self, word: str) -> bytes:
-        got = self[word] = np.array([self.bpe.ids[p] for p in self.bpe.parts(word)], np.int32).tobytes()
+    def __missing__(self, chunk: str) -> bytes:
+        got = self[chunk] = self.bpe.chunk(chunk)
         return got
 
 
@@ -145,6 +157,13 @@ def _opened(key: str, shared) -> WordBpe:
     return _OPEN[key]
 
 
+def sliced(batches):
+    """Slices of few rows, so that a worker holds the Python objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encoded(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the token ids of each whole text as ``array<int>``."""
     kept = docs.columns if keep is None else keep
@@ -154,11 +173,10 @@ def encoded(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
 
     def run(batches):
         bpe = _opened(key, shared)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [bpe.encode(t or "") for t in batch.column("__text").to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            arrays = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
+            arrays = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, ids_col])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
@@ -173,8 +191,9 @@ def decoded(rows: DataFrame, ids_col: str = "token_ids", text_col: str = "decode
 
     def run(batches):
         bpe = _opened(key, shared)
-        for batch in batches:
-            texts = [bpe.decode(x or ()) for x in batch.column(ids_col).to_pylist()]
+        for batch in sliced(batches):
+            ids, ends = batch.column(ids_col).flatten().to_numpy(), np.cumsum([0, *batch.column(ids_col).value_lengths().fill_null(0).to_pylist()])
+            texts = [bpe.decode(ids[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
