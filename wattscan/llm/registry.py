@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from wattscan.llm import bpe, exact_dedup, quality
+from wattscan.llm import bpe, exact_dedup, mixing, near_dup, quality
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_near_dup": near_dup.op4_near_dup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op9_bpe": bpe.op9_bpe,
 }
