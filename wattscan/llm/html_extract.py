@@ -17,7 +17,7 @@ from functools import cache
 from random import Random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,13 +243,14 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                yield pd.DataFrame({"page_id": some["page_id"], "url": some["url"], "text": main_texts([h or "" for h in some["html"]], weights.value)})
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                texts = main_texts([h or "" for h in some.column("html").to_pylist()], weights.value)
+                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     schema = rows.drop("html").schema.add("text", "string")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op10_html_extract(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wattscan.llm import bpe, exact_dedup, html_extract, mixing, near_dup, quality, url_filter
+from wattscan.llm import bpe, exact_dedup, html_extract, language_id, mixing, near_dup, quality, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_language_id": language_id.op3_language_id,
     "op4_near_dup": near_dup.op4_near_dup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_url_filter": url_filter.op7_url_filter,
