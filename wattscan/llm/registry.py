@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattscan.llm import bpe, exact_dedup, html_extract, language_id, mixing, near_dup, quality, url_filter
+from wattscan.llm import bpe, exact_dedup, html_extract, language_id, lm_score, mixing, near_dup, quality, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_dup": near_dup.op4_near_dup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extract": html_extract.op10_html_extract,
 }
