@@ -1,17 +1,25 @@
-"""A training-text pipeline of the llm operators: each stage reads what the one before it wrote."""
+"""A training-text pipeline of the llm operators: each stage reads what the one before it wrote.
+
+Documents rejected by the quality rules go, of equal texts one stays, of each near-duplicate class one stays, domains are
+thinned to their target weights, and what is left gets its token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattscan.llm import exact_dedup
+from wattscan.llm import bpe, exact_dedup, mixing, near_dup, quality
 from wattscan.llm.common import cut, table
 
 STAGES = [
+    ("quality rules", quality.stage),
     ("exact dedup", exact_dedup.stage),
+    ("near dedup", near_dup.stage),
+    ("mixing", mixing.stage),
+    ("tokens", bpe.stage),
 ]
 
-#: The mixing and tokenising stages fit models, which SQL can't express; tests/llm compares run() with a plain version.
+#: Near-duplicate alignment and the fitted mixing model are beyond SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
 

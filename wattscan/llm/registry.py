@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wattscan.llm import bpe, exact_dedup, html_extract, language_id, lm_score, mixing, near_dup, quality, url_filter
+from wattscan.llm import bpe, exact_dedup, html_extract, language_id, lm_score, mixing, near_dup, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_near_dup": near_dup.op4_near_dup,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_lm_score": lm_score.op8_lm_score,
