@@ -55,6 +55,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` behind a projection that filters don't pass, so that no filter repeats its costly columns."""
+    return df.withColumn("_once", F.spark_partition_id()).where("_once >= 0").drop("_once")
+
+
 def text_of(col: str = "text"):
     """A text column with null read as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -14,13 +14,15 @@ gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattscan.llm.common import SPACE_CLASS, cut, table, text_of
+from wattscan.llm.common import SPACE_CLASS, cut, once, table, text_of
 
 DOMAINS = ["clean", "poor", "toxic"]
 #: Share of tokens that each domain should have. The first domain's documents are the measure: all of it is wanted.
@@ -32,7 +34,7 @@ FEATURES = 1 << 16
 LEAST_POSTERIOR = 0.05
 PULL = 1e-3
 STEPS = 40
-CLOSE = 1e-4
+CLOSE = 1e-3
 
 
 def _terms(docs: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def posteriors(docs: DataFrame, model) -> DataFrame:
         scored = model.transform(_featured(docs)).select(*names, "_n", vector_to_array("_p").alias("_q"))
     cuts = [F.coalesce(F.get("_q", F.lit(k)), F.lit(0.0)) for k in range(len(DOMAINS))]
     cuts = [F.when(c >= LEAST_POSTERIOR, c).otherwise(0.0) for c in cuts]
-    first = scored.select(*names, "_n", *[c.alias(f"_c{k}") for k, c in enumerate(cuts)])
+    first = once(scored).select(*names, "_n", *[c.alias(f"_c{k}") for k, c in enumerate(cuts)])
     total = sum((F.col(f"_c{k}") for k in range(1, len(DOMAINS))), F.col("_c0"))
     return first.select(*names, "_n", *[(F.col(f"_c{k}") / total).alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
 
@@ -92,26 +94,42 @@ def rate(steps: list[list[float]]):
     return r
 
 
+def expected(rows: DataFrame, steps: list[list[float]]) -> list[float]:
+    """Expected tokens of each domain after the steps: partial sums by batch, then one sum for all."""
+
+    def run(batches):
+        for batch in batches:
+            p = np.stack([batch.column(f"p_{d}").to_numpy() for d in DOMAINS], 1)
+            r = np.ones(len(p))
+            for step in steps:
+                r = np.maximum(0.0, r * (1 - PULL) + PULL - p @ np.array(step))
+            sums = (r * batch.column("_n").to_numpy()) @ p
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in sums], DOMAINS)
+
+    parts = rows.select("_n", *[f"p_{d}" for d in DOMAINS]).mapInArrow(run, ", ".join(f"{d} double" for d in DOMAINS))
+    return [x or 0.0 for x in parts.agg(*[F.sum(d).alias(d) for d in DOMAINS]).first()]
+
+
 def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None) -> list[list[float]]:
     """Gradient steps for the targets. ``rows`` (``_n`` and posteriors) is a written table; each step sums it once.
 
-    ``tokens`` is the wanted total; by default such that the domain of the largest target is taken whole.
+    ``tokens`` is the wanted total; by default such that the domain of the largest target is taken whole. Steps end when
+    no domain's miss changes by ``CLOSE`` of what the domain has.
     """
     targets = TARGETS if targets is None else targets
-    expected = lambda steps: rows.agg(*[F.sum(rate(steps) * F.col("_n") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
-    have = [x or 0.0 for x in expected([])]
+    now = have = expected(rows, [])
     whole = max(targets, key=targets.get)
     tokens = have[DOMAINS.index(whole)] / targets[whole] if tokens is None else tokens
     want = [targets[d] * tokens for d in DOMAINS]
     steps: list[list[float]] = []
-    now = have
+    before = None
     while len(steps) < STEPS:
         # Against what the domain has: where documents are of one domain each, a step of one meets the target.
         miss = [(s - w) / h if h else 0.0 for s, w, h in zip(now, want, have)]
-        if max(map(abs, miss)) < CLOSE:
+        if max(map(abs, miss)) < CLOSE or before and max(abs(a - b) for a, b in zip(miss, before)) < CLOSE:
             break
         steps.append(miss)
-        now = [x or 0.0 for x in expected(steps)]
+        before, now = miss, expected(rows, steps)
     return steps
 
 

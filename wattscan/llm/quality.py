@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattscan.llm.common import SPACE_CLASS, cut, table, text_of
+from wattscan.llm.common import SPACE_CLASS, cut, once, table, text_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -64,7 +64,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.coalesce(F.aggregate(fresh, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
     share = lambda of, per: F.floor(F.col(of) * 1000 / F.greatest(F.col(per), F.lit(1))).cast("long")
-    return five.withColumns({
+    return once(five).withColumns({
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         "symbol_share": share("n_symbols", "n_words"),
         "mark_share": share("n_marks", "n_words"),
