@@ -1,6 +1,126 @@
-"""Every registered query of the rule engine, with its SQL."""
+"""Every registered query of the rule engine, with its SQL. Findings are over the derived corpus of all documents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+
+from pyspark.sql import functions as F
+
+from wattscan.functions.text import blank_comments, with_parts
+from wattscan.operators import baseline, incremental, summary
+from wattscan.operators.rules import LANGUAGES, RULES, rules_table
+from wattscan.operators.scan import scan, scannable
+from wattscan.plans.corpus import expected_sql, files, paths_sql
+from wattscan.streaming.rescan import current, stream_scan
+
+BRIEF = ["rule", "severity", "file", "line", "message"]
+
+
+def _rule(rule: str):
+    return lambda spark, sf_dir: scan(files(spark, sf_dir), only=(rule,)).select(*BRIEF)
+
+
+def _all(spark, sf_dir, **options):
+    return scan(files(spark, sf_dir), **options)
+
+
+def _accepted(spark, sf_dir):
+    """Findings of every second file by id are accepted."""
+    return baseline.accepted_prints(scan(files(spark, sf_dir).where("doc_id % 2 = 0")))
+
+
+def _manifests(spark, sf_dir):
+    """Then and now: a third of the files has a new time, and a third of those new text."""
+    then = files(spark, sf_dir).withColumn("mtime_ns", F.lit(1).cast("long"))
+    edited = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+    now = then.withColumn("mtime_ns", F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).cast("long")).withColumn("text", edited)
+    return incremental.manifest(now), incremental.manifest(then)
+
+
+def _merged(spark, sf_dir):
+    """A rescan of odd files found nothing in those divisible by three; files divisible by five are being edited."""
+    rows = files(spark, sf_dir)
+    stored = scan(rows).select(*BRIEF)
+    batch = scan(rows.where("doc_id % 2 = 1 AND doc_id % 3 <> 0")).select(*BRIEF)
+    return incremental.merge(stored, batch, rows.where("doc_id % 2 = 1"), rows.where("doc_id % 5 = 0"))
+
+
+def _pruned(spark, sf_dir):
+    rows = files(spark, sf_dir)
+    return incremental.prune(scan(rows).select(*BRIEF), "src", rows.where("doc_id % 2 = 1"), rows.where("doc_id % 5 = 0"))
+
+
+def _streamed(spark, sf_dir):
+    """The corpus as a table of changes, scanned in micro-batches."""
+    # The stream's folders are in the shared folder where the cluster names one.
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wattscan-stream-")
+    work = f"{base}/wattscan-stream-{abs(hash(sf_dir)) % 10**9}-{spark.sparkContext.startTime}-{next(_TURN)}"
+    changes = files(spark, sf_dir).select("path", F.lit(1).cast("long").alias("version"), "text", F.lit(False).alias("deleted"))
+    changes.write.parquet(f"{work}/changes")
+    stream_scan(spark, f"{work}/changes", f"{work}/found", f"{work}/state").awaitTermination()
+    return current(spark, f"{work}/found").select(*BRIEF)
+
+
+def _turns():
+    n = 0
+    while True:
+        yield (n := n + 1)
+
+
+_TURN = _turns()
+
+QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
+    "scan_all": lambda s, d: _all(s, d).select(*BRIEF),
+    "scan_disabled": lambda s, d: _all(s, d, disable=("GL005", "GL028")).select(*BRIEF),
+    "scan_ignored": lambda s, d: _all(s, d, ignore=("vendor/*", "*/web/*", "k8s/f?.y[!m]ml")).select(*BRIEF),
+    "test_file_exemption": lambda s, d: _all(s, d, only=("GL001", "GL002", "GL007")).select(*BRIEF),
+    "blank_comments": lambda s, d: with_parts(files(s, d)).withColumn("code", blank_comments(F.col("text"), F.col("suffix"), F.col("name"))).select("path", F.length("code").cast("long").alias("n_chars"), (F.length("code") == F.length("text")).alias("same_length")),
+    "scannable_files": lambda s, d: scannable(files(s, d)).select("path"),
+    "languages": lambda s, d: rules_table(s).select(F.explode("langs").alias("language")).distinct().orderBy("language"),
+    "list_rules": lambda s, d: rules_table(s).select("rule", "severity", "message"),
+    "summary_by_severity": lambda s, d: summary.by_severity(_all(s, d)),
+    "summary_by_rule": lambda s, d: summary.by_rule(_all(s, d)),
+    "findings_by_file": lambda s, d: summary.by_file(_all(s, d)),
+    "summary_total": lambda s, d: summary.total(_all(s, d)),
+    "fingerprints": lambda s, d: baseline.fingerprinted(_all(s, d)).select("file", "rule", "line", "fingerprint"),
+    "baseline_anti_join": lambda s, d: baseline.apply_baseline(_all(s, d), _accepted(s, d)).select(*BRIEF),
+    "baseline_write": lambda s, d: baseline.accepted_prints(_all(s, d)).orderBy("fingerprint"),
+    "incremental_reuse": lambda s, d: incremental.reuse(*_manifests(s, d)),
+    "incremental_counts": lambda s, d: incremental.reuse(*_manifests(s, d)).groupBy("how").agg(F.count(F.lit(1)).alias("n")),
+    "merge_batch": _merged,
+    "prune_under": _pruned,
+    "stream_scan": _streamed,
+    "report_github": lambda s, d: summary.github_lines(_all(s, d)).select("text"),
+    "report_text": lambda s, d: summary.text_lines(_all(s, d)).select("text"),
+}
+
+_ALL = f"SELECT * FROM {expected_sql()} x"
+_PRINT = "sha1(file || '|' || rule || '|' || message)"
+_VALUES = lambda rows: ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+_HOW = "CASE WHEN doc_id % 3 <> 0 THEN 'stat' WHEN doc_id % 9 <> 0 THEN 'hash' ELSE 'scan' END"
+_MERGED = "NOT (doc_id % 2 = 1 AND doc_id % 5 <> 0 AND doc_id % 3 = 0)"
+_LINES = {"github": "'::' || CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'notice' END || ' file=' || file || ',line=' || line || ',title=' || rule || '::' || message", "text": "file || ':' || line || ': [' || rule || '/' || severity || '] ' || message"}
+
+ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id}'")} x" for r in RULES} | {
+    "scan_all": _ALL,
+    "scan_disabled": f"{_ALL} WHERE rule NOT IN ('GL005', 'GL028')",
+    "scan_ignored": f"{_ALL} WHERE NOT starts_with(file, 'vendor/') AND NOT starts_with(file, 'web/') AND NOT regexp_full_match(file, 'k8s/f.[.]y[^m]ml')",
+    "test_file_exemption": f"{_ALL} WHERE rule IN ('GL001', 'GL002', 'GL007')",
+    "scannable_files": f"SELECT path FROM {paths_sql()} x WHERE NOT ends_with(path, '.md')",
+    "languages": f"SELECT * FROM (VALUES {_VALUES([(x,) for x in LANGUAGES])}) v(language)",
+    "list_rules": f"SELECT * FROM (VALUES {_VALUES([(r.id, r.severity, r.message) for r in RULES])}) v(rule, severity, message)",
+    "summary_by_severity": f"SELECT s.severity, count(x.rule) AS n FROM (VALUES ('high'), ('medium'), ('low')) s(severity) LEFT JOIN {expected_sql()} x ON x.severity = s.severity GROUP BY s.severity",
+    "summary_by_rule": f"SELECT rule, count(*) AS n FROM {expected_sql()} x GROUP BY rule",
+    "findings_by_file": f"SELECT file, count(*) AS n, min(line) AS first_line FROM {expected_sql()} x GROUP BY file",
+    "summary_total": f"SELECT count(*) AS total, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low, count(DISTINCT file) AS files FROM {expected_sql()} x",
+    "fingerprints": f"SELECT file, rule, line, {_PRINT} AS fingerprint FROM {expected_sql()} x",
+    "baseline_anti_join": f"SELECT * FROM {expected_sql('doc_id % 2 <> 0')} x",
+    "baseline_write": f"SELECT DISTINCT {_PRINT} AS fingerprint FROM {expected_sql()} x",
+    "incremental_reuse": f"SELECT path, {_HOW} AS how FROM {paths_sql()} x",
+    "incremental_counts": f"SELECT {_HOW} AS how, count(*) AS n FROM documents GROUP BY 1",
+    "merge_batch": f"SELECT * FROM {expected_sql(_MERGED)} x",
+    "prune_under": f"SELECT * FROM {expected_sql("NOT (starts_with(file, 'src/') AND doc_id % 2 <> 1 AND doc_id % 5 <> 0)")} x",
+    "stream_scan": _ALL,
+    "report_github": f"SELECT {_LINES['github']} AS text FROM {expected_sql()} x",
+    "report_text": f"SELECT {_LINES['text']} AS text FROM {expected_sql()} x",
+}
