@@ -30,8 +30,10 @@ TARGETS = {"clean": 0.99, "poor": 0.01, "toxic": 0.0}
 #: Labelled documents that the classifier is fitted on, at most (about).
 TRAIN_ROWS = 20_000
 FEATURES = 1 << 16
+#: Dropped from words; what is left of a text are its tokens.
+PUNCTUATION = ".,;:!?\"'()"
 #: Posteriors below this count as none, so that a clean document isn't thinned for a trace of doubt.
-LEAST_POSTERIOR = 0.05
+LEAST_POSTERIOR = 0.2
 PULL = 1e-3
 STEPS = 40
 CLOSE = 1e-3
@@ -40,11 +42,11 @@ CLOSE = 1e-3
 def _terms(docs: DataFrame) -> DataFrame:
     """Distinct words and distinct word shapes (letters as one ``a``, digits as one ``9``) of the whole text."""
     text = text_of()
-    words = F.array_remove(F.split(F.lower(text), f"[{SPACE_CLASS}]+"), "")
+    words = F.array_remove(F.split(F.translate(F.lower(text), PUNCTUATION, ""), f"[{SPACE_CLASS}]+"), "")
     shapes = F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{Nd}+", "9"), f"[{SPACE_CLASS}]+"))
     shape = F.transform(shapes, lambda s: F.concat(F.lit("\t"), F.substring(s, 1, 40)))
-    plain = F.transform(words, lambda w: F.regexp_replace(w, r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", ""))
-    return docs.withColumn("_words", words).withColumn("_n", F.size("_words").cast("long")).withColumn("_terms", F.concat(F.array_distinct(plain), shape)).drop("_words")
+    counted = docs.withColumn("_words", words)
+    return counted.withColumn("_n", F.size("_words").cast("long")).withColumn("_terms", F.concat(F.array_distinct("_words"), shape)).drop("_words")
 
 
 def _featured(docs: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     seen = sorted(r[0] for r in rows.select("_label").distinct().collect())  # three at most
     if len(seen) < 2:
         return [1.0 if k in seen else 0.0 for k in range(len(DOMAINS))] if seen else [1.0 / len(DOMAINS)] * len(DOMAINS)
-    return LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_at", family="multinomial", maxIter=40, regParam=2e-3, elasticNetParam=0.5, standardization=False, aggregationDepth=2).fit(rows)
+    return LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_at", family="multinomial", maxIter=40, regParam=5e-4, elasticNetParam=0.5, standardization=False, aggregationDepth=2).fit(rows)
 
 
 def posteriors(docs: DataFrame, model) -> DataFrame:
