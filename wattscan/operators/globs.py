@@ -51,7 +51,7 @@ def prunable(globs: list[str]) -> set[str]:
 def braces(glob: str) -> list[str]:
     """``{a,b}`` alternatives written out, the innermost first."""
     if m := re.search(r"\{([^{}]*)\}", glob):
-        return [x for part in m[1].split(",") for x in braces(glob[: m.start()] + part + glob[m.end() :])]
+        return list(dict.fromkeys(x for part in m[1].split(",") for x in braces(glob[: m.start()] + part + glob[m.end() :])))
     return [glob]
 
 

@@ -72,10 +72,16 @@ TEMPLATES = [
 ]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer parts than there are cores (one small file, say) is dealt out before costly work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, text, doc_id`` of every document. The templates are a fixed few rows, so they are broadcast."""
     made = spark.createDataFrame([(i, a, b, f"{mark} " if mark else "", body) for i, (a, b, mark, body, _) in enumerate(TEMPLATES)], "tmpl int, a string, b string, mark string, body string")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("doc"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("doc")))
     tail = F.when(F.col("mark") != "", F.concat("mark", F.regexp_replace("doc", r"[\n\r<*/]", " "))).otherwise("")
     rows = docs.withColumn("tmpl", F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int")).join(F.broadcast(made), "tmpl")
     return rows.select(F.concat("a", F.col("doc_id").cast("string"), "b").alias("path"), F.concat("body", tail).alias("text"), "doc_id")
