@@ -6,8 +6,8 @@ beside it. That is quadratic in a word's length, so words of over ``SHORT`` byte
 the same merges. Words repeat, so each Python worker remembers a bounded number of them.
 
 Nulls: a null text counts as empty; an empty text has no tokens and decodes to an empty text. Texts are read whole.
-Repeated rows give repeated results, other columns (whatever their names, null or not) pass through, and an empty table
-gives an empty result with the same schema.
+Repeated rows give repeated results, other columns (null or not) pass through, but one that has an output's name gives way
+to it. An empty table gives an empty result with the same schema.
 """
 
 from __future__ import annotations
@@ -166,28 +166,28 @@ def sliced(batches):
 
 def encoded(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the token ids of each whole text as ``array<int>``."""
-    kept = docs.columns if keep is None else keep
-    if ids_col in kept:
-        raise ValueError(f"{ids_col} is a column already")
+    kept = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
+    mine = "_text"
+    while mine in kept:
+        mine += "_"
     key, shared = str(path), docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # bounded by the vocabulary file
 
     def run(batches):
         bpe = _opened(key, shared)
         for batch in sliced(batches):
-            ids = [bpe.encode(t or "") for t in batch.column("__text").to_pylist()]
+            ids = [bpe.encode(t or "") for t in batch.column(mine).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             arrays = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, ids_col])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(mine)).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, ids_col: str = "token_ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
     """``rows`` with the text that each list of ids decodes to."""
     key, shared = str(path), rows.sparkSession.sparkContext.broadcast(vocabulary(path))
-    if text_col in rows.columns:
-        raise ValueError(f"{text_col} is a column already")
+    rows = rows.drop(text_col)
 
     def run(batches):
         bpe = _opened(key, shared)
