@@ -7,8 +7,8 @@ measured against what it has, with a slight pull towards one. A step needs only
 pass over a narrow written table, and a rate is a closed expression of the posteriors and the steps.
 
 Nulls: a null text has no tokens and gets the posteriors of a text without words; a null id is sampled as a number of its
-own; null labels count as unlabelled. Without labels of two domains the posteriors are constant: one for the only domain,
-or equal. Repeated rows are judged alike. Extra columns are ignored by the operator and kept by the stage. An empty table
+own; null labels count as unlabelled. Without labels of two domains, or without terms that documents share, the
+posteriors are constant: the domains' shares of the labels, or equal. Repeated rows are judged alike. Extra columns are ignored by the operator and kept by the stage. An empty table
 gives an empty result.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,8 @@ DOMAINS = ["clean", "poor", "toxic"]
 TARGETS = {"clean": 0.99, "poor": 0.01, "toxic": 0.0}
 #: Labelled documents that the classifier is fitted on, at most (about).
 TRAIN_ROWS = 20_000
-FEATURES = 1 << 16
+#: Terms that the classifier knows: the most frequent ones of the training documents, in so many of them at least.
+VOCABULARY, LEAST_DOCS = 1 << 13, 5
 #: Dropped from words; what is left of a text are its tokens.
 PUNCTUATION = ".,;:!?\"'()"
 #: Posteriors below this count as none, so that a clean document isn't thinned for a trace of doubt.
@@ -49,26 +50,26 @@ def _terms(docs: DataFrame) -> DataFrame:
     return counted.withColumn("_n", F.size("_words").cast("long")).withColumn("_terms", F.concat(F.array_distinct("_words"), shape)).drop("_words")
 
 
-def _featured(docs: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_terms", outputCol="_features").transform(_terms(docs)).drop("_terms")
-
-
 def domain_of(labels: DataFrame):
     known = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     return known.select(F.col("doc_id").alias("labelled_id"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1).cast("double").alias("_label"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
-    """A fitted classifier, or the constant posteriors where the labels hold fewer than two domains."""
+    """The term counter and the classifier, or constant posteriors where there are no two domains or no common terms."""
     known = domain_of(labels)
     total = known.count()
     part = min(1.0, train_rows / max(total, 1))
     drawn = known.where(F.pmod(F.xxhash64("labelled_id"), F.lit(1_000_000)) < int(part * 1_000_000))  # about train_rows ids: small enough to broadcast
-    rows = cut(_featured(docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"))).select("_features", "_label"), "train")
-    seen = sorted(r[0] for r in rows.select("_label").distinct().collect())  # three at most
-    if len(seen) < 2:
-        return [1.0 if k in seen else 0.0 for k in range(len(DOMAINS))] if seen else [1.0 / len(DOMAINS)] * len(DOMAINS)
-    return LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_at", family="multinomial", maxIter=40, regParam=5e-4, elasticNetParam=0.5, standardization=False, aggregationDepth=2).fit(rows)
+    rows = cut(_terms(docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"))).select("_terms", "_label"), "train")
+    shares = [r / max(rows.count(), 1) for r in (rows.where(F.col("_label") == k).count() for k in range(len(DOMAINS)))]
+    common = rows.select(F.explode("_terms").alias("term")).groupBy("term").count().where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "term").limit(VOCABULARY)
+    terms = [r[0] for r in common.collect()]  # bounded by VOCABULARY
+    if sum(x > 0 for x in shares) < 2 or not terms:
+        return shares if any(shares) else [1.0 / len(DOMAINS)] * len(DOMAINS)
+    counter = CountVectorizerModel.from_vocabulary(terms, "_terms", "_features", binary=True)
+    regression = LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_at", family="multinomial", maxIter=40, regParam=5e-4, elasticNetParam=0.5, standardization=False)
+    return counter, regression.fit(counter.transform(rows))
 
 
 def posteriors(docs: DataFrame, model) -> DataFrame:
@@ -79,7 +80,8 @@ def posteriors(docs: DataFrame, model) -> DataFrame:
         p = F.array(*map(F.lit, model))
         scored = _terms(docs).select(*names, "_n", p.alias("_q"))
     else:
-        scored = model.transform(_featured(docs)).select(*names, "_n", vector_to_array("_p").alias("_q"))
+        counter, regression = model
+        scored = regression.transform(counter.transform(_terms(docs))).select(*names, "_n", vector_to_array("_p").alias("_q"))
     cuts = [F.coalesce(F.get("_q", F.lit(k)), F.lit(0.0)) for k in range(len(DOMAINS))]
     cuts = [F.when(c >= LEAST_POSTERIOR, c).otherwise(0.0) for c in cuts]
     first = once(scored).select(*names, "_n", *[c.alias(f"_c{k}") for k, c in enumerate(cuts)])
