@@ -64,3 +64,19 @@ def test_quality_odd_rows(spark):
     assert quality.quality(odd_rows(spark).limit(0)).count() == 0
     stage = quality.stage(spark, odd_rows(spark), SMALL)
     assert stage.columns == odd_rows(spark).columns and stage.count() == 0
+
+
+def test_each_share_alone_rejects(spark):
+    """In a clean group, a document that the base rule keeps fails by any one share."""
+    word = iter(f"w{i}" for i in range(100_000))
+    some = lambda n: [next(word) for _ in range(n)]
+    clean = [" ".join(some(100)) for _ in range(150)]
+    again = some(9)
+    lines = "\n".join(x for w in some(10) for x in (w, "same line"))
+    planted = {"symbol_share": " ".join([w + "#" for w in some(12)] + some(88)), "mark_share": " ".join([w + "!" for w in some(12)] + some(88)), "dup_line_share": lines, "repeat_share": " ".join(again + some(91) + again)}
+    rows = [(i, t, "en", "s") for i, t in enumerate([*clean, *planted.values()])]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(150))
+    for i, share in enumerate(planted, 150):
+        assert not got[i].base_failed and not got[i].kept
+        assert [s for s in quality.SPREADS if got[i][s]] == [share]

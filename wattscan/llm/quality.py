@@ -21,8 +21,9 @@ from wattscan.llm.common import SPACE_CLASS, cut, once, table, text_of
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 MARKS = "!?"
-#: Share -> the least spread of it, in thousandths; a share never fails below ``REACH`` of these.
-SPREADS = {"symbol_share": 15, "mark_share": 15, "dup_line_share": 100, "repeat_share": 40}
+#: Share -> the least spread of it, in thousandths; a share never fails below ``REACH`` of these. ``REACH`` times that of
+#: ``repeat_share`` stays under the 200 of the base rule, or the share could reject nothing.
+SPREADS = {"symbol_share": 15, "mark_share": 15, "dup_line_share": 50, "repeat_share": 25}
 REACH = 6
 #: Groups with fewer documents use their language's sketch, and languages with fewer the corpus's.
 LEAST_ROWS = 100
