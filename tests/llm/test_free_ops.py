@@ -161,6 +161,35 @@ def test_lm_equals_brute_force(spark, monkeypatch, shard_rows):
         assert r.score == pytest.approx(score, abs=2.5e-4 * len(t))
 
 
+def test_lm_whole_keeps_what_occurs_once(spark):
+    """The unpruned trie against brute force, with pairs and triples seen once."""
+    r = random.Random(8)
+    texts = {i: [f"w{r.randrange(12)}" for _ in range(r.randrange(1, 14))] for i in range(40)}
+    train = [[*t, None] for i, t in texts.items() if i < 30]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in lm_score.scored(docs, lm_score.trained(docs.where("doc_id < 30"), 1)).collect()}
+    one = collections.Counter(w for t in train for w in t)
+    two = collections.Counter(p for t in train for p in zip(["<s>", *t], t))
+    three = collections.Counter(p for t in train for p in zip(["<s>", *t], t, t[1:]))
+    assert min(two.values()) == min(three.values()) == 1
+    total = one | collections.Counter({"<s>": len(train)})
+    types2, types3 = collections.Counter(k[0] for k in two), collections.Counter(k[:2] for k in three)
+
+    def p1(w):
+        return (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1))
+
+    def p2(v, w):
+        return max(two[v, w] - 0.5, 0) / total[v] + (1 - (total[v] - 0.5 * types2[v]) / total[v]) * p1(w)
+
+    def p3(u, v, w):
+        return max(three[u, v, w] - 0.5, 0) / two[u, v] + 0.5 * types3[u, v] / two[u, v] * p2(v, w) if two[u, v] else p2(v, w)
+
+    for i, t in texts.items():
+        seq = ["<s>", *t, None]
+        score = math.log10(p2(*seq[:2])) + sum(math.log10(p3(*seq[j - 2 : j + 1])) for j in range(2, len(seq)))
+        assert got[i] == pytest.approx(score, abs=2.5e-4 * len(seq))
+
+
 def test_lm_odd_rows(spark):
     rows = odd_rows(spark)
     trie = lm_score.trained(rows.where(crc_mod("doc_id", 5) != 1))

@@ -1,8 +1,9 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Spark counts words, then pairs, then triples of the training texts. A pair is kept from two occurrences, and a triple can
-only reach two if both its pairs did, so only such triples are counted. The kept n-grams go to sorted shards of three
-levels in the shared folder; tasks map them into memory and touch only the pages that they need:
+Spark counts words, then pairs, then triples of the training texts. Pairs and triples are kept from ``least`` occurrences:
+all of them with one (``op8_lm_score_whole``), those that occur again with two (``op8_lm_score``). A triple can only reach
+``least`` if both its pairs did, so only such triples are counted. The kept n-grams go to sorted shards of three levels in
+the shared folder; tasks map them into memory and touch only the pages that they need:
 
 * words: sorted 64-bit hashes (Elias-Fano) with their counts; a word's id is its place;
 * pairs: for each first word the successors' ids, with monotone pointers to where each word's successors begin;
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from wattscan.llm.common import SPACE_CLASS, crc_mod, cut, shared_path, table, text_of
 from wattscan.llm.elias_fano import EliasFano, encode
 
+#: Occurrences from which ``op8_lm_score`` keeps pairs and triples.
 LEAST = 2
 DISCOUNT = 0.5
 #: Log10 values from -LOWEST to 0 in 16 bits.
@@ -125,7 +127,8 @@ def _coder(arrays: dict, name: str) -> EliasFano:
 
 
 class Trie:
-    def __init__(self, documents: int, tokens: int):
+    def __init__(self, documents: int, tokens: int, least: int = LEAST):
+        self.least = least
         self.documents, self.tokens = documents, tokens  # training documents and training tokens
         self.words, self.pairs, self.triples = Level([]), Level([]), Level([])
         self.fan = 1  # more than the successors of any word
@@ -199,8 +202,8 @@ class Tokens:
 
     def pairs(self) -> np.ndarray:
         """Positions whose word and word before may form a kept pair."""
-        known = np.r_[False, self.scored[1:] & (self.count[1:] >= LEAST) & (self.id[:-1] >= 0)]
-        often = np.r_[False, (self.count[:-1] >= LEAST) | ~self.scored[:-1]]
+        known = np.r_[False, self.scored[1:] & (self.count[1:] >= self.trie.least) & (self.id[:-1] >= 0)]
+        often = np.r_[False, (self.count[:-1] >= self.trie.least) | ~self.scored[:-1]]
         return np.flatnonzero(known & often)
 
     def look_up_pairs(self):
@@ -276,7 +279,7 @@ def _leveled(folder: str, ctx: np.ndarray, item: np.ndarray, n: np.ndarray, tota
     return first, _write(folder, arrays)
 
 
-def trained(training: DataFrame) -> Trie:
+def trained(training: DataFrame, least: int = LEAST) -> Trie:
     """Count the training texts and write the trie's levels to the shared folder."""
     target = urlparse(shared_path(training.sparkSession, "trie"))
     if target.scheme not in ("", "file"):
@@ -294,7 +297,7 @@ def trained(training: DataFrame) -> Trie:
             yield _tallied((hashes[scored] ^ _TOP).view(np.int64))
 
     words = cut(docs.mapInArrow(words_of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).select(F.col("key").alias("ctx"), F.lit(0).cast("long").alias("item"), "n"), "words")
-    trie = Trie(training.count(), words.agg(F.sum("n")).first()[0] or 0)
+    trie = Trie(training.count(), words.agg(F.sum("n")).first()[0] or 0, least)
 
     def word_shard(keys, _, n):
         keys = keys.view(_U) ^ _TOP
@@ -312,7 +315,7 @@ def trained(training: DataFrame) -> Trie:
     def pair_shard(ctx, item, n):
         return _leveled(folder, ctx, item, n, trie.counts_of(ctx), trie.unigram(trie.counts_of(item)), base)
 
-    pairs = counts(pairs_of, LEAST, base, "pairs")
+    pairs = counts(pairs_of, least, base, "pairs")
     trie.fan = (pairs.groupBy("ctx").count().agg(F.max("count")).first()[0] or 0) + 1
     trie.pairs = _sharded(pairs, pair_shard)
     kept = max(trie.pairs.n, 1)
@@ -330,7 +333,7 @@ def trained(training: DataFrame) -> Trie:
         words, back = np.unique(middle, return_inverse=True)
         return _leveled(folder, ctx, item - trie.begins(words)[back], n, total, restored(code), trie.fan)
 
-    trie.triples = _sharded(counts(triples_of, LEAST, kept, "triples"), triple_shard)
+    trie.triples = _sharded(counts(triples_of, least, kept, "triples"), triple_shard)
     return trie
 
 
@@ -350,7 +353,12 @@ def scored(docs: DataFrame, trie: Trie) -> DataFrame:
     return _words(docs, "doc_id").mapInArrow(run, schema)
 
 
-def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_lm_score(spark: SparkSession, sf_dir: str, least: int = LEAST) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    trie = trained(docs.where(crc_mod("doc_id", 5) != 1))
+    trie = trained(docs.where(crc_mod("doc_id", 5) != 1), least)
     return scored(docs, trie).select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op8_lm_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from every pair and triple of the training texts."""
+    return op8_lm_score(spark, sf_dir, 1)

@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_lm_score": lm_score.op8_lm_score,
+    "op8_lm_score_whole": lm_score.op8_lm_score_whole,
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extract": html_extract.op10_html_extract,
 }
