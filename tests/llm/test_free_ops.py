@@ -109,6 +109,23 @@ def test_near_dup_families_and_odd_rows(spark):
     assert near_dup.near_classes(odd_rows(spark).limit(0)).count() == 0
 
 
+def test_near_dup_recall_at_the_edit_limit(spark):
+    """Pairs with a fifth of the words changed, scattered, share a class, whatever their length."""
+    r = random.Random(9)
+    rows, lengths = [], [5, 10, 12, 13, 20, 48, 60, 61, 100, 300]
+    for i in range(200):
+        a = [f"w{r.randrange(10**6)}" for _ in range(lengths[i % len(lengths)])]
+        b = list(a)
+        for at in r.sample(range(len(b)), len(b) // 5):
+            b[at] = f"v{r.randrange(10**6)}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    rows += [(1000, "a b c d e f g h i j k l"), (1001, "a b c d e X g h i j k l")]
+    got = {x.doc_id: x.class_id for x in near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1001] == 1000
+    assert sum(got[2 * i + 1] == 2 * i for i in range(200)) >= 195
+    assert all(got[2 * i] == 2 * i for i in range(200))
+
+
 # --- 8: language model
 
 
