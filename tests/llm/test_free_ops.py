@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_native_ops import SMALL, odd_rows
-from wattscan.llm import bpe, elias_fano, html_extract, language_id, lm_score, mixing, near_dup, secret_scan, url_filter
+from wattscan.llm import bpe, elias_fano, html_blocks, html_extract, language_id, lm_score, mixing, near_dup, secret_scan, url_filter
 from wattscan.llm.common import crc_mod, table
 
 
@@ -301,6 +301,20 @@ def test_html_held_out_layouts():
     assert html_extract.main_texts(["<article><p>a&lt;b  c<br>d</article>"], weights) == ["a<b c d"]
 
 
+def test_html_blocks_drop_no_text():
+    texts = lambda page: [t for t, _, _ in html_blocks.blocks(page)]
+    assert texts("<html><head><title>T</title><p>text") == ["text"] == texts("<head><meta charset=x><title>T</title>text") == texts("<head><title>T<body>text")
+    assert texts("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["where x=2 holds"]
+    for tag in ("noscript", "object", "button", "canvas", "audio", "video"):
+        assert texts(f"<div><p>a <{tag}>b</{tag}> c</p></div><p>d") == ["a", "b", "c", "d"]
+        assert [m[-1] for _, m, _ in html_blocks.blocks(f"<p>a <{tag}>b</{tag}> c</p>")] == ["p", tag, "p"]
+        assert texts(f"<div>a<{tag}></div><p>b") == ["a", "b"]
+    for tag in ("select", "iframe", "svg", "template", "textarea"):
+        assert texts(f"<div>a<{tag}>x<div>y</div>z</div><p>b") == ["a", "b"] == texts(f"<div>a<{tag}>x</{tag}></div><p>b")
+    marks = " ".join("u" * (i + 1) for i in range(12))
+    assert ".comments" in html_blocks.blocks(f'<div class="{marks} comments">x</div>')[0][1]
+
+
 def test_html_odd_rows(spark):
     rows = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (2, None, "<article>" + "<p>one two three.</p>" * 3000 + "</article>", 3)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in html_extract.extracted(rows).collect()}

@@ -7,8 +7,12 @@ from html.parser import HTMLParser
 
 #: Tags that end a run of text.
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-#: Elements whose content is no text of the page.
-HIDDEN = {"script", "style", "noscript", "template", "title", "head", "svg", "math", "iframe", "object", "select", "button", "textarea", "canvas", "audio", "video"}
+#: Elements whose content is no text of the page. What stands in for other media, and formulas, are text.
+HIDDEN = {"script", "style", "template", "title", "head", "svg", "iframe", "select", "textarea"}
+#: What may stand in a head; any other start tag, and text, ends it.
+HEAD = {"base", "link", "meta", "noframes", "noscript", "script", "style", "template", "title", "head"}
+#: Elements whose text stands in for something else; each is a block of its own.
+FALLBACK = {"noscript", "object", "button", "canvas", "audio", "video"}
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: What a start tag ends, looking up to the nearest container.
@@ -24,7 +28,13 @@ class _Reader(HTMLParser):
         self.stack: list[tuple[str, list[str]]] = []
         self.run: list[str] = []
         self.linked = self.links = 0
-        self.hidden: list[str] = []
+        self.hidden: list[str] = []  # a hidden element and what is open in it
+        self.headed = False
+
+    def set_cdata_mode(self, elem, **options):
+        # Else an unclosed iframe or textarea would take the rest of the page.
+        if elem in ("script", "style"):
+            super().set_cdata_mode(elem, **options)
 
     def flush(self):
         text = _WHITE.sub(" ", "".join(self.run)).strip()
@@ -33,27 +43,25 @@ class _Reader(HTMLParser):
         self.run, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden == ["head"] and tag not in HEAD or tag == "body" and self.hidden[:1] == ["head"]:
+            self.hidden.clear()
         if self.hidden:
-            if tag == self.hidden[-1] and tag not in VOID:
+            if tag not in VOID:
                 self.hidden.append(tag)
-            elif self.hidden[-1] == "head" and tag == "body":
-                self.hidden.clear()
-            else:
-                if tag in HIDDEN:
-                    self.hidden.append(tag)
-                return
-        if tag in HIDDEN and tag != "body":
-            if not self.hidden or self.hidden[-1] != tag:
+            return
+        if tag in HIDDEN:
+            if tag != "head" or not self.headed:
                 self.hidden.append(tag)
+                self.headed |= tag == "head"
             return
         if tag == "a":
             self.links = 1
         if tag in ("br", "img"):
             self.run.append(" ")
-        if tag not in BLOCKS:
+        if tag not in BLOCKS | FALLBACK:
             return
         self.flush()
-        if self.stack and self.stack[-1][0] == "p":
+        if self.stack and self.stack[-1][0] == "p" and tag not in FALLBACK:
             self.stack.pop()
         if tag in ENDS:
             ends, until = ENDS[tag]
@@ -64,17 +72,20 @@ class _Reader(HTMLParser):
                     del self.stack[i:]
                     break
         if tag not in VOID:
-            named = [w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in _WORD.findall(v)][:12]
+            named = [w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in _WORD.findall(v)]
             self.stack.append((tag, [tag, *("." + w for w in named)]))
 
     def handle_endtag(self, tag):
         if self.hidden:
             if tag in self.hidden:
                 del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
-            return
+                return
+            if tag not in (name for name, _ in self.stack):
+                return
+            self.hidden.clear()  # an enclosing element ends, and so does what it holds
         if tag == "a":
             self.links = 0
-        if tag not in BLOCKS:
+        if tag not in BLOCKS | FALLBACK:
             return
         self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
@@ -83,6 +94,8 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.hidden == ["head"] and data.strip():
+            self.hidden.clear()
         if not self.hidden:
             self.run.append(data)
             if self.links:
