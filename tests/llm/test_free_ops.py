@@ -240,6 +240,17 @@ def test_language_spans_and_odd_rows(spark):
     assert untrained.judge(["some text"]) == (["und"], [0.0])
 
 
+def test_small_and_many_languages_are_learned(spark):
+    """A language of few rows beside a large one is learned from them, and no language is left out."""
+    r = random.Random(6)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(20))
+    rows = [(i, text("abcdefg"), "large") for i in range(4000)] + [(5000 + i, text("tuvwxyz"), "small") for i in range(5)] + [(6000 + i, text("hijklm"), f"l{i}") for i in range(300)]
+    model = language_id.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 40)
+    assert len(model.langs) == 302 and model.writes[:, language_id.NAMES.index("Latin")].all()
+    assert model.judge([text("tuvwxyz"), text("abcdefg")])[0] == ["small", "large"]
+    assert language_id.quota([5, 10**7], 20_000) == 19_995 and language_id.quota([5, 6], 20_000) == 50 and language_id.quota([10**7] * 4, 20_000) == 5000
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(4)
     model = language_id.Model(["a", "b", "c"], np.ones((3, language_id.BUCKETS + len(language_id.NAMES)), np.int64))

@@ -29,10 +29,10 @@ _NUMBER = np.array([NAMES.index(name) for _, name in SCRIPTS])
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
-#: Training documents that counts are taken from, at most (about).
+#: Training documents that counts are taken from, at most (about): all of small languages, an equal number of large ones.
 TRAIN_ROWS = 20_000
-#: Languages that are told apart at most: those with the most training documents.
-LANGS = 256
+#: Of each language so many are taken in any case, if it has them; with many languages the sum is over ``TRAIN_ROWS``.
+LEAST_ROWS = 50
 #: A language writes a script if that many of its letters in a thousand are of it.
 LEAST_SHARE = 10
 SWITCH = 12.0
@@ -168,17 +168,30 @@ class Model:
         return [(self.langs[at[a]], int(a), int(b - a)) for a, b in zip(cuts, [*cuts[1:], len(at)])]
 
 
+def quota(sizes: list[int], rows: int, least: int = LEAST_ROWS) -> int:
+    """The most rows to take of each language, so that all take about ``rows`` together, but ``least`` at least."""
+    left = max(rows, 0)
+    for i, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if n > share:
+            return max(share, least)
+        left -= n
+    return max([least, *sizes])
+
+
 def fitted(training: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Count the training rows (``doc_id, text, lang``), about ``train_rows`` of them drawn by a hash of the id."""
+    """Count the training rows (``doc_id, text, lang``), about ``train_rows`` of them drawn by language and a hash of the id."""
     known = training.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
-    langs = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
-    part = min(1.0, train_rows / max(sum(n for _, n in langs), 1))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    langs = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().collect()]
+    most, parts = quota([n for _, n in langs], train_rows), 1 << 40
+    rates = known.sparkSession.createDataFrame([(x, min(parts, -(-parts * most // n))) for x, n in langs], "rate_lang string, rate long")
+    drawn = known.join(F.broadcast(rates), F.col("lang") == F.col("rate_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < F.col("rate"))
     counted = cut(drawn.select("text", "lang").mapInPandas(_counted, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "langs")
     names = sorted(x for x, _ in langs)
+    number = {x: i for i, x in enumerate(names)}
     counts = np.zeros((len(names), BUCKETS + len(NAMES)), np.int64)
-    for part in counted.where(F.col("lang").isin(names)).toLocalIterator() if names else ():  # bounded by languages and buckets
-        counts[names.index(part["lang"]), part["feature"]] = part["n"]
+    for part in counted.toLocalIterator() if names else ():  # bounded by languages and buckets
+        counts[number[part["lang"]], part["feature"]] = part["n"]
     return Model(names, counts)
 
 
