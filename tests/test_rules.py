@@ -158,3 +158,22 @@ def test_reuse_and_config(spark):
     now = incremental.manifest(files, "c2")
     assert {r.how for r in incremental.reuse(now, incremental.manifest(files, "c1")).collect()} == {"scan"}
     assert {r.how for r in incremental.reuse(now, now).collect()} == {"stat"}
+
+
+def test_stream_takes_last_versions(spark, tmp_path):
+    """Two versions in one batch, a version and its deletion, and a deletion in a later batch."""
+    from wattscan.streaming.rescan import CHANGES, current, stream_scan
+
+    bad, good, work = "from a import *\n", "x = 1\n", str(tmp_path)
+    for rows in ([("a.py", 1, bad, False), ("a.py", 2, good, False), ("b.py", 1, bad, False), ("b.py", 2, None, True), ("c.py", 1, bad, False), ("d.py", 2, bad, False), ("d.py", 1, good, None)], [("c.py", 2, None, True)]):
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(f"{work}/changes")
+        stream_scan(spark, f"{work}/changes", f"{work}/found", f"{work}/state").awaitTermination()
+    assert [(r.file, r.rule) for r in current(spark, f"{work}/found").collect()] == [("d.py", "GL028")]
+
+
+def test_corpus_holds_whole_documents(spark):
+    from wattscan.plans.corpus import TEMPLATES, files
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    for r in files(spark, "/root/testdata/sf0.001").collect():
+        assert len(r.text) >= len(TEMPLATES[r.doc_id % len(TEMPLATES)][3]) + len(docs[r.doc_id]), r.path

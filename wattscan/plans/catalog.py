@@ -51,12 +51,18 @@ def _pruned(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir):
-    """The corpus as a table of changes, scanned in micro-batches."""
+    """The corpus as a table of changes, scanned in micro-batches: some files had other text before, others are deleted."""
     # The stream's folders are in the shared folder where the cluster names one.
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wattscan-stream-")
     work = f"{base}/wattscan-stream-{abs(hash(sf_dir)) % 10**9}-{spark.sparkContext.startTime}-{next(_TURN)}"
-    changes = files(spark, sf_dir).select("path", F.lit(1).cast("long").alias("version"), "text", F.lit(False).alias("deleted"))
-    changes.write.parquet(f"{work}/changes")
+    row = lambda path, version, text, deleted=False: F.struct(path.alias("path"), F.lit(version).cast("long").alias("version"), text.alias("text"), F.lit(deleted).alias("deleted"))
+    path, text, old = F.col("path"), F.col("text"), F.lit("from old import *\nSELECT * FROM old;\n")
+    gone = F.concat(F.lit("gone/"), path)
+    turned = F.when(F.col("doc_id") % 3 == 0, F.array(row(path, 1, old), row(path, 2, text))).when(F.col("doc_id") % 3 == 1, F.array(row(path, 1, text), row(gone, 1, old), row(gone, 2, F.lit(None).cast("string"), True)))
+    changes = files(spark, sf_dir).select("doc_id", F.explode(F.coalesce(turned, F.array(row(path, 1, text)))).alias("x")).select("doc_id", "x.*")
+    # Versions of even ids come together, those of odd ids in files of their own.
+    odd = [changes.where(f"doc_id % 2 <> 0 AND version = {v}") for v in (1, 2)]
+    changes.where("doc_id % 2 = 0").union(odd[0]).union(odd[1]).drop("doc_id").write.parquet(f"{work}/changes")
     stream_scan(spark, f"{work}/changes", f"{work}/found", f"{work}/state").awaitTermination()
     return current(spark, f"{work}/found").select(*BRIEF)
 

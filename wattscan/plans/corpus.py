@@ -1,6 +1,6 @@
 """A corpus of files made from the documents table: each document fills one template, by its id.
 
-A template's snippet comes first, so the lines of its findings are known; the whole document follows as a comment.
+A template's snippet comes first, so the lines of its findings are known; the whole document follows as a comment (in Markdown, as a quote).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 _TF = 'resource "{}" "x" {{\n  {}\n}}\n'
 _JOB = "jobs:\n  a:\n    steps:\n      - uses: checkout\n        with:\n          fetch-depth: 0\n{}  b:\n    steps:\n      - run: make\n"
-#: (path before the id, path after it, comment mark or "", snippet, [(rule number, line)])
+#: (path before the id, path after it, mark before the document, snippet, [(rule number, line)])
 TEMPLATES = [
     ("src/f", ".py", "#", "while True:\n    x = 1\n", [(1, 1)]),
     ("src/f", ".py", "#", "import time\nwhile True:\n    time.sleep(5)\n", []),
@@ -21,11 +21,11 @@ TEMPLATES = [
     ("src/f", ".js", "//", "setInterval(tick, 50)\nsetInterval(tick, 5000)\n// setInterval(tick, 5)\n", [(2, 1)]),
     ("src/f", "_test.go", "//", "time.Sleep(5 * time.Millisecond)\n", []),
     ("src/f", ".go", "//", "\ntime.Sleep(5 * time.Millisecond)\n", [(2, 2)]),
-    (".github/workflows/f", ".yml", "", "on:\n  schedule:\n    - cron: '* * * * *'\n", [(3, 3)]),
-    (".github/workflows/f", ".yml", "", "# cron: '* * * * *'\n", []),
-    (".github/workflows/f", ".yml", "", _JOB.format(""), [(4, 6)]),
-    (".github/workflows/f", ".yml", "", _JOB.format("      - run: gitleaks\n"), []),
-    (".github/workflows/f", ".yml", "", "steps:\n  # fetch-depth: 0\n  - fetch-depth: 0\n", [(4, 3)]),
+    (".github/workflows/f", ".yml", "#", "on:\n  schedule:\n    - cron: '* * * * *'\n", [(3, 3)]),
+    (".github/workflows/f", ".yml", "#", "# cron: '* * * * *'\n", []),
+    (".github/workflows/f", ".yml", "#", _JOB.format(""), [(4, 6)]),
+    (".github/workflows/f", ".yml", "#", _JOB.format("      - run: gitleaks\n"), []),
+    (".github/workflows/f", ".yml", "#", "steps:\n  # fetch-depth: 0\n  - fetch-depth: 0\n", [(4, 3)]),
     ("db/f", ".sql", "--", "SELECT * FROM t;\nselect *\nfrom u;\n-- SELECT * FROM v\nSELECT a FROM w;\n", [(5, 1), (5, 2)]),
     ("src/f", ".py", "#", 'def q():\n    """SELECT * FROM doc"""\n    return "SELECT * FROM t"  # SELECT * FROM c\n', [(5, 3)]),
     ("img/d", "/Dockerfile", "#", "FROM ubuntu:22.04\nFROM debian:12-slim\n", [(6, 1)]),
@@ -36,13 +36,13 @@ TEMPLATES = [
     ("img/d", "/Dockerfile", "#", "FROM alpine\nRUN apt-get install -y curl\nRUN apt-get install -y --no-install-recommends git\n", [(9, 2), (29, 3)]),
     ("img/d", "/Dockerfile", "#", "FROM alpine\nRUN pip3 install requests\n", [(10, 2)]),
     ("web/f", ".html", "<p>", '<img src="a.png">\n<img\n src="b.gif" loading="lazy">\n', [(11, 1), (17, 2)]),
-    ("web/f", ".css", "", "a { background: url('x.gif') }\n/* url(y.gif) */\n", [(17, 1), (17, 2)]),
+    ("web/f", ".css", "/*", "a { background: url('x.gif') }\n/* url(y.gif) */\n", [(17, 1), (17, 2)]),
     ("src/f", ".py", "#", "for i in ids:\n    cur.execute(q, i)\ncur.execute(q)\n", [(12, 1)]),
     ("infra/f", ".tf", "#", _TF.format("aws_s3_bucket", 'bucket = "b"'), [(13, 1)]),
     ("infra/f", ".tofu", "#", "\n" + _TF.format("aws_s3_bucket", "lifecycle_rule {}"), []),
-    ("k8s/f", ".yaml", "", "kind: Deployment\nspec: {}\n", [(14, 1)]),
-    ("k8s/f", ".yaml", "", "kind: Deployment\nname: {{ x }}\n", []),
-    ("k8s/f", ".yaml", "", "kind: Pod\nresources:\n  limits: {}\n", []),
+    ("k8s/f", ".yaml", "#", "kind: Deployment\nspec: {}\n", [(14, 1)]),
+    ("k8s/f", ".yaml", "#", "kind: Deployment\nname: {{ x }}\n", []),
+    ("k8s/f", ".yaml", "#", "kind: Pod\nresources:\n  limits: {}\n", []),
     ("img/d", "/Dockerfile", "#", "FROM python:2.7\nFROM node:14-alpine\nFROM node:22\n", [(15, 1), (15, 2)]),
     ("src/f", ".py", "#", "for a in xs:\n    for b in xs:\n        f(a, b)\n", [(18, 2)]),
     ("src/f", ".py", "#", "for u in us:\n    r = requests.get(u)\n", [(19, 1)]),
@@ -60,14 +60,14 @@ TEMPLATES = [
     ("src/f", ".py", "#", "for _, v in d.items():\n    f(v)\nfor k, v in d.items():\n    f(k, v)\n", [(30, 1)]),
     ("src/f", ".py", "#", "for k in ks:\n    try:\n        v = d[k]\n    except KeyError:\n        pass\n", [(31, 2)]),
     ("src/f", ".c", "//", "for (i = 0; i < n; i++) {\n  p = malloc(4);\n}\n/* while (1)\n new x */\n", [(32, 1)]),
-    ("k8s/f", ".yaml", "", "kind: HorizontalPodAutoscaler\nminReplicas: 2\nmaxReplicas: 2\n", [(33, 2)]),
-    ("k8s/f", ".yml", "", "version: 3\nservices:\n  a: {}\n", [(34, 2)]),
-    ("k8s/f", ".yml", "", "services:\n  a:\n    mem_limit: 1g\n", []),
+    ("k8s/f", ".yaml", "#", "kind: HorizontalPodAutoscaler\nminReplicas: 2\nmaxReplicas: 2\n", [(33, 2)]),
+    ("k8s/f", ".yml", "#", "version: 3\nservices:\n  a: {}\n", [(34, 2)]),
+    ("k8s/f", ".yml", "#", "services:\n  a:\n    mem_limit: 1g\n", []),
     ("src/F", ".cs", "//", "if (xs.Count() == 0) {}\nif (xs.Any()) {}\n", [(35, 1)]),
     ("src/f", ".rb", "#", "h.keys.include?(k)\nh.key?(k)\n", [(36, 1)]),
     ("src/f", ".rb", "#", "xs.select(&:ok?).map(&:id)\nxs.filter_map { |x| x }\n", [(37, 1)]),
     ("web/F", ".jsx", "//", "<A onClick={() => f()} />\n<B style={{ a: 1 }} />\n<C f={f} />\n", [(38, 1), (38, 2)]),
-    ("docs/f", ".md", "", "SELECT * FROM t\n", []),
+    ("docs/f", ".md", ">", "SELECT * FROM t\n", []),
     ("vendor/f", ".py", "#", "from os import *\n", [(28, 1)]),
 ]
 
@@ -80,9 +80,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, text, doc_id`` of every document. The templates are a fixed few rows, so they are broadcast."""
-    made = spark.createDataFrame([(i, a, b, f"{mark} " if mark else "", body) for i, (a, b, mark, body, _) in enumerate(TEMPLATES)], "tmpl int, a string, b string, mark string, body string")
+    made = spark.createDataFrame([(i, a, b, f"{mark} ", body) for i, (a, b, mark, body, _) in enumerate(TEMPLATES)], "tmpl int, a string, b string, mark string, body string")
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("doc")))
-    tail = F.when(F.col("mark") != "", F.concat("mark", F.regexp_replace("doc", r"[\n\r<*/]", " "))).otherwise("")
+    tail = F.concat("mark", F.regexp_replace("doc", r"[\n\r<*/]", " "), F.when(F.col("mark") == "/* ", " */").otherwise(""))
     rows = docs.withColumn("tmpl", F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int")).join(F.broadcast(made), "tmpl")
     return rows.select(F.concat("a", F.col("doc_id").cast("string"), "b").alias("path"), F.concat("body", tail).alias("text"), "doc_id")
 

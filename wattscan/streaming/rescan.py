@@ -10,19 +10,24 @@ from wattscan.operators.scan import scan
 CHANGES = "path string, version long, text string, deleted boolean"
 
 
+def last_versions(changes: DataFrame) -> DataFrame:
+    """The last version of each path, deleted or not; of rows of one version the deletion counts."""
+    last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("version"), F.coalesce(F.col("deleted"), F.lit(False)).desc()))
+    return changes.withColumn("_n", last).where("_n = 1").drop("_n")
+
+
 def latest(changes: DataFrame) -> DataFrame:
     """The last version of each path; deleted files are dropped."""
-    last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("version")))
-    return changes.withColumn("_n", last).where("_n = 1").drop("_n").where(~F.coalesce(F.col("deleted"), F.lit(False)))
+    return last_versions(changes).where(~F.coalesce(F.col("deleted"), F.lit(False)))
 
 
 def stream_scan(spark: SparkSession, changes_dir: str, out_dir: str, checkpoint_dir: str, files_per_batch: int = 8, **options):
     """Scan each micro-batch of changes and append its findings with batch, path and version; started, to be awaited."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        found = scan(batch.where(~F.coalesce(F.col("deleted"), F.lit(False))), **options)
-        versions = batch.groupBy(F.col("path").alias("file")).agg(F.max("version").alias("version"))
-        # Files without findings leave a row too, so that an earlier version's findings give way.
+        found = scan(latest(batch), **options)
+        versions = last_versions(batch).select(F.col("path").alias("file"), "version")
+        # Files without findings, and deleted ones, leave a row too, so that an earlier version's findings give way.
         versions.join(found, "file", "left").write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     changes = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", files_per_batch).parquet(changes_dir)
