@@ -177,3 +177,14 @@ def test_corpus_holds_whole_documents(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
     for r in files(spark, "/root/testdata/sf0.001").collect():
         assert len(r.text) >= len(TEMPLATES[r.doc_id % len(TEMPLATES)][3]) + len(docs[r.doc_id]), r.path
+
+
+def test_source_tree_reads_large_files(spark, tmp_path):
+    from wattscan.sources.tree import TreeSource
+
+    (tmp_path / "dump.sql").write_text("-- x\n" * 400_000 + "SELECT * FROM t;\n")
+    spark.dataSource.register(TreeSource)
+    rows = spark.read.format("source_tree").load(str(tmp_path))
+    assert [(r.rule, r.line) for r in scan(rows).select("rule", "line").collect()] == [("GL005", 400_001)]
+    capped = spark.read.format("source_tree").option("max_bytes", "1000000").load(str(tmp_path)).collect()
+    assert [(r.text, r.size) for r in capped] == [(None, 2_000_017)]

@@ -44,7 +44,7 @@ class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.paths = json.loads(options.get("paths", "null")) or [options["path"]]
         self.ignore = json.loads(options.get("ignore", "[]"))
-        self.most = int(options.get("max_bytes", 1_000_000))
+        self.most = int(options["max_bytes"]) if options.get("max_bytes") else None
 
     def partitions(self):
         paths = [p for root in self.paths for p in walk(root, self.ignore)]  # overlapping roots count twice, as asked
@@ -54,7 +54,8 @@ class TreeReader(DataSourceReader):
         for path in part.paths:
             try:
                 stat = os.stat(path)
-                if stat.st_size > self.most:
+                if self.most is not None and stat.st_size > self.most:
+                    yield path, None, stat.st_mtime_ns, stat.st_size
                     continue
                 with open(path, encoding="utf-8", errors="replace") as f:
                     yield path, f.read(), stat.st_mtime_ns, stat.st_size
@@ -63,7 +64,10 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """``spark.dataSource.register(TreeSource)``, then ``spark.read.format("source_tree").load(root)``."""
+    """``spark.dataSource.register(TreeSource)``, then ``spark.read.format("source_tree").load(root)``.
+
+    Files of any size are read. With the option ``max_bytes`` a larger file is a row whose text is null.
+    """
 
     @classmethod
     def name(cls):
