@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_native_ops import SMALL, odd_rows
-from wattscan.llm import bpe, elias_fano, html_blocks, html_extract, language_id, lm_score, mixing, near_dup, secret_scan, url_filter
+from wattscan.llm import bpe, elias_fano, html_blocks, html_extract, language_id, lm_score, mixing, secret_scan, url_filter
 from wattscan.llm.common import crc_mod, table
 
 
@@ -44,88 +44,6 @@ def test_bpe_odd_rows(spark):
     assert bpe.encoded(rows.limit(0)).count() == 0
 
 
-# --- 4: near duplicates
-
-
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def test_alignment_equals_brute_force():
-    r = random.Random(2)
-    for _ in range(600):
-        a = [r.randrange(6) for _ in range(r.randrange(25))]
-        b = list(a) if r.random() < 0.6 else [r.randrange(6) for _ in range(r.randrange(25))]
-        for _ in range(r.randrange(5)):
-            if b:
-                b[r.randrange(len(b))] = r.randrange(6)
-            if r.random() < 0.5:
-                b.insert(r.randrange(len(b) + 1), r.randrange(6))
-        distance, x, y = edit_distance(a, b), np.array(a, np.uint64), np.array(b, np.uint64)
-        for limit in range(10):
-            assert near_dup.within(x, y, limit) == (distance <= limit)
-
-
-def test_near_classes_hold_all_similar_pairs(spark):
-    docs = docs_of(spark)
-    got = {r.doc_id: r.class_id for r in near_dup.op4_near_dup(spark, SMALL).collect()}
-    words = {i: [w for w in re.split("[ \t-\r]+", t.lower()) if w] for i, t in docs.items()}
-    runs = {i: set(zip(*[w[j:] for j in range(5)])) or {tuple(w)} for i, w in words.items()}
-    hashed = {i: np.array([zlib.crc32(x.encode()) for x in w], np.uint64) for i, w in words.items()}
-    linked = collections.defaultdict(set)
-    for a in docs:
-        for b in docs:
-            if a < b:
-                both = len(runs[a] & runs[b])
-                # The alignment is held against brute force above.
-                close = both and near_dup.within(hashed[a], hashed[b], int(0.2 * max(len(words[a]), len(words[b])) + 1e-9))
-                if close:
-                    linked[a].add(b), linked[b].add(a)
-                if both / (len(runs[a]) + len(runs[b]) - both) >= 0.8:
-                    assert got[a] == got[b]
-    # No class joins texts without a chain of links.
-    for i, c in got.items():
-        seen, todo = {i}, [i]
-        while todo:
-            todo += [x for x in linked[todo.pop()] if x not in seen and not seen.add(x)]
-        assert c in seen and c == min(x for x in got if got[x] == c)
-
-
-def test_near_dup_families_and_odd_rows(spark):
-    r = random.Random(5)
-    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
-    rows = [(i, " ".join(w if r.random() > 0.03 else "edit" for w in base)) for i in range(60)] + [(100 + i, " ".join(f"v{r.randrange(10**6)}" for _ in range(80)) + " " + " ".join(base[:40])) for i in range(30)]
-    got = {x.doc_id: x.class_id for x in near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[i] == 0 for i in range(60)) and all(got[100 + i] == 100 + i for i in range(30))
-    odd = near_dup.near_classes(odd_rows(spark)).collect()
-    assert len(odd) == 9 and {(x.doc_id, x.class_id) for x in odd if x.doc_id in (1, 2, 3, 4)} == {(1, 1), (2, 1), (3, 3), (4, 3)}
-    assert all(x.kept and x.class_id is None for x in odd if x.doc_id is None)
-    assert near_dup.near_classes(odd_rows(spark).limit(0)).count() == 0
-
-
-def test_near_dup_recall_at_the_edit_limit(spark):
-    """Pairs with a fifth of the words changed, scattered, share a class, whatever their length."""
-    r = random.Random(9)
-    rows, lengths = [], [5, 10, 12, 13, 20, 48, 60, 61, 100, 300]
-    for i in range(200):
-        a = [f"w{r.randrange(10**6)}" for _ in range(lengths[i % len(lengths)])]
-        b = list(a)
-        for at in r.sample(range(len(b)), len(b) // 5):
-            b[at] = f"v{r.randrange(10**6)}"
-        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
-    rows += [(1000, "a b c d e f g h i j k l"), (1001, "a b c d e X g h i j k l")]
-    got = {x.doc_id: x.class_id for x in near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1001] == 1000
-    assert sum(got[2 * i + 1] == 2 * i for i in range(200)) >= 195
-    assert all(got[2 * i] == 2 * i for i in range(200))
-
-
 # --- 8: language model
 
 
