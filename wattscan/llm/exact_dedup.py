@@ -6,7 +6,9 @@ only spreads rows; two texts with one digest never merge.
 
 Nulls: a null text counts as empty. Null ids form no winner unless a whole group has none; the winner is then null and
 the group's rows are kept. Repeated rows (one id, one text) are one document stated twice: each such row gets the same
-answer. Extra columns are ignored. An empty table gives an empty result.
+answer; the stage keeps one of them. Ties of ids can't matter: the rows are then the same text. Very long texts are
+compared whole. Rows of one id and text share a salt, but each task has made one row of its own already, so a salt gets a
+row from each task at most. Extra columns are ignored and kept by the stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,9 +51,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts only the document with the largest id goes on."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """Pipeline stage: one row of each text goes on, of the document with the largest id; which of rows repeated there is left open."""
+    kept = exact_dedup(docs).where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    kept = cut(kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"), "times"), "kept")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", sha256(text_of()).alias("_digest"))
+    joined = inner.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")))
+    if kept.where("times > 1").isEmpty():
+        return joined.select("_doc.*")
+    return joined.dropDuplicates(["_kept_id", "_kept_digest"]).select("_doc.*")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

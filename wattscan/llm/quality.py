@@ -1,19 +1,22 @@
 """Quality rules with adaptive thresholds.
 
-Every document gets counts from its whole text. Four of them, as shares in thousandths, go into quantile sketches per
-language and source: counts of logarithmic buckets (32 to each doubling, so a quantile is off by 1/32 at most). Bucket
-counts add up, so sketches merge in any order to the same result, and the sketches of small groups give way to their
-language's, then to the corpus's. A share fails above ``median + reach * max(median - lower quartile, least spread)`` of
-its group: the lower half of a group tells its spread, so up to half of a group may be junk.
+Every document gets counts from its whole text. Four of them, as shares in thousandths, and the sizes they are shares of
+go into quantile sketches per language and source: counts of logarithmic buckets (32 to each doubling, so a quantile is
+off by 1/32 at most). Bucket counts add up, so sketches merge in any order to the same result. From a sketch comes the
+limit of a share: ``median + max(REACH * (median - lower quartile), what OCCURRENCES are in a text of the median size)``.
+The lower half of a group tells its spread, so up to half of a group may be junk, and all parts of a limit come from the
+group's own quantiles. A group's limit is blended with its language's, which counts as ``PRIOR`` documents, and that with
+the corpus's, so small groups follow the larger ones by degrees. A share fails above its limit if it also stands for more
+than ``OCCURRENCES``, so that a short text is not rejected for one mark.
 
 Nulls: a null text has no words; null language or source is a group of its own; a null id is kept as it is. Repeated rows
-are judged alike. Texts with no word fail the base rule. Extra columns are ignored by the query and kept by the stage. An
-empty table gives an empty result.
+are judged alike; a share at its limit passes. Texts with no word fail the base rule. Very long texts are measured whole.
+Extra columns are ignored by the query and kept by the stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattscan.llm.common import SPACE_CLASS, cut, once, table, text_of
@@ -21,12 +24,17 @@ from wattscan.llm.common import SPACE_CLASS, cut, once, table, text_of
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 MARKS = "!?"
-#: Share -> the least spread of it, in thousandths; a share never fails below ``REACH`` of these. ``REACH`` times that of
-#: ``repeat_share`` stays under the 200 of the base rule, or the share could reject nothing.
-SPREADS = {"symbol_share": 15, "mark_share": 15, "dup_line_share": 50, "repeat_share": 25}
+#: Share -> (its count, what it is a share of, occurrences that are always allowed).
+SHARES = {
+    "symbol_share": ("n_symbols", "n_words", 16),
+    "mark_share": ("n_marks", "n_words", 16),
+    "dup_line_share": ("n_dup_lines", "n_lines", 2),
+    "repeat_share": ("n_repeat_words", "n_words", 40),
+}
+SIZES = ["n_words", "n_lines"]
 REACH = 6
-#: Groups with fewer documents use their language's sketch, and languages with fewer the corpus's.
-LEAST_ROWS = 100
+#: Documents that the wider group's limit counts as.
+PRIOR = 100
 #: Threshold rows are broadcast up to this many (about 100 bytes each); beyond, they are joined by salted key.
 BROADCAST_GROUPS = 50_000
 SALTS = 16
@@ -64,14 +72,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_q.lines") - F.size(F.array_distinct("_q.lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(fresh, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
-    share = lambda of, per: F.floor(F.col(of) * 1000 / F.greatest(F.col(per), F.lit(1))).cast("long")
-    return once(five).withColumns({
-        "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-        "symbol_share": share("n_symbols", "n_words"),
-        "mark_share": share("n_marks", "n_words"),
-        "dup_line_share": share("n_dup_lines", "n_lines"),
-        "repeat_share": share("n_repeat_words", "n_words"),
-    })
+    shares = {s: F.floor(F.col(of) * 1000 / F.greatest(F.col(per), F.lit(1))).cast("long") for s, (of, per, _) in SHARES.items()}
+    return once(five).withColumns({"base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), **shares})
 
 
 def bucket(v: Column) -> Column:
@@ -87,51 +89,53 @@ def bucket_top(b: Column) -> Column:
 
 
 def sketches(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mergeable sketches of the shares: ``by, share, bucket, n``."""
-    shares = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), bucket(F.col(s)).cast("long").alias("bucket")) for s in SPREADS]))
-    return rows.where(~F.col("base_failed")).select(*by, shares.alias("x")).groupBy(*by, "x.share", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
+    """Mergeable sketches of the shares and sizes: ``by, what, bucket, n``."""
+    values = F.explode(F.array(*[F.struct(F.lit(s).alias("what"), bucket(F.col(s)).cast("long").alias("bucket")) for s in [*SHARES, *SIZES]]))
+    return rows.where(~F.col("base_failed")).select(*by, values.alias("x")).groupBy(*by, "x.what", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
     """The same sketches over fewer keys."""
-    return sketch.groupBy(*by, "share", "bucket").agg(F.sum("n").alias("n"))
+    return sketch.groupBy(*by, "what", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str], name: str) -> DataFrame:
-    """``by``, ``name`` (a struct of the shares' upper limits) and ``name_rows``, a row for each group."""
-    from pyspark.sql import Window
-
-    over = Window.partitionBy(*by, "share")
+def limits(sketch: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``by``, ``name`` (a struct of the shares' limits) and ``name_rows``, a row for each group."""
+    over = Window.partitionBy(*by, "what")
     counted = sketch.withColumn("upto", F.sum("n").over(over.orderBy("bucket"))).withColumn("rows", F.sum("n").over(over))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * q, bucket_top(F.col("bucket"))))
-    limits = counted.groupBy(*by, "share").agg(at(50).alias("q50"), at(25).alias("q25"), F.max("rows").alias("rows"))
-    least = F.create_map(*[F.lit(x) for pair in SPREADS.items() for x in pair])
-    limits = limits.withColumn("limit", F.col("q50") + REACH * F.greatest(F.col("q50") - F.col("q25"), F.element_at(least, F.col("share"))))
-    each = F.struct(*[F.max(F.when(F.col("share") == s, F.col("limit"))).alias(s) for s in SPREADS])
-    return limits.groupBy(*by).agg(each.alias(name), F.max("rows").alias(f"{name}_rows"))
+    quantiles = counted.groupBy(*by, "what").agg(at(50).alias("q50"), at(25).alias("q25"), F.max("rows").alias("rows"))
+    of = lambda what, q: F.max(F.when(F.col("what") == what, F.col(q)))
+    each = [(of(s, "q50") + F.greatest(REACH * (of(s, "q50") - of(s, "q25")), F.expr(f"{1000 * least}L div greatest(max(CASE WHEN what = '{per}' THEN q50 END), 1L)"))).alias(s) for s, (_, per, least) in SHARES.items()]
+    return quantiles.groupBy(*by).agg(F.struct(*each).alias(name), F.max("rows").alias(f"{name}_rows"))
+
+
+def blended(own: str, wider: str):
+    """The limits of a group, with those of the wider group as ``PRIOR`` documents."""
+    return F.struct(*[F.expr(f"({own}_rows * {own}.{s} + {PRIOR}L * {wider}.{s}) div ({own}_rows + {PRIOR}L)").alias(s) for s in SHARES])
 
 
-def thresholds(rows: DataFrame, lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
+def thresholds(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Limits per language and source: ``lang_key, source_key, limits``."""
-    groups = sketches(rows.select(F.col(lang).alias("lang_key"), F.col(source).alias("source_key"), "base_failed", *SPREADS), ["lang_key", "source_key"])
-    own = fences(groups, ["lang_key", "source_key"], "own")
-    langs = fences(merged(groups, ["lang_key"]), ["lang_key"], "of_lang").withColumnRenamed("lang_key", "lang_2").withColumn("one", F.lit(1))
-    everything = fences(merged(groups.withColumn("one", F.lit(1)), ["one"]), ["one"], "of_all")
-    chosen = F.when(F.col("own_rows") >= least_rows, F.col("own")).when(F.col("of_lang_rows") >= least_rows, F.col("of_lang")).otherwise(F.col("of_all"))
-    return own.join(langs, F.col("lang_key").eqNullSafe(F.col("lang_2"))).join(everything, "one").select("lang_key", "source_key", chosen.alias("limits"))
-
-
-def judged(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", salt_by: str = "doc_id", broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
-    """``rows`` with ``kept``. ``limits`` is a written table; its size decides how it is joined."""
-    if limits.count() <= broadcast_groups:
-        limits, rows, same_salt = F.broadcast(limits), rows.withColumn("_salt", F.lit(0)), F.lit(True)
+    groups = sketches(rows.select(F.col(lang).alias("lang_key"), F.col(source).alias("source_key"), "base_failed", *SHARES, *SIZES), ["lang_key", "source_key"])
+    own = limits(groups, ["lang_key", "source_key"], "own")
+    everything = limits(merged(groups.withColumn("one", F.lit(1)), ["one"]), ["one"], "of_all")
+    langs = limits(merged(groups, ["lang_key"]), ["lang_key"], "of_lang").withColumnRenamed("lang_key", "lang_2").withColumn("one", F.lit(1))
+    langs = langs.join(everything, "one").select("lang_2", blended("of_lang", "of_all").alias("wider"))
+    return own.join(langs, F.col("lang_key").eqNullSafe(F.col("lang_2"))).select("lang_key", "source_key", blended("own", "wider").alias("limits"))
+
+
+def judged(rows: DataFrame, bounds: DataFrame, lang: str = "lang", source: str = "source", salt_by: str = "doc_id", broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """``rows`` with ``kept``. ``bounds`` is a written table of limits; its size decides how it is joined."""
+    if bounds.count() <= broadcast_groups:
+        bounds, rows, same_salt = F.broadcast(bounds), rows.withColumn("_salt", F.lit(0)), F.lit(True)
     else:
-        limits = limits.withColumn("salt_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        bounds = bounds.withColumn("salt_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows, same_salt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")), F.col("_salt") == F.col("salt_key")
-    joined = rows.join(limits, F.col(lang).eqNullSafe(F.col("lang_key")) & F.col(source).eqNullSafe(F.col("source_key")) & same_salt, "left")
+    joined = rows.join(bounds, F.col(lang).eqNullSafe(F.col("lang_key")) & F.col(source).eqNullSafe(F.col("source_key")) & same_salt, "left")
     fits = F.lit(True)
-    for s in SPREADS:
-        fits = fits & F.coalesce(F.col(s) <= F.col("limits")[s], F.lit(True))
+    for s, (count, _, least) in SHARES.items():
+        fits = fits & F.coalesce((F.col(s) <= F.col("limits")[s]) | (F.col(count) <= least), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & fits).drop("lang_key", "source_key", "salt_key", "_salt")
 
 
@@ -145,28 +149,30 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go. Texts are measured twice, which costs less than shuffling them."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text", "lang", "source")
     rows = measured(inner)
-    limits = cut(thresholds(rows), "limits")
-    return judged(rows, limits).where("kept").select("doc.*")
+    return judged(rows, cut(thresholds(rows), "limits")).where("kept").select("doc.*")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept", *SPREADS)
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept", *SHARES)
 
 
 def _share_sql(of: str, per: str) -> str:
     return f"CAST(floor({of} * 1000 / greatest({per}, 1)) AS BIGINT)"
 
 
-def _fence_sql(name: str, source: str, by: str) -> str:
-    keys = f"{by}, " if by else ""
+def _limit_sql(name: str, by: str) -> str:
+    """Quantiles of merged sketches, and the limits from them, one row for each group and share."""
+    keys, using = f"{by}, " if by else "", " AND ".join(["true", *[f"q.{k} IS NOT DISTINCT FROM z.{k}" for k in by.split(", ") if k]])
     top = "((b - greatest(b // 32 - 1, 0) * 32 + 1) * CAST(pow(2, greatest(b // 32 - 1, 0)) AS BIGINT) - 1)"
-    least = "CASE share " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in SPREADS.items()) + " END"
+    least = "CASE q.what " + " ".join(f"WHEN '{s}' THEN {1000 * n}" for s, (_, _, n) in SHARES.items()) + " END"
+    per = "CASE q.what " + " ".join(f"WHEN '{s}' THEN '{x}'" for s, (_, x, _) in SHARES.items()) + " END"
     return f"""
-{name}_c AS (SELECT {keys}share, b, sum(n) OVER (PARTITION BY {keys}share ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}share) AS total
-    FROM (SELECT {keys}share, b, sum(n) AS n FROM sketch GROUP BY ALL)),
-{name}_q AS (SELECT {keys}share, min({top}) FILTER (WHERE upto * 100 >= total * 50) AS q50, min({top}) FILTER (WHERE upto * 100 >= total * 25) AS q25, max(total) AS total
+{name}_c AS (SELECT {keys}what, b, sum(n) OVER (PARTITION BY {keys}what ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}what) AS total
+    FROM (SELECT {keys}what, b, sum(n) AS n FROM sketch GROUP BY ALL)),
+{name}_q AS (SELECT {keys}what, min({top}) FILTER (WHERE upto * 100 >= total * 50) AS q50, min({top}) FILTER (WHERE upto * 100 >= total * 25) AS q25, max(total) AS total
     FROM {name}_c GROUP BY ALL),
-{name} AS (SELECT {keys}share, q50 + {REACH} * greatest(q50 - q25, {least}) AS lim, total FROM {name}_q)"""
+{name} AS (SELECT {"".join(f"q.{k}, " for k in by.split(", ") if k)}q.what AS share, q.total, q.q50 + greatest({REACH} * (q.q50 - q.q25), {least} // greatest(z.q50, 1)) AS lim
+    FROM {name}_q q JOIN {name}_q z ON {using} AND z.what = {per})"""
 
 
 OP6_SQL = f"""
@@ -191,22 +197,25 @@ counted AS (
     FROM split s LEFT JOIN repeats r USING (doc_id)),
 shares AS (
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-           {_share_sql("n_symbols", "n_words")} AS symbol_share, {_share_sql("n_marks", "n_words")} AS mark_share,
-           {_share_sql("n_dup_lines", "n_lines")} AS dup_line_share, {_share_sql("n_repeat_words", "n_words")} AS repeat_share
+           {", ".join(f"{_share_sql(of, per)} AS {s}" for s, (of, per, _) in SHARES.items())}
     FROM counted),
-long AS (UNPIVOT (SELECT doc_id, lang, source, base_failed, symbol_share, mark_share, dup_line_share, repeat_share FROM shares)
-    ON symbol_share, mark_share, dup_line_share, repeat_share INTO NAME share VALUE v),
+long AS (UNPIVOT (SELECT doc_id, lang, source, base_failed, {", ".join([*SHARES, *SIZES])} FROM shares)
+    ON {", ".join([*SHARES, *SIZES])} INTO NAME what VALUE v),
 sketch AS (
-    SELECT lang, source, share, sh * 32 + v // CAST(pow(2, sh) AS BIGINT) AS b, count(*) AS n
+    SELECT lang, source, what, sh * 32 + v // CAST(pow(2, sh) AS BIGINT) AS b, count(*) AS n
     FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS sh FROM long WHERE NOT base_failed) GROUP BY ALL),
-{_fence_sql("own", "sketch", "lang, source")}, {_fence_sql("of_lang", "sketch", "lang")}, {_fence_sql("of_all", "sketch", "")},
+{_limit_sql("own", "lang, source")}, {_limit_sql("of_lang", "lang")}, {_limit_sql("of_all", "")},
+limits AS (
+    SELECT o.lang, o.source, o.share, (o.total * o.lim + {PRIOR} * ((g.total * g.lim + {PRIOR} * a.lim) // (g.total + {PRIOR}))) // (o.total + {PRIOR}) AS lim
+    FROM own o
+    JOIN of_lang g ON g.share = o.share AND g.lang IS NOT DISTINCT FROM o.lang
+    JOIN of_all a ON a.share = o.share),
+counts AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{s}' AS share, {s} AS v, {of} > {n} AS many FROM shares" for s, (of, _, n) in SHARES.items())}),
 verdict AS (
-    SELECT l.doc_id, bool_and(v <= CASE WHEN o.total >= {LEAST_ROWS} THEN o.lim WHEN g.total >= {LEAST_ROWS} THEN g.lim ELSE a.lim END) AS fits
-    FROM long l
-    JOIN own o ON o.share = l.share AND o.lang IS NOT DISTINCT FROM l.lang AND o.source IS NOT DISTINCT FROM l.source
-    JOIN of_lang g ON g.share = l.share AND g.lang IS NOT DISTINCT FROM l.lang
-    JOIN of_all a ON a.share = l.share
-    GROUP BY l.doc_id)
+    SELECT c.doc_id, bool_and(v <= lim OR NOT many) AS fits
+    FROM counts c
+    JOIN limits l ON l.share = c.share AND l.lang IS NOT DISTINCT FROM c.lang AND l.source IS NOT DISTINCT FROM c.source
+    GROUP BY c.doc_id)
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(fits, true) AS kept, symbol_share, mark_share, dup_line_share, repeat_share
 FROM shares s LEFT JOIN verdict v USING (doc_id)
