@@ -1,140 +1,254 @@
 """Mixing to target weights with soft domain membership.
 
 A classifier trained on the labels table gives each document posteriors over the domains ``clean``, ``poor`` and
-``toxic``. Rates (how often a document is taken) start at one and follow projected gradient steps of a least-squares
-problem: the expected tokens of each domain, ``sum(rate * tokens * posterior)``, should equal the target, each domain
-measured against what it has, with a slight pull towards one. A step needs only one sum per domain, so each costs one
-pass over a narrow written table, and a rate is a closed expression of the posteriors and the steps.
-
-Nulls: a null text has no tokens and gets the posteriors of a text without words; a null id is sampled as a number of its
-own; null labels count as unlabelled. Without labels of two domains, or without terms that documents share, the
-posteriors are constant: the domains' shares of the labels, or equal. Repeated rows are judged alike. Extra columns are ignored by the operator and kept by the stage. An empty table
-gives an empty result.
+``toxic``. Rates (how often a document is taken, never negative) start at one and follow projected gradient steps of a
+least-squares problem: the expected tokens of each domain, ``sum(rate * tokens * posterior)``, should equal the targets.
+A step moves every rate along its document's posteriors and is scaled by the inverse of what such a move does to the
+totals (the Gram matrix of the documents whose rate is above zero), so few steps are needed. Totals and that matrix are
+sums over documents: each step is one pass over a narrow written table, and a rate follows from the posteriors and steps.
+
+The classifier is a multinomial regression on which distinct words, word stems (``STEM`` letters, beside the whole words)
+and word shapes a text has, hashed to ``FEATURES`` slots; no word is left out. It is fitted, with an L1 penalty, on a bounded sample of labelled documents in one task, and
+its temperature on a tenth of them that the fit does not see, so posteriors are no surer than they are right.
+
+Nulls: a null text has no tokens and gets the posteriors of a text without words; a null id is drawn as a number of its
+own; null labels count as unlabelled. Without labels of two domains the posteriors are constant: the domains' shares of
+the labels, or equal. Repeated rows are judged alike, ties don't matter. Very long texts are read whole. A target that no
+rates can meet is met as nearly as the steps come; ``fit_rates`` returns what is expected beside what is wanted, and
+raises where ``strict``. Extra columns are ignored by the operator and kept by the stage. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattscan.llm.common import SPACE_CLASS, cut, once, table, text_of
+from wattscan.llm.common import SPACE_CLASS, cut, table, text_of
 
 DOMAINS = ["clean", "poor", "toxic"]
-#: Share of tokens that each domain should have. The first domain's documents are the measure: all of it is wanted.
-TARGETS = {"clean": 0.99, "poor": 0.01, "toxic": 0.0}
-#: Labelled documents that the classifier is fitted on, at most (about).
+#: Share of tokens that each domain should have.
+TARGETS = {"clean": 0.9, "poor": 0.09, "toxic": 0.01}
+#: What the pipeline wants of each domain, as a share of what there is: all that is clean with a margin, so that some
+#: doubt about a clean document doesn't thin it, half of what is poor, and little that is toxic.
+WANTED = {"clean": 1.05, "poor": 0.5, "toxic": 0.05}
+#: Labelled documents that the classifier is fitted on, at most (about); the draw is by a hash of the id.
 TRAIN_ROWS = 20_000
-#: Terms that the classifier knows: the most frequent ones of the training documents, in so many of them at least.
-VOCABULARY, LEAST_DOCS = 1 << 13, 5
+FEATURES = 1 << 18
 #: Dropped from words; what is left of a text are its tokens.
 PUNCTUATION = ".,;:!?\"'()"
-#: Posteriors below this count as none, so that a clean document isn't thinned for a trace of doubt.
-LEAST_POSTERIOR = 0.2
-PULL = 1e-3
-STEPS = 40
+STEM = 4
+#: Of the fit: passes over the sample, learning rate, and L1 and L2 penalties.
+EPOCHS, RATE, SPARSE, RIDGE = 6, 0.5, 5.0, 0.1
+STEPS = 25
+#: Steps end when every domain is within this share of its target.
 CLOSE = 1e-3
+#: A strict fit raises when a domain is further from its target, as a share of all wanted tokens.
+TOLERANCE = 0.01
+
+
+class Model(NamedTuple):
+    """Bias and weights of the domains; ``slots`` are the features with weights, rising."""
+
+    bias: np.ndarray
+    slots: np.ndarray
+    weights: np.ndarray
 
 
-def _terms(docs: DataFrame) -> DataFrame:
-    """Distinct words and distinct word shapes (letters as one ``a``, digits as one ``9``) of the whole text."""
+class Rates(NamedTuple):
+    steps: list[list[float]]
+    wanted: dict[str, float]
+    expected: dict[str, float]
+
+
+def _hashed(docs: DataFrame, *keep) -> DataFrame:
+    """Number of tokens ``n`` and the hashes ``terms`` of words, stems and word shapes (letters as ``a``, digits as ``9``)."""
     text = text_of()
     words = F.array_remove(F.split(F.translate(F.lower(text), PUNCTUATION, ""), f"[{SPACE_CLASS}]+"), "")
-    shapes = F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{Nd}+", "9"), f"[{SPACE_CLASS}]+"))
-    shape = F.transform(shapes, lambda s: F.concat(F.lit("\t"), F.substring(s, 1, 40)))
-    counted = docs.withColumn("_words", words)
-    return counted.withColumn("_n", F.size("_words").cast("long")).withColumn("_terms", F.concat(F.array_distinct("_words"), shape)).drop("_words")
+    shapes = F.split(F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{Nd}+", "9"), f"[{SPACE_CLASS}]+")
+    terms = F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.transform(words, lambda w: F.xxhash64(F.substring(w, 1, STEM), F.lit("stem"))), F.transform(shapes, lambda s: F.xxhash64(s, F.lit("shape"))))
+    return docs.select(*keep, F.size(words).cast("long").alias("n"), terms.alias("terms"))
+
+
+def _slots(terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots of each document, one after the other, and where each document's begin."""
+    sizes = np.diff(terms.offsets.to_numpy())
+    of = np.repeat(np.arange(len(sizes)), sizes) * FEATURES
+    both = np.unique(of + (terms.flatten().to_numpy(zero_copy_only=False) & (FEATURES - 1)))
+    return both % FEATURES, np.searchsorted(both, np.arange(len(sizes) + 1) * FEATURES)
+
+
+def _sliced(batches, rows: int = 500):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+def trained(examples: list[np.ndarray], labels: np.ndarray) -> Model:
+    """Follow-the-regularised-leader passes over the examples (distinct slots each), then the temperature on every tenth."""
+    k = len(DOMAINS)
+    held = np.arange(len(examples)) % 10 == 9 if len(examples) >= 100 else np.zeros(len(examples), bool)
+    lead, seen, bias = np.zeros((FEATURES, k)), np.zeros((FEATURES, k)), np.log((np.bincount(labels, minlength=k) + 1.0) / (len(labels) + k))
+
+    def weights(slots):
+        z = lead[slots]
+        return np.where(np.abs(z) <= SPARSE, 0.0, (np.sign(z) * SPARSE - z) / ((1 + np.sqrt(seen[slots])) / RATE + RIDGE))
+
+    for _ in range(EPOCHS):
+        for i in np.flatnonzero(~held):
+            slots = examples[i]
+            w = weights(slots)
+            g = softmax(bias + w.sum(0))
+            g[labels[i]] -= 1
+            root = np.sqrt(seen[slots])
+            seen[slots] += g * g
+            lead[slots] += g - (np.sqrt(seen[slots]) - root) / RATE * w
+            bias -= RATE / 10 * g
+    used = np.flatnonzero((np.abs(lead) > SPARSE).any(1))
+    model = Model(bias, used, weights(used))
+    if held.any():
+        z, truth = np.array([scores(model, examples[i], [0])[0] for i in np.flatnonzero(held)]), labels[held]
+        loss = lambda t: -np.log(softmax(z * t)[np.arange(len(z)), truth] + 1e-12).mean()
+        best = min(np.geomspace(0.1, 10, 81), key=loss)
+        model = Model(bias * best, used, model.weights * best)
+    return model
+
+
+def scores(model: Model, slots: np.ndarray, starts) -> np.ndarray:
+    """Sums of the weights of each document's slots; ``starts`` holds where each begins."""
+    at = np.minimum(np.searchsorted(model.slots, slots), max(len(model.slots) - 1, 0))
+    hit = np.flatnonzero(model.slots[at] == slots) if len(model.slots) else np.empty(0, int)
+    of = np.searchsorted(starts, hit, "right") - 1
+    found = model.weights[at[hit]] if len(hit) else np.zeros((0, len(DOMAINS)))
+    return model.bias + np.stack([np.bincount(of, found[:, d], len(starts)) for d in range(len(DOMAINS))], 1)
 
 
 def domain_of(labels: DataFrame):
     known = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    return known.select(F.col("doc_id").alias("labelled_id"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1).cast("double").alias("_label"))
+    return known.select(F.col("doc_id").alias("labelled_id"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1).alias("label"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
-    """The term counter and the classifier, or constant posteriors where there are no two domains or no common terms."""
+def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     known = domain_of(labels)
-    total = known.count()
-    part = min(1.0, train_rows / max(total, 1))
+    part = min(1.0, train_rows / max(known.count(), 1))
     drawn = known.where(F.pmod(F.xxhash64("labelled_id"), F.lit(1_000_000)) < int(part * 1_000_000))  # about train_rows ids: small enough to broadcast
-    rows = cut(_terms(docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"))).select("_terms", "_label"), "train")
-    shares = [r / max(rows.count(), 1) for r in (rows.where(F.col("_label") == k).count() for k in range(len(DOMAINS)))]
-    common = rows.select(F.explode("_terms").alias("term")).groupBy("term").count().where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "term").limit(VOCABULARY)
-    terms = [r[0] for r in common.collect()]  # bounded by VOCABULARY
-    if sum(x > 0 for x in shares) < 2 or not terms:
-        return shares if any(shares) else [1.0 / len(DOMAINS)] * len(DOMAINS)
-    counter = CountVectorizerModel.from_vocabulary(terms, "_terms", "_features", binary=True)
-    regression = LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_at", family="multinomial", maxIter=40, regParam=5e-4, elasticNetParam=0.5, standardization=False)
-    return counter, regression.fit(counter.transform(rows))
-
-
-def posteriors(docs: DataFrame, model) -> DataFrame:
-    """``docs`` with ``_n`` (tokens) and ``p_<domain>``."""
-    kept = docs.columns
-    names = [F.col(f"`{c}`") for c in kept]
-    if isinstance(model, list):
-        p = F.array(*map(F.lit, model))
-        scored = _terms(docs).select(*names, "_n", p.alias("_q"))
-    else:
-        counter, regression = model
-        scored = regression.transform(counter.transform(_terms(docs))).select(*names, "_n", vector_to_array("_p").alias("_q"))
-    cuts = [F.coalesce(F.get("_q", F.lit(k)), F.lit(0.0)) for k in range(len(DOMAINS))]
-    cuts = [F.when(c >= LEAST_POSTERIOR, c).otherwise(0.0) for c in cuts]
-    first = once(scored).select(*names, "_n", *[c.alias(f"_c{k}") for k, c in enumerate(cuts)])
-    total = sum((F.col(f"_c{k}") for k in range(1, len(DOMAINS))), F.col("_c0"))
-    return first.select(*names, "_n", *[(F.col(f"_c{k}") / total).alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
+
+    def reduced(batches):
+        for batch in _sliced(batches):
+            slots, starts = _slots(batch.column("terms"))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("place"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(slots.astype(np.int32)))], ["label", "place", "slots"])
+
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"))
+    rows = cut(_hashed(sample, "label", F.xxhash64("doc_id", "text").alias("place")).drop("n").mapInArrow(reduced, "label int, place long, slots array<int>"), "train")
+    counts = dict(rows.groupBy("label").count().collect())  # a row for each domain
+
+    if len(counts) < 2:
+        shares = np.array([counts.get(d, 0) for d in range(len(DOMAINS))], float)
+        shares = shares / shares.sum() if shares.any() else np.full(len(DOMAINS), 1 / len(DOMAINS))
+        return Model(np.log(np.maximum(shares, 1e-300)), np.empty(0, np.int64), np.zeros((0, len(DOMAINS))))
+
+    def fit(batches):
+        # The whole sample: train_rows lists of at most FEATURES slots.
+        labels, examples = [], []
+        for batch in batches:
+            labels.append(batch.column("label").to_numpy())
+            flat, ends = batch.column("slots").flatten().to_numpy(), np.cumsum([0, *batch.column("slots").value_lengths().to_pylist()])
+            examples += [flat[a:b].copy() for a, b in zip(ends, ends[1:])]
+        model = trained(examples, np.concatenate(labels))
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).ravel().tolist()]) for x in model], ["bias", "slots", "weights"])
+
+    got = rows.repartition(1).sortWithinPartitions("place", "label").mapInArrow(fit, "bias array<double>, slots array<double>, weights array<double>").first()
+    return Model(np.array(got["bias"]), np.array(got["slots"], np.int64), np.array(got["weights"]).reshape(-1, len(DOMAINS)))
+
+
+def posteriors(docs: DataFrame, model: Model, *keep) -> DataFrame:
+    """``keep`` columns, ``_n`` (tokens) and ``p_<domain>`` of each whole text."""
+    docs = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES slots
+
+    def run(batches):
+        for batch in _sliced(batches):
+            p = softmax(scores(shared.value, *_trimmed(_slots(batch.column("terms")))))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], batch.column("n"), *[pa.array(p[:, d]) for d in range(len(DOMAINS))]], [*keep, "_n", *[f"p_{d}" for d in DOMAINS]])
+
+    schema = docs.select(*keep).schema.add("_n", "long")
+    for d in DOMAINS:
+        schema = schema.add(f"p_{d}", "double")
+    return _hashed(docs, *keep).mapInArrow(run, schema)
+
+
+def _trimmed(found):
+    return found[0], found[1][:-1]
+
+
+def stepped(p: np.ndarray, steps: list[list[float]]) -> np.ndarray:
+    """The rates after the steps; each step is projected on what is not negative."""
+    r = np.ones(len(p))
+    for step in steps:
+        r = np.maximum(0.0, r - p @ np.array(step))
+    return r
 
 
 def rate(steps: list[list[float]]):
-    """The rate after the steps, as one expression; each step is projected on what is not negative."""
+    """The same as one expression."""
     r = F.lit(1.0)
     for step in steps:
-        move = sum((F.col(f"p_{d}") * F.lit(step[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r * (1 - PULL) + PULL - move)
+        r = F.greatest(F.lit(0.0), r - sum((F.col(f"p_{d}") * F.lit(step[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0)))
     return r
 
 
-def expected(rows: DataFrame, steps: list[list[float]]) -> list[float]:
-    """Expected tokens of each domain after the steps: partial sums by batch, then one sum for all."""
+def expected(rows: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain after the steps, and what a move along the posteriors does to them: one pass."""
+    k = len(DOMAINS)
 
     def run(batches):
         for batch in batches:
             p = np.stack([batch.column(f"p_{d}").to_numpy() for d in DOMAINS], 1)
-            r = np.ones(len(p))
-            for step in steps:
-                r = np.maximum(0.0, r * (1 - PULL) + PULL - p @ np.array(step))
-            sums = (r * batch.column("_n").to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in sums], DOMAINS)
+            r, n = stepped(p, steps), batch.column("_n").to_numpy()
+            moved = (p * (n * (r > 0))[:, None]).T @ p
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in [*((r * n) @ p), *moved.ravel()]], [f"x{i}" for i in range(k + k * k)])
 
-    parts = rows.select("_n", *[f"p_{d}" for d in DOMAINS]).mapInArrow(run, ", ".join(f"{d} double" for d in DOMAINS))
-    return [x or 0.0 for x in parts.agg(*[F.sum(d).alias(d) for d in DOMAINS]).first()]
+    parts = rows.select("_n", *[f"p_{d}" for d in DOMAINS]).mapInArrow(run, ", ".join(f"x{i} double" for i in range(k + k * k)))
+    sums = np.array([x or 0.0 for x in parts.agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(k + k * k)]).first()])
+    return sums[:k], sums[k:].reshape(k, k)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None) -> list[list[float]]:
+def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None, wanted: dict[str, float] | None = None, strict: bool = False) -> Rates:
     """Gradient steps for the targets. ``rows`` (``_n`` and posteriors) is a written table; each step sums it once.
 
-    ``tokens`` is the wanted total; by default such that the domain of the largest target is taken whole. Steps end when
-    no domain's miss changes by ``CLOSE`` of what the domain has.
+    ``targets`` are shares of ``tokens``, the wanted total (by default as many as there are); ``wanted`` are shares of
+    what each domain has and take the place of both.
     """
-    targets = TARGETS if targets is None else targets
-    now = have = expected(rows, [])
-    whole = max(targets, key=targets.get)
-    tokens = have[DOMAINS.index(whole)] / targets[whole] if tokens is None else tokens
-    want = [targets[d] * tokens for d in DOMAINS]
+    now, moved = expected(rows, [])
+    if wanted is None:
+        tokens = float(now.sum()) if tokens is None else tokens
+        want = np.array([(TARGETS if targets is None else targets)[d] * tokens for d in DOMAINS])
+    else:
+        want = np.array([wanted[d] for d in DOMAINS]) * now
     steps: list[list[float]] = []
-    before = None
-    while len(steps) < STEPS:
-        # Against what the domain has: where documents are of one domain each, a step of one meets the target.
-        miss = [(s - w) / h if h else 0.0 for s, w, h in zip(now, want, have)]
-        if max(map(abs, miss)) < CLOSE or before and max(abs(a - b) for a, b in zip(miss, before)) < CLOSE:
+    best = (np.inf, [], now)
+    while True:
+        miss = np.abs(now - want).max() / max(want.sum(), 1.0)
+        if miss < best[0]:
+            best = (miss, list(steps), now)
+        if np.all(np.abs(now - want) <= CLOSE * np.maximum(want, 1.0)) or len(steps) == STEPS or not moved.any():
             break
-        steps.append(miss)
-        before, now = miss, expected(rows, steps)
-    return steps
+        ridge = 1e-6 * np.trace(moved) * np.eye(len(want))
+        steps.append(np.linalg.solve(moved + ridge, now - want).tolist())
+        now, moved = expected(rows, steps)
+    miss, steps, now = best
+    if strict and miss > TOLERANCE:
+        raise ValueError(f"no rates found for the targets: wanted {dict(zip(DOMAINS, want))}, expected {dict(zip(DOMAINS, now))}")
+    return Rates(steps, dict(zip(DOMAINS, want.tolist())), dict(zip(DOMAINS, now.tolist())))
 
 
 def chance(col: str = "doc_id"):
@@ -142,19 +256,25 @@ def chance(col: str = "doc_id"):
     return F.pmod(F.xxhash64(F.col(col), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None) -> DataFrame:
-    """``doc_id, n_tokens, p_<domain>, rate, copies``: the rate's whole part, and one more by chance for the rest."""
-    rows = cut(posteriors(docs.select("doc_id", "text"), fitted(docs, labels)).drop("text"), "posteriors")
-    steps = fit_rates(rows, targets, tokens)
-    return rows.withColumn("rate", rate(steps)).select("doc_id", F.col("_n").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", F.floor(F.col("rate") + chance()).cast("long").alias("copies"))
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None, strict: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, p_<domain>, rate, copies, wanted_<domain>, expected_<domain>``.
+
+    ``copies`` is the rate's whole part, and one more by chance for the rest; wanted and expected tokens are of the whole
+    mixture and the same in each row.
+    """
+    rows = cut(posteriors(docs, fitted(docs, labels), "doc_id"), "posteriors")
+    found = fit_rates(rows, targets, tokens, strict=strict)
+    totals = [F.lit(float(x[d])).alias(f"{name}_{d}") for name, x in (("wanted", found.wanted), ("expected", found.expected)) for d in DOMAINS]
+    return rows.withColumn("rate", rate(found.steps)).select("doc_id", F.col("_n").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", F.floor(F.col("rate") + chance()).cast("long").alias("copies"), *totals)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a document stays with its rate as chance (and surely from a rate of one), so ids stay unique."""
-    model = fitted(docs, table(spark, sf_dir, "labels"))
-    steps = fit_rates(cut(posteriors(docs.select("doc_id", "text"), model).drop("text"), "posteriors"))
+    labels = table(spark, sf_dir, "labels")
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
-    return posteriors(inner, model).where(rate(steps) + chance() >= 1).select("doc.*")
+    rows = cut(posteriors(inner, fitted(docs, labels), "doc", "doc_id"), "posteriors")
+    found = fit_rates(rows, wanted=WANTED)
+    return rows.where(rate(found.steps) + chance() >= 1).select("doc.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
