@@ -29,17 +29,24 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
+#: Stands before a match; texts hold another private character instead.
+_MARK, _OTHER = "\ue000", "\ue001"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def match_lines(text: Column, pattern: str) -> Column:
-    """The 1-based line of each match, in order, as an array: line ends are summed over the pieces between matches.
+    """The 1-based line of each match, in order, as an array: one pass marks the matches, then each line counts its marks.
 
     The pattern must not match the empty string.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda piece, match: F.struct(newlines(piece).alias("before"), newlines(match).alias("inside")))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines"))
-    sums = F.aggregate(steps, start, lambda a, s: F.struct((a["at"] + s["before"] + s["inside"]).alias("at"), F.concat(a["lines"], F.array(a["at"] + s["before"])).alias("lines")))
-    return F.when(text.rlike(pattern), sums["lines"]).otherwise(F.array().cast("array<int>"))
+    marks = lambda line: F.length(line) - F.length(F.translate(line, _MARK, ""))
+    lines = lambda marked: F.flatten(F.transform(F.split(marked, "\n"), lambda line, i: F.array_repeat(i + 1, marks(line))))
+    none = F.array().cast("array<int>")
+    return let(F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, _MARK + "$0"), lambda marked: F.when(F.contains(marked, F.lit(_MARK)), lines(marked)).otherwise(none))
 
 
 def first_line(text: Column, pattern: str) -> Column:
@@ -85,3 +92,21 @@ def with_parts(files: DataFrame) -> DataFrame:
 def universal_newlines(content: Column) -> Column:
     """Raw bytes as text: malformed UTF-8 replaced, line ends unified."""
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
+
+
+def escaped(text: Column) -> Column:
+    """Text for HTML."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def relative(path: Column, root: str) -> Column:
+    """A path below ``root`` without it; other paths as they are."""
+    base = root.rstrip("/") + "/" if root else ""
+    return F.when(F.startswith(path, F.lit(base)), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path) if base else path
+
+
+def anchor(rule: Column, message: Column) -> Column:
+    """The anchor of a rule's heading (``rule — message``) in a Markdown page: lower case, punctuation dropped, spaces as hyphens."""
+    return F.translate(F.regexp_replace(F.lower(F.concat(rule, F.lit(" \u2014 "), message)), r"[^a-z0-9 _\-]", ""), " ", "-")

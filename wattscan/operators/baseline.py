@@ -1,4 +1,4 @@
-"""Accepted findings: fingerprints, the anti-join that hides them, and the file that keeps them."""
+"""Accepted findings: fingerprints, the anti-join that hides them, and the files that keep them."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattscan.functions.text import relative
+
 
 def fingerprinted(findings: DataFrame, root: str = "") -> DataFrame:
     """``findings`` with a line-free ``fingerprint``; paths are taken relative to ``root``."""
-    base = root.rstrip("/") + "/" if root else ""
-    path = F.when(F.col("file").startswith(base), F.substring(F.col("file"), F.lit(len(base) + 1), F.length("file"))).otherwise(F.col("file")) if base else F.col("file")
-    return findings.withColumn("fingerprint", F.sha1(F.concat_ws("|", path, "rule", "message")))
+    return findings.withColumn("fingerprint", F.sha1(F.concat_ws("|", relative(F.col("file"), root), "rule", "message")))
 
 
 def apply_baseline(findings: DataFrame, accepted: DataFrame, root: str = "") -> DataFrame:
@@ -25,22 +25,27 @@ def accepted_prints(findings: DataFrame, root: str = "") -> DataFrame:
     return fingerprinted(findings, root).select("fingerprint").distinct()
 
 
+def write_prints(findings: DataFrame, path: str, root: str = "") -> None:
+    """Write the distinct fingerprints in order, as a folder of JSON lines."""
+    accepted_prints(findings, root).orderBy("fingerprint").write.mode("overwrite").json(path)
+
+
 def write_baseline(findings: DataFrame, path: str, root: str = "") -> int:
-    """Write the distinct fingerprints as a sorted JSON file on the driver; returns how many. A baseline is a file that people read."""
+    """Write the distinct fingerprints as a sorted JSON file on the driver; returns how many. Such a file is for people to read and review; ``write_prints`` has no bound."""
     prints = [r[0] for r in accepted_prints(findings, root).orderBy("fingerprint").toLocalIterator()]
     with open(path, "w", encoding="utf-8") as f:
         json.dump({"version": 1, "fingerprints": prints}, f, indent=2)
+        f.write("\n")
     return len(prints)
 
 
-def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprints of a baseline file; none if it is missing or malformed."""
-    prints: list = []
-    if os.path.exists(path):
-        try:
-            with open(path, encoding="utf-8") as f:
-                found = json.load(f)
-            prints = found.get("fingerprints", []) if isinstance(found, dict) else []
-        except (OSError, ValueError):
-            pass
-    return spark.createDataFrame([(str(p),) for p in prints], "fingerprint string")
+def read_baseline(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
+    """Fingerprints of a baseline file or folder; none if it is missing or malformed. One that is ``named`` must exist."""
+    if not os.path.exists(path):
+        if named:
+            raise SystemExit(f"no such baseline: {path}")
+        return spark.createDataFrame([], "fingerprint string")
+    if os.path.isdir(path):
+        return spark.read.schema("fingerprint string").json(path).where("fingerprint IS NOT NULL")
+    whole = spark.read.schema("fingerprints array<string>").option("multiLine", True).json(path)
+    return whole.select(F.explode("fingerprints").alias("fingerprint")).where("fingerprint IS NOT NULL")

@@ -55,6 +55,16 @@ def braces(glob: str) -> list[str]:
     return [glob]
 
 
+def union(*lists: list[str]) -> list[str]:
+    """Globs of the configuration, the call and the editor as one list; the first of equal ones stays."""
+    return list(dict.fromkeys(g for each in lists for g in each))
+
+
+def editor_excludes(files: dict[str, object], search: dict[str, object], root: str) -> list[str]:
+    """The two exclude settings of an editor as ignore globs; a key that either sets to true counts."""
+    return editor_globs({k: files.get(k) is True or search.get(k) is True for k in [*files, *search]}, root)
+
+
 def editor_globs(excludes: dict[str, object], root: str) -> list[str]:
     """Editor exclude settings as ignore globs below ``root``; only values that are true count."""
     out = []

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def config_fingerprint(disable: Iterable[str] = (), ignore: Iterable[str] = ()) -> str:
+    """What a manifest keeps of the options: other rules or globs make all its rows stale. A baseline is applied to findings, so it has no part."""
+    return hashlib.sha1(json.dumps([sorted(set(disable)), sorted(set(ignore))]).encode()).hexdigest()
+
+
+def invalidate(before: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """A manifest without ``paths`` (one column, ``path``), or without any row."""
+    return before.limit(0) if paths is None else before.join(paths.select("path").distinct(), "path", "left_anti")
+
+
 def manifest(files: DataFrame, config: str = "") -> DataFrame:
     """``path, mtime_ns, size, content_hash, config`` of files (``path, text, mtime_ns``)."""
     return files.select("path", "mtime_ns", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("content_hash"), F.lit(config).alias("config"))

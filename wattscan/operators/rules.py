@@ -84,10 +84,29 @@ RULES = [
 BY_ID = {r.id: r for r in RULES}
 #: Order of findings on one line: tree rules, Terraform, YAML, Docker, then the others by id.
 EMIT = {i: n for n, i in enumerate([f"GL{i:03d}" for i in (1, 7, 18, 23, 30, 31, 13, 24, 26, 4, 14, 33, 34, 29)] + [r.id for r in RULES if r.kind == "regex"])}
-LANGUAGES = sorted({x for r in RULES for x in r.langs})
 #: Rules that spare test files.
 SPARED = ("GL001", "GL002", "GL007")
 
 
+def languages() -> list[str]:
+    return sorted({x for r in RULES for x in r.langs})
+
+
+def register_rule(rule: Rule) -> None:
+    """Add a rule with a pattern; later scans apply it. The pattern must compile and not match the empty string."""
+    if rule.id in BY_ID:
+        raise ValueError(f"{rule.id} is already a rule")
+    if rule.severity not in SEVERITIES or rule.kind != "regex" or not rule.pattern:
+        raise ValueError("a rule of one's own has a known severity and a pattern")
+    RULES.append(rule)
+    BY_ID[rule.id], EMIT[rule.id] = rule, max(EMIT.values()) + 1
+
+
+def drop_rule(rule_id: str) -> None:
+    """Take a registered rule away again."""
+    RULES.remove(BY_ID.pop(rule_id))
+    del EMIT[rule_id]
+
+
 def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r.id, r.severity, list(r.langs), r.kind, r.message, r.suggestion, r.hint, EMIT[r.id]) for r in RULES], "rule string, severity string, langs array<string>, mechanism string, message string, suggestion string, co2e_estimate string, emit int")

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattscan.functions.text import blank_comments, dialect, first_line, match_lines, newlines, once, with_parts
+from wattscan.functions.text import blank_comments, dialect, first_line, let, match_lines, newlines, once, with_parts
 from wattscan.operators.globs import ignored
 from wattscan.operators.pyfacts import fact_array
-from wattscan.operators.rules import BY_ID, EMIT, LANGUAGES, RULES, SEVERITIES, SPARED, Rule
+from wattscan.operators.rules import BY_ID, EMIT, RULES, SEVERITIES, SPARED, Rule, languages
 
 FINDING = ["rule", "severity", "file", "line", "message", "suggestion", "co2e_estimate"]
 #: Tools that need the whole history.
@@ -32,7 +32,7 @@ def is_test_file() -> Column:
 
 def scannable(files: DataFrame) -> DataFrame:
     """``files`` with path parts, of which only those that some rule may apply to."""
-    return with_parts(files).where(F.col("suffix").isin([x for x in LANGUAGES if x.startswith(".")]) | (F.col("name") == "Dockerfile"))
+    return with_parts(files).where(F.col("suffix").isin([x for x in languages() if x.startswith(".")]) | (F.col("name") == "Dockerfile"))
 
 
 def _lines(rows: Column) -> Column:
@@ -57,9 +57,8 @@ def _layers() -> Column:
     mark = dialect(r"^FROM\s+|^(?i:RUN)\s+.*\b(?i:apt(?:-get)?|pip3?|npm|yum)\s+(?i:install)\b", "m")
     found = F.regexp_extract_all("code", F.lit(mark), F.lit(0))
     both = F.zip_with(match_lines(F.col("code"), mark), found, lambda line, match: F.struct(line.alias("line"), match.startswith("FROM").alias("stage")))
-    start = F.struct(F.lit(False).alias("seen"), F.array().cast("array<int>").alias("lines"))
-    step = lambda a, x: F.when(x["stage"], F.struct(F.lit(False).alias("seen"), a["lines"].alias("lines"))).otherwise(F.struct(F.lit(True).alias("seen"), F.when(a["seen"], F.concat(a["lines"], F.array(x["line"]))).otherwise(a["lines"]).alias("lines")))
-    return F.aggregate(both, start, step, lambda a: a["lines"])
+    # The list holds stages and installs only, so an install right behind another one isn't its stage's first.
+    return let(both, lambda rows: _lines(F.filter(rows, lambda x, i: ~x["stage"] & ~F.coalesce(F.get(rows, i - 1)["stage"], F.lit(True)))))
 
 
 def _history_clones() -> Column:
@@ -143,11 +142,12 @@ def prepared(files: DataFrame, trees: bool = True) -> DataFrame:
     facts = fact_array(F.when(F.col("suffix") == ".py", F.col("code"))) if trees else F.from_json(F.lit("[]"), "array<struct<kind:string,first:int,last:int>>")
     rows = once(rows.withColumn("facts", facts))
     spans = F.array_sort(F.filter("facts", lambda x: x["kind"] == "docstring"), lambda a, b: a["first"] - b["first"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     piece = lambda a, b: F.substring(F.col("code"), a + 1, b - a)
-    step = lambda acc, s: F.struct(s["last"].alias("at"), F.concat(acc["out"], piece(acc["at"], s["first"]), F.regexp_replace(piece(s["first"], s["last"]), "[^\n]", " ")).alias("out"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("code"), acc["at"] + 1, F.length("code"))))
-    return once(rows.withColumn("code", F.when(F.exists("facts", lambda x: x["kind"] == "docstring"), whole).otherwise(F.col("code"))))
+    spaced = lambda s, before: F.concat(piece(before, s["first"]), F.regexp_replace(piece(s["first"], s["last"]), "[^\n]", " "))
+    pieces = lambda rows: F.transform(rows, lambda s, i: spaced(s, F.coalesce(F.get(rows, i - 1)["last"], F.lit(0))))
+    tail = lambda rows: F.substring(F.col("code"), F.element_at(rows, -1)["last"] + 1, F.length("code"))
+    whole = let(spans, lambda rows: F.when(F.size(rows) > 0, F.concat(F.array_join(pieces(rows), ""), tail(rows))).otherwise(F.col("code")))
+    return once(rows.withColumn("code", whole))
 
 
 def scan(files: DataFrame, disable: tuple[str, ...] = (), ignore: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:

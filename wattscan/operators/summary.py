@@ -1,15 +1,39 @@
-"""Aggregates and reports over findings. Hints are prose on different quantities and are never summed."""
+"""Aggregates, groupings and reports over findings. Hints are prose on different quantities and are never summed.
 
-from __future__ import annotations
+Reports are tables of text lines with their order; they are written by Spark and never gathered on the driver.
+"""
 
-import html
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattscan.operators.rules import SEVERITIES
+from wattscan.functions.text import anchor, escaped, relative
+from wattscan.operators.rules import RULES, SEVERITIES
 from wattscan.operators.scan import FINDING, ordered
 
+ORDER = ["rank", "file", "line", "emit_rank"]
+
+
+def rank() -> Column:
+    return F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+
+
+# --- filters
+
+
+def in_file(findings: DataFrame, path: str) -> DataFrame:
+    """The findings of one file."""
+    return findings.where(F.col("file") == path)
+
+
+def at_line(findings: DataFrame, path: str, line: int) -> DataFrame:
+    """The findings on one line of a file."""
+    return in_file(findings, path).where(F.col("line") == line)
+
+
+# --- aggregates
+
 
 def by_severity(findings: DataFrame) -> DataFrame:
     """A count for each of the three severities, zero included."""
@@ -30,6 +54,42 @@ def total(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], F.count_distinct("file").alias("files"))
 
 
+def summarise(findings: DataFrame) -> DataFrame:
+    """One row: the total, a count for each severity, files, and ``by_rule``, the busiest first. All in one aggregation."""
+    each = F.array(*[F.struct(F.lit(r.id).alias("rule"), F.count_if(F.col("rule") == r.id).alias("n")) for r in RULES])
+    one = findings.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], F.count_distinct("file").alias("files"), each.alias("each"))
+    busy = F.array_sort(F.transform(F.filter("each", lambda x: x["n"] > 0), lambda x: F.struct((-x["n"]).alias("less"), x["rule"].alias("rule"))))
+    return one.withColumn("by_rule", F.transform(busy, lambda x: F.struct(x["rule"].alias("rule"), (-x["less"]).alias("n")))).drop("each")
+
+
+def grouped(findings: DataFrame, by: str, root: str = "") -> DataFrame:
+    """Findings with the label, description and size of their group: by ``severity``, ``file`` or ``rule``.
+
+    Members stay rows, as a group may hold any share of them. ``group_at`` orders groups as they first appear among the
+    ordered findings (for severities: high, medium, low), and the columns of ``ORDER`` the members.
+    """
+    path = relative(F.col("file"), root)
+    label, place = {
+        "severity": (F.col("severity"), F.lit("")),
+        "file": (F.element_at(F.split("file", "/"), -1), F.concat(F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"(?s)^(.*)/", 1)).otherwise("."), F.lit(" \u00b7 "))),
+        "rule": (F.concat("rule", F.lit(" \u2014 "), "message"), F.lit("")),
+    }[by]
+    rows = findings.withColumn("rank", rank())
+    groups = rows.groupBy(by).agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(*ORDER)).alias("group_at"))
+    return rows.join(groups, by).withColumn("group_label", label).withColumn("group_note", F.concat(place, F.col("group_size").cast("string")))
+
+
+def in_groups(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("group_at", *ORDER)
+
+
+def exit_code(findings: DataFrame, fail_on_findings: bool) -> int:
+    return int(fail_on_findings and not findings.isEmpty())
+
+
+# --- reports
+
+
 def text_lines(findings: DataFrame) -> DataFrame:
     return findings.select("severity", "file", "line", "emit_rank", F.format_string("%s:%d: [%s/%s] %s", "file", "line", "rule", "severity", "message").alias("text"))
 
@@ -39,12 +99,76 @@ def github_lines(findings: DataFrame) -> DataFrame:
     return findings.select("severity", "file", "line", "emit_rank", F.concat(F.lit("::"), level, F.format_string(" file=%s,line=%d,title=%s::%s", "file", "line", "rule", "message")).alias("text"))
 
 
+def _report(part: int, rows: DataFrame, texts: Column, **order: Column) -> DataFrame:
+    """Rows of a report: its part, the order inside, and a text for each line; empty texts of an array are left out by null."""
+    keys = {"group_at": F.lit(None), **order}
+    at = [F.lit(part).alias("part"), keys["group_at"].cast("struct<rank:int,file:string,line:int,emit_rank:int>").alias("group_at")]
+    at += [(F.col(c) if c in rows.columns else F.lit(None)).cast({"file": "string"}.get(c, "int")).alias(c) for c in ORDER]
+    lined = rows.select(*at, F.posexplode(texts).alias("n", "text"))
+    return lined.where(F.col("text").isNotNull())
+
+
+def text_report(findings: DataFrame, accepted: int = 0, baseline: str = "") -> DataFrame:
+    """The report for people: two or three lines for each finding, an empty one, and the total."""
+    rows = findings.withColumn("rank", rank())
+    first = F.format_string("%s:%d: [%s/%s] %s", "file", "line", "rule", "severity", "message")
+    hint = F.when(F.col("co2e_estimate") != "", F.concat(F.lit("    ~ "), "co2e_estimate"))
+    lines = _report(0, rows, F.array(first, F.concat(F.lit("    \u21b3 "), "suggestion"), hint))
+    note = f" ({accepted} accepted by {baseline})" if accepted else ""
+    count = findings.agg(F.count(F.lit(1)).alias("total"))
+    return lines.unionByName(_report(1, count, F.array(F.lit(""), F.concat(F.lit("wattscan: "), F.col("total").cast("string"), F.lit(f" finding(s){note}")))))
+
+
+def json_report(findings: DataFrame) -> DataFrame:
+    """Lines of a JSON array; a comma stands before each object but the first."""
+    rows = findings.withColumn("rank", rank())
+    first = rows.orderBy(*ORDER).select(*ORDER).first()
+    if first is None:
+        return _report(0, findings.sparkSession.range(1), F.array(F.lit("[]")))
+    is_first = F.lit(True)
+    for c in ORDER:
+        is_first = is_first & (F.col(c) == F.lit(first[c]))
+    fields = [F.concat(F.lit(f'    "{c}": '), F.regexp_extract(F.to_json(F.struct(F.col(c))), r"(?s)^\{\"[^\"]*\":(.*)\}$", 1), F.lit("," if c != FINDING[-1] else "")) for c in FINDING]
+    body = _report(1, rows, F.array(F.when(is_first, "  {").otherwise("  ,{"), *fields, F.lit("  }")))
+    edges = findings.sparkSession.range(1)
+    return _report(0, edges, F.array(F.lit("["))).unionByName(body).unionByName(_report(2, edges, F.array(F.lit("]"))))
+
+
+def html_report(findings: DataFrame, title: str = "Findings", root: str = "", cost: str = "") -> DataFrame:
+    """Lines of a static page without script: totals, a table by rule, and a section for each file in order of appearance."""
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    rules = findings.groupBy("rule", "message").agg(F.count(F.lit(1)).alias("n"))
+    rules = rules.withColumns({"rank": (-F.col("n")).cast("int"), "file": F.col("rule"), "line": F.lit(0), "emit_rank": F.lit(0)})
+    by_rules = _report(1, rules, F.array(F.concat(F.lit("<tr>"), cell(escaped(F.col("rule"))), cell(escaped(F.col("message"))), cell(F.col("n").cast("string")), F.lit("</tr>"))))
+    rows = grouped(findings, "file", root)
+    label = escaped(relative(F.col("file"), root))
+    opens = F.struct(*ORDER) == F.col("group_at")
+    head = F.when(opens, F.concat(F.lit("<h2>"), label, F.lit(" <small>"), F.col("group_size").cast("string"), F.lit("</small></h2>")))
+    hint = F.when(F.col("co2e_estimate") != "", F.concat(F.lit("<p>~ "), escaped(F.col("co2e_estimate")), F.lit("</p>")))
+    item = F.concat(F.lit("<p><b>"), label, F.lit(":"), F.col("line").cast("string"), F.lit("</b> "), F.col("severity"), F.lit(" <a href=\"#"), anchor(F.col("rule"), F.col("message")), F.lit("\">"), escaped(F.col("rule")), F.lit("</a> "), escaped(F.col("message")), F.lit("</p>"))
+    sections = _report(3, rows, F.array(head, item, F.concat(F.lit("<p>\u21b3 "), escaped(F.col("suggestion")), F.lit("</p>")), hint), group_at=F.col("group_at"))
+    count = findings.agg(F.count(F.lit(1)).alias("total"))
+    shown = lambda x: F.lit(x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+    top = F.array(F.lit("<!doctype html>"), F.concat(F.lit("<title>"), shown(title), F.lit("</title>")), F.concat(F.lit("<h1>"), shown(title), F.lit("</h1><p>"), F.col("total").cast("string"), F.lit(" finding(s)"), shown(cost), F.lit("</p>")), F.when(F.col("total") == 0, "<h2>Nothing found</h2>"), F.lit("<table>"))
+    edges = findings.sparkSession.range(1)
+    return _report(0, count, top).unionByName(by_rules).unionByName(_report(2, edges, F.array(F.lit("</table>")))).unionByName(sections)
+
+
+def scan_cost(files: int, ms: int, scanned: int, reused: int, skipped: int) -> str:
+    """What a scan took, for the head of a report."""
+    return f" \u00b7 {files} files in {ms} ms ({scanned} scanned, {reused} reused from cache, {skipped} skipped)"
+
+
+def in_order(report: DataFrame) -> DataFrame:
+    """The texts of a report's lines, in order."""
+    return report.orderBy("part", "group_at", *ORDER, "n").select("text")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Write a report's lines as text files whose order is the report's."""
+    in_order(report).write.mode("overwrite").text(path)
+
+
 def write_json(findings: DataFrame, path: str) -> None:
     """Findings as JSON lines, in order."""
     ordered(findings).select(*FINDING).write.mode("overwrite").json(path)
-
-
-def to_html(findings: DataFrame, title: str = "Findings") -> str:
-    """A static page for people; findings are streamed to the driver in order."""
-    rows = "".join(f"<tr><td>{html.escape(r.file)}:{r.line}</td><td>{r.rule}</td><td>{r.severity}</td><td>{html.escape(r.message)}</td></tr>" for r in ordered(findings).toLocalIterator())
-    return f"<!DOCTYPE html><title>{html.escape(title)}</title><table>{rows}</table>"

@@ -6,14 +6,17 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from wattscan.functions.text import blank_comments, with_parts
-from wattscan.operators import baseline, incremental, summary
-from wattscan.operators.rules import LANGUAGES, RULES, rules_table
+from wattscan import project
+from wattscan.functions.text import anchor, blank_comments, escaped, relative, with_parts
+from wattscan.operators import baseline, globs, incremental, pyfacts, summary
+from wattscan.operators.rules import RULES, SEVERITIES, Rule, drop_rule, languages, register_rule, rules_table
 from wattscan.operators.scan import scan, scannable
-from wattscan.plans.corpus import expected_sql, files, paths_sql
+from wattscan.plans.corpus import TEMPLATES, expected_sql, files, lengths_sql, paths_sql
+from wattscan.sources.config import Config
 from wattscan.streaming.rescan import current, stream_scan
 
 BRIEF = ["rule", "severity", "file", "line", "message"]
+ONE_FILE = "db/f14.sql"
 
 
 def _rule(rule: str):
@@ -67,6 +70,49 @@ def _streamed(spark, sf_dir):
     return current(spark, f"{work}/found").select(*BRIEF)
 
 
+def _reconfigured(spark, sf_dir):
+    """Nothing changed but the options of every second scan: files scanned with other rules are scanned again."""
+    now, then = _manifests(spark, sf_dir)
+    odd = F.col("path").rlike("[13579][^0-9/]*$")
+    options = lambda *ids: F.lit(incremental.config_fingerprint(ids))
+    return incremental.reuse(now.withColumn("config", F.when(odd, options("GL001")).otherwise(options())), then.withColumn("config", options()))
+
+
+def _invalidated(spark, sf_dir):
+    rows = files(spark, sf_dir)
+    kept = incremental.invalidate(_manifests(spark, sf_dir)[1], rows.where("doc_id % 2 = 0").select("path"))
+    return kept.select("path")
+
+
+def _own_rule(spark, sf_dir):
+    """A rule of one's own, beside the others."""
+    register_rule(Rule("OWN01", "low", (".py",), "regex", "long sleep", "wait for an event", "", r"time\.sleep\([1-9]\)"))
+    try:
+        return scan(files(spark, sf_dir), only=("OWN01", "GL028")).select(*BRIEF)
+    finally:
+        drop_rule("OWN01")
+
+
+def _facts(spark, sf_dir):
+    """Syntax facts of Python files through SQL."""
+    pyfacts.register_facts(spark)
+    return spark.sql("SELECT path, f.kind, f.line, f.name FROM {files}, LATERAL python_facts(text) f WHERE path LIKE '%.py'", files=files(spark, sf_dir).select("path", "text"))
+
+
+def _grouped(by: str):
+    return lambda spark, sf_dir: summary.grouped(_all(spark, sf_dir), by).select("group_label", "group_note", F.col("group_size").alias("n"), "rule", "file", "line")
+
+
+def _checked(spark, sf_dir):
+    """Configuration and excludes joined; no baseline file is there."""
+    return project.check(files(spark, sf_dir), Config(("GL028",), ["vendor/*"]), globs.editor_excludes({"web": True, "src": False}, {"docs": True}, "")).findings.select(*BRIEF)
+
+
+def _summary(spark, sf_dir):
+    busiest = F.array_join(F.transform("by_rule", lambda x: F.concat(x["rule"], F.lit("="), x["n"].cast("string"))), ",")
+    return summary.summarise(_all(spark, sf_dir)).withColumn("by_rule", busiest)
+
+
 def _turns():
     n = 0
     while True:
@@ -98,6 +144,24 @@ QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
     "stream_scan": _streamed,
     "report_github": lambda s, d: summary.github_lines(_all(s, d)).select("text"),
     "report_text": lambda s, d: summary.text_lines(_all(s, d)).select("text"),
+    "report_full": lambda s, d: summary.in_order(summary.text_report(_all(s, d), 3, "b.json")),
+    "report_json": lambda s, d: summary.in_order(summary.json_report(_all(s, d))),
+    "report_html": lambda s, d: summary.in_order(summary.html_report(_all(s, d), "Findings", "src")),
+    "summary": _summary,
+    "grouped_by_severity": _grouped("severity"),
+    "grouped_by_file": _grouped("file"),
+    "grouped_by_rule": _grouped("rule"),
+    "scope_file": lambda s, d: summary.in_file(_all(s, d), ONE_FILE).select(*BRIEF),
+    "hover_line": lambda s, d: summary.at_line(_all(s, d), ONE_FILE, 2).select(*BRIEF),
+    "docs_anchor": lambda s, d: rules_table(s).select("rule", anchor(F.col("rule"), F.col("message")).alias("anchor")),
+    "relative_labels": lambda s, d: files(s, d).select("path", relative(F.col("path"), "src").alias("label")),
+    "html_escape": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(escaped(F.coalesce("text", F.lit("")))).alias("escaped_md5")),
+    "exit_code": lambda s, d: s.createDataFrame([(summary.exit_code(_all(s, d), True),)], "code int"),
+    "config_changed": _reconfigured,
+    "invalidate": _invalidated,
+    "own_rule": _own_rule,
+    "sql_facts": _facts,
+    "check_project": _checked,
 }
 
 _ALL = f"SELECT * FROM {expected_sql()} x"
@@ -105,6 +169,13 @@ _PRINT = "sha1(file || '|' || rule || '|' || message)"
 _VALUES = lambda rows: ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
 _HOW = "CASE WHEN doc_id % 3 <> 0 THEN 'stat' WHEN doc_id % 9 <> 0 THEN 'hash' ELSE 'scan' END"
 _MERGED = "NOT (doc_id % 2 = 1 AND doc_id % 5 <> 0 AND doc_id % 3 = 0)"
+_ESCAPED = "coalesce(text, '')"
+for _plain, _entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    _ESCAPED = f"replace({_ESCAPED}, '{_plain}', '{_entity}')"
+_RANK = "list_position(['" + "', '".join(SEVERITIES) + "'], severity)"
+_MORE = f"(SELECT x.*, t.suggestion, t.hint FROM {expected_sql()} x JOIN (VALUES {_VALUES([(r.id, r.suggestion, r.hint) for r in RULES])}) t(rule, suggestion, hint) USING (rule))"
+_FIELDS = " || ".join(f"""'    "{k}": ' || {v} || '{"" if k == "co2e_estimate" else ","}' || chr(10)""" for k, v in {**{k: f"""'"' || {k} || '"'""" for k in ("rule", "severity", "file")}, "line": "line", **{k: f"""'"' || {v} || '"'""" for k, v in (("message", "message"), ("suggestion", "suggestion"), ("co2e_estimate", "hint"))}}.items())
+_GROUP = "SELECT {label} AS group_label, {note}CAST(count(*) OVER w AS VARCHAR) AS group_note, count(*) OVER w AS n, rule, file, line FROM {found} x WINDOW w AS (PARTITION BY {by})"
 _LINES = {"github": "'::' || CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'notice' END || ' file=' || file || ',line=' || line || ',title=' || rule || '::' || message", "text": "file || ':' || line || ': [' || rule || '/' || severity || '] ' || message"}
 
 ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id}'")} x" for r in RULES} | {
@@ -113,7 +184,7 @@ ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id
     "scan_ignored": f"{_ALL} WHERE NOT starts_with(file, 'vendor/') AND NOT starts_with(file, 'web/') AND NOT regexp_full_match(file, 'k8s/f.[.]y[^m]ml')",
     "test_file_exemption": f"{_ALL} WHERE rule IN ('GL001', 'GL002', 'GL007')",
     "scannable_files": f"SELECT path FROM {paths_sql()} x WHERE NOT ends_with(path, '.md')",
-    "languages": f"SELECT * FROM (VALUES {_VALUES([(x,) for x in LANGUAGES])}) v(language)",
+    "languages": f"SELECT * FROM (VALUES {_VALUES([(x,) for x in languages()])}) v(language)",
     "list_rules": f"SELECT * FROM (VALUES {_VALUES([(r.id, r.severity, r.message) for r in RULES])}) v(rule, severity, message)",
     "summary_by_severity": f"SELECT s.severity, count(x.rule) AS n FROM (VALUES ('high'), ('medium'), ('low')) s(severity) LEFT JOIN {expected_sql()} x ON x.severity = s.severity GROUP BY s.severity",
     "summary_by_rule": f"SELECT rule, count(*) AS n FROM {expected_sql()} x GROUP BY rule",
@@ -129,4 +200,21 @@ ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id
     "stream_scan": _ALL,
     "report_github": f"SELECT {_LINES['github']} AS text FROM {expected_sql()} x",
     "report_text": f"SELECT {_LINES['text']} AS text FROM {expected_sql()} x",
+    "report_full": f"SELECT unnest([{_LINES['text']}, '    \u21b3 ' || suggestion, '    ~ ' || hint]) AS text FROM {_MORE} x UNION ALL SELECT unnest(['', 'wattscan: ' || count(*) || ' finding(s) (3 accepted by b.json)']) FROM {expected_sql()} x",
+    "report_json": f"SELECT unnest(string_split(CASE WHEN n = 1 THEN '  {{' ELSE '  ,{{' END || chr(10) || {_FIELDS} || '  }}', chr(10))) AS text FROM (SELECT *, row_number() OVER () AS n FROM {_MORE} y) x UNION ALL SELECT unnest(['[', ']'])",
+    "summary": f"SELECT count(*) AS total, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in SEVERITIES)}, count(DISTINCT file) AS files, (SELECT string_agg(rule || '=' || n, ',' ORDER BY n DESC, rule) FROM (SELECT rule, count(*) AS n FROM {expected_sql()} y GROUP BY rule)) AS by_rule FROM {expected_sql()} x",
+    "grouped_by_severity": _GROUP.format(label="severity", note="", by="severity", found=expected_sql()),
+    "grouped_by_file": _GROUP.format(label="string_split(file, '/')[-1]", note="regexp_extract(file, '^(.*)/', 1) || ' \u00b7 ' || ", by="file", found=expected_sql()),
+    "grouped_by_rule": _GROUP.format(label="rule || ' \u2014 ' || message", note="", by="rule", found=expected_sql()),
+    "scope_file": f"{_ALL} WHERE file = '{ONE_FILE}'",
+    "hover_line": f"{_ALL} WHERE file = '{ONE_FILE}' AND line = 2",
+    "docs_anchor": f"SELECT rule, replace(regexp_replace(lower(rule || ' \u2014 ' || message), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS anchor FROM (VALUES {_VALUES([(r.id, r.message) for r in RULES])}) v(rule, message)",
+    "relative_labels": f"SELECT path, CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE path END AS label FROM {paths_sql()} x",
+    "html_escape": f"SELECT doc_id, md5({_ESCAPED}) AS escaped_md5 FROM documents",
+    "exit_code": f"SELECT CAST(count(*) > 0 AS INTEGER) AS code FROM {expected_sql()} x",
+    "config_changed": f"SELECT path, CASE WHEN regexp_matches(path, '[13579][^0-9/]*$') THEN 'scan' ELSE {_HOW} END AS how FROM {paths_sql()} x",
+    "invalidate": f"SELECT path FROM {paths_sql()} x WHERE doc_id % 2 <> 0",
+    "own_rule": f"{_ALL} WHERE rule = 'GL028' UNION ALL SELECT 'OWN01', 'low', path, 3, 'long sleep' FROM {paths_sql()} x WHERE doc_id % {len(TEMPLATES)} = 1",
+    "check_project": f"{_ALL} WHERE rule <> 'GL028' AND NOT starts_with(file, 'vendor/') AND NOT starts_with(file, 'web/') AND NOT starts_with(file, 'docs/')",
+    "blank_comments": f"SELECT path, n_chars, true AS same_length FROM ({lengths_sql()}) x",
 }

@@ -69,6 +69,34 @@ TEMPLATES = [
     ("web/F", ".jsx", "//", "<A onClick={() => f()} />\n<B style={{ a: 1 }} />\n<C f={f} />\n", [(38, 1), (38, 2)]),
     ("docs/f", ".md", ">", "SELECT * FROM t\n", []),
     ("vendor/f", ".py", "#", "from os import *\n", [(28, 1)]),
+    ("src/f", ".sh", "#", "sleep 0.01\nsleep .05\nsleep 0.5\nsleep 2\n", [(2, 1), (2, 2)]),
+    ("src/f", ".rs", "//", "thread::sleep(Duration::from_millis(20));\nthread::sleep(Duration::from_millis(200));\n", [(2, 1)]),
+    ("src/f", ".java", "//", "Thread.sleep(10);\nThread.sleep(100);\n", [(2, 1)]),
+    ("src/f", ".c", "//", "usleep(500);\nusleep(500000);\n", [(2, 1)]),
+    ("src/f", ".cpp", "//", "delay(5);\ndelay(500);\nmydelay(5);\n", [(2, 1)]),
+    ("src/f", ".swift", "//", "Timer.scheduledTimer(withTimeInterval: 0.05, repeats: true) { }\nTimer.scheduledTimer(withTimeInterval: 5, repeats: true) { }\n", [(2, 1)]),
+    ("src/f", ".ts", "//", "setInterval(\n  tick, 9)\n", [(2, 1)]),
+    ("src/f", ".php", "#", "$q = 'select * from t'; // SELECT * FROM c\nusleep(10);\n", [(5, 1), (2, 2)]),
+    ("src/f", ".pl", "#", "# SELECT * FROM c\nmy $q = 'SELECT  *  FROM t';\n", [(5, 2)]),
+    ("img/d", "/Dockerfile", "#", "FROM centos:7\nFROM debian:wheezy\nFROM ubuntu:18.04\nFROM python:3.12\n", [(15, 1), (6, 2), (15, 2), (6, 3), (15, 3)]),
+    ("img/d", ".dockerfile", "#", "FROM DEBIAN\nfrom ubuntu:24.04-slim\n# FROM ubuntu\n", [(6, 1)]),
+    ("infra/f", ".tf", "#", 'instance_type = "t3.micro"\ninstance_type = "r5.16xlarge"\ninstance_type = "C4.large"\n', [(16, 1), (8, 2), (16, 2), (16, 3)]),
+    ("src/f", ".py", "#", "for p in ps:\n    open(p)\nfor p in ps:\n    x = pd.read_json(p)\nys = [open(p) for p in ps]\n", [(22, 1), (22, 3)]),
+    ("src/f", ".py", "#", "for u in us:\n    requests.post(u, x)\nrequests.get(u)\n", [(19, 1)]),
+    ("src/f", ".py", "#", "for k in ks:\n    try:\n        n = int(k)\n    except ValueError:\n        continue\ntry:\n    n = int(k)\nexcept ValueError:\n    pass\n", [(31, 2)]),
+    ("src/f", ".cpp", "//", "while (go) {\n  auto p = new Thing();\n}\nfor (;;)\n  q = realloc(q, 9);\n", [(32, 1), (32, 4)]),
+    ("src/f", ".cs", "//", "if (xs.Count() > 0) {}\nif (xs.Count() != 0) {}\nif (xs.Count() > 1) {}\n", [(35, 1), (35, 2)]),
+    ("src/f", ".rb", "#", "h.values.include?(v)\nxs.select { |x| x.ok? }.map { |x| x.id }\n", [(36, 1), (37, 2)]),
+    ("web/F", ".tsx", "//", "<A x={{ a: 1 }} y={() => g()} />\n", [(38, 1), (38, 1)]),
+    ("src/f", ".py", "#", "while True:\n    def stop():\n        return 1\n    go()\n", [(1, 1)]),
+    ("src/f", ".py", "#", "while 1:\n    x = 1\nwhile True:\n    raise E\n", []),
+    ("src/f", ".py", "#", "def f(y):\n    n, s = 0, ''\n    for x in y:\n        n += x\n        s = s + x\n        n += len(x) * 2\n", [(7, 5)]),
+    ("src/f", ".py", "#", "for a in xs:\n    def g():\n        for b in xs:\n            pass\n", [(18, 3)]),
+    ("src/f", ".py", "#", "df.apply(f, axis = 1)\ndf.apply(f, axis=0)\nlogging.warning(f'{x}')\n", [(21, 1)]),
+    (".github/workflows/f", ".yaml", "#", "schedule: \"* * * * *\"\ncron: '*/5 * * * *'\n", [(3, 1)]),
+    ("k8s/f", ".yaml", "#", "kind: HorizontalPodAutoscaler\nminReplicas: 2\nmaxReplicas: 5\n", []),
+    ("infra/f", ".tf", "#", _TF.format("aws_s3_bucket", "# lifecycle"), [(13, 1)]),
+    ("web/f", ".css", "/*", "a { background: url(z.png) }\nb { background: URL( \"w.GIF\" ) }\n", [(17, 2)]),
 ]
 
 
@@ -102,6 +130,13 @@ def expected_sql(where: str = "true") -> str:
         JOIN (VALUES {rules}) r(rule, severity, message) ON r.rule = f.rule) WHERE {where})"""
 
 
+def lengths_sql() -> str:
+    """SQL for ``path, n_chars`` of the corpus: body, mark, document and closing mark."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    sizes = ", ".join(f"({i}, {quoted(a)}, {quoted(b)}, {len(body) + len(mark) + 1 + 3 * (mark == '/*')})" for i, (a, b, mark, body, _) in enumerate(TEMPLATES))
+    return f"SELECT p.a || CAST(d.doc_id AS VARCHAR) || p.b AS path, CAST(p.n + length(coalesce(d.text, '')) AS BIGINT) AS n_chars FROM documents d JOIN (VALUES {sizes}) p(tmpl, a, b, n) ON d.doc_id % {len(TEMPLATES)} = p.tmpl"
+
+
 def paths_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     paths = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b, *_) in enumerate(TEMPLATES))

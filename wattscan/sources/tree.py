@@ -2,42 +2,49 @@
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import os
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-PRUNED = (".git", "node_modules")  # fixed values
-CHUNK = 500
+from wattscan.operators.globs import PRUNED, ignored_path, prunable
+
+#: Files of a chunk, and folders that the driver looks into; those below are walked in the tasks.
+CHUNK, LOOKED = 500, 256
 
 
 class Chunk(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, files: list[str], folders: list[str]):
+        self.files, self.folders = files, folders
+
+
+def listed(folder: str, ignore: list[str]) -> tuple[list[str], list[str]]:
+    """Files and folders in a folder that no glob rules out. Folder links aren't followed; what can't be read is skipped."""
+    bases, files, folders = prunable(ignore), [], []
+    try:
+        with os.scandir(folder) as entries:
+            for e in sorted(entries, key=lambda e: e.name):
+                if e.is_dir(follow_symlinks=False):
+                    if e.name not in PRUNED and e.path not in bases and "/" + e.path not in bases:
+                        folders.append(e.path)
+                elif not e.is_dir() and e.is_file() and not ignored_path(e.path, ignore):
+                    files.append(e.path)
+    except OSError:
+        return [], []
+    return files, folders
 
 
 def walk(root: str, ignore: list[str]):
-    """Files under a root. Folder links aren't followed; what can't be read is skipped."""
-    bases = {g.rpartition("/")[0] for g in ignore if g.endswith(("/*", "/**"))}
-    skip = lambda p: any(fnmatch.fnmatchcase(q, g) for g in ignore for q in (p, "/" + p))
+    """Files under a root, or the root if it is a file."""
     if os.path.isfile(root):
-        if not skip(root):
+        if not ignored_path(root, ignore):
             yield root
         return
     stack = [root]
     while stack:
-        try:
-            with os.scandir(stack.pop()) as entries:
-                found = sorted(entries, key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in found:
-            if e.is_dir(follow_symlinks=False):
-                if e.name not in PRUNED and e.path not in bases and "/" + e.path not in bases:
-                    stack.append(e.path)
-            elif not e.is_dir() and e.is_file() and not skip(e.path):
-                yield e.path
+        files, folders = listed(stack.pop(), ignore)
+        yield from files
+        stack += folders
 
 
 class TreeReader(DataSourceReader):
@@ -47,11 +54,19 @@ class TreeReader(DataSourceReader):
         self.most = int(options["max_bytes"]) if options.get("max_bytes") else None
 
     def partitions(self):
-        paths = [p for root in self.paths for p in walk(root, self.ignore)]  # overlapping roots count twice, as asked
-        return [Chunk(paths[i : i + CHUNK]) for i in range(0, len(paths), CHUNK)] or [Chunk([])]
+        """Chunks of the files in the upper folders, and a chunk for each folder below; overlapping roots count twice, as asked."""
+        files, folders = [p for p in self.paths if os.path.isfile(p) and not ignored_path(p, self.ignore)], [p for p in self.paths if not os.path.isfile(p)]
+        for _ in range(LOOKED):
+            if not folders:
+                break
+            found, below = listed(folders.pop(0), self.ignore)
+            files += found
+            folders += below
+        chunks = [Chunk(files[i : i + CHUNK], []) for i in range(0, len(files), CHUNK)] + [Chunk([], [x]) for x in folders]
+        return chunks or [Chunk([], [])]
 
     def read(self, part):
-        for path in part.paths:
+        for path in (p for root in (*part.files, *part.folders) for p in walk(root, self.ignore)):
             try:
                 stat = os.stat(path)
                 if self.most is not None and stat.st_size > self.most:
