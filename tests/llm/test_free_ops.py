@@ -59,7 +59,7 @@ def test_elias_fano():
             assert (at == np.searchsorted(values, asked)).all() and (found == np.isin(asked, values)).all()
 
 
-@pytest.mark.parametrize("shard_rows", [2_000_000, 1500])
+@pytest.mark.parametrize("shard_rows", [2_000_000, 1500, 60])
 def test_lm_equals_brute_force(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(lm_score, "SHARD_ROWS", shard_rows)
     got = {r.doc_id: r for r in lm_score.op8_lm_score(spark, SMALL).collect()}
@@ -102,7 +102,7 @@ def test_lm_whole_keeps_what_occurs_once(spark):
     texts = {i: [f"w{r.randrange(12)}" for _ in range(r.randrange(1, 14))] for i in range(40)}
     train = [[*t, None] for i, t in texts.items() if i < 30]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
-    got = {x.doc_id: x.score for x in lm_score.scored(docs, lm_score.trained(docs.where("doc_id < 30"), 1)).collect()}
+    got = {x.doc_id: x.score for x in lm_score.scored_texts(docs, lm_score.trained(docs.where("doc_id < 30"), 1)).collect()}
     one = collections.Counter(w for t in train for w in t)
     two = collections.Counter(p for t in train for p in zip(["<s>", *t], t))
     three = collections.Counter(p for t in train for p in zip(["<s>", *t], t, t[1:]))
@@ -128,10 +128,10 @@ def test_lm_whole_keeps_what_occurs_once(spark):
 def test_lm_odd_rows(spark):
     rows = odd_rows(spark)
     trie = lm_score.trained(rows.where(crc_mod("doc_id", 5) != 1))
-    got = lm_score.scored(rows, trie).collect()
+    got = lm_score.scored_texts(rows, trie).collect()
     assert len(got) == 9 and all(r.n_tokens >= 1 and r.score <= 0 for r in got)
     empty = lm_score.trained(rows.limit(0))
-    assert {r.score for r in lm_score.scored(rows, empty).collect()} == {0.0}
+    assert {r.score for r in lm_score.scored_texts(rows, empty).collect()} == {0.0}
 
 
 # --- 3: languages

@@ -73,8 +73,12 @@ class EliasFano:
             return np.empty(0, _U)
         return (self._select(index, self.ranks, False) - index).astype(_U) << _U(self.width) | self._lows(index)
 
-    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each value the first position that holds no less, and whether it holds the value itself."""
+    def successor(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each value the first position that holds no less, and whether it holds the value itself.
+
+        With ``begin`` and ``end`` each search is within its own positions, whose values must rise through all values
+        asked for there; a value beyond them gives the end.
+        """
         values = np.asarray(values, _U)
         if not self.n or not len(values):
             return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
@@ -83,12 +87,15 @@ class EliasFano:
         bucket = np.minimum(bucket, self.buckets - 1)
         stop = self._select(bucket, self.zeros, True) - bucket
         start = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), self.zeros, True) - (bucket - 1), 0)
-        part, end = values & _U((1 << self.width) - 1), stop.copy()
+        start, stop = np.where(beyond, self.n, start), np.where(beyond, self.n, stop)
+        if begin is not None:
+            start, stop = np.clip(start, begin, end), np.clip(stop, begin, end)
+        part, last = values & _U((1 << self.width) - 1), stop.copy()
         while len(some := np.flatnonzero(start < stop)):
             middle = start[some] + stop[some] >> 1
             less = self._lows(middle) < part[some]
             start[some[less]] = middle[less] + 1
             stop[some[~less]] = middle[~less]
-        found = (start < end) & ~beyond
+        found = start < last
         found[found] = self._lows(start[found]) == part[found]
-        return np.where(beyond, self.n, start), found
+        return start, found

@@ -5,31 +5,42 @@ all of them with one (``op8_lm_score_whole``), those that occur again with two (
 ``least`` if both its pairs did, so only such triples are counted. The kept n-grams go to sorted shards of three levels in
 the shared folder; tasks map them into memory and touch only the pages that they need:
 
-* words: sorted 64-bit hashes (Elias-Fano) with their counts; a word's id is its place;
-* pairs: for each first word the successors' ids, with monotone pointers to where each word's successors begin;
+* words: sorted 64-bit hashes (Elias-Fano) with their counts; a word's id is its place. Words are counted as words, and
+  the hash's seed is one under which no two of them share a hash;
+* pairs: for each first word the successors' ids;
 * triples: for each pair the third word's place among the successors of the second, so a context shrinks the numbers.
 
-Probabilities interpolate absolute discounting down to the add-half unigram of the contract and are stored as 16-bit
-codes of log10, as are the back-off weights. A missing level backs off to the one below.
+In pairs and triples each context has a range of positions, given by monotone pointers. Its items are stored behind the
+last value of the context before, so that a level is one rising sequence, and a search is for the successor of an item
+within its context's range only. Probabilities interpolate absolute discounting down to the add-half unigram of the
+contract and are stored as 16-bit codes of log10, as are the back-off weights. A missing level backs off to the one below.
+
+Shards are cut by context and item, so the n-grams of one context (the start mark, a very frequent word) may fill many
+shards, and no task holds more than a shard. Sums over a context that lies in several shards are added up on the driver
+(two rows a shard) and written into those shards.
 
 Nulls: a null text counts as empty; an empty text is its end token alone. A null id is in no split and is scored as held
-out = null. Repeated rows count each time in training. Texts are read whole, in blocks of documents. Extra columns are
-ignored. Without training rows every token is unknown and has probability one. An empty table gives an empty result.
+out = null. Repeated rows count each time in training. Very long texts are read whole; blocks of documents bound memory.
+Ties: equal n-grams are one. Extra columns are ignored. Without training rows every token is unknown and has probability
+one. An empty table gives an empty result.
 
 The shared folder must be mounted on the executors (a ``file:`` path), as memory maps need files.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 from functools import cache
+from typing import NamedTuple
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattscan.llm.common import SPACE_CLASS, crc_mod, cut, shared_path, table, text_of
 from wattscan.llm.elias_fano import EliasFano, encode
@@ -41,8 +52,8 @@ DISCOUNT = 0.5
 LOWEST, CODES = 16.0, 65535
 #: Rows of a shard, about; and words of a text block.
 SHARD_ROWS, BLOCK = 2_000_000, 1_500_000
-#: Words hold no white space, so these marks are no words.
-END, START = "\t", "\n"
+#: Words hold no white space, so this mark is no word.
+END = "\t"
 _U = np.uint64
 _TOP = _U(1 << 63)  # signed order as unsigned order
 
@@ -55,24 +66,22 @@ def restored(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) * (-LOWEST / CODES)
 
 
-def _words(docs: DataFrame, *keep) -> DataFrame:
-    """``words``: hashes of start mark, lower-cased words and end mark."""
+def _tokens():
+    """The lower-cased words of a whole text and an end mark."""
     lower = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.concat(F.array(F.lit(START)), F.array_remove(F.split(lower, f"[{SPACE_CLASS}]+"), ""), F.array(F.lit(END)))
-    return docs.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    return F.concat(F.array_remove(F.split(lower, f"[{SPACE_CLASS}]+"), ""), F.array(F.lit(END)))
 
 
-def _blocks(batches):
-    """(batch slice, hashes, tokens of each document) of blocks of bounded size."""
+def _blocks(batches, column: str):
+    """(batch slice, values, tokens of each document) of blocks of bounded size."""
     for batch in batches:
-        lists = batch.column("words")
+        lists = batch.column(column)
         ends = lists.offsets.to_numpy().astype(np.int64)
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
             to = min(to, batch.num_rows)
-            part = batch.slice(at, to - at)
-            yield part, lists.values.slice(ends[at], ends[to] - ends[at]).to_numpy().view(_U) ^ _TOP, np.diff(ends[at : to + 1])
+            yield batch.slice(at, to - at), lists.values.slice(ends[at], ends[to] - ends[at]).to_numpy(), np.diff(ends[at : to + 1])
             at = to
 
 
@@ -104,259 +113,381 @@ def _write(folder: str, arrays: dict[str, np.ndarray]) -> str:
     return path
 
 
+class Shard(NamedTuple):
+    first: tuple[int, int]  # context and item
+    last: int  # context
+    n: int
+    path: str
+
+
 class Level:
-    """Shards of one level in order: (first key, places before it, path)."""
+    """Shards of one level in order."""
 
-    def __init__(self, shards: list[tuple[int, int, str]]):
+    def __init__(self, shards: list[Shard]):
         self.shards = sorted(shards)
-        self.first = np.array([s[0] for s in self.shards], _U)
-        self.before = np.r_[0, np.cumsum([s[1] for s in self.shards])].astype(np.int64)
+        self.first = np.array([s.first[0] for s in self.shards], _U)
+        self.last = np.array([s.last for s in self.shards], _U)
+        self.items = np.array([s.first[1] for s in self.shards], np.int64)
+        self.before = np.r_[0, np.cumsum([s.n for s in self.shards])].astype(np.int64)
         self.n = int(self.before[-1])
 
-    def parts(self, keys: np.ndarray):
-        """(rows of ``keys``, shard number, its arrays) of each shard that may hold some of the sorted keys."""
-        of = np.searchsorted(self.first, keys, "right") - 1
-        cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else []
+    def of(self, contexts: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """The shard that may hold each (context, item), or -1."""
+        found = np.searchsorted(self.first, contexts, "right") - 1
+        # A context that begins several shards is divided among them, and the shard before, by item.
+        divided = np.flatnonzero((found >= 0) & (self.first[found] == contexts)) if len(self.shards) else []
+        for c in np.unique(contexts[divided]) if len(divided) else ():
+            rows = divided[contexts[divided] == c]
+            low = int(np.searchsorted(self.first, c, "left"))
+            starts = self.items[low : int(np.searchsorted(self.first, c, "right"))]
+            lowest = low - (low > 0 and self.last[low - 1] >= c)  # the first that holds the context, and so its back-off weight
+            found[rows] = np.maximum(low - 1 + np.searchsorted(starts, items[rows], "right"), lowest)
+        return found
+
+    def begin(self, contexts: np.ndarray) -> np.ndarray:
+        """The shard in which each context begins, or would."""
+        low = np.searchsorted(self.first, contexts, "left")
+        holds = (low > 0) & (self.last[np.maximum(low - 1, 0)] >= contexts) if len(self.shards) else np.zeros(len(contexts), bool)
+        return np.where(holds | (low == len(self.shards)), low - 1, low)
+
+    def parts(self, of: np.ndarray):
+        """(rows, shard number, its arrays) of each shard."""
+        order = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1], True]) if len(of) else []
         for a, b in zip(cuts, cuts[1:]):
-            if of[a] >= 0:
-                yield slice(a, b), int(of[a]), _arrays(self.shards[of[a]][2])
+            if of[order[a]] >= 0:
+                yield order[a:b], int(of[order[a]]), _arrays(self.shards[of[order[a]]].path)
 
 
 def _coder(arrays: dict, name: str) -> EliasFano:
     return EliasFano({k: arrays[f"{name}_{k}"] for k in ("head", "low", "high", "ranks")})
 
 
+def _range(arrays: dict, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the items of contexts begin and end in a shard, and what their values start from."""
+    c, size = contexts.astype(np.int64) - int(arrays["first"][0]), len(arrays["off"])
+    known = (c >= 0) & (c < size)
+    c = np.where(known, c, 0)
+    pointers = _coder(arrays, "pointers")
+    begin, end = pointers.at(c).astype(np.int64), pointers.at(c + 1).astype(np.int64)
+    end = np.where(known, end, begin)
+    base = np.zeros(len(c), _U)
+    later = np.flatnonzero(begin > 0)
+    base[later] = _coder(arrays, "keys").at(begin[later] - 1) + _U(1)
+    return begin, end, base
+
+
 class Trie:
-    def __init__(self, documents: int, tokens: int, least: int = LEAST):
-        self.least = least
+    def __init__(self, documents: int, tokens: int, least: int = LEAST, seed: int = 0):
+        self.least, self.seed = least, seed
         self.documents, self.tokens = documents, tokens  # training documents and training tokens
         self.words, self.pairs, self.triples = Level([]), Level([]), Level([])
-        self.fan = 1  # more than the successors of any word
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         """Add-half log10 probabilities."""
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.words.n + 1)))
 
-    def find_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of sorted hashes."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for rows, shard, arrays in self.words.parts(hashes):
+    def find_words(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids (-1: unknown) of sorted hashes."""
+        ids = np.full(len(hashes), -1, np.int64)
+        for rows, shard, arrays in self.words.parts(self.words.of(hashes, np.zeros(len(hashes), np.int64))):
             at, found = _coder(arrays, "keys").successor(hashes[rows])
             ids[rows] = np.where(found, at + self.words.before[shard], -1)
-            counts[rows] = np.where(found, arrays["n"][np.minimum(at, len(arrays["n"]) - 1)], 0)
-        return ids, counts
+        return ids
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of sorted word ids; the start mark, whose id follows the last, counts the documents."""
-        out = np.full(len(ids), self.documents, np.int64)
-        of = np.searchsorted(self.words.before, ids, "right") - 1
-        for shard in np.unique(of[ids < self.words.n]):
-            rows = (of == shard) & (ids < self.words.n)
-            out[rows] = _arrays(self.words.shards[shard][2])["n"][ids[rows] - self.words.before[shard]]
+        """Counts of word ids; unknown words have none, and the start mark, whose id follows the last, counts the documents."""
+        out = np.where(ids < 0, 0, self.documents)
+        for rows, shard, arrays in self.words.parts(np.where((ids >= 0) & (ids < self.words.n), np.searchsorted(self.words.before, ids, "right") - 1, -1)):
+            out[rows] = arrays["n"][ids[rows] - self.words.before[shard]]
         return out
 
-    def find(self, level: Level, contexts: np.ndarray, items: np.ndarray, width: int):
-        """For rising (context, item): place in the level (-1: none), code, and back-off code of the context."""
+    def find(self, level: Level, contexts: np.ndarray, items: np.ndarray):
+        """For each (context, item): place in the level (-1: none), code, and back-off code of the context."""
         place, code, off = np.full(len(contexts), -1, np.int64), np.zeros(len(contexts), np.uint16), np.zeros(len(contexts), np.uint16)
-        for rows, shard, arrays in level.parts(contexts.astype(_U)):
-            first = int(arrays["first"][0])
-            c = contexts[rows] - first
-            keys = c.astype(_U) * _U(width) + items[rows].astype(_U)
-            at, found = _coder(arrays, "keys").successor(keys)
+        for rows, shard, arrays in level.parts(level.of(contexts.astype(_U), items)):
+            some, back = np.unique(contexts[rows], return_inverse=True)
+            begin, end, base = (x[back] for x in _range(arrays, some))
+            at, found = _coder(arrays, "keys").successor(base + np.maximum(items[rows], 0).astype(_U), begin, end)
+            found &= items[rows] >= 0
             place[rows] = np.where(found, at + level.before[shard], -1)
             code[rows] = np.where(found, arrays["code"][np.minimum(at, len(arrays["code"]) - 1)], 0)
+            c = contexts[rows] - int(arrays["first"][0])
             off[rows] = np.where(c < len(arrays["off"]), arrays["off"][np.minimum(c, len(arrays["off"]) - 1)], 0)
         return place, code, off
 
-    def pairs_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, code and count of the pairs at places."""
-        first, code, n = np.zeros(len(places), np.int64), np.zeros(len(places), np.uint16), np.zeros(len(places), np.int64)
-        of = np.searchsorted(self.pairs.before, places, "right") - 1
-        for shard in np.unique(of):
-            rows, arrays = np.flatnonzero(of == shard), _arrays(self.pairs.shards[shard][2])
+    def of_pairs(self, places: np.ndarray, field: str) -> np.ndarray:
+        """``n`` or ``code`` of the pairs at places."""
+        out = np.zeros(len(places), np.int64)
+        for rows, shard, arrays in self.pairs.parts(np.searchsorted(self.pairs.before, places, "right") - 1):
+            out[rows] = arrays[field][places[rows] - self.pairs.before[shard]]
+        return out
+
+    def second(self, places: np.ndarray) -> np.ndarray:
+        """Second word of the pairs at rising places."""
+        out = np.zeros(len(places), np.int64)
+        for rows, shard, arrays in self.pairs.parts(np.searchsorted(self.pairs.before, places, "right") - 1):
             at = places[rows] - self.pairs.before[shard]
-            first[rows] = (_coder(arrays, "keys").at(at) // _U(self.words.n + 1)).astype(np.int64) + int(arrays["first"][0])
-            code[rows], n[rows] = arrays["code"][at], arrays["n"][at]
-        return first, code, n
+            begins = _coder(arrays, "pointers").at(np.arange(len(arrays["off"]) + 1)).astype(np.int64)
+            words, back = np.unique(np.searchsorted(begins, at, "right") - 1 + int(arrays["first"][0]), return_inverse=True)
+            out[rows] = (_coder(arrays, "keys").at(at) - _range(arrays, words)[2][back]).astype(np.int64)
+        return out
 
     def begins(self, words: np.ndarray) -> np.ndarray:
-        """Where the successors of rising word ids begin among the pairs; every word has some."""
+        """Where the successors of word ids that have some begin among the pairs."""
         out = np.zeros(len(words), np.int64)
-        for rows, shard, arrays in self.pairs.parts(words.astype(_U)):
-            out[rows] = _coder(arrays, "pointers").at(words[rows] - int(arrays["first"][0])).astype(np.int64) + self.pairs.before[shard]
+        for rows, shard, arrays in self.pairs.parts(self.pairs.begin(words.astype(_U))):
+            out[rows] = _range(arrays, words[rows])[0] + self.pairs.before[shard]
         return out
 
 
 class Tokens:
-    """A block of documents, with ids and what the levels hold of its n-grams. Only distinct n-grams are looked up."""
-
-    def __init__(self, trie: Trie, hashes: np.ndarray, sizes: np.ndarray):
-        distinct, back = np.unique(hashes, return_inverse=True)
-        ids, counts = trie.find_words(distinct)
-        self.trie, self.sizes = trie, sizes
-        self.starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        self.id, self.count = ids[back], counts[back]
-        self.id[self.starts] = trie.words.n
-        self.scored = np.ones(len(hashes), bool)
+    """A block of documents as ids, each document behind a start mark, and what the levels hold of its n-grams. Only distinct n-grams are looked up, by numbers of the block's own, which can't overflow."""
+
+    def __init__(self, trie: Trie, ids: np.ndarray, sizes: np.ndarray):
+        self.trie, self.sizes = trie, sizes + 1
+        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
+        self.scored = np.ones(int(self.sizes.sum()), bool)
         self.scored[self.starts] = False
+        self.id = np.full(len(self.scored), trie.words.n, np.int64)
+        self.id[self.scored] = ids
+        self.distinct, self.code = np.unique(self.id, return_inverse=True)
+        self.count = trie.counts_of(self.distinct)[self.code]
 
     def pairs(self) -> np.ndarray:
         """Positions whose word and word before may form a kept pair."""
-        known = np.r_[False, self.scored[1:] & (self.count[1:] >= self.trie.least) & (self.id[:-1] >= 0)]
-        often = np.r_[False, (self.count[:-1] >= self.trie.least) | ~self.scored[:-1]]
-        return np.flatnonzero(known & often)
+        often = (self.count >= self.trie.least) | ~self.scored
+        return np.flatnonzero(np.r_[False, self.scored[1:] & often[1:] & (self.id[1:] >= 0) & often[:-1] & (self.id[:-1] >= 0)])
+
+    def tallied_pairs(self):
+        """``ctx, item`` of the distinct pairs, and where each position's is."""
+        at = self.pairs()
+        keys, back, n = np.unique(self.code[at - 1] * len(self.distinct) + self.code[at], return_inverse=True, return_counts=True)
+        return at, self.distinct[keys // len(self.distinct)], self.distinct[keys % len(self.distinct)], back, n
 
     def look_up_pairs(self):
-        n, base = len(self.id), self.trie.words.n + 1
+        n = len(self.id)
         self.pair, self.pair_code, self.pair_off = np.full(n, -1, np.int64), np.zeros(n, np.uint16), np.zeros(n, np.uint16)
-        at = self.pairs()
-        keys, back = np.unique(self.id[at - 1] * base + self.id[at], return_inverse=True)
-        place, code, off = self.trie.find(self.trie.pairs, keys // base, keys % base, base)
+        at, ctx, item, back, _ = self.tallied_pairs()
+        place, code, off = self.trie.find(self.trie.pairs, ctx, item)
         self.pair[at], self.pair_code[at], self.pair_off[at] = place[back], code[back], off[back]
         # Words that aren't looked up as a pair still back off from a known word before.
-        rest = np.flatnonzero(np.r_[False, self.scored[1:] & (self.id[:-1] >= 0)] & ~np.isin(np.arange(n), at))
+        looked = np.zeros(n, bool)
+        looked[at] = True
+        rest = np.flatnonzero(np.r_[False, self.scored[1:] & (self.id[:-1] >= 0)] & ~looked)
         words, back = np.unique(self.id[rest - 1], return_inverse=True)
-        self.pair_off[rest] = self.trie.find(self.trie.pairs, words, np.zeros_like(words), base)[2][back]
+        self.pair_off[rest] = self.trie.find(self.trie.pairs, words, np.zeros_like(words))[2][back]
 
-    def triples(self) -> np.ndarray:
-        """Positions whose two pairs are kept."""
-        return np.flatnonzero(np.r_[False, (self.pair[1:] >= 0) & (self.pair[:-1] >= 0)])
+    def look_up_items(self):
+        """``item``: the place of a pair among its first word's pairs, where the pair before is kept too (else -1)."""
+        self.item = np.full(len(self.id), -1, np.int64)
+        at = np.flatnonzero(np.r_[False, (self.pair[1:] >= 0) & (self.pair[:-1] >= 0)])
+        words, back = np.unique(self.id[at - 1], return_inverse=True)
+        self.item[at] = self.pair[at] - self.trie.begins(words)[back]
+        return at
 
-    def scores(self) -> tuple[np.ndarray, np.ndarray]:
-        """Base and model log10 probabilities of each document."""
+    def scores(self) -> np.ndarray:
+        """Model log10 probability of each document."""
         if not self.trie.tokens:
-            zero = np.zeros(len(self.sizes))
-            return zero, zero
+            return np.zeros(len(self.sizes))
         one = self.trie.unigram(self.count)
         self.look_up_pairs()
+        self.look_up_items()
         logp = np.where(self.pair >= 0, restored(self.pair_code), restored(self.pair_off) + one)
         after = np.flatnonzero(np.r_[False, self.pair[:-1] >= 0] & self.scored)
         # Third words that can't be kept only take the pair's back-off weight.
-        at, width = self.triples(), self.trie.fan
-        words, back = np.unique(self.id[at - 1], return_inverse=True)
-        items = np.full(len(self.id), -1, np.int64)
-        items[at] = self.pair[at] - self.trie.begins(words)[back]
-        keys, back = np.unique(self.pair[after - 1] * width + np.maximum(items[after], 0), return_inverse=True)
-        place, code, off = self.trie.find(self.trie.triples, keys // width, keys % width, width)
-        found = (place[back] >= 0) & (items[after] >= 0)
-        logp[after] = np.where(found, restored(code[back]), logp[after] + restored(off[back]))
-        add = lambda x: np.add.reduceat(np.where(self.scored, x, 0.0), self.starts)
-        return add(one), add(logp)
+        pairs, code = np.unique(self.pair[after - 1], return_inverse=True)
+        items, which = np.unique(self.item[after], return_inverse=True)
+        keys, back = np.unique(code * len(items) + which, return_inverse=True) if len(after) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        size = max(len(items), 1)
+        place, codes, off = self.trie.find(self.trie.triples, pairs[keys // size], items[keys % size])
+        logp[after] = np.where(place[back] >= 0, restored(codes[back]), logp[after] + restored(off[back]))
+        return np.add.reduceat(np.where(self.scored, logp, 0.0), self.starts)
 
 
-def _tallied(keys: np.ndarray) -> pa.RecordBatch:
-    distinct, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+def _tallied(ctx: np.ndarray, item: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ctx, item, n)], ["ctx", "item", "n"])
 
 
-def _sharded(rows: DataFrame, build) -> Level:
+def _sharded(rows: DataFrame, build) -> list[dict]:
     """Cut written counts (``ctx, item, n``) into sorted shards and write each; the driver gets a row for each shard."""
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    parts = (rows.repartitionByRange(shards, "ctx") if shards > 1 else rows.repartition(1)).sortWithinPartitions("ctx", "item")
+    parts = (rows.repartitionByRange(shards, "ctx", "item") if shards > 1 else rows.repartition(1)).sortWithinPartitions("ctx", "item")
 
     def run(batches):
-        # A shard's rows: about SHARD_ROWS distinct n-grams, and those of one context stay together.
-        got = [b for b in batches if b.num_rows]
+        got = [b for b in batches if b.num_rows]  # a shard's rows: about SHARD_ROWS
         if got:
-            ctx, item, n = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("ctx", "item", "n"))
-            first, path = build(ctx, item, n)
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([len(ctx)], pa.int64()), pa.array([path])], ["first", "n", "path"])
+            found = build(*(np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("ctx", "item", "n")))
+            yield pa.RecordBatch.from_pylist([found], schema=_SHARD)
+
+    return [r.asDict() for r in parts.mapInArrow(run, "ctx long, item long, last long, n long, path string, sums array<long>").collect()]
+
 
-    return Level([(r["first"] % (1 << 64), r["n"], r["path"]) for r in parts.mapInArrow(run, "first long, n long, path string").collect()])
+_SHARD = pa.schema([(k, pa.int64()) for k in ("ctx", "item", "last", "n")] + [("path", pa.string()), ("sums", pa.list_(pa.int64()))])
 
 
-def _leveled(folder: str, ctx: np.ndarray, item: np.ndarray, n: np.ndarray, total: np.ndarray, lower: np.ndarray, width: int) -> tuple[int, str]:
-    """Write a shard of pairs or triples. ``total``: count of each row's context; ``lower``: log10 probability below."""
+def _leveled(folder: str, ctx: np.ndarray, item: np.ndarray, n: np.ndarray, coded) -> dict:
+    """Write a shard of pairs or triples. ``coded`` gives code and back-off code from the sums of a context."""
     first, last = int(ctx[0]), int(ctx[-1])
     begin = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-    weight = np.maximum(1 - np.add.reduceat(n - DISCOUNT, begin) / total[begin], 10.0**-LOWEST)
-    of = np.repeat(weight, np.diff(np.r_[begin, len(ctx)]))
+    ends = np.r_[begin[1:], len(ctx)]
+    sums, types = np.add.reduceat(n, begin), ends - begin
+    tops = item[ends - 1].astype(_U) + _U(1)
+    base = np.r_[_U(0), np.cumsum(tops)[:-1]].astype(_U)
+    code, weight = coded(ctx, item, n, np.repeat(sums, types), np.repeat(types, types))
     off = np.zeros(last - first + 1, np.uint16)
-    off[ctx[begin] - first] = quantised(np.log10(weight))
-    arrays = {"first": np.array([first], np.int64), "n": n, "code": quantised(np.log10((n - DISCOUNT) / total + of * 10.0**lower)), "off": off}
-    arrays |= {f"keys_{k}": v for k, v in encode((ctx - first).astype(_U) * _U(width) + item.astype(_U)).items()}
+    off[ctx[begin] - first] = weight[begin]
+    arrays = {"first": np.array([first], np.int64), "n": n, "code": code, "off": off}
+    arrays |= {f"keys_{k}": v for k, v in encode(item.astype(_U) + np.repeat(base, types)).items()}
     arrays |= {f"pointers_{k}": v for k, v in encode(np.searchsorted(ctx, np.arange(first, last + 2)).astype(_U)).items()}
-    return first, _write(folder, arrays)
+    return {"ctx": first, "item": int(item[0]), "last": last, "n": len(ctx), "path": _write(folder, arrays), "sums": [int(x) for x in (sums[0], types[0], sums[-1], types[-1])]}
 
 
-def trained(training: DataFrame, least: int = LEAST) -> Trie:
-    """Count the training texts and write the trie's levels to the shared folder."""
-    target = urlparse(shared_path(training.sparkSession, "trie"))
-    if target.scheme not in ("", "file"):
-        raise ValueError("the trie needs a shared folder that executors have mounted (spark.checkpoint.dir as file:)")
-    folder, docs = target.path, _words(training)
+def _joined(spark: SparkSession, folder: str, shards: list[dict], coded) -> Level:
+    """The level; shards whose first or last context goes on in another are written anew with the sums over all of it."""
+    totals: dict[int, list[int]] = {}
+    for s in shards:
+        for c, (n, types) in ({s["ctx"]: s["sums"][:2]} | {s["last"]: s["sums"][2:]}).items():
+            got = totals.setdefault(c, [0, 0, 0])
+            totals[c] = [got[0] + n, got[1] + types, got[2] + 1]
+    divided = {c: t[:2] for c, t in totals.items() if t[2] > 1}
+    todo = [(s["path"], c, *divided[c]) for s in shards for c in sorted({s["ctx"], s["last"]}) if c in divided]
+
+    def run(batches):
+        for batch in batches:
+            for path in dict.fromkeys(batch.column("path").to_pylist()):
+                arrays = {k: v.copy() for k, v in _arrays(path).items()}
+                for c, n, types in ((r["c"], r["n"], r["types"]) for r in batch.to_pylist() if r["path"] == path):
+                    begin, end, base = (int(x[0]) for x in _range(arrays, np.array([c])))
+                    at = np.arange(begin, end)
+                    item = (_coder(arrays, "keys").at(at) - _U(base)).astype(np.int64)
+                    same = np.ones(len(at), np.int64)
+                    code, weight = coded(same * c, item, arrays["n"][begin:end], same * n, same * types)
+                    arrays["code"][begin:end], arrays["off"][c - int(arrays["first"][0])] = code, weight[0]
+                yield pa.RecordBatch.from_pydict({"old": [path], "new": [_write(folder, arrays)]})
+
+    moved = {}
+    if todo:
+        rows = spark.createDataFrame(todo, "path string, c long, n long, types long")
+        moved = dict(rows.repartition(len({t[0] for t in todo}), "path").mapInArrow(run, "old string, new string").collect())
+    return Level([Shard((s["ctx"] % (1 << 64), s["item"]), s["last"] % (1 << 64), s["n"], moved.get(s["path"], s["path"])) for s in shards])
+
+
+def vocabulary(training: DataFrame, folder: str, least: int = LEAST) -> Trie:
+    """The level of words. Words are counted as they are, and get a hash that no other has."""
+    words = cut(training.select(F.explode(_tokens()).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    hashed = lambda seed: words.select(F.xxhash64("word", F.lit(seed)).alias("ctx"), F.lit(0).cast("long").alias("item"), "n")
+    seed = next(s for s in itertools.count() if hashed(s).groupBy("ctx").count().where("count > 1").isEmpty())
+    trie = Trie(training.count(), words.agg(F.sum("n")).first()[0] or 0, least, seed)
+
+    def build(keys, _, n):
+        keys = keys.view(_U) ^ _TOP
+        return {"ctx": int(keys[:1].view(np.int64)[0]), "item": 0, "last": int(keys[-1:].view(np.int64)[0]), "n": len(n), "path": _write(folder, {"n": n, **{f"keys_{k}": v for k, v in encode(keys).items()}}), "sums": []}
+
+    trie.words = Level([Shard((s["ctx"] % (1 << 64), 0), s["last"] % (1 << 64), s["n"], s["path"]) for s in _sharded(hashed(seed), build)])
+    return trie
 
-    def counts(run, least, base, name):
-        found = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return cut(found.select(F.expr(f"key div {base}L").alias("ctx"), F.expr(f"key % {base}L").alias("item"), "n"), name)
 
-    def words_of(batches):
-        for _, hashes, sizes in _blocks(batches):
-            scored = np.ones(len(hashes), bool)
-            scored[np.r_[0, np.cumsum(sizes)[:-1]]] = False
-            yield _tallied((hashes[scored] ^ _TOP).view(np.int64))
+def indexed(docs: DataFrame, trie: Trie, *keep) -> DataFrame:
+    """``keep`` columns, ``n_tokens``, ``n_known``, ``base_score`` and ``ids`` (-1: unknown) of each whole text."""
+    wide = trie.words.n >= 1 << 31
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("ids", T.ArrayType(T.LongType() if wide else T.IntegerType()))
+    names = schema.names[:-4]
 
-    words = cut(docs.mapInArrow(words_of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).select(F.col("key").alias("ctx"), F.lit(0).cast("long").alias("item"), "n"), "words")
-    trie = Trie(training.count(), words.agg(F.sum("n")).first()[0] or 0, least)
+    def run(batches):
+        for part, hashes, sizes in _blocks(batches, "_hashes"):
+            distinct, back = np.unique(hashes.view(_U) ^ _TOP, return_inverse=True)
+            found = trie.find_words(distinct)
+            one, starts = (trie.unigram(trie.counts_of(found)) if trie.tokens else np.zeros(len(found)))[back], np.r_[0, np.cumsum(sizes)[:-1]]
+            ids = found[back]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids if wide else ids.astype(np.int32)))
+            numbers = [pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((ids >= 0).astype(np.int64), starts)), pa.array(np.add.reduceat(one, starts))]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *numbers, lists], schema.names)
 
-    def word_shard(keys, _, n):
-        keys = keys.view(_U) ^ _TOP
-        return int(keys[:1].view(np.int64)[0]), _write(folder, {"n": n, **{f"keys_{k}": v for k, v in encode(keys).items()}})
+    return docs.select(*keep, F.transform(_tokens(), lambda w: F.xxhash64(w, F.lit(trie.seed))).alias("_hashes")).mapInArrow(run, schema)
 
-    trie.words = _sharded(words, word_shard)
-    base = trie.words.n + 1
+
+def grown(trie: Trie, ids: DataFrame, folder: str) -> Trie:
+    """The trie with pairs and triples of the written training ``ids``."""
+    spark, ids = ids.sparkSession, ids.select("ids")
+
+    def counts(run, name):
+        return cut(ids.mapInArrow(run, "ctx long, item long, n long").groupBy("ctx", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= trie.least), name)
 
     def pairs_of(batches):
-        for _, hashes, sizes in _blocks(batches):
-            block = Tokens(trie, hashes, sizes)
-            at = block.pairs()
-            yield _tallied(block.id[at - 1] * base + block.id[at])
+        for _, values, sizes in _blocks(batches, "ids"):
+            _, ctx, item, _, n = Tokens(trie, values.astype(np.int64), sizes).tallied_pairs()
+            yield _tallied(ctx, item, n)
+
+    def coded(ctx, item, n, sums, types, total, lower):
+        weight = np.maximum(1 - (sums - DISCOUNT * types) / total, 10.0**-LOWEST)
+        return quantised(np.log10((n - DISCOUNT) / total + weight * 10.0**lower)), quantised(np.log10(weight))
 
-    def pair_shard(ctx, item, n):
-        return _leveled(folder, ctx, item, n, trie.counts_of(ctx), trie.unigram(trie.counts_of(item)), base)
+    def coded_pairs(ctx, item, n, sums, types):
+        return coded(ctx, item, n, sums, types, trie.counts_of(ctx), trie.unigram(trie.counts_of(item)))
 
-    pairs = counts(pairs_of, least, base, "pairs")
-    trie.fan = (pairs.groupBy("ctx").count().agg(F.max("count")).first()[0] or 0) + 1
-    trie.pairs = _sharded(pairs, pair_shard)
-    kept = max(trie.pairs.n, 1)
+    trie.pairs = _joined(spark, folder, _sharded(counts(pairs_of, "pairs"), lambda *x: _leveled(folder, *x, coded_pairs)), coded_pairs)
 
     def triples_of(batches):
-        for _, hashes, sizes in _blocks(batches):
-            block = Tokens(trie, hashes, sizes)
+        for _, values, sizes in _blocks(batches, "ids"):
+            block = Tokens(trie, values.astype(np.int64), sizes)
             block.look_up_pairs()
-            at = block.triples()
-            yield _tallied(block.pair[at - 1] * kept + block.pair[at])
+            at = block.look_up_items()
+            pairs, code = np.unique(block.pair[at - 1], return_inverse=True)
+            size = int(block.item[at].max()) + 1 if len(at) else 1
+            items, which = np.unique(block.item[at], return_inverse=True) if size * max(len(pairs), 1) >= 1 << 62 else (np.arange(size), block.item[at])
+            keys, n = np.unique(code * len(items) + which, return_counts=True)
+            yield _tallied(pairs[keys // len(items)], items[keys % len(items)], n)
+
+    def coded_triples(ctx, item, n, sums, types):
+        # The middle word of a context is known by the pair that an item stands for.
+        contexts, back = np.unique(ctx, return_inverse=True)
+        total = trie.of_pairs(contexts, "n")[back]
+        second, where = np.unique(trie.second(contexts), return_inverse=True)
+        lower = restored(trie.of_pairs(trie.begins(second)[where][back] + item, "code"))
+        return coded(ctx, item, n, sums, types, total, lower)
+
+    trie.triples = _joined(spark, folder, _sharded(counts(triples_of, "triples"), lambda *x: _leveled(folder, *x, coded_triples)), coded_triples)
+    return trie
 
-    def triple_shard(ctx, item, n):
-        _, _, total = trie.pairs_at(ctx)
-        middle, code, _ = trie.pairs_at(item)
-        words, back = np.unique(middle, return_inverse=True)
-        return _leveled(folder, ctx, item - trie.begins(words)[back], n, total, restored(code), trie.fan)
 
-    trie.triples = _sharded(counts(triples_of, least, kept, "triples"), triple_shard)
-    return trie
+def _folder(spark: SparkSession) -> str:
+    target = urlparse(shared_path(spark, "trie"))
+    if target.scheme not in ("", "file"):
+        raise ValueError("the trie needs a shared folder that executors have mounted (spark.checkpoint.dir as file:)")
+    return target.path
 
 
-def scored(docs: DataFrame, trie: Trie) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` of each whole text."""
+def trained(training: DataFrame, least: int = LEAST) -> Trie:
+    """Count the training texts and write the trie's levels to the shared folder."""
+    folder = _folder(training.sparkSession)
+    trie = vocabulary(training, folder, least)
+    return grown(trie, cut(indexed(training, trie), "ids"), folder)
+
+
+def scored(rows: DataFrame, trie: Trie) -> DataFrame:
+    """Indexed texts with ``score`` in place of their ids."""
+    names = [c for c in rows.columns if c != "ids"]
 
     def run(batches):
-        for part, hashes, sizes in _blocks(batches):
-            block = Tokens(trie, hashes, sizes)
-            known = np.add.reduceat((block.scored & (block.count > 0)).astype(np.int64), block.starts)
-            base, score = block.scores()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes - 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        for part, values, sizes in _blocks(batches, "ids"):
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(Tokens(trie, values.astype(np.int64), sizes).scores())], [*names, "score"])
+
+    return rows.mapInArrow(run, rows.select(*names).schema.add("score", "double"))
 
-    schema = docs.select("doc_id").schema
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
-        schema = schema.add(name, kind)
-    return _words(docs, "doc_id").mapInArrow(run, schema)
+
+def scored_texts(docs: DataFrame, trie: Trie) -> DataFrame:
+    """``doc_id, n_tokens, n_known, base_score, score`` of each whole text."""
+    return scored(indexed(docs, trie, "doc_id"), trie)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str, least: int = LEAST) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    trie = trained(docs.where(crc_mod("doc_id", 5) != 1), least)
-    return scored(docs, trie).select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    held_out = (crc_mod("doc_id", 5) == 1).alias("held_out")
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text", held_out), _folder(spark)
+    trie = vocabulary(docs.where("NOT held_out"), folder, least)
+    ids = cut(indexed(docs, trie, "doc_id", "held_out"), "ids")  # texts are cut into words once more, for all that follows
+    grown(trie, ids.where("NOT held_out"), folder)
+    return scored(ids, trie).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
