@@ -93,10 +93,12 @@ def made_page(r: Random) -> list[tuple[str, list[str], int, int]]:
     if r.random() < 0.7:
         body.insert(0, f"<h1>{text(1, 12)}</h1>")
     shape = r.random()
-    if shape < 0.6:
+    if shape < 0.55:
         body = ["<article>", *body, "</article>"]
-    elif shape < 0.75:
+    elif shape < 0.7:
         body = ["<main>", *body, "</main>"]
+    elif shape > 0.9:  # paragraphs right in the body
+        body = [*body]
     else:
         body = [f'<div {r.choice(["class", "id"])}="{r.choice(MAIN)}">', *body, "</div>"]
     if r.random() < 0.3:
