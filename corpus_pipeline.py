@@ -2,6 +2,11 @@
 
 Documents rejected by the quality rules go, of equal texts one stays, of each near-duplicate class one stays, domains are
 thinned to their target weights, and what is left gets its token ids.
+
+Nulls: a null text counts as empty and fails the quality rules; a null id, language or source passes through. Repeated
+rows and ids: of equal texts one row stays, whatever its ids. Ties: the stages name theirs. Very long texts are read
+whole. Extra columns pass through, but one named ``token_ids`` or ``n_tokens`` gives way to the last stage's. An empty
+table gives an empty result with the columns of a full one.
 """
 
 from __future__ import annotations
