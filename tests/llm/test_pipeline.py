@@ -1,11 +1,22 @@
-"""The pipeline against a plain version of its stages."""
+"""The pipeline against a plain version of its stages, and on odd tables."""
+
+import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tests.conftest import duck
+from tests.llm.test_native_ops import SMALL, odd_rows
 from wattscan.llm import bpe, mixing, near_dup, quality
 from wattscan.llm.common import cut, table
 
-SMALL = "/root/testdata/sf0.001"
+
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return lambda text: library.encode(text, add_special_tokens=False).ids
 
 
 def test_pipeline_equals_stages_done_plainly(spark):
@@ -19,11 +30,49 @@ def test_pipeline_equals_stages_done_plainly(spark):
     rows = cut(table(spark, SMALL, "documents").where(f"doc_id IN ({', '.join(map(str, kept))})"))
     kept = {r.class_id for r in near_dup.near_classes(rows).collect()}
     rows = cut(rows.where(f"doc_id IN ({', '.join(map(str, kept))})"))
-    taken = mixing.mixed(rows, table(spark, SMALL, "labels")).collect()
+    judged = cut(mixing.posteriors(rows, mixing.fitted(rows, table(spark, SMALL, "labels")), "doc_id"))
+    steps = mixing.fit_rates(judged, wanted=mixing.WANTED).steps
     chances = {r.doc_id: r.c for r in rows.select("doc_id", mixing.chance().alias("c")).collect()}
-    kept = {r.doc_id for r in taken if r.rate + chances[r.doc_id] >= 1}
-    library = bpe.WordBpe(bpe.vocabulary())
-    got = corpus_pipeline.run(spark, SMALL).collect()
+    kept = {r.doc_id for r in judged.withColumn("rate", mixing.rate(steps)).collect() if r.rate + chances[r.doc_id] >= 1}
+    got, encode = corpus_pipeline.run(spark, SMALL).collect(), tokenizer()
     assert {r.doc_id for r in got} == kept and len(got) == len(kept)
     for r in got:
-        assert r.text == docs[r.doc_id].text and r.token_ids == library.encode(r.text).tolist() and r.n_tokens == len(r.token_ids)
+        assert r.text == docs[r.doc_id].text and r.token_ids == encode(r.text) and r.n_tokens == len(r.token_ids)
+
+
+def write(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, SMALL, "labels").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, copies, repeated rows and columns of names that stages use."""
+    r = random.Random(4)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    a, b = words(300), words(80)
+    rows = [(1, a, "en", "s"), (2, a, None, "s"), (3, a.replace(" ", "  ", 5), "en", None), (4, a + " end", "en", "s"), (5, b, "de", "t"), (5, b, "de", "t"), (None, words(90), None, None), (None, None, "en", "s"), (8, "", "en", "s"), (9, words(30_000), "fr", "u"), (10, words(40), "fr", "u"), (11, words(12), "fr", "u")]
+    docs = spark.createDataFrame([(*x, 7, 1, 2.0, "z", [3]) for x in rows], "doc_id long, text string, lang string, source string, n_words int, kept int, rate double, _doc string, token_ids array<int>")
+    got = corpus_pipeline.run(spark, write(spark, tmp_path, docs)).collect()
+    assert {x.doc_id for x in got} <= {None, 2, 5, 9, 10, 11}
+    texts = [x.text for x in got]
+    assert len(set(texts)) == len(texts) >= 4
+    encode = tokenizer()
+    assert all(x.token_ids == encode(x.text) for x in got if len(x.text) < 5000)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    docs = table(spark, SMALL, "documents").limit(0)
+    got = corpus_pipeline.run(spark, write(spark, tmp_path, docs))
+    assert got.count() == 0 and got.columns == [*docs.columns, "token_ids", "n_tokens"]
+
+
+def test_every_stage_keeps_columns_and_takes_odd_rows(spark):
+    rows = odd_rows(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, SMALL)
+        assert out.columns == rows.columns, name
+        assert out.exceptAll(rows).count() == 0, name  # nothing is made up, and no row comes twice
+        assert stage(spark, rows.limit(0), SMALL).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, rows.drop("kept"), SMALL).count() == rows.count()
+    assert rows.where(F.col("doc_id").isNull()).count() == 2
