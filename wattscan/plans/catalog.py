@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from wattscan import project
+from wattscan.functions.shared import shared_dir
 from wattscan.functions.text import anchor, blank_comments, escaped, relative, with_parts
 from wattscan.operators import baseline, globs, incremental, pyfacts, summary
 from wattscan.operators.rules import RULES, SEVERITIES, Rule, drop_rule, languages, register_rule, rules_table
@@ -55,9 +56,7 @@ def _pruned(spark, sf_dir):
 
 def _streamed(spark, sf_dir):
     """The corpus as a table of changes, scanned in micro-batches: some files had other text before, others are deleted."""
-    # The stream's folders are in the shared folder where the cluster names one.
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wattscan-stream-")
-    work = f"{base}/wattscan-stream-{abs(hash(sf_dir)) % 10**9}-{spark.sparkContext.startTime}-{next(_TURN)}"
+    work = f"{shared_dir(spark)}/wattscan-stream-{uuid.uuid4().hex}"
     row = lambda path, version, text, deleted=False: F.struct(path.alias("path"), F.lit(version).cast("long").alias("version"), text.alias("text"), F.lit(deleted).alias("deleted"))
     path, text, old = F.col("path"), F.col("text"), F.lit("from old import *\nSELECT * FROM old;\n")
     gone = F.concat(F.lit("gone/"), path)
@@ -113,14 +112,6 @@ def _summary(spark, sf_dir):
     return summary.summarise(_all(spark, sf_dir)).withColumn("by_rule", busiest)
 
 
-def _turns():
-    n = 0
-    while True:
-        yield (n := n + 1)
-
-
-_TURN = _turns()
-
 QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
     "scan_all": lambda s, d: _all(s, d).select(*BRIEF),
     "scan_disabled": lambda s, d: _all(s, d, disable=("GL005", "GL028")).select(*BRIEF),
