@@ -154,6 +154,7 @@ def test_language_spans_and_odd_rows(spark):
     got = language_id.identified(odd_rows(spark), model).collect()
     assert len(got) == 9 and {r.lang_pred for r in got if r.doc_id in (1, 2, 8)} == {"und"}
     assert model.judge(["12 !?", "привет"])[0][0] == "und"
+    assert model.judge(["\u0301\u0302 \u0300", "\u0301"]) == (["und", "und"], [0.0, 0.0])
     untrained = language_id.fitted(docs.limit(0))
     assert untrained.judge(["some text"]) == (["und"], [0.0])
 

@@ -5,8 +5,8 @@ of part boundaries and the ranks of adjacent parts: find the least rank, delete
 beside it. That is quadratic in a word's length, so words of over ``SHORT`` bytes keep their candidates in a heap, with
 the same merges. Words repeat, so each Python worker remembers a bounded number of them.
 
-Nulls: a null text counts as empty; an empty text has no tokens and decodes to an empty text. Texts are read whole.
-Repeated rows give repeated results, other columns (null or not) pass through, but one that has an output's name gives way
+Nulls: a null text counts as empty; an empty text has no tokens and decodes to an empty text. Very long texts are read whole. Ties of ranks can't occur but for equal pairs, of which the left one merges first.
+Repeated rows give repeated results, extra columns (null or not) pass through, but one that has an output's name gives way
 to it. An empty table gives an empty result with the same schema.
 """
 

@@ -1,4 +1,7 @@
-"""Leaf blocks of an HTML page: runs of text between block-level tags, each with the tags and classes above it."""
+"""Leaf blocks of an HTML page: runs of text between block-level tags, each with the tags and classes above it.
+
+An empty page has no blocks; a broken or very long one is read to its end. Blocks come in page order, so there are no ties.
+"""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@ trained on made-up pages, whose layout and words come from rules with a fixed se
 broadcast.
 
 Nulls: null html counts as empty and gives an empty text; null ids and URLs pass through. Repeated rows give repeated
-results. Every block of any page is read, however long. Extra columns are ignored by the query. An empty table gives an
+results. Every block of any page is read, however long; a block whose chance is just a half (a tie) is left out. Extra columns are ignored by the query. An empty table gives an
 empty result.
 """
 

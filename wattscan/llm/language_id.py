@@ -7,7 +7,7 @@ that spans of one language come out of mixed text. A document's language is the
 Counts come from a bounded, documented number of training documents; learning never sees ids, sources or other rows'
 languages. Nulls: a null text, or one without letters, is ``und`` with a score of 0; null languages aren't learned from.
 Ties go to the language that sorts first. Without any training rows every text is ``und``. Repeated rows are judged
-alike. Texts are read whole, in blocks of words. Extra columns are ignored. An empty table gives an empty result.
+alike. Very long texts are read whole, in blocks of words. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ SWITCH = 12.0
 #: A word's evidence is bounded, so that no single odd word turns a span.
 MOST = 12.0
 ROWS = 1000
-WORDS = regex.compile(r"[\p{L}\p{M}]+")
+#: Marks without a letter are no word.
+WORDS = regex.compile(r"\p{M}*+\p{L}[\p{L}\p{M}]*+")
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ the corpus's, so small groups follow the larger ones by degrees. A share fails a
 than ``OCCURRENCES``, so that a short text is not rejected for one mark.
 
 Nulls: a null text has no words; null language or source is a group of its own; a null id is kept as it is. Repeated rows
-are judged alike; a share at its limit passes. Texts with no word fail the base rule. Very long texts are measured whole.
+are judged alike. Ties: a share at its limit passes. Texts with no word fail the base rule. Very long texts are measured whole.
 Extra columns are ignored by the query and kept by the stage. An empty table gives an empty result.
 """
 

@@ -4,8 +4,8 @@ The regression is trained on a small labelled table of URLs; ``labelled_urls`` b
 names, from no table, and any table with ``url`` and ``bad`` can take its place. Everything stays in the JVM.
 
 Nulls: a null URL, or one without ``://``, has an empty host and path and gets the regression's verdict on empty text,
-which is ``allow``. Repeated rows are judged alike, longest rules win and rules of one length that both fit are the same
-rule. A very long URL is read whole. Extra columns are ignored. An empty table gives an empty result; an empty training table blocks nothing.
+which is ``allow``. Repeated rows are judged alike, longest rules win (ties: rules of one length that both fit are the
+same rule), and a score of just a half allows. A very long URL is read whole. Extra columns are ignored. An empty table gives an empty result; an empty training table blocks nothing.
 """
 
 from __future__ import annotations
