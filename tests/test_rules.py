@@ -162,13 +162,14 @@ def test_reuse_and_config(spark):
 
 def test_stream_takes_last_versions(spark, tmp_path):
     """Two versions in one batch, a version and its deletion, and a deletion in a later batch."""
-    from wattscan.streaming.rescan import CHANGES, current, stream_scan
+    from wattscan.streaming.rescan import CHANGES, current, progress, stream_scan
 
     bad, good, work = "from a import *\n", "x = 1\n", str(tmp_path)
     for rows in ([("a.py", 1, bad, False), ("a.py", 2, good, False), ("b.py", 1, bad, False), ("b.py", 2, None, True), ("c.py", 1, bad, False), ("d.py", 2, bad, False), ("d.py", 1, good, None)], [("c.py", 2, None, True)]):
         spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(f"{work}/changes")
         stream_scan(spark, f"{work}/changes", f"{work}/found", f"{work}/state").awaitTermination()
     assert [(r.file, r.rule) for r in current(spark, f"{work}/found").collect()] == [("d.py", "GL028")]
+    assert [(r.batch, r.files) for r in progress(spark, f"{work}/found").collect()] == [(0, 4), (1, 1)]
 
 
 def test_corpus_holds_whole_documents(spark):

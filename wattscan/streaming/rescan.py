@@ -39,3 +39,9 @@ def current(spark: SparkSession, out_dir: str) -> DataFrame:
     rows = spark.read.parquet(out_dir)
     top = rows.groupBy("file").agg(F.max("version").alias("version"))
     return rows.join(top, ["file", "version"]).where(F.col("rule").isNotNull()).drop("batch", "version")
+
+
+def progress(spark: SparkSession, out_dir: str) -> DataFrame:
+    """What each micro-batch added: ``batch, files, findings``. The batches together hold what one scan of all would."""
+    rows = spark.read.parquet(out_dir)
+    return rows.groupBy("batch").agg(F.count_distinct("file").alias("files"), F.count("rule").alias("findings")).orderBy("batch")
