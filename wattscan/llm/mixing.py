@@ -45,7 +45,7 @@ STEM = 4
 #: Of the fit: passes over the sample, learning rate, and L1 and L2 penalties.
 EPOCHS, RATE, SPARSE, RIDGE = 6, 0.5, 5.0, 0.1
 STEPS = 25
-#: Steps end when every domain is within this share of its target.
+#: Steps end when every domain is within this share of its target, or within a tenth of it of all wanted tokens.
 CLOSE = 1e-3
 #: A strict fit raises when a domain is further from its target, as a share of all wanted tokens.
 TOLERANCE = 0.01
@@ -240,7 +240,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, tokens:
         miss = np.abs(now - want).max() / max(want.sum(), 1.0)
         if miss < best[0]:
             best = (miss, list(steps), now)
-        if np.all(np.abs(now - want) <= CLOSE * np.maximum(want, 1.0)) or len(steps) == STEPS or not moved.any():
+        if np.all(np.abs(now - want) <= CLOSE * np.maximum(np.maximum(want, want.sum() / 10), 1.0)) or len(steps) == STEPS or not moved.any():
             break
         ridge = 1e-6 * np.trace(moved) * np.eye(len(want))
         steps.append(np.linalg.solve(moved + ridge, now - want).tolist())
