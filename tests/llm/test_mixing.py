@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -61,6 +62,27 @@ def test_scores_equal_plain_sums():
     assert np.allclose(mixing.scores(model, np.concatenate(documents), starts), plain)
 
 
+def test_terms_equal_plain_words():
+    """Words, stems and shapes of whole texts, hashed byte by byte."""
+    top, mul, more = (1 << 64) - 1, int(mixing._MUL), int(mixing._MORE)
+
+    def slot(data, kind):
+        h = sum((c + 1) * pow(mul, i + 1, 1 << 64) for i, c in enumerate(data)) & top
+        h = (h + kind) * more & top
+        return ((h ^ h >> 31) * mul & top) >> 64 - 18
+
+    def plain(text):
+        low = text.lower()
+        words = [w.encode() for w in re.split("[ \t-\r]+", low.translate(str.maketrans("", "", mixing.PUNCTUATION))) if w]
+        shapes = [re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[0-9]+", b"9", w.encode())) for w in re.split("[ \t-\r]+", low) if w]
+        return len(words), sorted({slot(w, 0) for w in words} | {slot(w[: mixing.STEM], 1) for w in words} | {slot(x, 2) for x in shapes})
+
+    texts = ["", "  ", "Ab ab, (x)", "...", "D\u00e9j\u00e0 VU 12.5% a1b22", "long" * 500 + " z", "a\tb\x0bc\u00a0d", "\u0130x \u00df", "\x00 a"]
+    n, slots, starts = mixing.terms(texts)
+    assert [(int(k), slots[a:b].tolist()) for k, a, b in zip(n, starts, starts[1:])] == [plain(t) for t in texts]
+    assert mixing.FEATURES == 1 << 18
+
+
 def test_posteriors_of_held_out_labels(spark):
     """Fitted on labels of half the ids, judged on the other half; surer posteriors are righter."""
     docs, labels = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")

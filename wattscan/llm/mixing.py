@@ -7,7 +7,7 @@ A step moves every rate along its document's posteriors and is scaled by the inv
 totals (the Gram matrix of the documents whose rate is above zero), so few steps are needed. Totals and that matrix are
 sums over documents: each step is one pass over a narrow written table, and a rate follows from the posteriors and steps.
 
-The classifier is a multinomial regression on which distinct words, word stems (``STEM`` letters, beside the whole words)
+The classifier is a multinomial regression on which distinct words, word stems (``STEM`` bytes, beside the whole words)
 and word shapes a text has, hashed to ``FEATURES`` slots; no word is left out. It is fitted, with an L1 penalty, on a bounded sample of labelled documents in one task, and
 its temperature on a tenth of them that the fit does not see, so posteriors are no surer than they are right.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattscan.llm.common import SPACE_CLASS, cut, table, text_of
+from wattscan.llm.common import cut, table
 
 DOMAINS = ["clean", "poor", "toxic"]
 #: Share of tokens that each domain should have.
@@ -41,6 +41,7 @@ TRAIN_ROWS = 20_000
 FEATURES = 1 << 18
 #: Dropped from words; what is left of a text are its tokens.
 PUNCTUATION = ".,;:!?\"'()"
+#: Bytes of a word that are its stem.
 STEM = 4
 #: Of the fit: passes over the sample, learning rate, and L1 and L2 penalties.
 EPOCHS, RATE, SPARSE, RIDGE = 6, 0.5, 5.0, 0.1
@@ -65,27 +66,58 @@ class Rates(NamedTuple):
     expected: dict[str, float]
 
 
-def _hashed(docs: DataFrame, *keep) -> DataFrame:
-    """Number of tokens ``n`` and the hashes ``terms`` of words, stems and word shapes (letters as ``a``, digits as ``9``)."""
-    text = text_of()
-    words = F.array_remove(F.split(F.translate(F.lower(text), PUNCTUATION, ""), f"[{SPACE_CLASS}]+"), "")
-    shapes = F.split(F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{Nd}+", "9"), f"[{SPACE_CLASS}]+")
-    terms = F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.transform(words, lambda w: F.xxhash64(F.substring(w, 1, STEM), F.lit("stem"))), F.transform(shapes, lambda s: F.xxhash64(s, F.lit("shape"))))
-    return docs.select(*keep, F.size(words).cast("long").alias("n"), terms.alias("terms"))
-
-
-def _slots(terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct slots of each document, one after the other, and where each document's begin."""
-    sizes = np.diff(terms.offsets.to_numpy())
-    of = np.repeat(np.arange(len(sizes)), sizes) * FEATURES
-    both = np.unique(of + (terms.flatten().to_numpy(zero_copy_only=False) & (FEATURES - 1)))
-    return both % FEATURES, np.searchsorted(both, np.arange(len(sizes) + 1) * FEATURES)
-
-
-def _sliced(batches, rows: int = 500):
+_U = np.uint64
+_MUL, _MORE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_BYTES = np.arange(256)
+_SPACE = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
+_MARK = np.isin(_BYTES, list(PUNCTUATION.encode()))
+#: A byte's part of a shape: letters (and what isn't ASCII) as ``a``, digits as ``9``, runs of both as one; the rest as it is.
+_SHAPE = np.where((_BYTES >= 128) | (_BYTES >= 97) & (_BYTES <= 122), 97, np.where((_BYTES >= 48) & (_BYTES <= 57), 57, _BYTES)).astype(np.uint8)
+
+
+def _word_hashes(chars: np.ndarray, *least: int) -> list[np.ndarray]:
+    """Where words start among the bytes (the last is a space), and hashes of the words, and of their first ``least`` bytes."""
+    space = _SPACE[chars]
+    first = ~space & np.r_[True, space[:-1]]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return [starts, *[np.empty(0, _U)] * (1 + len(least))]
+    at = np.arange(len(chars))
+    place = at - np.maximum.accumulate(np.where(first, at, 0))
+    powers = np.cumprod(np.full(int(place[~space].max()) + 1, _MUL))
+    values = np.where(space, _U(0), (chars.astype(_U) + _U(1)) * powers[np.where(space, 0, place)])
+    return [starts, np.add.reduceat(values, starts), *[np.add.reduceat(np.where(place < n, values, _U(0)), starts) for n in least]]
+
+
+def _slot(hashes: np.ndarray, kind: int) -> np.ndarray:
+    mixed = (hashes + _U(kind)) * _MORE
+    return ((mixed ^ (mixed >> _U(31))) * _MUL >> _U(64 - FEATURES.bit_length() + 1)).astype(np.int64)
+
+
+def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text; distinct slots of its words, stems and word shapes, text by text; and where each text's begin."""
+    parts = [t.lower().encode() for t in texts]
+    chars = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    plain = np.flatnonzero(~_MARK[chars])
+    shapes = _SHAPE[chars]
+    shown = np.flatnonzero(np.r_[True, shapes[1:] != shapes[:-1]] | (shapes != 97) & (shapes != 57))
+    starts, words, stems = _word_hashes(chars[plain], STEM)
+    at, shaped = _word_hashes(shapes[shown])
+    of, of_shape = np.searchsorted(ends, plain[starts], "right"), np.searchsorted(ends, shown[at], "right")
+    both = np.unique(np.concatenate([of * FEATURES + _slot(words, 0), of * FEATURES + _slot(stems, 1), of_shape * FEATURES + _slot(shaped, 2)]))
+    return np.bincount(of, minlength=len(texts)), both % FEATURES, np.searchsorted(both, np.arange(len(texts) + 1) * FEATURES)
+
+
+def _sliced(batches, rows: int = 200, size: int = 1 << 21):
+    """Slices of few rows and bytes (a longer text comes alone), with their texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        texts = [t or "" for t in batch.column("_text").to_pylist()]
+        ends, at = np.cumsum([0, *map(len, texts)]), 0
+        while at < len(texts):
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1), len(texts))
+            yield batch.slice(at, to - at), texts[at:to]
+            at = to
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -143,12 +175,12 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     drawn = known.where(F.pmod(F.xxhash64("labelled_id"), F.lit(1_000_000)) < int(part * 1_000_000))  # about train_rows ids: small enough to broadcast
 
     def reduced(batches):
-        for batch in _sliced(batches):
-            slots, starts = _slots(batch.column("terms"))
+        for batch, texts in _sliced(batches):
+            _, slots, starts = terms(texts)
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("place"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(slots.astype(np.int32)))], ["label", "place", "slots"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"))
-    rows = cut(_hashed(sample, "label", F.xxhash64("doc_id", "text").alias("place")).drop("n").mapInArrow(reduced, "label int, place long, slots array<int>"), "train")
+    rows = cut(sample.select("label", F.xxhash64("doc_id", "text").alias("place"), F.col("text").alias("_text")).mapInArrow(reduced, "label int, place long, slots array<int>"), "train")
     counts = dict(rows.groupBy("label").count().collect())  # a row for each domain
 
     if len(counts) < 2:
@@ -172,22 +204,18 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
 def posteriors(docs: DataFrame, model: Model, *keep) -> DataFrame:
     """``keep`` columns, ``_n`` (tokens) and ``p_<domain>`` of each whole text."""
-    docs = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES slots
 
     def run(batches):
-        for batch in _sliced(batches):
-            p = softmax(scores(shared.value, *_trimmed(_slots(batch.column("terms")))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], batch.column("n"), *[pa.array(p[:, d]) for d in range(len(DOMAINS))]], [*keep, "_n", *[f"p_{d}" for d in DOMAINS]])
+        for batch, texts in _sliced(batches):
+            n, slots, starts = terms(texts)
+            p = softmax(scores(shared.value, slots, starts[:-1]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n, pa.int64()), *[pa.array(p[:, d]) for d in range(len(DOMAINS))]], [*keep, "_n", *[f"p_{d}" for d in DOMAINS]])
 
     schema = docs.select(*keep).schema.add("_n", "long")
     for d in DOMAINS:
         schema = schema.add(f"p_{d}", "double")
-    return _hashed(docs, *keep).mapInArrow(run, schema)
-
-
-def _trimmed(found):
-    return found[0], found[1][:-1]
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def stepped(p: np.ndarray, steps: list[list[float]]) -> np.ndarray:
