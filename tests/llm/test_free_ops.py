@@ -96,6 +96,27 @@ def test_lm_equals_brute_force(spark, monkeypatch, shard_rows):
         assert r.score == pytest.approx(score, abs=2.5e-4 * len(t))
 
 
+def test_lm_hashes_equal_plain_words():
+    """Words of the bytes of texts against plain splitting, in blocks of any size."""
+    import pyarrow as pa
+
+    texts = ["", " ", "A b\tC", "aé É z", "x" * 300, "a b a", "\x00\u00a0 ", "b", "ab", "a  b "]
+    factors = [int(lm_score._factor(6 + i)) for i in range(2)]
+
+    def hashed(word, i):
+        return int(lm_score._mixed(np.array([sum((c + 1) * pow(factors[i], k + 1, 1 << 64) for k, c in enumerate(word)) % (1 << 64)], np.uint64))[0])
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = [[w.encode() for w in re.split("[ \t-\r]+", t.translate(lower)) if w] + [b"\t"] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["_text"])
+    for part in (batch, batch.slice(3, 5)):
+        got = list(lm_score._texts([part], 3))
+        of = want if part is batch else want[3:8]
+        assert [n for x in got for n in x[3].tolist()] == [len(w) for w in of]
+        for i in range(2):
+            assert [h for x in got for h in x[1 + i].tolist()] == [hashed(w, i) for t in of for w in t]
+
+
 def test_lm_whole_keeps_what_occurs_once(spark):
     """The unpruned trie against brute force, with pairs and triples seen once."""
     r = random.Random(8)

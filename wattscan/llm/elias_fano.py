@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_BYTE = np.arange(256, dtype=np.uint8)
-_ONES = np.unpackbits(_BYTE[:, None], axis=1).sum(1).astype(np.int64)
+_EACH, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
 #: Place of the k-th one of a byte.
 _PLACE = np.array([[*np.flatnonzero(np.unpackbits(np.uint8(b), bitorder="little")), *[0] * 8][:8] for b in range(256)], np.int64)
 
@@ -36,7 +35,7 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     place = (values >> _U(width)).astype(np.int64) + np.arange(n)
     buckets = (top >> width) + 1
     high = _packed(place >> 6, _U(1) << (place & 63).astype(_U), (n + buckets >> 6) + 1)
-    ones = _ONES[high.view(np.uint8).reshape(-1, 8)].sum(1)
+    ones = np.bitwise_count(high).astype(np.int64)
     return {"head": np.array([n, width, buckets], np.int64), "low": low, "high": high, "ranks": np.r_[0, np.cumsum(ones)].astype(np.int64)}
 
 
@@ -49,16 +48,17 @@ class EliasFano:
         self.zeros = np.arange(len(self.ranks), dtype=np.int64) * 64 - self.ranks
 
     def _select(self, k: np.ndarray, counts: np.ndarray, flip: bool) -> np.ndarray:
-        """Place of the k-th one (or zero) of the high bits."""
+        """Place of the k-th one (or zero) of the high bits: the byte that holds it by sums over all bytes of a word at once."""
         word = np.searchsorted(counts, k, "right") - 1
-        bits = np.ascontiguousarray(self.high[word])
-        raw = (~bits if flip else bits).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_ONES[raw], axis=1)
-        rest = k - counts[word]
-        byte = (upto <= rest[:, None]).sum(1)
-        row = np.arange(len(k))
-        before = np.where(byte > 0, upto[row, byte - 1], 0)
-        return word * 64 + byte * 8 + _PLACE[raw[row, byte], rest - before]
+        bits = ~self.high[word] if flip else self.high[word]
+        rest = (k - counts[word]).astype(_U)
+        ones = bits - (bits >> _U(1) & _U(0x5555555555555555))
+        ones = (ones & _U(0x3333333333333333)) + (ones >> _U(2) & _U(0x3333333333333333))
+        upto = (ones + (ones >> _U(4)) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH  # byte j holds the ones of bytes 0 to j
+        passed = (rest * _EACH | _TOPS) - upto & _TOPS  # the top bit of a byte says that the wanted one is behind it
+        shift = np.bitwise_count(passed).astype(_U) << _U(3)
+        before = upto << _U(8) >> shift & _U(255)
+        return word * 64 + shift.astype(np.int64) + _PLACE[(bits >> shift & _U(255)).astype(np.int64), (rest - before).astype(np.int64)]
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.width

@@ -5,8 +5,9 @@ all of them with one (``op8_lm_score_whole``), those that occur again with two (
 ``least`` if both its pairs did, so only such triples are counted. The kept n-grams go to sorted shards of three levels in
 the shared folder; tasks map them into memory and touch only the pages that they need:
 
-* words: sorted 64-bit hashes (Elias-Fano) with their counts; a word's id is its place. Words are counted as words, and
-  the hash's seed is one under which no two of them share a hash;
+* words: sorted 64-bit hashes (Elias-Fano) with their counts; a word's id is its place. A second hash of 64 bits tells
+  words of one hash apart: the seed is one under which no two training words share a hash, and half of the second hash is
+  kept to verify the words of other texts;
 * pairs: for each first word the successors' ids;
 * triples: for each pair the third word's place among the successors of the second, so a context shrinks the numbers.
 
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattscan.llm.common import SPACE_CLASS, crc_mod, cut, shared_path, table, text_of
+from wattscan.llm.common import crc_mod, cut, shared_path, table, text_of
 from wattscan.llm.elias_fano import EliasFano, encode
 
 #: Occurrences from which ``op8_lm_score`` keeps pairs and triples.
@@ -50,10 +51,8 @@ LEAST = 2
 DISCOUNT = 0.5
 #: Log10 values from -LOWEST to 0 in 16 bits.
 LOWEST, CODES = 16.0, 65535
-#: Rows of a shard, about; and words of a text block.
-SHARD_ROWS, BLOCK = 2_000_000, 1_500_000
-#: Words hold no white space, so this mark is no word.
-END = "\t"
+#: Rows of a shard, about; tokens of a block, and bytes of text that are cut into words at once (a longer text comes alone).
+SHARD_ROWS, BLOCK, BYTES = 2_000_000, 1_000_000, 1 << 20
 _U = np.uint64
 _TOP = _U(1 << 63)  # signed order as unsigned order
 
@@ -66,10 +65,67 @@ def restored(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) * (-LOWEST / CODES)
 
 
-def _tokens():
-    """The lower-cased words of a whole text and an end mark."""
-    lower = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.concat(F.array_remove(F.split(lower, f"[{SPACE_CLASS}]+"), ""), F.array(F.lit(END)))
+_BYTE = np.arange(256)
+_LOW = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
+_SPACE = (_BYTE == 32) | (_BYTE >= 9) & (_BYTE <= 13)
+_MIX = _U(0xD6E8FEB86659FD93)
+#: The end of a text, hashed like a word of one tab, which no word is.
+END = 9
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> _U(32)) * _MIX
+    return x ^ x >> _U(29)
+
+
+def _factor(seed: int) -> np.uint64:
+    return _mixed(np.array([2 * seed + 1], _U))[0] | _U(1)
+
+
+def _hashed(data: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of the words (A-Z as a-z) and the end of each text, and each text's number of tokens."""
+    ends = np.cumsum(sizes)
+    space = _SPACE[data]
+    first = ~space
+    begins = np.zeros(len(data) + 1, bool)
+    begins[ends] = True  # a text begins where the one before ends
+    first[1:] &= (space[:-1] | begins[1:-1]) if len(data) else space[:-1]
+    starts = np.flatnonzero(first)
+    words = np.diff(np.r_[0, np.searchsorted(starts, ends)])
+    out = [np.full(len(starts) + len(sizes), _U(0)) for _ in range(2)]
+    last = np.cumsum(words + 1) - 1
+    is_word = np.ones(len(out[0]), bool)
+    is_word[last] = False
+    if len(starts):
+        at = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        place = at - np.maximum.accumulate(np.where(first, at, 0))
+        place[space] = 0
+        chars = _LOW[data].astype(_U) + _U(1)
+        chars[space] = 0
+        longest = int(place.max()) + 1
+    for i in range(2):
+        factor = _factor(2 * seed + i)
+        out[i][last] = np.array([END + 1], _U) * factor
+        if len(starts):
+            out[i][is_word] = np.add.reduceat(chars * np.cumprod(np.full(longest, factor))[place], starts)
+    return _mixed(out[0]), _mixed(out[1]), words + 1
+
+
+def _texts(batches, seed: int):
+    """(batch slice, hashes, second hashes, tokens of each text) of blocks of bounded size, straight from the bytes of the texts."""
+    for batch in batches:
+        column = batch.column("_text").cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < batch.num_rows:
+            begin, parts, held = at, [], 0
+            while at < batch.num_rows and held < BLOCK:
+                to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + BYTES, "right")) - 1), batch.num_rows)
+                parts.append(_hashed(data[ends[at] : ends[to]], np.diff(ends[at : to + 1]), seed))
+                held += len(parts[-1][0])
+                at = to
+            yield batch.slice(begin, at - begin), *(np.concatenate(x) for x in zip(*parts))
 
 
 def _blocks(batches, column: str):
@@ -151,16 +207,27 @@ class Level:
         return np.where(holds | (low == len(self.shards)), low - 1, low)
 
     def parts(self, of: np.ndarray):
-        """(rows, shard number, its arrays) of each shard."""
-        order = np.argsort(of, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1], True]) if len(of) else []
+        """(rows, shard number, its arrays) of each shard; the rows are a slice where ``of`` rises."""
+        rising = not len(of) or bool((of[1:] >= of[:-1]).all())
+        order = None if rising else np.argsort(of, kind="stable")
+        kept = of if rising else of[order]
+        cuts = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1], True]) if len(of) else []
         for a, b in zip(cuts, cuts[1:]):
-            if of[order[a]] >= 0:
-                yield order[a:b], int(of[order[a]]), _arrays(self.shards[of[order[a]]].path)
+            if kept[a] >= 0:
+                yield slice(a, b) if rising else order[a:b], int(kept[a]), _arrays(self.shards[kept[a]].path)
 
 
 def _coder(arrays: dict, name: str) -> EliasFano:
-    return EliasFano({k: arrays[f"{name}_{k}"] for k in ("head", "low", "high", "ranks")})
+    """The coder of a field, kept with its shard's arrays."""
+    if name not in arrays:
+        arrays[name] = EliasFano({k: arrays[f"{name}_{k}"] for k in ("head", "low", "high", "ranks")})
+    return arrays[name]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones of rising values, and where each value's is."""
+    first = np.r_[True, values[1:] != values[:-1]] if len(values) else np.empty(0, bool)
+    return values[first], np.cumsum(first) - 1
 
 
 def _range(arrays: dict, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,34 +254,43 @@ class Trie:
         """Add-half log10 probabilities."""
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.words.n + 1)))
 
-    def find_words(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids (-1: unknown) of sorted hashes."""
+    def find_words(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Ids (-1: unknown) of rising hashes, whose words are verified by a part of the second hash."""
         ids = np.full(len(hashes), -1, np.int64)
         for rows, shard, arrays in self.words.parts(self.words.of(hashes, np.zeros(len(hashes), np.int64))):
             at, found = _coder(arrays, "keys").successor(hashes[rows])
+            found &= arrays["check"][np.minimum(at, len(arrays["check"]) - 1)] == (checks[rows] >> _U(32)).astype(np.uint32)
             ids[rows] = np.where(found, at + self.words.before[shard], -1)
         return ids
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
         """Counts of word ids; unknown words have none, and the start mark, whose id follows the last, counts the documents."""
         out = np.where(ids < 0, 0, self.documents)
-        for rows, shard, arrays in self.words.parts(np.where((ids >= 0) & (ids < self.words.n), np.searchsorted(self.words.before, ids, "right") - 1, -1)):
-            out[rows] = arrays["n"][ids[rows] - self.words.before[shard]]
+        known = np.flatnonzero((ids >= 0) & (ids < self.words.n))
+        some = ids[known]
+        for rows, shard, arrays in self.words.parts(np.searchsorted(self.words.before, some, "right") - 1):
+            out[known[rows]] = arrays["n"][some[rows] - self.words.before[shard]]
         return out
 
     def find(self, level: Level, contexts: np.ndarray, items: np.ndarray):
-        """For each (context, item): place in the level (-1: none), code, and back-off code of the context."""
-        place, code, off = np.full(len(contexts), -1, np.int64), np.zeros(len(contexts), np.uint16), np.zeros(len(contexts), np.uint16)
+        """For rising (context, item): place in the level (-1: none), code, back-off code of the context, and where its items begin."""
+        place, begins = np.full(len(contexts), -1, np.int64), np.zeros(len(contexts), np.int64)
+        code, off = np.zeros(len(contexts), np.uint16), np.zeros(len(contexts), np.uint16)
         for rows, shard, arrays in level.parts(level.of(contexts.astype(_U), items)):
-            some, back = np.unique(contexts[rows], return_inverse=True)
-            begin, end, base = (x[back] for x in _range(arrays, some))
-            at, found = _coder(arrays, "keys").successor(base + np.maximum(items[rows], 0).astype(_U), begin, end)
+            some, back = _runs(contexts[rows])
+            first = int(arrays["first"][0])
+            begin, end, base = _range(arrays, some)
+            at, found = _coder(arrays, "keys").successor(base[back] + np.maximum(items[rows], 0).astype(_U), begin[back], end[back])
             found &= items[rows] >= 0
             place[rows] = np.where(found, at + level.before[shard], -1)
             code[rows] = np.where(found, arrays["code"][np.minimum(at, len(arrays["code"]) - 1)], 0)
-            c = contexts[rows] - int(arrays["first"][0])
-            off[rows] = np.where(c < len(arrays["off"]), arrays["off"][np.minimum(c, len(arrays["off"]) - 1)], 0)
-        return place, code, off
+            c = some - first
+            off[rows] = np.where(c < len(arrays["off"]), arrays["off"][np.minimum(c, len(arrays["off"]) - 1)], 0)[back]
+            begin += level.before[shard]
+            if shard and len(some) and some[0] == first and level.last[shard - 1] == level.first[shard]:  # goes on from the shard before
+                begin[0] = self.begins(some[:1])[0] if level is self.pairs else begin[0]
+            begins[rows] = begin[back]
+        return place, code, off, begins
 
     def of_pairs(self, places: np.ndarray, field: str) -> np.ndarray:
         """``n`` or ``code`` of the pairs at places."""
@@ -242,66 +318,58 @@ class Trie:
 
 
 class Tokens:
-    """A block of documents as ids, each document behind a start mark, and what the levels hold of its n-grams. Only distinct n-grams are looked up, by numbers of the block's own, which can't overflow."""
+    """A block of documents as ids, each document behind a start mark, and what the levels hold of its n-grams. Only distinct n-grams are looked up."""
 
     def __init__(self, trie: Trie, ids: np.ndarray, sizes: np.ndarray):
         self.trie, self.sizes = trie, sizes + 1
         self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
         self.scored = np.ones(int(self.sizes.sum()), bool)
         self.scored[self.starts] = False
-        self.id = np.full(len(self.scored), trie.words.n, np.int64)
+        self.id = np.full(len(self.scored), trie.words.n, ids.dtype)
         self.id[self.scored] = ids
         self.distinct, self.code = np.unique(self.id, return_inverse=True)
-        self.count = trie.counts_of(self.distinct)[self.code]
+        self.count = trie.counts_of(self.distinct.astype(np.int64))[self.code]
 
-    def pairs(self) -> np.ndarray:
-        """Positions whose word and word before may form a kept pair."""
+    def tally_pairs(self, counted: bool = False):
+        """The distinct pairs that may be kept (``ctx, item``, rising), ``which`` of them each position ends (-1: none), and how often."""
         often = (self.count >= self.trie.least) | ~self.scored
-        return np.flatnonzero(np.r_[False, self.scored[1:] & often[1:] & (self.id[1:] >= 0) & often[:-1] & (self.id[:-1] >= 0)])
-
-    def tallied_pairs(self):
-        """``ctx, item`` of the distinct pairs, and where each position's is."""
-        at = self.pairs()
-        keys, back, n = np.unique(self.code[at - 1] * len(self.distinct) + self.code[at], return_inverse=True, return_counts=True)
-        return at, self.distinct[keys // len(self.distinct)], self.distinct[keys % len(self.distinct)], back, n
+        at = np.flatnonzero(np.r_[False, self.scored[1:] & often[1:] & (self.id[1:] >= 0) & often[:-1] & (self.id[:-1] >= 0)])
+        size = len(self.distinct)  # numbers of the block's own words can't overflow
+        keys, back, *n = np.unique(self.code[at - 1] * size + self.code[at], return_inverse=True, return_counts=counted)
+        self.ctx, self.next = self.distinct[keys // size].astype(np.int64), self.distinct[keys % size].astype(np.int64)
+        self.which = np.full(len(self.id), -1, np.int64)
+        self.which[at] = back
+        return n[0] if n else None
 
     def look_up_pairs(self):
-        n = len(self.id)
-        self.pair, self.pair_code, self.pair_off = np.full(n, -1, np.int64), np.zeros(n, np.uint16), np.zeros(n, np.uint16)
-        at, ctx, item, back, _ = self.tallied_pairs()
-        place, code, off = self.trie.find(self.trie.pairs, ctx, item)
-        self.pair[at], self.pair_code[at], self.pair_off[at] = place[back], code[back], off[back]
-        # Words that aren't looked up as a pair still back off from a known word before.
-        looked = np.zeros(n, bool)
-        looked[at] = True
-        rest = np.flatnonzero(np.r_[False, self.scored[1:] & (self.id[:-1] >= 0)] & ~looked)
-        words, back = np.unique(self.id[rest - 1], return_inverse=True)
-        self.pair_off[rest] = self.trie.find(self.trie.pairs, words, np.zeros_like(words))[2][back]
-
-    def look_up_items(self):
-        """``item``: the place of a pair among its first word's pairs, where the pair before is kept too (else -1)."""
-        self.item = np.full(len(self.id), -1, np.int64)
-        at = np.flatnonzero(np.r_[False, (self.pair[1:] >= 0) & (self.pair[:-1] >= 0)])
-        words, back = np.unique(self.id[at - 1], return_inverse=True)
-        self.item[at] = self.pair[at] - self.trie.begins(words)[back]
-        return at
+        """Places, codes and items (places among the first word's pairs) of the distinct pairs; what isn't kept is marked -1 in ``which``."""
+        self.tally_pairs()
+        self.place, self.pair_code, self.pair_off, begins = self.trie.find(self.trie.pairs, self.ctx, self.next)
+        self.item = self.place - begins
+        self.kept = np.where((self.which >= 0) & (self.place[np.maximum(self.which, 0)] >= 0) if len(self.place) else False, self.which, -1)
 
     def scores(self) -> np.ndarray:
         """Model log10 probability of each document."""
         if not self.trie.tokens:
             return np.zeros(len(self.sizes))
-        one = self.trie.unigram(self.count)
         self.look_up_pairs()
-        self.look_up_items()
-        logp = np.where(self.pair >= 0, restored(self.pair_code), restored(self.pair_off) + one)
-        after = np.flatnonzero(np.r_[False, self.pair[:-1] >= 0] & self.scored)
+        logp = self.trie.unigram(self.count)
+        looked = np.flatnonzero(self.which >= 0)
+        pair = self.which[looked]
+        logp[looked] = np.where(self.place[pair] >= 0, restored(self.pair_code[pair]), restored(self.pair_off[pair]) + logp[looked])
+        # Words that aren't looked up as a pair still back off from a known word before.
+        rest = np.flatnonzero(np.r_[False, self.scored[1:] & (self.id[:-1] >= 0) & (self.which[1:] < 0)])
+        before, back = np.unique(self.code[rest - 1], return_inverse=True)
+        words = self.distinct[before].astype(np.int64)
+        logp[rest] += restored(self.trie.find(self.trie.pairs, words, np.zeros_like(words))[2][back])
         # Third words that can't be kept only take the pair's back-off weight.
-        pairs, code = np.unique(self.pair[after - 1], return_inverse=True)
-        items, which = np.unique(self.item[after], return_inverse=True)
-        keys, back = np.unique(code * len(items) + which, return_inverse=True) if len(after) else (np.empty(0, np.int64), np.empty(0, np.int64))
-        size = max(len(items), 1)
-        place, codes, off = self.trie.find(self.trie.triples, pairs[keys // size], items[keys % size])
-        logp[after] = np.where(place[back] >= 0, restored(codes[back]), logp[after] + restored(off[back]))
+        after = np.flatnonzero(np.r_[False, self.kept[:-1] >= 0] & self.scored)
+        size = len(self.place) + 1
+        keys, back = np.unique(self.kept[after - 1] * size + self.kept[after] + 1, return_inverse=True)
+        third = keys % size - 1
+        items = np.where(third >= 0, self.item[np.maximum(third, 0)], -1) if len(keys) else third
+        place, code, off, _ = self.trie.find(self.trie.triples, self.place[keys // size], items)
+        logp[after] = np.where(place[back] >= 0, restored(code[back]), logp[after] + restored(off[back]))
         return np.add.reduceat(np.where(self.scored, logp, 0.0), self.starts)
 
 
@@ -356,7 +424,7 @@ def _joined(spark: SparkSession, folder: str, shards: list[dict], coded) -> Leve
     def run(batches):
         for batch in batches:
             for path in dict.fromkeys(batch.column("path").to_pylist()):
-                arrays = {k: v.copy() for k, v in _arrays(path).items()}
+                arrays = {k: v.copy() for k, v in _arrays(path).items() if isinstance(v, np.ndarray)}
                 for c, n, types in ((r["c"], r["n"], r["types"]) for r in batch.to_pylist() if r["path"] == path):
                     begin, end, base = (int(x[0]) for x in _range(arrays, np.array([c])))
                     at = np.arange(begin, end)
@@ -364,7 +432,7 @@ def _joined(spark: SparkSession, folder: str, shards: list[dict], coded) -> Leve
                     same = np.ones(len(at), np.int64)
                     code, weight = coded(same * c, item, arrays["n"][begin:end], same * n, same * types)
                     arrays["code"][begin:end], arrays["off"][c - int(arrays["first"][0])] = code, weight[0]
-                yield pa.RecordBatch.from_pydict({"old": [path], "new": [_write(folder, arrays)]})
+                yield pa.RecordBatch.from_pydict({"old": [path], "new": [_write(folder, {k: v for k, v in arrays.items() if isinstance(v, np.ndarray)})]})
 
     moved = {}
     if todo:
@@ -374,37 +442,50 @@ def _joined(spark: SparkSession, folder: str, shards: list[dict], coded) -> Leve
 
 
 def vocabulary(training: DataFrame, folder: str, least: int = LEAST) -> Trie:
-    """The level of words. Words are counted as they are, and get a hash that no other has."""
-    words = cut(training.select(F.explode(_tokens()).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    hashed = lambda seed: words.select(F.xxhash64("word", F.lit(seed)).alias("ctx"), F.lit(0).cast("long").alias("item"), "n")
-    seed = next(s for s in itertools.count() if hashed(s).groupBy("ctx").count().where("count > 1").isEmpty())
+    """The level of words, under hashes by which no two of them are the same; a second hash tells words apart."""
+    texts = training.select(text_of().alias("_text"))
+
+    def counted(seed):
+        def run(batches):
+            for _, hashes, checks, _ in _texts(batches, seed):
+                keys, first, n = np.unique(hashes ^ _TOP, return_index=True, return_counts=True)
+                yield _tallied((keys).view(np.int64), checks[first].view(np.int64), n)
+
+        found = texts.mapInArrow(run, "ctx long, item long, n long").groupBy("ctx")
+        return cut(found.agg(F.min("item").alias("item"), F.max("item").alias("other"), F.sum("n").alias("n")), "words")
+
+    for seed in itertools.count():
+        words = counted(seed)
+        if words.where("item != other").isEmpty():
+            break
     trie = Trie(training.count(), words.agg(F.sum("n")).first()[0] or 0, least, seed)
 
-    def build(keys, _, n):
-        keys = keys.view(_U) ^ _TOP
-        return {"ctx": int(keys[:1].view(np.int64)[0]), "item": 0, "last": int(keys[-1:].view(np.int64)[0]), "n": len(n), "path": _write(folder, {"n": n, **{f"keys_{k}": v for k, v in encode(keys).items()}}), "sums": []}
+    def build(keys, checks, n):
+        arrays = {"n": n, "check": (checks.view(_U) >> _U(32)).astype(np.uint32), **{f"keys_{k}": v for k, v in encode(keys.view(_U) ^ _TOP).items()}}
+        return {"ctx": int(keys[0]), "item": 0, "last": int(keys[-1]), "n": len(n), "path": _write(folder, arrays), "sums": []}
 
-    trie.words = Level([Shard((s["ctx"] % (1 << 64), 0), s["last"] % (1 << 64), s["n"], s["path"]) for s in _sharded(hashed(seed), build)])
+    flipped = lambda x: (x % (1 << 64)) ^ (1 << 63)
+    trie.words = Level([Shard((flipped(s["ctx"]), 0), flipped(s["last"]), s["n"], s["path"]) for s in _sharded(words, build)])
     return trie
 
 
 def indexed(docs: DataFrame, trie: Trie, *keep) -> DataFrame:
     """``keep`` columns, ``n_tokens``, ``n_known``, ``base_score`` and ``ids`` (-1: unknown) of each whole text."""
-    wide = trie.words.n >= 1 << 31
+    wide = trie.words.n >= (1 << 31) - 1
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("ids", T.ArrayType(T.LongType() if wide else T.IntegerType()))
     names = schema.names[:-4]
 
     def run(batches):
-        for part, hashes, sizes in _blocks(batches, "_hashes"):
-            distinct, back = np.unique(hashes.view(_U) ^ _TOP, return_inverse=True)
-            found = trie.find_words(distinct)
+        for part, hashes, checks, sizes in _texts(batches, trie.seed):
+            distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+            found = trie.find_words(distinct, checks[at])
             one, starts = (trie.unigram(trie.counts_of(found)) if trie.tokens else np.zeros(len(found)))[back], np.r_[0, np.cumsum(sizes)[:-1]]
-            ids = found[back]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids if wide else ids.astype(np.int32)))
+            ids = (found if wide else found.astype(np.int32))[back]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))
             numbers = [pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((ids >= 0).astype(np.int64), starts)), pa.array(np.add.reduceat(one, starts))]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *numbers, lists], schema.names)
 
-    return docs.select(*keep, F.transform(_tokens(), lambda w: F.xxhash64(w, F.lit(trie.seed))).alias("_hashes")).mapInArrow(run, schema)
+    return docs.select(*keep, text_of().alias("_text")).mapInArrow(run, schema)
 
 
 def grown(trie: Trie, ids: DataFrame, folder: str) -> Trie:
@@ -416,8 +497,9 @@ def grown(trie: Trie, ids: DataFrame, folder: str) -> Trie:
 
     def pairs_of(batches):
         for _, values, sizes in _blocks(batches, "ids"):
-            _, ctx, item, _, n = Tokens(trie, values.astype(np.int64), sizes).tallied_pairs()
-            yield _tallied(ctx, item, n)
+            block = Tokens(trie, values, sizes)
+            n = block.tally_pairs(True)
+            yield _tallied(block.ctx, block.next, n)
 
     def coded(ctx, item, n, sums, types, total, lower):
         weight = np.maximum(1 - (sums - DISCOUNT * types) / total, 10.0**-LOWEST)
@@ -430,14 +512,12 @@ def grown(trie: Trie, ids: DataFrame, folder: str) -> Trie:
 
     def triples_of(batches):
         for _, values, sizes in _blocks(batches, "ids"):
-            block = Tokens(trie, values.astype(np.int64), sizes)
+            block = Tokens(trie, values, sizes)
             block.look_up_pairs()
-            at = block.look_up_items()
-            pairs, code = np.unique(block.pair[at - 1], return_inverse=True)
-            size = int(block.item[at].max()) + 1 if len(at) else 1
-            items, which = np.unique(block.item[at], return_inverse=True) if size * max(len(pairs), 1) >= 1 << 62 else (np.arange(size), block.item[at])
-            keys, n = np.unique(code * len(items) + which, return_counts=True)
-            yield _tallied(pairs[keys // len(items)], items[keys % len(items)], n)
+            at = np.flatnonzero(np.r_[False, (block.kept[1:] >= 0) & (block.kept[:-1] >= 0)])
+            size = max(len(block.place), 1)
+            keys, n = np.unique(block.kept[at - 1] * size + block.kept[at], return_counts=True)
+            yield _tallied(block.place[keys // size], block.item[keys % size], n)
 
     def coded_triples(ctx, item, n, sums, types):
         # The middle word of a context is known by the pair that an item stands for.
@@ -471,7 +551,7 @@ def scored(rows: DataFrame, trie: Trie) -> DataFrame:
 
     def run(batches):
         for part, values, sizes in _blocks(batches, "ids"):
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(Tokens(trie, values.astype(np.int64), sizes).scores())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(Tokens(trie, values, sizes).scores())], [*names, "score"])
 
     return rows.mapInArrow(run, rows.select(*names).schema.add("score", "double"))
 
