@@ -61,6 +61,13 @@ def test_proposals_in_long_texts_take_time_in_proportion():
         assert time.time() - began < 5, piece
 
 
+def test_common_words(spark):
+    rows = [("aaaa " * n + "x1 bb",) for n in (3, 1)] + [("Cccc dddd dddd eeee",), (None,), ("cccc, cccc ffff",)]
+    docs = spark.createDataFrame(rows, "text string")
+    assert secret_scan.common_words(docs, most=3) == ("aaaa", "cccc", "dddd") and secret_scan.common_words(docs, most=1) == ("aaaa",)
+    assert secret_scan.common_words(docs, most=50) == ("aaaa", "cccc", "dddd", "eeee", "ffff") and secret_scan.common_words(docs.limit(0)) == ()
+
+
 def test_features_by_hand():
     dictionary = secret_scan._dictionary(("donau",))
     assert secret_scan._covered("donautoken", dictionary) == 10 and secret_scan._covered("xxpasswordsecretx", dictionary) == 14

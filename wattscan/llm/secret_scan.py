@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import accumulate
 from random import Random
 
 import ahocorasick
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattscan.llm.common import cut, table, text_of
+from wattscan.llm.quality import bucket
 
 #: A name, a sign and the value behind it. A value ends at white space, a quote or a bracket, and where another name follows.
 ASSIGNED = re.compile(r"(?<![\w\-])([\w\-]++)[\"']?[ \t]*+(?::=|=>|[:=])[ \t]*+[\"']?((?:(?![&;,?][\w\-]+=)[^\s\"'<>])+)")
@@ -55,7 +57,11 @@ TREES, DEPTH, SEED = 40, 9, 11
 def common_words(docs: DataFrame, text_col: str = "text", most: int = COMMON_WORDS) -> tuple[str, ...]:
     """The commonest words (letters only) of all texts: a bounded list."""
     words = F.filter(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+"), lambda w: F.length(w) >= WORD_LETTERS)
-    rows = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most)
+    counts = cut(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    # How many words there are from each count on, by logarithmic buckets, tells from where the commonest ones are sought.
+    sizes = sorted(((r["b"], r["size"]) for r in counts.groupBy(bucket(F.col("n")).alias("b")).agg(F.count(F.lit(1)).alias("size")).collect()), reverse=True)
+    enough = next((b for (b, _), upto in zip(sizes, accumulate(size for _, size in sizes)) if upto >= most), 0)
+    rows = counts.where(bucket(F.col("n")) >= enough).orderBy(F.desc("n"), "w").limit(most)
     return tuple(sorted(r["w"] for r in rows.collect()))
 
 
