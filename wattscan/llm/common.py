@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattscan.functions.shared import shared_dir
+from wattscan.functions.text import once
+
+__all__ = ["SPACE_CLASS", "crc_mod", "cut", "once", "shared_dir", "shared_path", "table", "text_of"]
+
 #: White space of the corpus contracts: space and tab to carriage return.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
@@ -17,19 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="wattscan-shared-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/wattscan/{name}-{uuid.uuid4().hex}"
@@ -55,11 +46,6 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def once(df: DataFrame) -> DataFrame:
-    """``df`` behind a projection that filters don't pass, so that no filter repeats its costly columns."""
-    return df.withColumn("_once", F.spark_partition_id()).where("_once >= 0").drop("_once")
-
-
 def text_of(col: str = "text"):
     """A text column with null read as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))
