@@ -1,8 +1,9 @@
 """Main text of pages written by hand, in layouts of other sites than the made-up ones."""
 
+import numpy as np
 import pytest
 
-from wattscan.llm import html_extract
+from wattscan.llm import html_blocks, html_extract
 
 BRIDGE = ["The bridge was built in the year of the flood, and it has stood since then over the river.", "People cross it each morning on their way to the market, and again in the evening."]
 PAGES = {
@@ -58,3 +59,66 @@ def test_a_page_alone_reads_as_among_others():
     pages = [v[0] for v in PAGES.values()]
     alone = [html_extract.main_texts([p], html_extract.trained())[0] for p in pages]
     assert html_extract.main_texts(pages, html_extract.trained()) == alone == html_extract.main_texts(pages[::-1], html_extract.trained())[::-1]
+
+
+def plain_chances(page, p):
+    """The two LSTMs and the labels of one page, block by block and without padding."""
+    marks, words, counts = html_extract._vectors(page)
+    size = html_extract.HIDDEN
+    x = np.array([np.r_[p["marks"][m].mean(0), p["words"][w].mean(0), c] for m, w, c in zip(marks, words, counts)], float)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def read(rows, w, u, b):
+        h = c = np.zeros(size)
+        out = []
+        for row in rows:
+            z = row @ w + h @ u + b
+            i, f, o, g = sigmoid(z[:size]), sigmoid(z[size : 2 * size]), sigmoid(z[2 * size : 3 * size]), np.tanh(z[3 * size :])
+            c = f * c + i * g
+            h = o * np.tanh(c)
+            out.append(h)
+        return np.array(out)
+
+    both = np.c_[read(x, p["w1"], p["u1"], p["b1"]), read(x[::-1], p["w2"], p["u2"], p["b2"])[::-1]]
+    return sigmoid(both @ p["v"] + p["v0"])
+
+
+def test_labels_equal_a_plain_network():
+    p = html_extract.trained()
+    pages = [html_blocks.blocks(v[0]) for v in PAGES.values()]
+    x, live = html_extract._padded([html_extract._vectors(page) for page in pages], p)
+    chance = html_extract._labels(x, live, p)[0]
+    for row, page in zip(chance, pages):
+        assert np.allclose(row[: len(page)], plain_chances(page, p), atol=1e-4)
+
+
+def test_gradients_equal_differences():
+    """Of the loss by each kind of weight, against small steps of some of them."""
+    rng = np.random.default_rng(3)
+    p = {k: v.astype(np.float64) + rng.normal(0, 0.05, v.shape) for k, v in html_extract.trained().items()}
+    pages = [html_blocks.blocks(v[0]) for v in list(PAGES.values())[:3]]
+    known = [html_extract._vectors(page) for page in pages]
+    want = None
+
+    def loss(p):
+        x, live = html_extract._padded(known, p)
+        c = html_extract._labels(x, live, p)[0]
+        return -((want * np.log(c) + (1 - want) * np.log(1 - c)) * live).sum()
+
+    x, live = html_extract._padded(known, p)
+    want = rng.integers(0, 2, live.shape).astype(float)
+    kept = []
+    chance, both, back = html_extract._labels(x, live, p, kept)
+    d = (chance - want) * live
+    size = html_extract.HIDDEN
+    d_both = d[..., None] * p["v"]
+    _, gw1, gu1, gb1 = html_extract._read_back(d_both[..., :size], x, p["w1"], p["u1"], kept)
+    _, gw2, gu2, _ = html_extract._read_back(d_both[:, ::-1, size:], x[:, ::-1], p["w2"], p["u2"], back)
+    grads = {"w1": gw1, "u1": gu1, "b1": gb1, "w2": gw2, "u2": gu2, "v": np.einsum("nt,nth->h", d, both)}
+    for name, g in grads.items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in p[name].shape)
+            step = np.zeros_like(p[name])
+            step[at] = 2e-3
+            moved = (loss(p | {name: p[name] + step}) - loss(p | {name: p[name] - step})) / 4e-3
+            assert moved == pytest.approx(g[at], rel=0.05, abs=0.02), name
