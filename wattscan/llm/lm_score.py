@@ -52,7 +52,7 @@ DISCOUNT = 0.5
 #: Log10 values from -LOWEST to 0 in 16 bits.
 LOWEST, CODES = 16.0, 65535
 #: Rows of a shard, about; tokens of a block, and bytes of text that are cut into words at once (a longer text comes alone).
-SHARD_ROWS, BLOCK, BYTES = 2_000_000, 1_000_000, 1 << 20
+SHARD_ROWS, BLOCK, BYTES = 500_000, 1_000_000, 1 << 20
 _U = np.uint64
 _TOP = _U(1 << 63)  # signed order as unsigned order
 
@@ -111,6 +111,13 @@ def _hashed(data: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray,
     return _mixed(out[0]), _mixed(out[1]), words + 1
 
 
+def _one_of(values: np.ndarray, back: np.ndarray, size: int) -> np.ndarray:
+    """A value of each group that ``back`` numbers."""
+    out = np.empty(size, values.dtype)
+    out[back] = values
+    return out
+
+
 def _texts(batches, seed: int):
     """(batch slice, hashes, second hashes, tokens of each text) of blocks of bounded size, straight from the bytes of the texts."""
     for batch in batches:
@@ -448,8 +455,8 @@ def vocabulary(training: DataFrame, folder: str, least: int = LEAST) -> Trie:
     def counted(seed):
         def run(batches):
             for _, hashes, checks, _ in _texts(batches, seed):
-                keys, first, n = np.unique(hashes ^ _TOP, return_index=True, return_counts=True)
-                yield _tallied((keys).view(np.int64), checks[first].view(np.int64), n)
+                keys, back, n = np.unique(hashes ^ _TOP, return_inverse=True, return_counts=True)
+                yield _tallied(keys.view(np.int64), _one_of(checks, back, len(keys)).view(np.int64), n)
 
         found = texts.mapInArrow(run, "ctx long, item long, n long").groupBy("ctx")
         return cut(found.agg(F.min("item").alias("item"), F.max("item").alias("other"), F.sum("n").alias("n")), "words")
@@ -477,8 +484,8 @@ def indexed(docs: DataFrame, trie: Trie, *keep) -> DataFrame:
 
     def run(batches):
         for part, hashes, checks, sizes in _texts(batches, trie.seed):
-            distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-            found = trie.find_words(distinct, checks[at])
+            distinct, back = np.unique(hashes, return_inverse=True)
+            found = trie.find_words(distinct, _one_of(checks, back, len(distinct)))
             one, starts = (trie.unigram(trie.counts_of(found)) if trie.tokens else np.zeros(len(found)))[back], np.r_[0, np.cumsum(sizes)[:-1]]
             ids = (found if wide else found.astype(np.int32))[back]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))
@@ -492,8 +499,19 @@ def grown(trie: Trie, ids: DataFrame, folder: str) -> Trie:
     """The trie with pairs and triples of the written training ``ids``."""
     spark, ids = ids.sparkSession, ids.select("ids")
 
-    def counts(run, name):
-        return cut(ids.mapInArrow(run, "ctx long, item long, n long").groupBy("ctx", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= trie.least), name)
+    def counts(run, name, contexts, items):
+        """Counts of what ``run`` yields, under one number for context and item where that can't overflow."""
+        if contexts * items >= 1 << 63:
+            found = ids.mapInArrow(run, "ctx long, item long, n long").groupBy("ctx", "item").agg(F.sum("n").alias("n"))
+            return cut(found.where(F.col("n") >= trie.least), name)
+
+        def joined(batches):
+            for batch in run(batches):
+                keys = batch.column("ctx").to_numpy() * items + batch.column("item").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("n")], ["key", "n"])
+
+        found = ids.mapInArrow(joined, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= trie.least)
+        return cut(found.select(F.expr(f"key div {items}L").alias("ctx"), F.expr(f"key % {items}L").alias("item"), "n"), name)
 
     def pairs_of(batches):
         for _, values, sizes in _blocks(batches, "ids"):
@@ -508,7 +526,7 @@ def grown(trie: Trie, ids: DataFrame, folder: str) -> Trie:
     def coded_pairs(ctx, item, n, sums, types):
         return coded(ctx, item, n, sums, types, trie.counts_of(ctx), trie.unigram(trie.counts_of(item)))
 
-    trie.pairs = _joined(spark, folder, _sharded(counts(pairs_of, "pairs"), lambda *x: _leveled(folder, *x, coded_pairs)), coded_pairs)
+    trie.pairs = _joined(spark, folder, _sharded(counts(pairs_of, "pairs", trie.words.n + 1, trie.words.n + 1), lambda *x: _leveled(folder, *x, coded_pairs)), coded_pairs)
 
     def triples_of(batches):
         for _, values, sizes in _blocks(batches, "ids"):
@@ -527,7 +545,7 @@ def grown(trie: Trie, ids: DataFrame, folder: str) -> Trie:
         lower = restored(trie.of_pairs(trie.begins(second)[where][back] + item, "code"))
         return coded(ctx, item, n, sums, types, total, lower)
 
-    trie.triples = _joined(spark, folder, _sharded(counts(triples_of, "triples"), lambda *x: _leveled(folder, *x, coded_triples)), coded_triples)
+    trie.triples = _joined(spark, folder, _sharded(counts(triples_of, "triples", trie.pairs.n, trie.words.n + 1), lambda *x: _leveled(folder, *x, coded_triples)), coded_triples)
     return trie
 
 
