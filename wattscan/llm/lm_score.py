@@ -52,7 +52,7 @@ DISCOUNT = 0.5
 #: Log10 values from -LOWEST to 0 in 16 bits.
 LOWEST, CODES = 16.0, 65535
 #: Rows of a shard, about; tokens of a block, and bytes of text that are cut into words at once (a longer text comes alone).
-SHARD_ROWS, BLOCK, BYTES = 500_000, 1_000_000, 1 << 20
+SHARD_ROWS, BLOCK, BYTES = 500_000, 400_000, 1 << 19
 _U = np.uint64
 _TOP = _U(1 << 63)  # signed order as unsigned order
 
