@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattscan.llm import bpe, exact_dedup, html_extract, language_id, lm_score, mixing, near_dup, quality, secret_scan, url_filter
+from wattscan.llm import bpe, exact_dedup, html_extract, language_id, lm_score, mixing, near_dup, quality, secret_scan, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_lm_score_whole": lm_score.op8_lm_score_whole,
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op12_token_counts": token_counts.op12_token_counts,
 }
 
 ORACLES = {
