@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattscan.llm import bpe, exact_dedup, html_extract, language_id, lm_score, mixing, near_dup, quality, secret_scan, token_counts, url_filter
+from wattscan.llm import bpe, conversation_repair, exact_dedup, html_extract, language_id, lexical_search, lm_score, mixing, near_dup, quality, secret_scan, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,10 +16,13 @@ QUERIES = {
     "op8_lm_score_whole": lm_score.op8_lm_score_whole,
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_token_counts": token_counts.op12_token_counts,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op6_quality_rules": quality.OP6_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }
