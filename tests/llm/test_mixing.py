@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_native_ops import odd_rows
 from wattscan.llm import mixing
@@ -51,6 +52,47 @@ def test_targets_out_of_reach(spark):
         mixing.fit_rates(rows, targets, strict=True)
 
 
+def test_bounded_rates_are_the_least_squares_optimum(spark):
+    """Rates of [0, 1] against a long plain descent, and what is expected against the sums of the rates."""
+    rows, p, n = made_rows(spark)
+    wanted = {"clean": 1.0, "poor": 0.4, "toxic": 0.05}
+    found = mixing.fit_rates(rows, wanted=wanted, most=1.0)
+    total = n @ p
+    want, scale = total * [1.0, 0.4, 0.05], 1 / total
+    loss = lambda r: (scale * ((r * n) @ p - want) ** 2).sum()
+    rate = np.ones(len(p))
+    reach = np.linalg.eigvalsh(np.sqrt(scale)[:, None] * ((p * n[:, None]).T @ p) * np.sqrt(scale))[-1]
+    for _ in range(20_000):
+        rate = np.clip(rate - p @ (scale * ((rate * n) @ p - want)) / reach, 0, 1)
+    mine = mixing.stepped(p, found.steps, 1.0)
+    assert loss(mine) <= 1.05 * loss(rate) and np.all((mine >= 0) & (mine <= 1))
+    assert np.allclose([found.expected[d] for d in mixing.DOMAINS], (mine * n) @ p)
+    got = sorted(r.rate for r in rows.withColumn("rate", mixing.rate(found.steps, 1.0)).collect())
+    assert np.allclose(got, sorted(mine), atol=1e-9)
+
+
+@pytest.mark.parametrize("missing", [0, 1, 2])
+def test_a_domain_without_labels_is_left_out(spark, missing):
+    """Its posterior is 0 everywhere, the fit warns, and the others keep what is wanted of them."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    part = labels.join(mixing.domain_of(labels).where(f"label <> {missing}"), labels.doc_id == F.col("labelled_id"), "left_semi")
+    with pytest.warns(UserWarning, match=mixing.DOMAINS[missing]):
+        model = mixing.fitted(docs, part)
+    rows = cut(mixing.posteriors(docs, model, "doc_id"))
+    assert rows.agg(F.max(f"p_{mixing.DOMAINS[missing]}")).first()[0] == 0
+    found = mixing.fit_rates(rows, wanted=mixing.WANTED, most=1.0)
+    if missing:
+        assert found.expected["clean"] >= 0.9 * found.wanted["clean"]
+    free = mixing.fit_rates(rows, {d: 0.0 if i == missing else 0.5 for i, d in enumerate(mixing.DOMAINS)}, strict=True)
+    assert free.expected[mixing.DOMAINS[missing]] == 0
+
+
+def test_draw_takes_all_of_small_domains():
+    assert mixing.draw_rates({0: 1000, 1: 10, 2: 500}, 410) == {1: 1.0, 2: 0.4, 0: 0.2}
+    assert mixing.draw_rates({0: 3, 1: 2}, 100) == {0: 1.0, 1: 1.0} and mixing.draw_rates({}, 5) == {}
+
+
 def test_scores_equal_plain_sums():
     rng = np.random.default_rng(1)
     slots = np.sort(rng.choice(1000, 60, replace=False))
@@ -118,7 +160,7 @@ def test_stage_keeps_clean_and_thins_toxic(spark):
 def test_mixing_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     got = mixing.mixed(odd_rows(spark), labels).collect()
-    assert len(got) == 9 and all(r.rate >= 0 and r.p_clean == pytest.approx(1.0) for r in got)
+    assert len(got) == 9 and all(r.rate >= 0 and r.p_clean == pytest.approx(1 / 3) for r in got)  # too few labels of any domain
     assert len(mixing.mixed(odd_rows(spark), labels.limit(0)).collect()) == 9
     assert mixing.mixed(odd_rows(spark).limit(0), labels).count() == 0
     again = collections.Counter((r.doc_id, r.rate) for r in got)

@@ -31,9 +31,7 @@ def test_pipeline_equals_stages_done_plainly(spark):
     kept = {r.class_id for r in near_dup.near_classes(rows).collect()}
     rows = cut(rows.where(f"doc_id IN ({', '.join(map(str, kept))})"))
     judged = cut(mixing.posteriors(rows, mixing.fitted(rows, table(spark, SMALL, "labels")), "doc_id"))
-    steps = mixing.fit_rates(judged, wanted=mixing.WANTED).steps
-    chances = {r.doc_id: r.c for r in rows.select("doc_id", mixing.chance().alias("c")).collect()}
-    kept = {r.doc_id for r in judged.withColumn("rate", mixing.rate(steps)).collect() if r.rate + chances[r.doc_id] >= 1}
+    assert len(kept) == judged.count()  # too few labels here to thin anything; the next test but two has enough
     got, encode = corpus_pipeline.run(spark, SMALL).collect(), tokenizer()
     assert {r.doc_id for r in got} == kept and len(got) == len(kept)
     for r in got:
@@ -54,9 +52,8 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     rows = [(1, a, "en", "s"), (2, a, None, "s"), (3, a.replace(" ", "  ", 5), "en", None), (4, a + " end", "en", "s"), (5, b, "de", "t"), (5, b, "de", "t"), (None, words(90), None, None), (None, None, "en", "s"), (8, "", "en", "s"), (9, words(30_000), "fr", "u"), (10, words(40), "fr", "u"), (11, words(12), "fr", "u")]
     docs = spark.createDataFrame([(*x, 7, 1, 2.0, "z", [3]) for x in rows], "doc_id long, text string, lang string, source string, n_words int, kept int, rate double, _doc string, token_ids array<int>")
     got = corpus_pipeline.run(spark, write(spark, tmp_path, docs)).collect()
-    assert {x.doc_id for x in got} <= {None, 2, 5, 9, 10, 11}
-    texts = [x.text for x in got]
-    assert len(set(texts)) == len(texts) >= 4
+    # Rejected: no words (null, 8). Of equal texts 2 and one of 5 stay, of near ones (2, 3, 4) the least; too few labels to thin.
+    assert sorted((x.doc_id or 0, x.text) for x in got) == sorted((i or 0, t) for i, t in {2: a, 5: b, None: rows[6][1], 9: rows[9][1], 10: rows[10][1], 11: rows[11][1]}.items())
     encode = tokenizer()
     assert all(x.token_ids == encode(x.text) for x in got if len(x.text) < 5000)
 
@@ -76,3 +73,18 @@ def test_every_stage_keeps_columns_and_takes_odd_rows(spark):
         assert stage(spark, rows.limit(0), SMALL).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, rows.drop("kept"), SMALL).count() == rows.count()
     assert rows.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_pipeline_keeps_clean_documents_where_a_domain_lost_its_labels(spark):
+    """At this size no document labelled poor is left when the mixture is fitted."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.labelled_id: r.label for r in mixing.domain_of(table(spark, sf, "labels")).collect()}
+    docs = table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = cut(stage(spark, docs, sf))
+    before = {r.doc_id for r in docs.select("doc_id").collect()}
+    kept = {r.doc_id for r in mixing.stage(spark, docs, sf).select("doc_id").collect()}
+    of = lambda d: [i for i in before if labels.get(i) == d]
+    assert not of(1) and len(of(0)) > 200 and len(of(2)) > 20
+    assert sum(i in kept for i in of(0)) >= 0.98 * len(of(0)) and sum(i in kept for i in of(2)) <= 0.2 * len(of(2))
+    assert len(kept) > 0.8 * len(before)

@@ -3,17 +3,22 @@
 A classifier trained on the labels table gives each document posteriors over the domains ``clean``, ``poor`` and
 ``toxic``. Rates (how often a document is taken, never negative) start at one and follow projected gradient steps of a
 least-squares problem: the expected tokens of each domain, ``sum(rate * tokens * posterior)``, should equal the targets.
-A step moves every rate along its document's posteriors and is scaled by the inverse of what such a move does to the
-totals (the Gram matrix of the documents whose rate is above zero), so few steps are needed. Totals and that matrix are
-sums over documents: each step is one pass over a narrow written table, and a rate follows from the posteriors and steps.
+A step moves every rate along its document's posteriors. Misses count relative to a domain's size, so a plain gradient
+step, as long as the Gram matrix of the posteriors allows, always comes nearer. Without an upper bound of the rates a step
+scaled by the inverse of that matrix (over the documents whose rate is above zero) is tried first and kept only where it
+comes nearer too. Totals and the matrix are sums over documents: each step is one pass over a narrow written table, and a
+rate follows from the posteriors and steps. With the upper bound ``most`` of a rate the steps are projected on both bounds,
+so what is expected is what a stage that takes each document at most once gives.
 
 The classifier is a multinomial regression on which distinct words, word stems (``STEM`` bytes, beside the whole words)
-and word shapes a text has, hashed to ``FEATURES`` slots; no word is left out. It is fitted, with an L1 penalty, on a bounded sample of labelled documents in one task, and
+and word shapes a text has, hashed to ``FEATURES`` slots; no word is left out. It is fitted, with an L1 penalty, on a bounded sample of labelled documents in one task (of
+each domain as many as of the others while it has them; the posteriors are set right by the rates of the draw), and
 its temperature on a tenth of them that the fit does not see, so posteriors are no surer than they are right.
 
 Nulls: a null text has no tokens and gets the posteriors of a text without words; a null id is drawn as a number of its
-own; null labels count as unlabelled. Without labels of two domains the posteriors are constant: the domains' shares of
-the labels, or equal. Repeated rows are judged alike, ties don't matter. Very long texts are read whole. A target that no
+own; null labels count as unlabelled. A domain with fewer than ``LEAST_LABELS`` labelled documents is left out, with a
+warning: no document is in it, and its target is not sought. Without labels of two domains the posteriors are constant:
+one domain's, or equal where no domain has labels enough. Repeated rows are judged alike, ties don't matter. Very long texts are read whole. A target that no
 rates can meet is met as nearly as the steps come; ``fit_rates`` returns what is expected beside what is wanted, and
 raises where ``strict``. Extra columns are ignored by the operator and kept by the stage. An empty table gives an empty
 result.
@@ -21,6 +26,7 @@ result.
 
 from __future__ import annotations
 
+import warnings
 from typing import NamedTuple
 
 import numpy as np
@@ -33,9 +39,11 @@ from wattscan.llm.common import cut, table
 DOMAINS = ["clean", "poor", "toxic"]
 #: Share of tokens that each domain should have.
 TARGETS = {"clean": 0.9, "poor": 0.09, "toxic": 0.01}
-#: What the pipeline wants of each domain, as a share of what there is: all that is clean with a margin, so that some
-#: doubt about a clean document doesn't thin it, half of what is poor, and little that is toxic.
-WANTED = {"clean": 1.05, "poor": 0.5, "toxic": 0.05}
+#: What the pipeline wants of each domain, as a share of what there is: all that is clean, half of what is poor, and
+#: little that is toxic.
+WANTED = {"clean": 1.0, "poor": 0.5, "toxic": 0.05}
+#: Labelled documents that a domain must have.
+LEAST_LABELS = 10
 #: Labelled documents that the classifier is fitted on, at most (about); the draw is by a hash of the id.
 TRAIN_ROWS = 20_000
 FEATURES = 1 << 18
@@ -45,7 +53,7 @@ PUNCTUATION = ".,;:!?\"'()"
 STEM = 4
 #: Of the fit: passes over the sample, learning rate, and L1 and L2 penalties.
 EPOCHS, RATE, SPARSE, RIDGE = 6, 0.5, 5.0, 0.1
-STEPS = 25
+STEPS = 30
 #: Steps end when every domain is within this share of its target, or within a tenth of it of all wanted tokens.
 CLOSE = 1e-3
 #: A strict fit raises when a domain is further from its target, as a share of all wanted tokens.
@@ -169,10 +177,30 @@ def domain_of(labels: DataFrame):
     return known.select(F.col("doc_id").alias("labelled_id"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1).alias("label"))
 
 
+def draw_rates(counts: dict[int, int], train_rows: int) -> dict[int, float]:
+    """The share of each domain's labels to draw: all of small domains, equally many of large ones, ``train_rows`` in all."""
+    rates, left = {}, float(train_rows)
+    for i, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        taken = min(n, left / (len(counts) - i))
+        rates[label], left = taken / n, left - taken
+    return rates
+
+
 def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     known = domain_of(labels)
-    part = min(1.0, train_rows / max(known.count(), 1))
-    drawn = known.where(F.pmod(F.xxhash64("labelled_id"), F.lit(1_000_000)) < int(part * 1_000_000))  # about train_rows ids: small enough to broadcast
+    present = cut(known.join(docs.select(F.col("doc_id").alias("labelled_id")).distinct(), "labelled_id"), "labels")
+    counts = dict(present.groupBy("label").count().collect())  # a row for each domain
+    few = [d for i, d in enumerate(DOMAINS) if counts.get(i, 0) < LEAST_LABELS]
+    rates = draw_rates({i: n for i, n in counts.items() if n >= LEAST_LABELS}, train_rows)
+    if few:
+        warnings.warn(f"fewer than {LEAST_LABELS} labelled documents are {' or '.join(few)}: left out of the mixture", stacklevel=2)
+    if len(rates) < 2:
+        shares = np.array([float(d in rates) for d in range(len(DOMAINS))])
+        return Model(np.log(np.maximum(shares if shares.any() else np.ones(len(DOMAINS)), 1e-300)), np.empty(0, np.int64), np.zeros((0, len(DOMAINS))))
+    share = F.lit(0.0)
+    for label, part in rates.items():
+        share = F.when(F.col("label") == label, part).otherwise(share)
+    drawn = present.where(F.pmod(F.xxhash64("labelled_id"), F.lit(1_000_000)) < share * 1_000_000)  # about train_rows ids: small enough to broadcast
 
     def reduced(batches):
         for batch, texts in _sliced(batches):
@@ -181,13 +209,6 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"))
     rows = cut(sample.select("label", F.xxhash64("doc_id", "text").alias("place"), F.col("text").alias("_text")).mapInArrow(reduced, "label int, place long, slots array<int>"), "train")
-    counts = dict(rows.groupBy("label").count().collect())  # a row for each domain
-
-    if len(counts) < 2:
-        shares = np.array([counts.get(d, 0) for d in range(len(DOMAINS))], float)
-        shares = shares / shares.sum() if shares.any() else np.full(len(DOMAINS), 1 / len(DOMAINS))
-        return Model(np.log(np.maximum(shares, 1e-300)), np.empty(0, np.int64), np.zeros((0, len(DOMAINS))))
-
     def fit(batches):
         # The whole sample: train_rows lists of at most FEATURES slots.
         labels, examples = [], []
@@ -199,7 +220,11 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).ravel().tolist()]) for x in model], ["bias", "slots", "weights"])
 
     got = rows.repartition(1).sortWithinPartitions("place", "label").mapInArrow(fit, "bias array<double>, slots array<double>, weights array<double>").first()
-    return Model(np.array(got["bias"]), np.array(got["slots"], np.int64), np.array(got["weights"]).reshape(-1, len(DOMAINS)))
+    # Domains drawn at a lower rate are as much more frequent; those left out get no share.
+    bias = np.array([b - np.log(rates[i]) if i in rates else -1e3 for i, b in enumerate(got["bias"])])
+    weights = np.array(got["weights"]).reshape(-1, len(DOMAINS))
+    weights[:, [i for i in range(len(DOMAINS)) if i not in rates]] = 0
+    return Model(bias, np.array(got["slots"], np.int64), weights)
 
 
 def posteriors(docs: DataFrame, model: Model, *keep) -> DataFrame:
@@ -218,30 +243,31 @@ def posteriors(docs: DataFrame, model: Model, *keep) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def stepped(p: np.ndarray, steps: list[list[float]]) -> np.ndarray:
-    """The rates after the steps; each step is projected on what is not negative."""
+def stepped(p: np.ndarray, steps: list[list[float]], most: float = np.inf) -> np.ndarray:
+    """The rates after the steps; each step is projected on the bounds."""
     r = np.ones(len(p))
     for step in steps:
-        r = np.maximum(0.0, r - p @ np.array(step))
+        r = np.clip(r - p @ np.array(step), 0.0, most)
     return r
 
 
-def rate(steps: list[list[float]]):
+def rate(steps: list[list[float]], most: float = np.inf):
     """The same as one expression."""
     r = F.lit(1.0)
     for step in steps:
         r = F.greatest(F.lit(0.0), r - sum((F.col(f"p_{d}") * F.lit(step[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0)))
+        r = F.least(F.lit(most), r) if np.isfinite(most) else r
     return r
 
 
-def expected(rows: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+def expected(rows: DataFrame, steps: list[list[float]], most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
     """Expected tokens of each domain after the steps, and what a move along the posteriors does to them: one pass."""
     k = len(DOMAINS)
 
     def run(batches):
         for batch in batches:
             p = np.stack([batch.column(f"p_{d}").to_numpy() for d in DOMAINS], 1)
-            r, n = stepped(p, steps), batch.column("_n").to_numpy()
+            r, n = stepped(p, steps, most), batch.column("_n").to_numpy()
             moved = (p * (n * (r > 0))[:, None]).T @ p
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in [*((r * n) @ p), *moved.ravel()]], [f"x{i}" for i in range(k + k * k)])
 
@@ -250,31 +276,47 @@ def expected(rows: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, np.
     return sums[:k], sums[k:].reshape(k, k)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None, wanted: dict[str, float] | None = None, strict: bool = False) -> Rates:
+def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None, wanted: dict[str, float] | None = None, strict: bool = False, most: float = np.inf) -> Rates:
     """Gradient steps for the targets. ``rows`` (``_n`` and posteriors) is a written table; each step sums it once.
 
     ``targets`` are shares of ``tokens``, the wanted total (by default as many as there are); ``wanted`` are shares of
-    what each domain has and take the place of both.
+    what each domain has and take the place of both. No rate is over ``most``.
     """
-    now, moved = expected(rows, [])
+    now, moved = start = expected(rows, [], most)
     if wanted is None:
         tokens = float(now.sum()) if tokens is None else tokens
         want = np.array([(TARGETS if targets is None else targets)[d] * tokens for d in DOMAINS])
     else:
         want = np.array([wanted[d] for d in DOMAINS]) * now
+    live = start[0] > 0  # a domain that no document is in can't be sought
+    scale = np.where(live, 1 / np.maximum(start[0], 1e-9), 0.0)
+    reach = np.linalg.eigvalsh(np.sqrt(scale)[:, None] * start[1] * np.sqrt(scale))[-1] if live.any() else 0.0
+    loss = lambda x: float((scale * (x - want) ** 2).sum())
+    close = lambda x: np.all(np.abs(x - want)[live] <= CLOSE * np.maximum(np.maximum(want, want.sum() / 10), 1.0)[live])
     steps: list[list[float]] = []
-    best = (np.inf, [], now)
-    while True:
-        miss = np.abs(now - want).max() / max(want.sum(), 1.0)
-        if miss < best[0]:
-            best = (miss, list(steps), now)
-        if np.all(np.abs(now - want) <= CLOSE * np.maximum(np.maximum(want, want.sum() / 10), 1.0)) or len(steps) == STEPS or not moved.any():
+    scaled = np.isinf(most)
+    for _ in range(STEPS if reach > 0 else 0):
+        if close(now):
             break
-        ridge = 1e-6 * np.trace(moved) * np.eye(len(want))
-        steps.append(np.linalg.solve(moved + ridge, now - want).tolist())
-        now, moved = expected(rows, steps)
-    miss, steps, now = best
-    if strict and miss > TOLERANCE:
+        step = np.zeros(len(want))
+        if scaled and moved.any():
+            part = moved[np.ix_(live, live)]
+            step[live] = np.linalg.solve(part + 1e-6 * np.trace(part) * np.eye(live.sum()), (now - want)[live])
+        else:
+            step = scale * (now - want) / reach
+        tried = [*steps, step.tolist()]
+        then, then_moved = expected(rows, tried, most)
+        if loss(then) < loss(now):
+            small = loss(now) - loss(then) < 1e-4 * loss(now)
+            steps, now, moved, was = tried, then, then_moved, scaled
+            if small and not was:
+                break
+            scaled = np.isinf(most)
+        elif scaled:
+            scaled = False  # a plain step comes nearer
+        else:
+            break
+    if strict and np.abs(now - want).max() > TOLERANCE * max(want.sum(), 1.0):
         raise ValueError(f"no rates found for the targets: wanted {dict(zip(DOMAINS, want))}, expected {dict(zip(DOMAINS, now))}")
     return Rates(steps, dict(zip(DOMAINS, want.tolist())), dict(zip(DOMAINS, now.tolist())))
 
@@ -297,12 +339,17 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: a document stays with its rate as chance (and surely from a rate of one), so ids stay unique."""
-    labels = table(spark, sf_dir, "labels")
+    """Pipeline stage: a document stays with its rate, at most one, as chance, so ids stay unique.
+
+    Where no feature tells domains apart (too few labels of any two), all documents stay.
+    """
+    model = fitted(docs, table(spark, sf_dir, "labels"))
+    if not len(model.slots):
+        return docs
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
-    rows = cut(posteriors(inner, fitted(docs, labels), "doc", "doc_id"), "posteriors")
-    found = fit_rates(rows, wanted=WANTED)
-    return rows.where(rate(found.steps) + chance() >= 1).select("doc.*")
+    rows = cut(posteriors(inner, model, "doc", "doc_id"), "posteriors")
+    found = fit_rates(rows, wanted=WANTED, most=1.0)
+    return rows.where(rate(found.steps, 1.0) + chance() >= 1).select("doc.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
