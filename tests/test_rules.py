@@ -118,7 +118,7 @@ def test_scopes_of_facts():
 
 
 def test_globs():
-    assert globs.prunable(["a/*", "b/**", "*.py", "c?/*"]) == {"a", "b"}
+    assert globs.prunable(["a/*", "b/**", "*.py", "c?/*"]) == ["a", "b", "c?"]
     assert globs.braces("{a,b{c,d}}") == ["a", "bc", "bd"]
     assert globs.editor_globs({"**/out/**": True, "x": False}, "/r") == ["/r/*/out", "/r/*/out/*"]
 

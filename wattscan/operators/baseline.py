@@ -8,12 +8,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattscan.functions.text import relative
+from wattscan.functions.paths import below
 
 
-def fingerprinted(findings: DataFrame, root: str = "") -> DataFrame:
-    """``findings`` with a line-free ``fingerprint``; paths are taken relative to ``root``."""
-    return findings.withColumn("fingerprint", F.sha1(F.concat_ws("|", relative(F.col("file"), root), "rule", "message")))
+def fingerprinted(findings: DataFrame, root: str = "", cwd: str | None = None) -> DataFrame:
+    """``findings`` with a line-free ``fingerprint`` over the path relative to ``root``, the rule and the message.
+
+    Both paths are resolved first, from ``cwd`` (by default the driver's folder), so a relative and an absolute scan of a
+    file give one fingerprint.
+    """
+    return findings.withColumn("fingerprint", F.sha1(F.concat_ws("|", below(F.col("file"), root, cwd), "rule", "message")))
 
 
 def apply_baseline(findings: DataFrame, accepted: DataFrame, root: str = "") -> DataFrame:
@@ -40,12 +44,20 @@ def write_baseline(findings: DataFrame, path: str, root: str = "") -> int:
 
 
 def read_baseline(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
-    """Fingerprints of a baseline file or folder; none if it is missing or malformed. One that is ``named`` must exist."""
+    """Fingerprints of a baseline file or folder; none if it is missing or malformed. One that is ``named`` must exist.
+
+    A file, which people review and which is as small, is read on the driver (Spark passes over names that start with a
+    dot, as the default one does); a folder is read by Spark.
+    """
     if not os.path.exists(path):
         if named:
             raise SystemExit(f"no such baseline: {path}")
         return spark.createDataFrame([], "fingerprint string")
     if os.path.isdir(path):
-        return spark.read.schema("fingerprint string").json(path).where("fingerprint IS NOT NULL")
-    whole = spark.read.schema("fingerprints array<string>").option("multiLine", True).json(path)
-    return whole.select(F.explode("fingerprints").alias("fingerprint")).where("fingerprint IS NOT NULL")
+        return spark.read.schema("fingerprint string").json(os.path.abspath(path)).where("fingerprint IS NOT NULL")
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f).get("fingerprints") or []
+    except (ValueError, AttributeError):
+        found = []
+    return spark.createDataFrame([(x,) for x in found if isinstance(x, str)], "fingerprint string")

@@ -1,18 +1,20 @@
-"""Ignore globs, as the driver compiles them into predicates."""
+"""Ignore globs, as one pattern that columns and walks share."""
 
 from __future__ import annotations
 
-import fnmatch
+import functools
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wattscan.functions.paths import normal
+
 PRUNED = (".git", "node_modules")  # fixed values
 
 
-def glob_regex(glob: str) -> str:
-    """A Java pattern for a whole path; ``*`` crosses ``/``, and a bracket set may be negated by ``!``."""
+def _tokens(glob: str) -> list[str]:
+    """A glob as pieces of a pattern, one for each wildcard, set or character; ``*`` crosses ``/``, and ``!`` negates a set."""
     out, i = [], 0
     while i < len(glob):
         c = glob[i]
@@ -27,25 +29,71 @@ def glob_regex(glob: str) -> str:
             i = end + 1
         else:
             out.append(re.sub(r"([^\w/ ])", r"\\\1", c))
-    return r"(?s)\A" + "".join(out) + r"\z"
+    return out
+
+
+def _slash_taken(tokens: list[str]) -> list[list[str]]:
+    """What is left of a glob for a path without a leading slash, once the glob has matched one."""
+    if not tokens:
+        return []
+    head, rest = tokens[0], tokens[1:]
+    if head == ".*":
+        return [tokens, *_slash_taken(rest)]
+    takes = head in ("/", ".") or head[0] == "[" and re.fullmatch(head, "/")
+    return [rest] if takes else []
+
+
+def _tree(globs: list[list[str]]) -> dict:
+    """Globs by their leading literal folders: folder -> tree, and under ``""`` what is left of those that end there."""
+    root: dict = {"": []}
+    for tokens in globs:
+        node, at = root, 0
+        while "/" in tokens[at:]:
+            to = tokens.index("/", at) + 1
+            part = tokens[at:to]
+            if any(t == ".*" or t == "." or t[0] == "[" for t in part):
+                break
+            node, at = node.setdefault("".join(part), {"": []}), to
+        node[""].append("".join(tokens[at:]))
+    return root
+
+
+def _pattern(node: dict) -> str:
+    ways = [*dict.fromkeys(node[""]), *(folder + _pattern(below) for folder, below in node.items() if folder)]
+    return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+
+@functools.lru_cache(64)
+def compiled(globs: tuple[str, ...]) -> str:
+    """All globs as one pattern for a whole path, with or without a leading slash; leading literal folders are looked at once.
+
+    Java and Python read it alike. No globs match nothing.
+    """
+    ways = []
+    for glob in globs:
+        tokens = _tokens(glob)
+        ways += [tokens, *_slash_taken(tokens)]
+    return _pattern(_tree(ways)) if ways else "(?!)"
+
+
+@functools.lru_cache(64)
+def _whole(globs: tuple[str, ...]) -> re.Pattern:
+    return re.compile(compiled(globs), re.S)
 
 
 def ignored(path: Column, globs: list[str]) -> Column:
-    """Whether a path, with or without a leading slash, matches any glob."""
-    hit = F.lit(False)
-    for g in globs:
-        hit = hit | path.rlike(glob_regex(g)) | F.concat(F.lit("/"), path).rlike(glob_regex(g))
-    return hit
+    """Whether a path, in its normal form and with or without a leading slash, matches any glob: one pattern for all."""
+    return normal(path).rlike(rf"(?s)\A(?:{compiled(tuple(globs))})\z") if globs else F.lit(False)
 
 
 def ignored_path(path: str, globs: list[str]) -> bool:
-    return any(fnmatch.fnmatchcase(p, g) for g in globs for p in (path, "/" + path))
+    return _whole(tuple(globs)).fullmatch(path) is not None
 
 
-def prunable(globs: list[str]) -> set[str]:
-    """Directories that ``<base>/*`` or ``<base>/**`` rules out whole."""
-    bases = {g.rpartition("/")[0] for g in globs if g.endswith(("/*", "/**"))}
-    return {b for b in bases if b and not set(b) & set("*?[")}
+def prunable(globs: list[str]) -> list[str]:
+    """The base of each glob of the form ``<base>/*`` or ``<base>/**``, wildcards and all: it rules out whole the folders that match it."""
+    bases = [g.rstrip("*")[:-1] for g in globs if re.search(r".+/\*+\Z", g, re.S)]
+    return list(dict.fromkeys(b for b in bases if b))
 
 
 def braces(glob: str) -> list[str]:

@@ -134,9 +134,9 @@ def rule_lines(rule: Rule) -> Column:
     return F.when(fits, found).otherwise(F.array().cast("array<int>"))
 
 
-def prepared(files: DataFrame, trees: bool = True) -> DataFrame:
-    """Scannable files with ``code`` (comments and docstrings blanked), ``facts`` and ``is_test``."""
-    rows = scannable(files.select("path", "text").where(F.col("text").isNotNull()))
+def prepared(files: DataFrame, trees: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scannable files with ``code`` (comments and docstrings blanked), ``facts`` and ``is_test``, and the columns ``keep``."""
+    rows = scannable(files.select("path", "text", *keep).where(F.col("text").isNotNull()))
     rows = once(rows.withColumns({"code": blank_comments(F.col("text"), F.col("suffix"), F.col("name")), "is_test": is_test_file()}))
     # Facts come from the blanked code: comments aren't part of a tree.
     facts = fact_array(F.when(F.col("suffix") == ".py", F.col("code"))) if trees else F.from_json(F.lit("[]"), "array<struct<kind:string,first:int,last:int>>")
@@ -150,16 +150,16 @@ def prepared(files: DataFrame, trees: bool = True) -> DataFrame:
     return once(rows.withColumn("code", whole))
 
 
-def scan(files: DataFrame, disable: tuple[str, ...] = (), ignore: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
-    """Findings of all rules that aren't disabled, in files that no glob ignores."""
+def scan(files: DataFrame, disable: tuple[str, ...] = (), ignore: tuple[str, ...] = (), only: tuple[str, ...] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of all rules that aren't disabled, in files that no glob ignores, with the files' columns ``keep``."""
     rules = [r for r in RULES if r.id not in disable and (only is None or r.id in only)]
     if ignore:
         files = files.where(~ignored(F.col("path"), list(ignore)))
-    rows = prepared(files, any(".py" in r.langs for r in rules))
+    rows = prepared(files, any(".py" in r.langs for r in rules), keep)
     each = [_tagged(r) for r in rules]
-    found = rows.select(F.col("path").alias("file"), F.explode(F.concat(*each)).alias("x")).select("file", "x.*")
+    found = rows.select(F.col("path").alias("file"), *keep, F.explode(F.concat(*each)).alias("x")).select("file", *keep, "x.*")
     text = lambda field: F.element_at(F.create_map(*[F.lit(v) for r in rules for v in (r.id, getattr(r, field))]), F.col("rule"))
-    return found.select("rule", text("severity").alias("severity"), "file", "line", text("message").alias("message"), text("suggestion").alias("suggestion"), text("hint").alias("co2e_estimate"), "emit_rank")
+    return found.select("rule", text("severity").alias("severity"), "file", "line", text("message").alias("message"), text("suggestion").alias("suggestion"), text("hint").alias("co2e_estimate"), "emit_rank", *keep)
 
 
 def _tagged(rule: Rule) -> Column:

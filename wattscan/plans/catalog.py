@@ -55,7 +55,10 @@ def _pruned(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir):
-    """The corpus as a table of changes, scanned in micro-batches: some files had other text before, others are deleted."""
+    """The corpus as a table of changes, scanned in micro-batches: some files had other text before, others are deleted.
+
+    In the end all first versions are delivered again; by then they are known or out of date.
+    """
     work = f"{shared_dir(spark)}/wattscan-stream-{uuid.uuid4().hex}"
     row = lambda path, version, text, deleted=False: F.struct(path.alias("path"), F.lit(version).cast("long").alias("version"), text.alias("text"), F.lit(deleted).alias("deleted"))
     path, text, old = F.col("path"), F.col("text"), F.lit("from old import *\nSELECT * FROM old;\n")
@@ -66,6 +69,8 @@ def _streamed(spark, sf_dir):
     odd = [changes.where(f"doc_id % 2 <> 0 AND version = {v}") for v in (1, 2)]
     changes.where("doc_id % 2 = 0").union(odd[0]).union(odd[1]).drop("doc_id").write.parquet(f"{work}/changes")
     stream_scan(spark, f"{work}/changes", f"{work}/found", f"{work}/state").awaitTermination()
+    changes.where("version = 1").drop("doc_id").write.mode("append").parquet(f"{work}/changes")
+    stream_scan(spark, f"{work}/changes", f"{work}/found", f"{work}/state").awaitTermination()
     return current(spark, f"{work}/found").select(*BRIEF)
 
 

@@ -9,9 +9,10 @@ import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattscan.operators import baseline, globs, summary
-from wattscan.operators.rules import RULES
+from wattscan.operators.rules import RULES, languages
 from wattscan.operators.scan import ordered, scan
 from wattscan.sources.config import Config, load_config
 from wattscan.sources.tree import TreeSource
@@ -37,9 +38,13 @@ class Outcome:
 
 
 def tree(spark: SparkSession, paths: list[str], ignore: list[str]) -> DataFrame:
-    """Files below the paths, without what the globs rule out."""
+    """Files below the paths that some rule may apply to, without what the globs rule out; others are never opened.
+
+    Filters are pushed into the source, which Spark has to be told to do.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TreeSource)
-    return spark.read.format("source_tree").options(paths=json.dumps(paths), ignore=json.dumps(ignore)).load()
+    return spark.read.format("source_tree").options(paths=json.dumps(paths), ignore=json.dumps(ignore), cwd=os.getcwd()).load().where(F.col("kind").isin(languages()))
 
 
 def check(files: DataFrame, config: Config | None = None, exclude: list[str] | None = None, baseline_path: str | None = None) -> Outcome:
