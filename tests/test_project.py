@@ -2,13 +2,19 @@
 
 import json
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wattscan import project
+from wattscan.functions.literals import required
+from wattscan.functions.shared import numbered
+from wattscan.functions.text import blank_comments, match_lines, with_parts
 from wattscan.operators import baseline, globs, incremental, pyfacts, summary
-from wattscan.operators.rules import Rule, drop_rule, register_rule
-from wattscan.operators.scan import scan
+from wattscan.operators.rules import BY_ID, Rule, drop_rule, register_rule
+from wattscan.operators.scan import applicable, ordered, scan
+from wattscan.sources.report import read_report, write_findings
 from wattscan.sources.config import Config, load_config
 from wattscan.sources.tree import TreeReader, TreeSource
 
@@ -103,6 +109,60 @@ def test_reports(spark, tmp_path):
     assert lines[0].startswith("src/b.yml:1: [GL003/high]") and lines[-1] == "wattscan: 4 finding(s)"
 
 
+def test_equal_findings_and_repeated_roots(spark):
+    """A root given twice gives every finding twice: the report stays valid, and a file has one heading."""
+    found = scan(rows(spark, FILES + FILES))
+    whole = json.loads("\n".join(r.text for r in summary.in_order(summary.json_report(found)).collect()))
+    assert len(whole) == 8 and [x["rule"] for x in whole] == [x for r in ("GL003", "GL005", "GL028", "GL011") for x in (r, r)]
+    page = [r.text for r in summary.in_order(summary.html_report(found, root="src")).collect()]
+    assert [x for x in page if x.startswith("<h2>")] == ["<h2>b.yml <small>2</small></h2>", "<h2>a.py <small>4</small></h2>", "<h2>web/c.html <small>2</small></h2>"]
+    assert json.loads("\n".join(r.text for r in summary.in_order(summary.json_report(found.limit(0))).collect())) == []
+
+
+@pytest.mark.parametrize("times", [0, 1, 300])
+def test_report_sink(spark, tmp_path, times):
+    """Every task writes its part; the parts in the order of their names are one document."""
+    files = [(f"{p}{i}{s}", t) for i in range(times) for p, s, t in (("src/a", ".py", FILES[0][1]), ("src/b", ".yml", FILES[1][1]), ("web/c", ".html", FILES[2][1]))]
+    found = scan(spark.createDataFrame(files, "path string, text string").repartition(7))
+    want = [(r.rule, r.file, r.line) for r in ordered(found).collect()]
+    folder = str(tmp_path / "report")
+    for _ in range(2):  # a second report takes the first one's place
+        write_findings(found, folder, "json")
+    assert [(x["rule"], x["file"], x["line"]) for x in json.loads("".join(read_report(folder)))] == want
+    assert all(x.startswith("report-") for x in os.listdir(folder))
+    write_findings(found, folder, "github")
+    lines = "".join(read_report(folder)).splitlines()
+    assert len(lines) == len(want) and all(" \u2014 " in x and x.startswith("::") for x in lines)
+    write_findings(found, folder, "text")
+    text = "".join(read_report(folder))
+    assert text.endswith(f"\nwattscan: {len(want)} finding(s)\n") and text.count("\u21b3") == len(want)
+
+
+def test_numbers_in_order(spark):
+    table = spark.range(5000).selectExpr("id % 7 AS a", "id % 3 AS b").repartition(5)
+    got = sorted((r.n, r.a, r.b) for r in numbered(table, "a", "b").collect())
+    assert [n for n, *_ in got] == list(range(5000)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+    assert numbered(table.limit(0), "a").count() == 0
+
+
+def test_required_literals():
+    assert required(r"a\s+bcd|xyz+") == ("bcd", "xy") and required(r"(?:ab)?c[de]") == ("c",) and required(r"\w+") == () == required("(") == required("a|\\d")
+    assert required("SELECT x", "i") == ("select x",) and required("(?i:ab)c") == () and required(r"(?<!\w)\w++=\{") == ("={",)
+    assert required(r"é+ab") == ("ab",)
+
+
+def test_texts_without_a_literal_are_left_out_and_nothing_else_is(spark):
+    """Findings are those of patterns alone, in texts with and without what they need, in any case."""
+    r = random.Random(8)
+    bits = ["SELECT * FROM t", "\u017felect * from u", "sele\u017fct", "from a import *", "FROM ubuntu", "PIP \u0130nstall x", "pip install y", "apt-get \u0131nstall z", "# select * from c", "time.sleep(0.05)", "x = 1", "<IMG src='a.G\u0130F'>", "for x in y:\n  cur.execute(q)", "\n"]
+    files = [(f"{i}{s}", "\n".join(r.choice(bits) for _ in range(r.randrange(5)))) for i in range(150) for s in (".py", ".sql", "/Dockerfile", ".html")]
+    table = spark.createDataFrame(files, "path string, text string")
+    plain = with_parts(table).withColumn("code", blank_comments(F.col("text"), F.col("suffix"), F.col("name")))
+    for rule in (BY_ID[x] for x in ("GL002", "GL006", "GL009", "GL010", "GL011", "GL012", "GL017", "GL028")):
+        want = plain.where(applicable(rule)).select("path", F.explode(match_lines(F.col("code"), rule.java)).alias("line")).collect()
+        assert sorted((x.file, x.line) for x in scan(table, only=(rule.id,)).collect()) == sorted(map(tuple, want)), rule.id
+
+
 def test_groups(spark):
     found = scan(rows(spark))
     got = [(r.group_label, r.group_note, r.rule) for r in summary.in_groups(summary.grouped(found, "file", "src")).collect()]

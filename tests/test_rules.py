@@ -62,7 +62,7 @@ def test_every_rule_matches_its_templates(spark):
     assert {f"rule_{r.id.lower()}" for r in RULES} <= set(queries)
 
 
-@pytest.mark.parametrize("name", ["scan_ignored", "summary_by_severity", "baseline_anti_join", "incremental_reuse", "merge_batch", "prune_under", "stream_scan", "report_github"])
+@pytest.mark.parametrize("name", ["scan_ignored", "summary_by_severity", "baseline_anti_join", "incremental_reuse", "merge_batch", "prune_under", "stream_scan", "report_github", "report_html", "report_json", "list_rules", "languages", "docs_anchor"])
 def test_query_equals_sql(spark, name):
     import __spark_entry__
 

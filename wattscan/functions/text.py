@@ -89,6 +89,11 @@ def with_parts(files: DataFrame) -> DataFrame:
     return named.withColumn("suffix", F.regexp_extract("name", r"(?s)^.+(\.[^.]+)\z", 1))
 
 
+def kind() -> Column:
+    """What rules go by, from ``name`` and ``suffix``: the suffix, or the whole name ``Dockerfile``."""
+    return F.when(F.col("name") == "Dockerfile", F.col("name")).otherwise(F.col("suffix"))
+
+
 def universal_newlines(content: Column) -> Column:
     """Raw bytes as text: malformed UTF-8 replaced, line ends unified."""
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")

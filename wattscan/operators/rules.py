@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattscan.functions.text import dialect
+from wattscan.functions.text import dialect, kind, with_parts
 
 SEVERITIES = ["high", "medium", "low"]
 HOT = "worth it only where the code runs often: about 1 g for 500 core-seconds saved"
@@ -110,3 +111,18 @@ def drop_rule(rule_id: str) -> None:
 
 def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r.id, r.severity, list(r.langs), r.kind, r.message, r.suggestion, r.hint, EMIT[r.id]) for r in RULES], "rule string, severity string, langs array<string>, mechanism string, message string, suggestion string, co2e_estimate string, emit int")
+
+
+def languages_of(files: DataFrame) -> DataFrame:
+    """``language, files``: every suffix or name that some rule is for, with how many of the files have it."""
+    spark = files.sparkSession
+    known = spark.createDataFrame([(x,) for x in languages()], "language string")
+    counts = with_parts(files.select("path")).groupBy(kind().alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    return known.join(counts, "language", "left").select("language", F.coalesce("n", F.lit(0)).alias("files"))
+
+
+def rules_of(files: DataFrame) -> DataFrame:
+    """The rule table with ``files``: how many of the files each rule applies to."""
+    table = rules_table(files.sparkSession)
+    counts = table.select("rule", F.explode("langs").alias("language")).join(languages_of(files), "language").groupBy("rule").agg(F.sum("files").alias("files"))
+    return table.join(counts, "rule")

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattscan.functions.text import blank_comments, dialect, first_line, let, match_lines, newlines, once, with_parts
+from wattscan.functions.literals import folded, has_any, required
+from wattscan.functions.text import blank_comments, dialect, first_line, kind, let, match_lines, newlines, once, with_parts
 from wattscan.operators.globs import ignored
 from wattscan.operators.pyfacts import fact_array
 from wattscan.operators.rules import BY_ID, EMIT, RULES, SEVERITIES, SPARED, Rule, languages
@@ -19,6 +20,9 @@ HISTORY = r"gitleaks|trufflehog|sonar|codecov|scorecard|release-please|semantic-
 LIMITS = r"mem_limit|nano_cpus|cpus\s*:|memory\s*:"  # fixed values
 TEST_NAME = r"(?i)(?u)(^test_|_test\.|\.test\.|\.spec\.|_spec\.)"  # fixed values
 TEST_DIRS = ("test", "tests", "spec", "specs")  # fixed values
+#: What a text must hold for a rule without a pattern of its own.
+KEYS = {"GL001": ("while",), "GL004": ("fetch-depth:",), "GL013": ("resource",), "GL014": ("kind:",), "GL024": ("resource",), "GL026": ("resource",), "GL029": ("install",), "GL033": ("HorizontalPodAutoscaler",), "GL034": ("services:",)}
+LOOPS = ("for", "while")
 
 
 def applicable(rule: Rule) -> Column:
@@ -26,6 +30,33 @@ def applicable(rule: Rule) -> Column:
     return fits | (F.col("name") == "Dockerfile") if "Dockerfile" in rule.langs else fits
 
 
+def needs(rule: Rule) -> tuple[tuple[str, ...], bool]:
+    """Literals of which every match of a rule holds one (every text holds the empty one), and whether case doesn't count."""
+    if rule.kind == "regex":
+        return required(rule.pattern, rule.flags) or ("",), "i" in rule.flags
+    return KEYS.get(rule.id, LOOPS), rule.id == "GL029"
+
+
+def possible(rule: Rule) -> Column:
+    literals, bare = needs(rule)
+    return has_any(F.col("low" if bare else "code"), literals)
+
+
+def any_possible(rules: list[Rule], text: str) -> Column:
+    """Whether a text, or ``low``, holds what some rule for its kind of file needs: the literals of all these rules in one list."""
+    found = F.lit(False)
+    for bare in (False, True):
+        lists: dict[str, dict[str, None]] = {}
+        for r in rules:
+            literals, is_bare = needs(r)
+            for lang in r.langs if is_bare == bare else ():
+                lists.setdefault(lang, {}).update(dict.fromkeys(literals))
+        if lists:
+            of_kind = F.try_element_at(F.create_map(*[x for k, v in lists.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), kind())
+            found = found | F.coalesce(F.exists(of_kind, lambda x: F.contains(F.col("low" if bare else text), x)), F.lit(False))
+    return found
+
+
 def is_test_file() -> Column:
     return F.col("name").rlike(TEST_NAME) | F.exists("dir_parts", lambda d: F.lower(d).isin(*TEST_DIRS))
 
@@ -131,15 +162,25 @@ def rule_lines(rule: Rule) -> Column:
     """The lines of a rule's findings in one file."""
     found = {"regex": lambda: match_lines(F.col("code"), rule.java), "block": lambda: _block(rule.id), "tree": lambda: _tree(rule.id)}[rule.kind]()
     fits = applicable(rule) & ~F.col("is_test") if rule.id in SPARED else applicable(rule)
+    if rule.kind != "tree":  # facts are an array already
+        fits = fits & possible(rule)
     return F.when(fits, found).otherwise(F.array().cast("array<int>"))
 
 
-def prepared(files: DataFrame, trees: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Scannable files with ``code`` (comments and docstrings blanked), ``facts`` and ``is_test``, and the columns ``keep``."""
+def prepared(files: DataFrame, rules: list[Rule] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scannable files with ``code`` (comments and docstrings blanked), ``low``, ``facts`` and ``is_test``, and the columns ``keep``.
+
+    Files that hold nothing that any of the rules needs are left out before their comments are sought.
+    """
     rows = scannable(files.select("path", "text", *keep).where(F.col("text").isNotNull()))
+    bare = sorted({x for r in rules if needs(r)[1] for x in r.langs})
+    low = lambda text: F.when(kind().isin(bare), folded(F.col(text))).otherwise("")
+    rows = once(rows.withColumn("low", low("text"))).where(any_possible(rules, "text"))
     rows = once(rows.withColumns({"code": blank_comments(F.col("text"), F.col("suffix"), F.col("name")), "is_test": is_test_file()}))
     # Facts come from the blanked code: comments aren't part of a tree.
-    facts = fact_array(F.when(F.col("suffix") == ".py", F.col("code"))) if trees else F.from_json(F.lit("[]"), "array<struct<kind:string,first:int,last:int>>")
+    trees = [r for r in rules if ".py" in r.langs]
+    needed = (F.col("suffix") == ".py") & any_possible(trees, "code")
+    facts = fact_array(F.when(needed, F.col("code"))) if trees else F.from_json(F.lit("[]"), "array<struct<kind:string,first:int,last:int>>")
     rows = once(rows.withColumn("facts", facts))
     spans = F.array_sort(F.filter("facts", lambda x: x["kind"] == "docstring"), lambda a, b: a["first"] - b["first"])
     piece = lambda a, b: F.substring(F.col("code"), a + 1, b - a)
@@ -147,7 +188,8 @@ def prepared(files: DataFrame, trees: bool = True, keep: tuple[str, ...] = ()) -
     pieces = lambda rows: F.transform(rows, lambda s, i: spaced(s, F.coalesce(F.get(rows, i - 1)["last"], F.lit(0))))
     tail = lambda rows: F.substring(F.col("code"), F.element_at(rows, -1)["last"] + 1, F.length("code"))
     whole = let(spans, lambda rows: F.when(F.size(rows) > 0, F.concat(F.array_join(pieces(rows), ""), tail(rows))).otherwise(F.col("code")))
-    return once(rows.withColumn("code", whole))
+    rows = once(rows.withColumn("code", whole))
+    return once(rows.withColumn("low", low("code")))
 
 
 def scan(files: DataFrame, disable: tuple[str, ...] = (), ignore: tuple[str, ...] = (), only: tuple[str, ...] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -155,7 +197,7 @@ def scan(files: DataFrame, disable: tuple[str, ...] = (), ignore: tuple[str, ...
     rules = [r for r in RULES if r.id not in disable and (only is None or r.id in only)]
     if ignore:
         files = files.where(~ignored(F.col("path"), list(ignore)))
-    rows = prepared(files, any(".py" in r.langs for r in rules), keep)
+    rows = prepared(files, rules, keep)
     each = [_tagged(r) for r in rules]
     found = rows.select(F.col("path").alias("file"), *keep, F.explode(F.concat(*each)).alias("x")).select("file", *keep, "x.*")
     text = lambda field: F.element_at(F.create_map(*[F.lit(v) for r in rules for v in (r.id, getattr(r, field))]), F.col("rule"))

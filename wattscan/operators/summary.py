@@ -1,6 +1,7 @@
 """Aggregates, groupings and reports over findings. Hints are prose on different quantities and are never summed.
 
-Reports are tables of text lines with their order; they are written by Spark and never gathered on the driver.
+Reports are tables of text lines with their order; they are written by Spark and never gathered on the driver. A report
+writes the findings once, in order, so their scan runs once however often the report looks at them.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattscan.functions.shared import numbered
 from wattscan.functions.text import anchor, escaped, relative
 from wattscan.operators.rules import RULES, SEVERITIES
 from wattscan.operators.scan import FINDING, ordered
@@ -91,67 +93,91 @@ def exit_code(findings: DataFrame, fail_on_findings: bool) -> int:
 
 
 def text_lines(findings: DataFrame) -> DataFrame:
-    return findings.select("severity", "file", "line", "emit_rank", F.format_string("%s:%d: [%s/%s] %s", "file", "line", "rule", "severity", "message").alias("text"))
+    return findings.select("severity", "file", "line", "emit_rank", _headline().alias("text"))
 
 
-def github_lines(findings: DataFrame) -> DataFrame:
+def _headline() -> Column:
+    return F.format_string("%s:%d: [%s/%s] %s", "file", "line", "rule", "severity", "message")
+
+
+def _annotation() -> Column:
     level = F.when(F.col("severity") == "high", "error").when(F.col("severity") == "medium", "warning").otherwise("notice")
-    return findings.select("severity", "file", "line", "emit_rank", F.concat(F.lit("::"), level, F.format_string(" file=%s,line=%d,title=%s::%s", "file", "line", "rule", "message")).alias("text"))
+    return F.concat(F.lit("::"), level, F.format_string(" file=%s,line=%d,title=%s::%s", "file", "line", "rule", "message"), F.lit(" \u2014 "), "suggestion")
+
+
+def github_lines(findings: DataFrame) -> DataFrame:
+    return findings.select("severity", "file", "line", "emit_rank", _annotation().alias("text"))
+
+
+def _said() -> Column:
+    """What people read of a finding: two or three lines."""
+    hint = F.when(F.col("co2e_estimate") != "", F.concat(F.lit("    ~ "), "co2e_estimate"))
+    return F.array(_headline(), F.concat(F.lit("    \u21b3 "), "suggestion"), hint)
+
 
+def _object() -> list[Column]:
+    """The fields of a finding as lines of a JSON object."""
+    return [F.concat(F.lit(f'    "{c}": '), F.regexp_extract(F.to_json(F.struct(F.col(c))), r"(?s)^\{\"[^\"]*\":(.*)\}$", 1), F.lit("," if c != FINDING[-1] else "")) for c in FINDING]
 
-def _report(part: int, rows: DataFrame, texts: Column, **order: Column) -> DataFrame:
-    """Rows of a report: its part, the order inside, and a text for each line; empty texts of an array are left out by null."""
-    keys = {"group_at": F.lit(None), **order}
-    at = [F.lit(part).alias("part"), keys["group_at"].cast("struct<rank:int,file:string,line:int,emit_rank:int>").alias("group_at")]
-    at += [(F.col(c) if c in rows.columns else F.lit(None)).cast({"file": "string"}.get(c, "int")).alias(c) for c in ORDER]
-    lined = rows.select(*at, F.posexplode(texts).alias("n", "text"))
+
+def rendered(findings: DataFrame, kind: str) -> DataFrame:
+    """Findings with ``text``, what a report of the kind ``text``, ``github`` or ``json`` says of each."""
+    texts = {"text": lambda: F.array_join(_said(), "\n"), "github": _annotation, "json": lambda: F.array_join(F.array(F.lit("  {"), *_object(), F.lit("  }")), "\n")}
+    return findings.withColumn("text", texts[kind]())
+
+
+def in_sequence(findings: DataFrame) -> DataFrame:
+    """Findings in order, written once, with their number ``n``: every later step reads what was written."""
+    return numbered(findings.withColumn("rank", rank()), *ORDER)
+
+
+def _report(part: int, rows: DataFrame, texts: Column, section: Column | None = None, at: Column | None = None) -> DataFrame:
+    """Rows of a report: part, section, place in it, and a text for each line; null texts of an array are left out."""
+    zero = F.lit(0).cast("long")
+    lined = rows.select(F.lit(part).alias("part"), (zero if section is None else section).alias("section"), (zero if at is None else at).alias("n"), F.posexplode(texts).alias("i", "text"))
     return lined.where(F.col("text").isNotNull())
 
 
 def text_report(findings: DataFrame, accepted: int = 0, baseline: str = "") -> DataFrame:
     """The report for people: two or three lines for each finding, an empty one, and the total."""
-    rows = findings.withColumn("rank", rank())
-    first = F.format_string("%s:%d: [%s/%s] %s", "file", "line", "rule", "severity", "message")
-    hint = F.when(F.col("co2e_estimate") != "", F.concat(F.lit("    ~ "), "co2e_estimate"))
-    lines = _report(0, rows, F.array(first, F.concat(F.lit("    \u21b3 "), "suggestion"), hint))
+    rows = in_sequence(findings)
     note = f" ({accepted} accepted by {baseline})" if accepted else ""
-    count = findings.agg(F.count(F.lit(1)).alias("total"))
-    return lines.unionByName(_report(1, count, F.array(F.lit(""), F.concat(F.lit("wattscan: "), F.col("total").cast("string"), F.lit(f" finding(s){note}")))))
+    count = rows.agg(F.count(F.lit(1)).alias("total"))
+    end = F.array(F.lit(""), F.concat(F.lit("wattscan: "), F.col("total").cast("string"), F.lit(f" finding(s){note}")))
+    return _report(0, rows, _said(), at=F.col("n")).unionByName(_report(1, count, end))
 
 
 def json_report(findings: DataFrame) -> DataFrame:
     """Lines of a JSON array; a comma stands before each object but the first."""
-    rows = findings.withColumn("rank", rank())
-    first = rows.orderBy(*ORDER).select(*ORDER).first()
-    if first is None:
-        return _report(0, findings.sparkSession.range(1), F.array(F.lit("[]")))
-    is_first = F.lit(True)
-    for c in ORDER:
-        is_first = is_first & (F.col(c) == F.lit(first[c]))
-    fields = [F.concat(F.lit(f'    "{c}": '), F.regexp_extract(F.to_json(F.struct(F.col(c))), r"(?s)^\{\"[^\"]*\":(.*)\}$", 1), F.lit("," if c != FINDING[-1] else "")) for c in FINDING]
-    body = _report(1, rows, F.array(F.when(is_first, "  {").otherwise("  ,{"), *fields, F.lit("  }")))
-    edges = findings.sparkSession.range(1)
-    return _report(0, edges, F.array(F.lit("["))).unionByName(body).unionByName(_report(2, edges, F.array(F.lit("]"))))
+    rows = in_sequence(findings)
+    count = rows.agg(F.count(F.lit(1)).alias("total"))
+    body = _report(1, rows, F.array(F.when(F.col("n") == 0, "  {").otherwise("  ,{"), *_object(), F.lit("  }")), at=F.col("n"))
+    ends = [_report(part, count, F.when(F.col("total") == 0, F.array(F.lit(none) if none else F.lit(None).cast("string"))).otherwise(F.array(F.lit(some)))) for part, none, some in ((0, "[]", "["), (2, None, "]"))]
+    return ends[0].unionByName(body).unionByName(ends[1])
+
+
+def by_sections(rows: DataFrame, by: str = "file") -> DataFrame:
+    """Numbered rows with ``section``, the number of its first row, and ``section_size``: sections follow one another as they first appear."""
+    sections = rows.groupBy(by).agg(F.min("n").alias("section"), F.count(F.lit(1)).alias("section_size"))
+    return rows.join(sections, by)
 
 
 def html_report(findings: DataFrame, title: str = "Findings", root: str = "", cost: str = "") -> DataFrame:
     """Lines of a static page without script: totals, a table by rule, and a section for each file in order of appearance."""
+    numbers = in_sequence(findings)
     cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
-    rules = findings.groupBy("rule", "message").agg(F.count(F.lit(1)).alias("n"))
-    rules = rules.withColumns({"rank": (-F.col("n")).cast("int"), "file": F.col("rule"), "line": F.lit(0), "emit_rank": F.lit(0)})
-    by_rules = _report(1, rules, F.array(F.concat(F.lit("<tr>"), cell(escaped(F.col("rule"))), cell(escaped(F.col("message"))), cell(F.col("n").cast("string")), F.lit("</tr>"))))
-    rows = grouped(findings, "file", root)
+    rules = numbers.groupBy("rule", "message").agg(F.count(F.lit(1)).alias("n"))
+    by_rules = _report(1, rules, F.array(F.concat(F.lit("<tr>"), cell(escaped(F.col("rule"))), cell(escaped(F.col("message"))), cell(F.col("n").cast("string")), F.lit("</tr>"))), -F.col("n"), F.regexp_extract("rule", r"(\d{1,9})", 1).try_cast("long"))
+    rows = by_sections(numbers)
     label = escaped(relative(F.col("file"), root))
-    opens = F.struct(*ORDER) == F.col("group_at")
-    head = F.when(opens, F.concat(F.lit("<h2>"), label, F.lit(" <small>"), F.col("group_size").cast("string"), F.lit("</small></h2>")))
+    head = F.when(F.col("n") == F.col("section"), F.concat(F.lit("<h2>"), label, F.lit(" <small>"), F.col("section_size").cast("string"), F.lit("</small></h2>")))
     hint = F.when(F.col("co2e_estimate") != "", F.concat(F.lit("<p>~ "), escaped(F.col("co2e_estimate")), F.lit("</p>")))
     item = F.concat(F.lit("<p><b>"), label, F.lit(":"), F.col("line").cast("string"), F.lit("</b> "), F.col("severity"), F.lit(" <a href=\"#"), anchor(F.col("rule"), F.col("message")), F.lit("\">"), escaped(F.col("rule")), F.lit("</a> "), escaped(F.col("message")), F.lit("</p>"))
-    sections = _report(3, rows, F.array(head, item, F.concat(F.lit("<p>\u21b3 "), escaped(F.col("suggestion")), F.lit("</p>")), hint), group_at=F.col("group_at"))
-    count = findings.agg(F.count(F.lit(1)).alias("total"))
+    sections = _report(3, rows, F.array(head, item, F.concat(F.lit("<p>\u21b3 "), escaped(F.col("suggestion")), F.lit("</p>")), hint), F.col("section"), F.col("n"))
+    count = numbers.agg(F.count(F.lit(1)).alias("total"))
     shown = lambda x: F.lit(x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
     top = F.array(F.lit("<!doctype html>"), F.concat(F.lit("<title>"), shown(title), F.lit("</title>")), F.concat(F.lit("<h1>"), shown(title), F.lit("</h1><p>"), F.col("total").cast("string"), F.lit(" finding(s)"), shown(cost), F.lit("</p>")), F.when(F.col("total") == 0, "<h2>Nothing found</h2>"), F.lit("<table>"))
-    edges = findings.sparkSession.range(1)
-    return _report(0, count, top).unionByName(by_rules).unionByName(_report(2, edges, F.array(F.lit("</table>")))).unionByName(sections)
+    return _report(0, count, top).unionByName(by_rules).unionByName(_report(2, count, F.array(F.lit("</table>")))).unionByName(sections)
 
 
 def scan_cost(files: int, ms: int, scanned: int, reused: int, skipped: int) -> str:
@@ -161,7 +187,7 @@ def scan_cost(files: int, ms: int, scanned: int, reused: int, skipped: int) -> s
 
 def in_order(report: DataFrame) -> DataFrame:
     """The texts of a report's lines, in order."""
-    return report.orderBy("part", "group_at", *ORDER, "n").select("text")
+    return report.orderBy("part", "section", "n", "i").select("text")
 
 
 def write_report(report: DataFrame, path: str) -> None:

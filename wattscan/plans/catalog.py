@@ -10,7 +10,7 @@ from wattscan import project
 from wattscan.functions.shared import shared_dir
 from wattscan.functions.text import anchor, blank_comments, escaped, relative, with_parts
 from wattscan.operators import baseline, globs, incremental, pyfacts, summary
-from wattscan.operators.rules import RULES, SEVERITIES, Rule, drop_rule, languages, register_rule, rules_table
+from wattscan.operators.rules import RULES, SEVERITIES, Rule, drop_rule, languages, languages_of, register_rule, rules_of
 from wattscan.operators.scan import scan, scannable
 from wattscan.plans.corpus import TEMPLATES, expected_sql, files, lengths_sql, paths_sql
 from wattscan.sources.config import Config
@@ -124,8 +124,8 @@ QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
     "test_file_exemption": lambda s, d: _all(s, d, only=("GL001", "GL002", "GL007")).select(*BRIEF),
     "blank_comments": lambda s, d: with_parts(files(s, d)).withColumn("code", blank_comments(F.col("text"), F.col("suffix"), F.col("name"))).select("path", F.length("code").cast("long").alias("n_chars"), (F.length("code") == F.length("text")).alias("same_length")),
     "scannable_files": lambda s, d: scannable(files(s, d)).select("path"),
-    "languages": lambda s, d: rules_table(s).select(F.explode("langs").alias("language")).distinct().orderBy("language"),
-    "list_rules": lambda s, d: rules_table(s).select("rule", "severity", "message"),
+    "languages": lambda s, d: languages_of(files(s, d)).orderBy("language"),
+    "list_rules": lambda s, d: rules_of(files(s, d)).select("rule", "severity", "message", "files"),
     "summary_by_severity": lambda s, d: summary.by_severity(_all(s, d)),
     "summary_by_rule": lambda s, d: summary.by_rule(_all(s, d)),
     "findings_by_file": lambda s, d: summary.by_file(_all(s, d)),
@@ -149,7 +149,7 @@ QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
     "grouped_by_rule": _grouped("rule"),
     "scope_file": lambda s, d: summary.in_file(_all(s, d), ONE_FILE).select(*BRIEF),
     "hover_line": lambda s, d: summary.at_line(_all(s, d), ONE_FILE, 2).select(*BRIEF),
-    "docs_anchor": lambda s, d: rules_table(s).select("rule", anchor(F.col("rule"), F.col("message")).alias("anchor")),
+    "docs_anchor": lambda s, d: _all(s, d).select("rule", anchor(F.col("rule"), F.col("message")).alias("anchor")).distinct(),
     "relative_labels": lambda s, d: files(s, d).select("path", relative(F.col("path"), "src").alias("label")),
     "html_escape": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(escaped(F.coalesce("text", F.lit("")))).alias("escaped_md5")),
     "exit_code": lambda s, d: s.createDataFrame([(summary.exit_code(_all(s, d), True),)], "code int"),
@@ -161,18 +161,27 @@ QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
 }
 
 _ALL = f"SELECT * FROM {expected_sql()} x"
+_KIND = "CASE WHEN ends_with(p.path, '/Dockerfile') THEN 'Dockerfile' ELSE '.' || string_split(string_split(p.path, '/')[-1], '.')[-1] END"
 _PRINT = "sha1(file || '|' || rule || '|' || message)"
 _VALUES = lambda rows: ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
 _HOW = "CASE WHEN doc_id % 3 <> 0 THEN 'stat' WHEN doc_id % 9 <> 0 THEN 'hash' ELSE 'scan' END"
 _MERGED = "NOT (doc_id % 2 = 1 AND doc_id % 5 <> 0 AND doc_id % 3 = 0)"
-_ESCAPED = "coalesce(text, '')"
-for _plain, _entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-    _ESCAPED = f"replace({_ESCAPED}, '{_plain}', '{_entity}')"
+_LABEL = "CASE WHEN starts_with(file, 'src/') THEN substr(file, 5) ELSE file END"
+_ANCHOR = "replace(regexp_replace(lower(rule || ' \u2014 ' || message), '[^a-z0-9 _-]', '', 'g'), ' ', '-')"
+
+
+def _esc(sql: str) -> str:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        sql = f"replace({sql}, '{plain}', '{entity}')"
+    return sql
+
+
+_ESCAPED = _esc("coalesce(text, '')")
 _RANK = "list_position(['" + "', '".join(SEVERITIES) + "'], severity)"
 _MORE = f"(SELECT x.*, t.suggestion, t.hint FROM {expected_sql()} x JOIN (VALUES {_VALUES([(r.id, r.suggestion, r.hint) for r in RULES])}) t(rule, suggestion, hint) USING (rule))"
 _FIELDS = " || ".join(f"""'    "{k}": ' || {v} || '{"" if k == "co2e_estimate" else ","}' || chr(10)""" for k, v in {**{k: f"""'"' || {k} || '"'""" for k in ("rule", "severity", "file")}, "line": "line", **{k: f"""'"' || {v} || '"'""" for k, v in (("message", "message"), ("suggestion", "suggestion"), ("co2e_estimate", "hint"))}}.items())
 _GROUP = "SELECT {label} AS group_label, {note}CAST(count(*) OVER w AS VARCHAR) AS group_note, count(*) OVER w AS n, rule, file, line FROM {found} x WINDOW w AS (PARTITION BY {by})"
-_LINES = {"github": "'::' || CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'notice' END || ' file=' || file || ',line=' || line || ',title=' || rule || '::' || message", "text": "file || ':' || line || ': [' || rule || '/' || severity || '] ' || message"}
+_LINES = {"github": "'::' || CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'notice' END || ' file=' || file || ',line=' || line || ',title=' || rule || '::' || message || ' \u2014 ' || suggestion", "text": "file || ':' || line || ': [' || rule || '/' || severity || '] ' || message"}
 
 ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id}'")} x" for r in RULES} | {
     "scan_all": _ALL,
@@ -180,8 +189,8 @@ ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id
     "scan_ignored": f"{_ALL} WHERE NOT starts_with(file, 'vendor/') AND NOT starts_with(file, 'web/') AND NOT regexp_full_match(file, 'k8s/f.[.]y[^m]ml')",
     "test_file_exemption": f"{_ALL} WHERE rule IN ('GL001', 'GL002', 'GL007')",
     "scannable_files": f"SELECT path FROM {paths_sql()} x WHERE NOT ends_with(path, '.md')",
-    "languages": f"SELECT * FROM (VALUES {_VALUES([(x,) for x in languages()])}) v(language)",
-    "list_rules": f"SELECT * FROM (VALUES {_VALUES([(r.id, r.severity, r.message) for r in RULES])}) v(rule, severity, message)",
+    "languages": f"SELECT l.language, count(p.path) AS files FROM (VALUES {_VALUES([(x,) for x in languages()])}) l(language) LEFT JOIN {paths_sql()} p ON {_KIND} = l.language GROUP BY l.language",
+    "list_rules": f"SELECT r.rule, r.severity, r.message, count(DISTINCT p.path) AS files FROM (VALUES {_VALUES([(r.id, r.severity, r.message, x) for r in RULES for x in r.langs])}) r(rule, severity, message, language) LEFT JOIN {paths_sql()} p ON {_KIND} = r.language GROUP BY ALL",
     "summary_by_severity": f"SELECT s.severity, count(x.rule) AS n FROM (VALUES ('high'), ('medium'), ('low')) s(severity) LEFT JOIN {expected_sql()} x ON x.severity = s.severity GROUP BY s.severity",
     "summary_by_rule": f"SELECT rule, count(*) AS n FROM {expected_sql()} x GROUP BY rule",
     "findings_by_file": f"SELECT file, count(*) AS n, min(line) AS first_line FROM {expected_sql()} x GROUP BY file",
@@ -194,7 +203,12 @@ ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id
     "merge_batch": f"SELECT * FROM {expected_sql(_MERGED)} x",
     "prune_under": f"SELECT * FROM {expected_sql("NOT (starts_with(file, 'src/') AND doc_id % 2 <> 1 AND doc_id % 5 <> 0)")} x",
     "stream_scan": _ALL,
-    "report_github": f"SELECT {_LINES['github']} AS text FROM {expected_sql()} x",
+    "report_github": f"SELECT {_LINES['github']} AS text FROM {_MORE} x",
+    "report_html": f"""
+        SELECT unnest(['<!doctype html>', '<title>Findings</title>', '<h1>Findings</h1><p>' || count(*) || ' finding(s)</p>', '<table>', '</table>']) AS text FROM {_MORE} x
+        UNION ALL SELECT '<tr><td>' || rule || '</td><td>' || {_esc("message")} || '</td><td>' || count(*) || '</td></tr>' FROM {_MORE} x GROUP BY rule, message
+        UNION ALL SELECT '<h2>' || {_esc(_LABEL)} || ' <small>' || count(*) || '</small></h2>' FROM {_MORE} x GROUP BY file
+        UNION ALL SELECT unnest(['<p><b>' || {_esc(_LABEL)} || ':' || line || '</b> ' || severity || ' <a href="#' || {_ANCHOR} || '">' || rule || '</a> ' || {_esc("message")} || '</p>', '<p>\u21b3 ' || {_esc("suggestion")} || '</p>', '<p>~ ' || {_esc("hint")} || '</p>']) FROM {_MORE} x""",
     "report_text": f"SELECT {_LINES['text']} AS text FROM {expected_sql()} x",
     "report_full": f"SELECT unnest([{_LINES['text']}, '    \u21b3 ' || suggestion, '    ~ ' || hint]) AS text FROM {_MORE} x UNION ALL SELECT unnest(['', 'wattscan: ' || count(*) || ' finding(s) (3 accepted by b.json)']) FROM {expected_sql()} x",
     "report_json": f"SELECT unnest(string_split(CASE WHEN n = 1 THEN '  {{' ELSE '  ,{{' END || chr(10) || {_FIELDS} || '  }}', chr(10))) AS text FROM (SELECT *, row_number() OVER () AS n FROM {_MORE} y) x UNION ALL SELECT unnest(['[', ']'])",
@@ -204,7 +218,7 @@ ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id
     "grouped_by_rule": _GROUP.format(label="rule || ' \u2014 ' || message", note="", by="rule", found=expected_sql()),
     "scope_file": f"{_ALL} WHERE file = '{ONE_FILE}'",
     "hover_line": f"{_ALL} WHERE file = '{ONE_FILE}' AND line = 2",
-    "docs_anchor": f"SELECT rule, replace(regexp_replace(lower(rule || ' \u2014 ' || message), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS anchor FROM (VALUES {_VALUES([(r.id, r.message) for r in RULES])}) v(rule, message)",
+    "docs_anchor": f"SELECT DISTINCT rule, {_ANCHOR} AS anchor FROM {expected_sql()} x",
     "relative_labels": f"SELECT path, CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE path END AS label FROM {paths_sql()} x",
     "html_escape": f"SELECT doc_id, md5({_ESCAPED}) AS escaped_md5 FROM documents",
     "exit_code": f"SELECT CAST(count(*) > 0 AS INTEGER) AS code FROM {expected_sql()} x",
