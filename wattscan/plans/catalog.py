@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from wattscan import project
-from wattscan.functions.shared import shared_dir
+from wattscan.functions.shared import scratch, shared_dir
 from wattscan.functions.text import anchor, blank_comments, escaped, relative, with_parts
 from wattscan.operators import baseline, globs, incremental, pyfacts, summary
 from wattscan.operators.rules import RULES, SEVERITIES, Rule, drop_rule, languages, languages_of, register_rule, rules_of
 from wattscan.operators.scan import scan, scannable
+from wattscan.operators.store import ScanStore
 from wattscan.plans.corpus import TEMPLATES, expected_sql, files, lengths_sql, paths_sql
 from wattscan.sources.config import Config
 from wattscan.streaming.rescan import current, stream_scan
@@ -82,6 +83,19 @@ def _reconfigured(spark, sf_dir):
     return incremental.reuse(now.withColumn("config", F.when(odd, options("GL001")).otherwise(options())), then.withColumn("config", options()))
 
 
+def _stored(spark, sf_dir):
+    """A store of the files of then, refreshed with those of now: besides what ``_manifests`` changes, some files are gone and some are new."""
+    rows = files(spark, sf_dir)
+    sized = lambda df: df.select("path", "text", "mtime_ns", F.octet_length("text").cast("long").alias("size"))
+    then = rows.where("doc_id % 10 <> 8").withColumn("mtime_ns", F.lit(1).cast("long"))
+    edited = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+    now = rows.where("doc_id % 10 <> 7").withColumn("mtime_ns", F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).cast("long")).withColumn("text", edited)
+    store = ScanStore(spark, scratch(spark, "store"), 8)
+    store.refresh(sized(then))
+    touched = store.refresh(sized(now))
+    return store, touched
+
+
 def _invalidated(spark, sf_dir):
     rows = files(spark, sf_dir)
     kept = incremental.invalidate(_manifests(spark, sf_dir)[1], rows.where("doc_id % 2 = 0").select("path"))
@@ -158,6 +172,8 @@ QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
     "own_rule": _own_rule,
     "sql_facts": _facts,
     "check_project": _checked,
+    "store_findings": lambda s, d: _stored(s, d)[0].findings().select(*BRIEF),
+    "store_changes": lambda s, d: _stored(s, d)[1],
 }
 
 _ALL = f"SELECT * FROM {expected_sql()} x"
@@ -225,6 +241,8 @@ ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id
     "config_changed": f"SELECT path, CASE WHEN regexp_matches(path, '[13579][^0-9/]*$') THEN 'scan' ELSE {_HOW} END AS how FROM {paths_sql()} x",
     "invalidate": f"SELECT path FROM {paths_sql()} x WHERE doc_id % 2 <> 0",
     "own_rule": f"{_ALL} WHERE rule = 'GL028' UNION ALL SELECT 'OWN01', 'low', path, 3, 'long sleep' FROM {paths_sql()} x WHERE doc_id % {len(TEMPLATES)} = 1",
+    "store_findings": f"SELECT * FROM {expected_sql('doc_id % 10 <> 7')} x",
+    "store_changes": f"SELECT * FROM (SELECT path, CASE WHEN doc_id % 10 = 7 THEN 'gone' WHEN doc_id % 10 = 8 THEN 'scan' ELSE {_HOW} END AS how FROM {paths_sql()} x) WHERE how <> 'stat'",
     "check_project": f"{_ALL} WHERE rule <> 'GL028' AND NOT starts_with(file, 'vendor/') AND NOT starts_with(file, 'web/') AND NOT starts_with(file, 'docs/')",
     "blank_comments": f"SELECT path, n_chars, true AS same_length FROM ({lengths_sql()}) x",
 }
