@@ -40,6 +40,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """A table written once in the shared folder and read from there."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, *order, column: str = "n") -> DataFrame:
     """``rows`` in order with consecutive numbers from 0, equal rows too, written once in the shared folder.
 

@@ -93,12 +93,18 @@ def languages() -> list[str]:
     return sorted({x for r in RULES for x in r.langs})
 
 
-def register_rule(rule: Rule) -> None:
-    """Add a rule with a pattern; later scans apply it. The pattern must compile and not match the empty string."""
-    if rule.id in BY_ID:
+def checked(rule: Rule, known) -> Rule:
+    """A rule of one's own: a new id, a known severity and a pattern, which must not match the empty string."""
+    if rule.id in known:
         raise ValueError(f"{rule.id} is already a rule")
     if rule.severity not in SEVERITIES or rule.kind != "regex" or not rule.pattern:
         raise ValueError("a rule of one's own has a known severity and a pattern")
+    return rule
+
+
+def register_rule(rule: Rule) -> None:
+    """Add a rule to all later scans of this process; ``scan(..., own=(rule,))`` is for one scan."""
+    checked(rule, BY_ID)
     RULES.append(rule)
     BY_ID[rule.id], EMIT[rule.id] = rule, max(EMIT.values()) + 1
 

@@ -5,14 +5,14 @@ Input is ``path, text``; output is ``rule, severity, file, line, message, sugges
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattscan.functions.literals import folded, has_any, required
 from wattscan.functions.text import blank_comments, dialect, first_line, kind, let, match_lines, newlines, once, with_parts
 from wattscan.operators.globs import ignored
 from wattscan.operators.pyfacts import fact_array
-from wattscan.operators.rules import BY_ID, EMIT, RULES, SEVERITIES, SPARED, Rule, languages
+from wattscan.operators.rules import BY_ID, EMIT, RULES, SEVERITIES, SPARED, Rule, checked, languages
 
 FINDING = ["rule", "severity", "file", "line", "message", "suggestion", "co2e_estimate"]
 #: Tools that need the whole history.
@@ -63,7 +63,7 @@ def is_test_file() -> Column:
 
 def scannable(files: DataFrame) -> DataFrame:
     """``files`` with path parts, of which only those that some rule may apply to."""
-    return with_parts(files).where(F.col("suffix").isin([x for x in languages() if x.startswith(".")]) | (F.col("name") == "Dockerfile"))
+    return with_parts(files).where(kind().isin(languages()))
 
 
 def _lines(rows: Column) -> Column:
@@ -172,7 +172,7 @@ def prepared(files: DataFrame, rules: list[Rule] = RULES, keep: tuple[str, ...]
 
     Files that hold nothing that any of the rules needs are left out before their comments are sought.
     """
-    rows = scannable(files.select("path", "text", *keep).where(F.col("text").isNotNull()))
+    rows = with_parts(files.select("path", "text", *keep).where(F.col("text").isNotNull())).where(kind().isin(sorted({x for r in rules for x in r.langs})))
     bare = sorted({x for r in rules if needs(r)[1] for x in r.langs})
     low = lambda text: F.when(kind().isin(bare), folded(F.col(text))).otherwise("")
     rows = once(rows.withColumn("low", low("text"))).where(any_possible(rules, "text"))
@@ -192,23 +192,41 @@ def prepared(files: DataFrame, rules: list[Rule] = RULES, keep: tuple[str, ...]
     return once(rows.withColumn("low", low("code")))
 
 
-def scan(files: DataFrame, disable: tuple[str, ...] = (), ignore: tuple[str, ...] = (), only: tuple[str, ...] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of all rules that aren't disabled, in files that no glob ignores, with the files' columns ``keep``."""
-    rules = [r for r in RULES if r.id not in disable and (only is None or r.id in only)]
+def scan(files: DataFrame, disable: tuple[str, ...] = (), ignore: tuple[str, ...] = (), only: tuple[str, ...] | None = None, keep: tuple[str, ...] = (), own: tuple[Rule, ...] = ()) -> DataFrame:
+    """Findings of all rules that aren't disabled, in files that no glob ignores, with the files' columns ``keep``.
+
+    ``own`` are more rules, for this scan alone.
+    """
+    for i, rule in enumerate(own):
+        checked(rule, {r.id for r in [*RULES, *own[:i]]})
+    rules = [r for r in [*RULES, *own] if r.id not in disable and (only is None or r.id in only)]
     if ignore:
         files = files.where(~ignored(F.col("path"), list(ignore)))
     rows = prepared(files, rules, keep)
-    each = [_tagged(r) for r in rules]
+    emit = EMIT | {r.id: max(EMIT.values()) + 1 + i for i, r in enumerate(own)}
+    each = [_tagged(r, emit[r.id]) for r in rules]
     found = rows.select(F.col("path").alias("file"), *keep, F.explode(F.concat(*each)).alias("x")).select("file", *keep, "x.*")
     text = lambda field: F.element_at(F.create_map(*[F.lit(v) for r in rules for v in (r.id, getattr(r, field))]), F.col("rule"))
     return found.select("rule", text("severity").alias("severity"), "file", "line", text("message").alias("message"), text("suggestion").alias("suggestion"), text("hint").alias("co2e_estimate"), "emit_rank", *keep)
 
 
-def _tagged(rule: Rule) -> Column:
-    first = EMIT[rule.id] << 20
+def _tagged(rule: Rule, place: int) -> Column:
+    first = place << 20
     return F.transform(rule_lines(rule), lambda line, i: F.struct(F.lit(rule.id).alias("rule"), line.alias("line"), (F.lit(first) + i).alias("emit_rank")))
 
 
+def register_findings(spark: SparkSession, files: DataFrame, name: str = "findings", **options) -> None:
+    """A table function for SQL: ``SELECT * FROM findings()``, or ``findings('src/%', 'high')`` for paths like a pattern and one severity.
+
+    It is the scan of ``files`` as a plan, not a function that is called by row: what the query filters by reaches the files.
+    """
+    rows = scan(files, **options)
+    rows.createOrReplaceTempView(f"_{name}_rows")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(pattern STRING DEFAULT '%', level STRING DEFAULT NULL) RETURNS TABLE ({columns})
+        RETURN SELECT * FROM _{name}_rows WHERE file LIKE {name}.pattern AND ({name}.level IS NULL OR severity = {name}.level)""")
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """High before medium before low, then by file and line, then as found."""
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))

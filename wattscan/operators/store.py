@@ -14,11 +14,12 @@ sees only those whose content does. Null paths are left out; of a path listed tw
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattscan.functions.shared import scratch
+from wattscan.functions.shared import written
 from wattscan.operators.scan import FINDING, scan
 
 MANIFEST = "path string, mtime_ns long, size long, content_hash string, config string, gen long, found_gen long, deleted boolean"
@@ -85,7 +86,7 @@ class ScanStore:
         """``path, how`` and what is known of it: ``stat`` (as it was), ``look`` (new, or another time, size or option) or ``gone``."""
         now = listing.where("path IS NOT NULL").groupBy("path").agg(F.max(F.struct("mtime_ns", "size")).alias("x")).select("path", "x.*")
         old = self.manifest().select("path", F.col("mtime_ns").alias("old_ns"), F.col("size").alias("old_size"), "content_hash", "config", "found_gen")
-        same = (F.col("mtime_ns") == F.col("old_ns")) & (F.col("size") == F.col("old_size")) & (F.col("config") == config)
+        same = (F.col("mtime_ns") == F.col("old_ns")) & (F.col("size") == F.col("old_size")) & F.col("config").eqNullSafe(F.lit(config))
         both = now.withColumn("here", F.lit(True)).repartition(self.buckets, "path").join(old, "path", "full_outer")
         how = F.when(F.col("here").isNull(), "gone").when(F.coalesce(same, F.lit(False)), "stat").otherwise("look")
         return both.select("path", how.alias("how"), "mtime_ns", "size", "content_hash", "config", "found_gen")
@@ -95,12 +96,19 @@ class ScanStore:
 
         Returns ``path, how`` of what was touched: ``scan``, ``hash`` (another time, the same text) or ``gone``.
         """
+        return self.refresh_listed(files.select("path", "mtime_ns", "size"), lambda looks: files, config, **options)
+
+    def refresh_listed(self, listing: DataFrame, texts_of: Callable[[DataFrame], DataFrame], config: str = "", whole: bool = True, **options) -> DataFrame:
+        """``refresh`` where the listing comes without texts: ``texts_of`` reads those of the paths to look at (it may give more).
+
+        A listing that isn't ``whole`` says nothing about other paths.
+        """
         gen, spark = self._next(), self.spark
-        work = self._written(self.decided(files.select("path", "mtime_ns", "size"), config).where("how <> 'stat'"), "work")
+        work = written(self.decided(listing, config).where("how = 'look'" if not whole else "how <> 'stat'"), "work")
         looks = work.where("how = 'look'").withColumnRenamed("config", "old_config").withColumnRenamed("content_hash", "old_hash")
         few = looks.count() <= BROADCAST_PATHS
         asked = F.broadcast(looks) if few else looks
-        texts = files.where("path IS NOT NULL").select("path", F.coalesce("text", F.lit("")).alias("text"), "mtime_ns", "size").join(asked, ["path", "mtime_ns", "size"]).dropDuplicates(["path"])
+        texts = texts_of(looks).where("path IS NOT NULL").select("path", F.coalesce("text", F.lit("")).alias("text"), "mtime_ns", "size").join(asked, ["path", "mtime_ns", "size"]).dropDuplicates(["path"])
         digest = F.sha2("text", 256)
         kept = F.coalesce((digest == F.col("old_hash")) & (F.col("old_config") == config), F.lit(False))
         texts = texts.withColumns({"content_hash": digest, "how": F.when(kept, "hash").otherwise("scan")})
@@ -111,6 +119,12 @@ class ScanStore:
         mine = spark.table(self._name("manifest")).where(F.col("gen") == gen)
         return mine.select("path", F.when(F.col("deleted"), "gone").when(F.col("found_gen") == gen, "scan").otherwise("hash").alias("how"))
 
+    def invalidate(self, paths: DataFrame | None = None) -> None:
+        """Make the next refresh scan ``paths`` (one column, ``path``), or all there are: their findings stand until then."""
+        rows = self.manifest() if paths is None else self.manifest().join(paths.select("path").distinct(), "path", "left_semi")
+        stale = rows.select("path", "mtime_ns", "size", "content_hash", F.lit(None).cast("string").alias("config"), F.lit(self._next()).alias("gen"), "found_gen", F.lit(False).alias("deleted"))
+        self._append("manifest", written(stale, "stale"))
+
     def compact(self) -> None:
         """Write what counts into the next pair of tables, then drop this pair."""
         old, names = (self._path("manifest"), self._path("found")), (self._name("manifest"), self._name("found"))
@@ -130,8 +144,3 @@ class ScanStore:
         """Forget the tables' names; what they hold stays."""
         for kind in ("manifest", "found"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(kind)}")
-
-    def _written(self, rows: DataFrame, name: str) -> DataFrame:
-        path = scratch(self.spark, name)
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)

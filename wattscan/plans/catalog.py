@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from wattscan import project
-from wattscan.functions.shared import scratch, shared_dir
+from wattscan.functions.shared import scratch, shared_dir, written
 from wattscan.functions.text import anchor, blank_comments, escaped, relative, with_parts
 from wattscan.operators import baseline, globs, incremental, pyfacts, summary
-from wattscan.operators.rules import RULES, SEVERITIES, Rule, drop_rule, languages, languages_of, register_rule, rules_of
-from wattscan.operators.scan import scan, scannable
+from wattscan.operators.rules import RULES, SEVERITIES, Rule, languages, languages_of, rules_of
+from wattscan.operators.scan import register_findings, scan, scannable
 from wattscan.operators.store import ScanStore
 from wattscan.plans.corpus import TEMPLATES, expected_sql, files, lengths_sql, paths_sql
 from wattscan.sources.config import Config
@@ -29,11 +29,6 @@ def _all(spark, sf_dir, **options):
     return scan(files(spark, sf_dir), **options)
 
 
-def _accepted(spark, sf_dir):
-    """Findings of every second file by id are accepted."""
-    return baseline.accepted_prints(scan(files(spark, sf_dir).where("doc_id % 2 = 0")))
-
-
 def _manifests(spark, sf_dir):
     """Then and now: a third of the files has a new time, and a third of those new text."""
     then = files(spark, sf_dir).withColumn("mtime_ns", F.lit(1).cast("long"))
@@ -104,11 +99,20 @@ def _invalidated(spark, sf_dir):
 
 def _own_rule(spark, sf_dir):
     """A rule of one's own, beside the others."""
-    register_rule(Rule("OWN01", "low", (".py",), "regex", "long sleep", "wait for an event", "", r"time\.sleep\([1-9]\)"))
-    try:
-        return scan(files(spark, sf_dir), only=("OWN01", "GL028")).select(*BRIEF)
-    finally:
-        drop_rule("OWN01")
+    rule = Rule("OWN01", "low", (".py",), "regex", "long sleep", "wait for an event", "", r"time\.sleep\([1-9]\)")
+    return scan(files(spark, sf_dir), only=("OWN01", "GL028"), own=(rule,)).select(*BRIEF)
+
+
+def _sql_findings(spark, sf_dir):
+    """The scan as a table function in SQL, by path and severity."""
+    register_findings(spark, files(spark, sf_dir))
+    return spark.sql(f"SELECT {', '.join(BRIEF)} FROM findings('src/%', 'low') UNION ALL SELECT {', '.join(BRIEF)} FROM findings() WHERE severity <> 'low'")
+
+
+def _new_findings(spark, sf_dir):
+    """Findings of every second file by id are accepted, the others are left: one scan, written once."""
+    found = written(scan(files(spark, sf_dir), keep=("doc_id",)), "findings")
+    return baseline.apply_baseline(found, baseline.accepted_prints(found.where("doc_id % 2 = 0"))).select(*BRIEF)
 
 
 def _facts(spark, sf_dir):
@@ -145,7 +149,7 @@ QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
     "findings_by_file": lambda s, d: summary.by_file(_all(s, d)),
     "summary_total": lambda s, d: summary.total(_all(s, d)),
     "fingerprints": lambda s, d: baseline.fingerprinted(_all(s, d)).select("file", "rule", "line", "fingerprint"),
-    "baseline_anti_join": lambda s, d: baseline.apply_baseline(_all(s, d), _accepted(s, d)).select(*BRIEF),
+    "baseline_anti_join": _new_findings,
     "baseline_write": lambda s, d: baseline.accepted_prints(_all(s, d)).orderBy("fingerprint"),
     "incremental_reuse": lambda s, d: incremental.reuse(*_manifests(s, d)),
     "incremental_counts": lambda s, d: incremental.reuse(*_manifests(s, d)).groupBy("how").agg(F.count(F.lit(1)).alias("n")),
@@ -170,6 +174,7 @@ QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
     "config_changed": _reconfigured,
     "invalidate": _invalidated,
     "own_rule": _own_rule,
+    "sql_findings": _sql_findings,
     "sql_facts": _facts,
     "check_project": _checked,
     "store_findings": lambda s, d: _stored(s, d)[0].findings().select(*BRIEF),
@@ -240,6 +245,7 @@ ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id
     "exit_code": f"SELECT CAST(count(*) > 0 AS INTEGER) AS code FROM {expected_sql()} x",
     "config_changed": f"SELECT path, CASE WHEN regexp_matches(path, '[13579][^0-9/]*$') THEN 'scan' ELSE {_HOW} END AS how FROM {paths_sql()} x",
     "invalidate": f"SELECT path FROM {paths_sql()} x WHERE doc_id % 2 <> 0",
+    "sql_findings": f"{_ALL} WHERE severity <> 'low' OR starts_with(file, 'src/')",
     "own_rule": f"{_ALL} WHERE rule = 'GL028' UNION ALL SELECT 'OWN01', 'low', path, 3, 'long sleep' FROM {paths_sql()} x WHERE doc_id % {len(TEMPLATES)} = 1",
     "store_findings": f"SELECT * FROM {expected_sql('doc_id % 10 <> 7')} x",
     "store_changes": f"SELECT * FROM (SELECT path, CASE WHEN doc_id % 10 = 7 THEN 'gone' WHEN doc_id % 10 = 8 THEN 'scan' ELSE {_HOW} END AS how FROM {paths_sql()} x) WHERE how <> 'stat'",

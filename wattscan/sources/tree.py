@@ -99,9 +99,13 @@ def opened(path: str) -> str:
         return f.read()
 
 
+def roots(options) -> list[str]:
+    return [normal_path(p) for p in (json.loads(options["paths"]) if "paths" in options else [options["path"]])]
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [normal_path(p) for p in json.loads(options.get("paths", "null")) or [options["path"]]]
+        self.paths = roots(options)
         self.ignore = json.loads(options.get("ignore", "[]"))
         self.most = int(options["max_bytes"]) if options.get("max_bytes") else None
         self.cwd = options.get("cwd", "")
@@ -144,7 +148,7 @@ class TreeReader(DataSourceReader):
 class TreeSource(DataSource):
     """``spark.dataSource.register(TreeSource)``, then ``spark.read.format("source_tree").load(root)``.
 
-    Relative paths start at the option ``cwd``, by default at the folder in which Spark was started. Files of any size are read. With the option ``max_bytes`` a larger file is a row whose text is null. Filters on what is
+    Relative paths start at the option ``cwd``, by default at the folder in which Spark was started. Files of any size are read. With the option ``max_bytes`` a larger file is a row whose text is null and which isn't opened (-1: any file). Filters on what is
     known before a file is opened (path, name, kind, size, mtime_ns) reach the reader where ``spark.sql.python.filterPushdown.enabled`` is set, as it must be.
     """
 
@@ -233,7 +237,7 @@ class Looks:
 
 class TreeChangeReader(DataSourceStreamReader):
     def __init__(self, options):
-        self.paths = [normal_path(p) for p in json.loads(options.get("paths", "null")) or [options["path"]]]
+        self.paths = roots(options)
         self.ignore, self.kinds = json.loads(options.get("ignore", "[]")), json.loads(options.get("kinds", "null"))
         self.most = int(options["max_bytes"]) if options.get("max_bytes") else None
         self.cwd, self.state = options.get("cwd", ""), options["state"]
