@@ -69,6 +69,19 @@ def test_command_line_with_configuration_and_baseline(spark, tmp_path, capsys, m
         project.main([root, "--baseline", "missing.json"], spark)
 
 
+def test_command_line_with_a_store(spark, tmp_path, capsys, monkeypatch):
+    """The second scan opens what changed, and says so."""
+    root, store = tree(tmp_path / "p"), str(tmp_path / "store")
+    monkeypatch.chdir(tmp_path / "p")
+    code, out = run(spark, capsys, root, "--store", store, "--exclude", "*/web/*")
+    assert out[-2] == "wattscan: 3 finding(s)" and "2 files in" in out[-1] and out[-1].endswith("(2 scanned, 0 reused from cache, 0 skipped)")
+    (tmp_path / "p/src/b.yml").write_text("# cron\n")
+    code, out = run(spark, capsys, root, "--store", store, "--exclude", "*/web/*", "--fail-on-findings")
+    assert code == 1 and out[-2] == "wattscan: 2 finding(s)" and out[-1].endswith("(1 scanned, 1 reused from cache, 0 skipped)")
+    with pytest.raises(SystemExit, match="one path"):
+        project.main([root, root, "--store", store], spark)
+
+
 def test_configuration(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     assert load_config() == Config() == load_config("missing.toml")
