@@ -13,7 +13,7 @@ from wattscan.operators import baseline, globs, incremental, pyfacts, summary
 from wattscan.operators.rules import RULES, SEVERITIES, Rule, languages, languages_of, rules_of
 from wattscan.operators.scan import register_findings, scan, scannable
 from wattscan.operators.store import ScanStore
-from wattscan.plans.corpus import TEMPLATES, expected_sql, files, lengths_sql, paths_sql
+from wattscan.plans.corpus import TEMPLATES, blanked_sql, expected_sql, files, paths_sql
 from wattscan.sources.config import Config
 from wattscan.streaming.rescan import current, stream_scan
 
@@ -140,7 +140,7 @@ QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
     "scan_disabled": lambda s, d: _all(s, d, disable=("GL005", "GL028")).select(*BRIEF),
     "scan_ignored": lambda s, d: _all(s, d, ignore=("vendor/*", "*/web/*", "k8s/f?.y[!m]ml")).select(*BRIEF),
     "test_file_exemption": lambda s, d: _all(s, d, only=("GL001", "GL002", "GL007")).select(*BRIEF),
-    "blank_comments": lambda s, d: with_parts(files(s, d)).withColumn("code", blank_comments(F.col("text"), F.col("suffix"), F.col("name"))).select("path", F.length("code").cast("long").alias("n_chars"), (F.length("code") == F.length("text")).alias("same_length")),
+    "blank_comments": lambda s, d: with_parts(files(s, d)).withColumn("code", blank_comments(F.col("text"), F.col("suffix"), F.col("name"))).select("path", F.length("code").cast("long").alias("n_chars"), F.md5("code").alias("code_md5"), (F.length("code") == F.length("text")).alias("same_length")),
     "scannable_files": lambda s, d: scannable(files(s, d)).select("path"),
     "languages": lambda s, d: languages_of(files(s, d)).orderBy("language"),
     "list_rules": lambda s, d: rules_of(files(s, d)).select("rule", "severity", "message", "files"),
@@ -250,5 +250,5 @@ ORACLES = {f"rule_{r.id.lower()}": f"SELECT * FROM {expected_sql(f"rule = '{r.id
     "store_findings": f"SELECT * FROM {expected_sql('doc_id % 10 <> 7')} x",
     "store_changes": f"SELECT * FROM (SELECT path, CASE WHEN doc_id % 10 = 7 THEN 'gone' WHEN doc_id % 10 = 8 THEN 'scan' ELSE {_HOW} END AS how FROM {paths_sql()} x) WHERE how <> 'stat'",
     "check_project": f"{_ALL} WHERE rule <> 'GL028' AND NOT starts_with(file, 'vendor/') AND NOT starts_with(file, 'web/') AND NOT starts_with(file, 'docs/')",
-    "blank_comments": f"SELECT path, n_chars, true AS same_length FROM ({lengths_sql()}) x",
+    "blank_comments": f"SELECT *, true AS same_length FROM ({blanked_sql()}) x",
 }

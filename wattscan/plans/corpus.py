@@ -5,9 +5,13 @@ A template's snippet comes first, so the lines of its findings are known; the wh
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattscan.functions.text import STYLE_OF, STYLES
+
 _TF = 'resource "{}" "x" {{\n  {}\n}}\n'
 _JOB = "jobs:\n  a:\n    steps:\n      - uses: checkout\n        with:\n          fetch-depth: 0\n{}  b:\n    steps:\n      - run: make\n"
 #: (path before the id, path after it, mark before the document, snippet, [(rule number, line)])
@@ -130,11 +134,27 @@ def expected_sql(where: str = "true") -> str:
         JOIN (VALUES {rules}) r(rule, severity, message) ON r.rule = f.rule) WHERE {where})"""
 
 
-def lengths_sql() -> str:
-    """SQL for ``path, n_chars`` of the corpus: body, mark, document and closing mark."""
+#: A string, or (as group 1) a comment, of each style; enough for the templates.
+_COMMENTS = {style: re.compile(r"""(?:"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?)|(""" + comment + ")") for style, comment in {"hash": r"#[^\n]*", "sql": r"--[^\n]*|/\*(?s:.*?)\*/", "slash": r"//[^\n]*|/\*(?s:.*?)\*/"}.items()}
+
+
+def _style(suffix: str) -> str | None:
+    if suffix == "/Dockerfile":
+        return "hash"
+    return next((style for style, suffixes in STYLE_OF.items() if "." + suffix.rpartition(".")[2] in suffixes), None)
+
+
+def blanked_sql() -> str:
+    """SQL for ``path, n_chars, code_md5``: the templates with their comments as spaces, then the document, which is a comment where the kind of file has any."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    sizes = ", ".join(f"({i}, {quoted(a)}, {quoted(b)}, {len(body) + len(mark) + 1 + 3 * (mark == '/*')})" for i, (a, b, mark, body, _) in enumerate(TEMPLATES))
-    return f"SELECT p.a || CAST(d.doc_id AS VARCHAR) || p.b AS path, CAST(p.n + length(coalesce(d.text, '')) AS BIGINT) AS n_chars FROM documents d JOIN (VALUES {sizes}) p(tmpl, a, b, n) ON d.doc_id % {len(TEMPLATES)} = p.tmpl"
+    rows = []
+    for i, (a, b, mark, body, _) in enumerate(TEMPLATES):
+        style = _style(b)
+        code = _COMMENTS[style].sub(lambda m: re.sub(r"[^\n]", " ", m[1]) if m[1] else m[0], body) if style else body
+        rows.append(f"({i}, {quoted(a)}, {quoted(b)}, {quoted(code)}, {quoted(mark + ' ')}, {str(style is not None and STYLES[style][0] == mark).lower()})")
+    whole = "p.mark || regexp_replace(coalesce(d.text, ''), '[\\n\\r<*/]', ' ', 'g') || CASE p.mark WHEN '/* ' THEN ' */' ELSE '' END"
+    code = f"p.code || CASE WHEN p.bare THEN repeat(' ', length({whole})) ELSE {whole} END"
+    return f"SELECT p.a || CAST(d.doc_id AS VARCHAR) || p.b AS path, CAST(length({code}) AS BIGINT) AS n_chars, md5({code}) AS code_md5 FROM documents d JOIN (VALUES {', '.join(rows)}) p(tmpl, a, b, code, mark, bare) ON d.doc_id % {len(TEMPLATES)} = p.tmpl"
 
 
 def paths_sql() -> str:
