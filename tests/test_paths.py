@@ -106,7 +106,7 @@ def test_filters_are_decided_before_files_are_opened(tmp_path, monkeypatch):
     looked = []
     monkeypatch.setattr(source, "opened", lambda p: looked.append(os.path.relpath(p, tmp_path)) or "")
     text = StringStartsWith(("text",), "x")
-    reader = source.TreeReader({"path": str(tmp_path)})
+    reader = source.FilteringTreeReader({"path": str(tmp_path)})
     mine = [In(("kind",), (".py", "Dockerfile")), LessThan(("size",), 1000), Not(StringEndsWith(("path",), "/d.py")), IsNotNull(("path",))]
     assert list(reader.pushFilters([*mine, text, EqualTo(("name",), None), Not(Not(mine[0]))])) == [text, EqualTo(("name",), None), Not(Not(mine[0]))]
     rows = list(reader.read(source.Chunk([], [str(tmp_path)])))
@@ -121,6 +121,9 @@ def test_filters_reach_the_source(spark, tmp_path):
     assert sorted(r.name for r in rows.where("size < 100 AND text LIKE '%import%' AND name <> 'a.py'").collect()) == ["c.yml"]
     plan = rows.where("size < 100")._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan.split("BatchScan")[0], plan
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    plain = spark.read.format("source_tree").load(str(tmp_path)).where("kind = '.py'")  # works without the setting, Spark filters
+    assert [r.name for r in plain.collect()] == ["a.py"]
 
 
 @pytest.mark.parametrize("name, kind", [("a/b.py", ".py"), ("Dockerfile", "Dockerfile"), ("x/Dockerfile", "Dockerfile"), (".py", ""), ("a.", ""), ("a", ""), ("a.b.c", ".c"), ("a.dockerfile", ".dockerfile")])

@@ -44,7 +44,7 @@ def tree(spark: SparkSession, paths: list[str], ignore: list[str]) -> DataFrame:
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TreeSource)
-    return spark.read.format("source_tree").options(paths=json.dumps(paths), ignore=json.dumps(ignore), cwd=os.getcwd()).load().where(F.col("kind").isin(languages()))
+    return spark.read.format("source_tree").options(paths=json.dumps(paths), ignore=json.dumps(ignore), cwd=os.getcwd(), pushdown="true").load().where(F.col("kind").isin(languages()))
 
 
 def split(found: DataFrame, baseline_path: str | None = None) -> Outcome:

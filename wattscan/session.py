@@ -113,7 +113,7 @@ class Session:
     def _read(self, paths: list[str], most: int) -> DataFrame:
         self.spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         self.spark.dataSource.register(TreeSource)
-        options = {"paths": json.dumps(paths), "ignore": json.dumps(self.config().ignore), "cwd": os.getcwd(), "max_bytes": str(most)}
+        options = {"paths": json.dumps(paths), "ignore": json.dumps(self.config().ignore), "cwd": os.getcwd(), "max_bytes": str(most), "pushdown": "true"}
         return self.spark.read.format("source_tree").options(**options).load()
 
     def _listing(self, paths: list[str]) -> DataFrame:

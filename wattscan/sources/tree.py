@@ -111,14 +111,6 @@ class TreeReader(DataSourceReader):
         self.cwd = options.get("cwd", "")
         self.filters: list = []
 
-    def pushFilters(self, filters):
-        """Filters on path, name, kind, size and time are decided here, before a file is opened; the others stay with Spark."""
-        for wanted in filters:
-            if early(wanted):
-                self.filters.append(wanted)
-            else:
-                yield wanted
-
     def partitions(self):
         """Chunks of the files in the upper folders, and a chunk for each folder below; overlapping roots count twice, as asked."""
         is_file = {p: os.path.isfile(os.path.join(self.cwd, p)) for p in self.paths}
@@ -145,11 +137,22 @@ class TreeReader(DataSourceReader):
                 continue
 
 
+class FilteringTreeReader(TreeReader):
+    def pushFilters(self, filters):
+        """Filters on path, name, kind, size and time are decided here, before a file is opened; the others stay with Spark."""
+        for wanted in filters:
+            if early(wanted):
+                self.filters.append(wanted)
+            else:
+                yield wanted
+
+
 class TreeSource(DataSource):
     """``spark.dataSource.register(TreeSource)``, then ``spark.read.format("source_tree").load(root)``.
 
-    Relative paths start at the option ``cwd``, by default at the folder in which Spark was started. Files of any size are read. With the option ``max_bytes`` a larger file is a row whose text is null and which isn't opened (-1: any file). Filters on what is
-    known before a file is opened (path, name, kind, size, mtime_ns) reach the reader where ``spark.sql.python.filterPushdown.enabled`` is set, as it must be.
+    Relative paths start at the option ``cwd``, by default at the folder in which Spark was started. Files of any size are read. With the option ``max_bytes`` a larger file is a row whose text is null and which isn't opened (-1: any file). With the option
+    ``pushdown`` filters on what is known before a file is opened (path, name, kind, size, mtime_ns) reach the reader; Spark
+    then wants ``spark.sql.python.filterPushdown.enabled`` set.
     """
 
     @classmethod
@@ -160,7 +163,7 @@ class TreeSource(DataSource):
         return "path string, text string, mtime_ns long, size long, name string, kind string"
 
     def reader(self, schema):
-        return TreeReader(self.options)
+        return (FilteringTreeReader if self.options.get("pushdown") == "true" else TreeReader)(self.options)
 
 
 class ChangeChunk(InputPartition):
