@@ -39,10 +39,10 @@ def test_versions_redelivery_and_deletion(spark, tmp_path):
     # Two versions in one batch, an edit without findings, a deletion, a new file.
     log.add(("a.py", 2, SQL), ("a.py", 3, STAR + SQL), ("b.py", 2, "y = 1\n"), ("c.py", 4, None, True), ("e.yml", 1, "cron: '* * * * *'\n"))
     assert log.now() == [("a.py", "GL005", 2), ("a.py", "GL028", 1), ("e.yml", "GL003", 1)]
-    assert log.added()[-1] == (3, 3, 3)
+    assert log.added()[-1] == (4, 3, 3)
     # A deletion in a later batch wins over the same version; a late older version doesn't bring the file back.
     log.add(("a.py", 3, None, True), ("c.py", 3, STAR), ("e.yml", 1, "cron: '* * * * *'\n"))
-    assert log.now() == [("e.yml", "GL003", 1)] and log.added()[-1] == (0, 0, 1)
+    assert log.now() == [("e.yml", "GL003", 1)] and log.added()[-1] == (1, 0, 1)
     # Deleted, and back under a later version with the text it had.
     log.add(("c.py", 5, STAR), (None, 1, STAR), ("f.py", None, STAR), ("g.py", 1, None))
     assert log.now() == [("c.py", "GL028", 1), ("e.yml", "GL003", 1)] and log.added()[-1] == (2, 1, 0)

@@ -54,7 +54,7 @@ class LastVersions(StatefulProcessor):
             return
         if best.deleted:
             self.state.update((best.version, None, None))
-            if shown is not None:
+            if version is None or digest is not None:
                 yield Row(path=key[0], version=best.version, text=None, replaces=shown)
         elif best.digest == digest:
             self.state.update((best.version, digest, shown))
@@ -77,8 +77,8 @@ def decided(changes: DataFrame) -> DataFrame:
 def stream_findings(changes: DataFrame, out_dir: str, checkpoint_dir: str, **options):
     """Scan a stream of changes and append to a log, by micro-batch: ``op, file, version`` and a finding.
 
-    ``op`` is ``seen`` for a scanned file, ``found`` for a finding and ``gone`` where what was found in a version is taken
-    back. Started, to be awaited; a batch that is run again replaces its part of the log.
+    ``op`` is ``seen`` for a scanned file, ``found`` for a finding, ``gone`` where what was found in a version is taken
+    back, and ``none`` for a deletion that takes nothing back. Started, to be awaited; a batch that is run again replaces its part of the log.
     """
     spark = changes.sparkSession
 
@@ -88,7 +88,8 @@ def stream_findings(changes: DataFrame, out_dir: str, checkpoint_dir: str, **opt
             found = scan(batch.where("text IS NOT NULL"), keep=("version",), **options).select(F.lit("found").alias("op"), "version", *FINDING, "emit_rank")
             seen = batch.where("text IS NOT NULL").select(F.lit("seen").alias("op"), F.col("path").alias("file"), "version")
             gone = batch.where("replaces IS NOT NULL").select(F.lit("gone").alias("op"), F.col("path").alias("file"), F.col("replaces").alias("version"))
-            found.unionByName(seen.union(gone), allowMissingColumns=True).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+            none = batch.where("text IS NULL AND replaces IS NULL").select(F.lit("none").alias("op"), F.col("path").alias("file"), "version")
+            found.unionByName(seen.union(gone).union(none), allowMissingColumns=True).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
         finally:
             batch.unpersist()
 
@@ -121,7 +122,7 @@ def current(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def progress(spark: SparkSession, out_dir: str) -> DataFrame:
-    """What each micro-batch added: ``batch, files, findings, replaced``. The batches together hold what one scan of all would."""
+    """What each micro-batch added: ``batch, files`` (scanned or deleted)``, findings, replaced``. The batches together hold what one scan of all would."""
     rows = spark.read.parquet(out_dir)
-    counts = [F.count_if(F.col("op") == op).alias(name) for op, name in (("seen", "files"), ("found", "findings"), ("gone", "replaced"))]
-    return rows.groupBy("batch").agg(*counts).orderBy("batch")
+    counts = [F.count_if(F.col("op") == op).alias(name) for op, name in (("found", "findings"), ("gone", "replaced"))]
+    return rows.groupBy("batch").agg(F.count_distinct("file").alias("files"), *counts).orderBy("batch")
