@@ -74,14 +74,14 @@ def test_blanking_equals_restatement(spark):
     kinds = {".py": ("#", False), ".c": ("//", True), ".sql": ("--", True)}
     rows = [(f"{i}{s}", "".join(r.choice(["a", "é", '"', "'", "\\", "\n", "#", "/", "//", "/*", "*/", "*", "-", "--", " "]) for _ in range(r.randrange(25)))) for s in kinds for i in range(600)]
     df = with_parts(spark.createDataFrame(rows, "path string, text string"))
-    for row in df.withColumn("out", blank_comments(F.col("text"), F.col("suffix"), F.col("name"))).collect():
+    for row in df.withColumn("out", blank_comments()).collect():
         assert row.out == blanked(row.text, *kinds[row.suffix]), repr(row.text)
 
 
 def test_long_strings_do_not_overflow(spark):
     text = '"' + "a\\n" * 400_000 + '" // x'
     df = with_parts(spark.createDataFrame([("a.c", text)], "path string, text string"))
-    out = df.select(blank_comments(F.col("text"), F.col("suffix"), F.col("name")).alias("x")).first().x
+    out = df.select(blank_comments().alias("x")).first().x
     assert len(out) == len(text) and out.endswith('"     ')
 
 

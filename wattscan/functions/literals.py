@@ -64,10 +64,3 @@ def required(pattern: str, flags: str = "") -> tuple[str, ...]:
 def folded(text: Column) -> Column:
     """A text in which lower-case literals are found wherever a pattern without case would find them."""
     return F.lower(F.translate(text, _ODD, _PLAIN))
-
-
-def has_any(text: Column, literals: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for x in literals:
-        hit = hit | F.contains(text, F.lit(x))
-    return hit

@@ -25,33 +25,35 @@ def dialect(pattern: str, flags: str = "") -> str:
     return "(?Ud)" + "".join({"m": "(?m)", "i": "(?i)(?u)"}[f] for f in flags) + pattern
 
 
-def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, "\n", ""))
-
-
 #: Stands before a match; texts hold another private character instead.
 _MARK, _OTHER = "\ue000", "\ue001"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def quoted(text: str) -> str:
+    """A SQL literal, as the parser reads it by default.
+
+    Long expressions are written as SQL: as columns, each of their nodes is several calls to the JVM, seconds for all rules.
+    """
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+NO_LINES = "cast(array() AS array<int>)"
 
 
-def match_lines(text: Column, pattern: str) -> Column:
-    """The 1-based line of each match, in order, as an array: one pass marks the matches, then each line counts its marks.
+def match_lines(text: str, pattern: str) -> str:
+    """SQL for the 1-based line of each match in ``text``, in order, as an array: one pass marks the matches, then each line counts its marks.
 
     The pattern must not match the empty string.
     """
-    marks = lambda line: F.length(line) - F.length(F.translate(line, _MARK, ""))
-    lines = lambda marked: F.flatten(F.transform(F.split(marked, "\n"), lambda line, i: F.array_repeat(i + 1, marks(line))))
-    none = F.array().cast("array<int>")
-    return let(F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, _MARK + "$0"), lambda marked: F.when(F.contains(marked, F.lit(_MARK)), lines(marked)).otherwise(none))
+    marked = f"regexp_replace(translate({text}, '{_MARK}', '{_OTHER}'), {quoted(pattern)}, '{_MARK}$0')"
+    lines = f"flatten(transform(split(marked, '\\n'), (piece, i) -> array_repeat(i + 1, length(piece) - length(translate(piece, '{_MARK}', '')))))"
+    return f"get(transform(array({marked}), marked -> if(contains(marked, '{_MARK}'), {lines}, {NO_LINES})), 0)"
 
 
-def first_line(text: Column, pattern: str) -> Column:
-    """The line of the first match in an array, or an empty array."""
-    return F.slice(F.when(text.rlike(pattern), F.array(F.lit(1) + newlines(F.get(F.split(text, pattern, 2), F.lit(0))))).otherwise(F.array().cast("array<int>")), 1, 1)
+def first_line(text: str, pattern: str) -> str:
+    """SQL for the line of the first match in an array, or an empty array."""
+    before = f"get(split({text}, {quoted(pattern)}, 2), 0)"
+    return f"if({text} RLIKE {quoted(pattern)}, array(1 + length({before}) - length(translate({before}, '\\n', ''))), {NO_LINES})"
 
 
 def _tokens(style: str) -> str:
@@ -65,20 +67,18 @@ def _tokens(style: str) -> str:
     return "(?d)" + "|".join([*parts, plain, r"[\s\S]"])
 
 
-def _blanked(text: Column, style: str) -> Column:
+def _blanked(text: str, style: str) -> str:
     line, block = STYLES[style]
-    is_comment = lambda t: t.startswith(line) | (t.startswith("/*") if block else F.lit(False))
-    spaced = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_tokens(style)), F.lit(0)), lambda t: F.when(is_comment(t), F.regexp_replace(t, "[^\n]", " ")).otherwise(t)), "")
-    has = F.contains(text, F.lit(line)) | (F.contains(text, F.lit("/*")) if block else F.lit(False))
-    return F.when(has, spaced).otherwise(text)
-
-
-def blank_comments(text: Column, suffix: Column, name: Column) -> Column:
-    """Comments as spaces of the same length, line ends kept; quotes are honoured."""
-    out = F.when(name == "Dockerfile", _blanked(text, "hash"))
-    for style, suffixes in STYLE_OF.items():
-        out = out.when(suffix.isin(suffixes), _blanked(text, style))
-    return out.otherwise(text)
+    marks = [line, "/*"] if block else [line]
+    is_comment, has = (" OR ".join(f"{test}, '{m}')" for m in marks) for test in ("startswith(token", f"contains({text}"))
+    tokens = f"regexp_extract_all({text}, {quoted(_tokens(style))}, 0)"
+    return f"if({has}, array_join(transform({tokens}, token -> if({is_comment}, regexp_replace(token, '[^\\n]', ' '), token)), ''), {text})"
+
+
+def blank_comments(text: str = "text", suffix: str = "suffix", name: str = "name") -> Column:
+    """Comments as spaces of the same length, line ends kept; quotes are honoured. The arguments are SQL."""
+    styles = " ".join(f"WHEN {suffix} IN ({', '.join(map(quoted, suffixes))}) THEN {_blanked(text, style)}" for style, suffixes in STYLE_OF.items())
+    return F.expr(f"CASE WHEN {name} = 'Dockerfile' THEN {_blanked(text, 'hash')} {styles} ELSE {text} END")
 
 
 def with_parts(files: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattscan.functions.literals import folded, has_any, required
-from wattscan.functions.text import blank_comments, dialect, first_line, kind, let, match_lines, newlines, once, with_parts
+from wattscan.functions.literals import folded, required
+from wattscan.functions.text import NO_LINES, blank_comments, dialect, first_line, kind, match_lines, once, quoted, with_parts
 from wattscan.operators.globs import ignored
 from wattscan.operators.pyfacts import fact_array
 from wattscan.operators.rules import BY_ID, EMIT, RULES, SEVERITIES, SPARED, Rule, checked, languages
@@ -25,9 +25,13 @@ KEYS = {"GL001": ("while",), "GL004": ("fetch-depth:",), "GL013": ("resource",),
 LOOPS = ("for", "while")
 
 
+def _applies(rule: Rule) -> str:
+    fits = f"suffix IN ({', '.join(quoted(x) for x in rule.langs)})"
+    return f"({fits} OR name = 'Dockerfile')" if "Dockerfile" in rule.langs else fits
+
+
 def applicable(rule: Rule) -> Column:
-    fits = F.col("suffix").isin([x for x in rule.langs if x.startswith(".")])
-    return fits | (F.col("name") == "Dockerfile") if "Dockerfile" in rule.langs else fits
+    return F.expr(_applies(rule))
 
 
 def needs(rule: Rule) -> tuple[tuple[str, ...], bool]:
@@ -37,14 +41,14 @@ def needs(rule: Rule) -> tuple[tuple[str, ...], bool]:
     return KEYS.get(rule.id, LOOPS), rule.id == "GL029"
 
 
-def possible(rule: Rule) -> Column:
+def _possible(rule: Rule) -> str:
     literals, bare = needs(rule)
-    return has_any(F.col("low" if bare else "code"), literals)
+    return f"({' OR '.join(f'contains({"low" if bare else "code"}, {quoted(x)})' for x in literals)})"
 
 
 def any_possible(rules: list[Rule], text: str) -> Column:
     """Whether a text, or ``low``, holds what some rule for its kind of file needs: the literals of all these rules in one list."""
-    found = F.lit(False)
+    found = ["false"]
     for bare in (False, True):
         lists: dict[str, dict[str, None]] = {}
         for r in rules:
@@ -52,9 +56,10 @@ def any_possible(rules: list[Rule], text: str) -> Column:
             for lang in r.langs if is_bare == bare else ():
                 lists.setdefault(lang, {}).update(dict.fromkeys(literals))
         if lists:
-            of_kind = F.try_element_at(F.create_map(*[x for k, v in lists.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), kind())
-            found = found | F.coalesce(F.exists(of_kind, lambda x: F.contains(F.col("low" if bare else text), x)), F.lit(False))
-    return found
+            pairs = ", ".join(f"{quoted(k)}, array({', '.join(map(quoted, v))})" for k, v in lists.items())
+            of_kind = f"try_element_at(map({pairs}), if(name = 'Dockerfile', name, suffix))"
+            found.append(f"coalesce(exists({of_kind}, x -> contains({'low' if bare else text}, x)), false)")
+    return F.expr(" OR ".join(found))
 
 
 def is_test_file() -> Column:
@@ -66,105 +71,99 @@ def scannable(files: DataFrame) -> DataFrame:
     return with_parts(files).where(kind().isin(languages()))
 
 
-def _lines(rows: Column) -> Column:
-    return F.transform(rows, lambda r: r["line"])
+def _lines(rows: str) -> str:
+    return f"transform({rows}, row -> row.line)"
 
 
-def _resource(kind: str, fails) -> Column:
-    """Lines of a Terraform resource's headers whose block (up to a closing line, or the end) fails."""
+def _resource(kind: str, fails: str) -> str:
+    """Lines of a Terraform resource's headers whose block (up to a closing line, or the end) fails; SQL, as all below."""
     header = rf'resource\s+"{kind}"\s+"[^"]+"\s*\{{'
-    blocks = F.regexp_extract_all("code", F.lit(dialect(header + r"(?=((?:[^\n]++|\n(?!\}))*+))")), F.lit(1))
-    both = F.zip_with(match_lines(F.col("code"), dialect(header)), blocks, lambda line, block: F.struct(line.alias("line"), block.alias("block")))
-    return _lines(F.filter(both, lambda b: fails(b["block"])))
+    blocks = f"regexp_extract_all(code, {quoted(dialect(header + r'(?=((?:[^\n]++|\n(?!\}))*+))'))}, 1)"
+    both = f"zip_with({match_lines('code', dialect(header))}, {blocks}, (line, block) -> struct(line, block))"
+    return _lines(f"filter({both}, x -> {fails})")
 
 
-def _same_number(text: Column, low: str, high: str) -> Column:
-    a, b = F.regexp_extract(text, dialect(low), 1), F.regexp_extract(text, dialect(high), 1)
-    return (a != "") & (a == b)
+def _same_number(text: str, low: str, high: str) -> str:
+    a, b = (f"regexp_extract({text}, {quoted(dialect(x))}, 1)" for x in (low, high))
+    return f"({a} <> '' AND {a} = {b})"
 
 
-def _layers() -> Column:
+def _layers() -> str:
     """Install lines after the first of their build stage: stages and installs as one ordered list."""
     mark = dialect(r"^FROM\s+|^(?i:RUN)\s+.*\b(?i:apt(?:-get)?|pip3?|npm|yum)\s+(?i:install)\b", "m")
-    found = F.regexp_extract_all("code", F.lit(mark), F.lit(0))
-    both = F.zip_with(match_lines(F.col("code"), mark), found, lambda line, match: F.struct(line.alias("line"), match.startswith("FROM").alias("stage")))
+    both = f"zip_with({match_lines('code', mark)}, regexp_extract_all(code, {quoted(mark)}, 0), (line, found) -> struct(line, startswith(found, 'FROM') AS stage))"
     # The list holds stages and installs only, so an install right behind another one isn't its stage's first.
-    return let(both, lambda rows: _lines(F.filter(rows, lambda x, i: ~x["stage"] & ~F.coalesce(F.get(rows, i - 1)["stage"], F.lit(True)))))
+    later = "filter(marks, (x, i) -> NOT x.stage AND NOT coalesce(get(marks, i - 1).stage, true))"
+    return f"get(transform(array({both}), marks -> {_lines(later)}), 0)"
 
 
-def _history_clones() -> Column:
+def _history_clones() -> str:
     """Full clones outside comments in jobs that don't need the history. Jobs are cut by the indent of the first one."""
-    text = F.col("text")
-    head = F.regexp_extract(text, dialect(r"(?s)\A.*?^jobs:[ \t]*$", "m"), 0)
-    body = F.substring(text, F.length(head) + 1, F.length(text))
-    indent = F.when(head != "", F.regexp_extract(body, dialect(r"^([ \t]+)[\w-]+:[ \t]*$", "m"), 1)).otherwise("")
+    key = quoted(dialect(r"^([ \t]+)[\w-]+:[ \t]*$"))
+    head = f"regexp_extract(text, {quoted(dialect(r'(?s)\A.*?^jobs:[ \t]*$', 'm'))}, 0)"
+    body = f"substring(text, length({head}) + 1, length(text))"
+    indent = f"if({head} <> '', regexp_extract({body}, {quoted(dialect(r'^([ \t]+)[\w-]+:[ \t]*$', 'm'))}, 1), '')"
     # Split before each line that starts with the indent and a key; a marker takes the place of the line end.
-    lines = F.split(body, "\n")
-    is_job = lambda line: F.regexp_extract(line, dialect(r"^([ \t]+)[\w-]+:[ \t]*$"), 1) == indent
-    marked = F.array_join(F.transform(lines, lambda line: F.when(is_job(line), F.concat(F.lit("\x00"), line)).otherwise(line)), "\n")
-    jobs = F.when(indent != "", F.concat(F.array(head), F.split(marked, "\x00"))).otherwise(F.array(text))
+    marked = f"array_join(transform(split({body}, '\\n'), x -> if(regexp_extract(x, {key}, 1) = {indent}, concat('\\0', x), x)), '\\n')"
+    jobs = f"if({indent} <> '', concat(array({head}), split({marked}, '\\0')), array(text))"
     clone = dialect(r"fetch-depth:\s*0")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("lines"))
-
-    def step(a, job):
-        own = F.transform(match_lines(job["text"], clone), lambda line: line + a["at"])
-        # What stands before the first job, in a file cut into jobs, is judged by the whole file.
-        needs = F.when(job["whole"], text).otherwise(job["text"]).rlike(dialect(HISTORY, "i"))
-        keep = F.filter(own, lambda line: ~F.coalesce(F.get(F.split(text, "\n"), line - 1), F.lit("")).rlike(dialect(r"#.*fetch-depth:\s*0|#.*fetch-depth:\s*$")))
-        return F.struct((a["at"] + newlines(job["text"])).alias("at"), F.concat(a["lines"], F.when(needs, F.array().cast("array<int>")).otherwise(keep)).alias("lines"))
-
-    numbered = F.transform(jobs, lambda job, i: F.struct(job.alias("text"), (i == 0).alias("whole")))
-    return F.when(text.rlike(clone), F.aggregate(numbered, start, step, lambda a: a["lines"])).otherwise(F.array().cast("array<int>"))
+    # What stands before the first job, in a file cut into jobs, is judged by the whole file.
+    whole = f"if(job.i = 0, text, job.part) RLIKE {quoted(dialect(HISTORY, 'i'))}"
+    said = rf"coalesce(get(split(text, '\n'), line - 1), '') RLIKE {quoted(dialect(r'#.*fetch-depth:\s*0|#.*fetch-depth:\s*$'))}"
+    own = f"filter(transform({match_lines('job.part', clone)}, line -> line + state.at), line -> NOT {said})"
+    step = rf"named_struct('at', state.at + length(job.part) - length(translate(job.part, '\n', '')), 'lines', concat(state.lines, if({whole}, {NO_LINES}, {own})))"
+    numbered = f"transform({jobs}, (part, i) -> struct(part, i))"
+    return f"if(text RLIKE {quoted(clone)}, aggregate({numbered}, named_struct('at', 0, 'lines', {NO_LINES}), (state, job) -> {step}, state -> state.lines), {NO_LINES})"
 
 
-def _tree(rule: str) -> Column:
+def _tree(rule: str) -> str:
     """The syntax-tree rules, as semi and anti joins inside a file's own facts."""
-    of = lambda kind: F.filter("facts", lambda x: x["kind"] == kind)
-    within = lambda x, loop: F.array_contains(x["loops"], loop["id"])
-    fors = of("for")
+    of = lambda kind, also="true": f"filter(facts, fact -> fact.kind = '{kind}' AND {also})"
+    within = lambda x, loop: f"array_contains({x}.loops, {loop}.id)"
     if rule == "GL001":
-        return _lines(F.filter(of("endless"), lambda w: ~F.exists(of("sleep"), lambda s: within(s, w)) & ~F.exists(of("exit"), lambda e: e["owner"] == w["id"])))
+        return _lines(f"filter({of('endless')}, w -> NOT exists({of('sleep')}, s -> {within('s', 'w')}) AND NOT exists({of('exit')}, e -> e.owner = w.id))")
     if rule == "GL007":
-        harmless = lambda a, b: (b["scope"] == a["scope"]) & (b["name"] == a["name"]) & ((b["flag"] == "number") | ((b["flag"] == "list") & (a["flag"] == "in place")))
-        return F.array_distinct(_lines(F.filter(of("accumulate"), lambda a: (a["flag"] != "list") & ~F.exists(of("binding"), lambda b: harmless(a, b)))))
-    if rule == "GL018":
-        return F.array_distinct(_lines(F.filter(fors, lambda x: F.exists(fors, lambda o: (o["name"] == x["name"]) & within(x, o)))))
-    if rule == "GL023":
-        return F.array_distinct(_lines(F.filter(fors, lambda x: F.exists(fors, lambda o: within(x, o)) & F.exists(of("swap"), lambda s: within(s, x)))))
-    if rule == "GL030":
-        return _lines(F.filter(fors, lambda x: x["flag"] == "discards"))
-    return F.array_distinct(_lines(of("swallow")))
-
-
-def _block(rule: str) -> Column:
-    code = F.col("code")
-    none = F.array().cast("array<int>")
+        harmless = "b.scope = a.scope AND b.name = a.name AND (b.flag = 'number' OR (b.flag = 'list' AND a.flag = 'in place'))"
+        found = f"filter({of('accumulate')}, a -> a.flag <> 'list' AND NOT exists({of('binding')}, b -> {harmless}))"
+    elif rule == "GL018":
+        found = f"filter({of('for')}, x -> exists({of('for')}, o -> o.name = x.name AND {within('x', 'o')}))"
+    elif rule == "GL023":
+        found = f"filter({of('for')}, x -> exists({of('for')}, o -> {within('x', 'o')}) AND exists({of('swap')}, s -> {within('s', 'x')}))"
+    elif rule == "GL030":
+        return _lines(of("for", "fact.flag = 'discards'"))
+    else:
+        found = of("swallow")
+    return f"array_distinct({_lines(found)})"
+
+
+def _block(rule: str) -> str:
     if rule == "GL004":
         return _history_clones()
     if rule == "GL013":
-        return _resource("aws_s3_bucket", lambda b: ~F.contains(F.lower(b), F.lit("lifecycle")))
+        return _resource("aws_s3_bucket", "NOT contains(lower(x.block), 'lifecycle')")
     if rule == "GL024":
-        return _resource("aws_autoscaling_group", lambda b: _same_number(b, r"min_size\s*=\s*(\d+)", r"max_size\s*=\s*(\d+)"))
+        return _resource("aws_autoscaling_group", _same_number("x.block", r"min_size\s*=\s*(\d+)", r"max_size\s*=\s*(\d+)"))
     if rule == "GL026":
-        return _resource("aws_cloudwatch_log_group", lambda b: ~F.contains(b, F.lit("retention_in_days")))
+        return _resource("aws_cloudwatch_log_group", "NOT contains(x.block, 'retention_in_days')")
     if rule == "GL014":
-        template = F.contains(code, F.lit("{{")) & F.contains(code, F.lit("}}"))
-        return F.when(template | F.contains(code, F.lit("resources:")), none).otherwise(first_line(code, dialect(r"^kind:\s*(Deployment|StatefulSet|DaemonSet|Pod)\s*$", "m")))
+        return f"if((contains(code, '{{{{') AND contains(code, '}}}}')) OR contains(code, 'resources:'), {NO_LINES}, {first_line('code', dialect(r'^kind:\s*(Deployment|StatefulSet|DaemonSet|Pod)\s*$', 'm'))})"
     if rule == "GL033":
-        fixed = code.rlike(dialect(r"^kind:\s*HorizontalPodAutoscaler\s*$", "m")) & _same_number(code, r"minReplicas:\s*(\d+)", r"maxReplicas:\s*(\d+)")
-        return F.when(fixed, first_line(code, dialect(r"minReplicas:\s*(\d+)"))).otherwise(none)
+        fixed = f"code RLIKE {quoted(dialect(r'^kind:\s*HorizontalPodAutoscaler\s*$', 'm'))} AND {_same_number('code', r'minReplicas:\s*(\d+)', r'maxReplicas:\s*(\d+)')}"
+        return f"if({fixed}, {first_line('code', dialect(r'minReplicas:\s*(\d+)'))}, {NO_LINES})"
     if rule == "GL034":
-        return F.when(code.rlike(dialect(LIMITS)), none).otherwise(first_line(code, dialect(r"^services:\s*$", "m")))
+        return f"if(code RLIKE {quoted(dialect(LIMITS))}, {NO_LINES}, {first_line('code', dialect(r'^services:\s*$', 'm'))})"
     return _layers()
 
 
-def rule_lines(rule: Rule) -> Column:
-    """The lines of a rule's findings in one file."""
-    found = {"regex": lambda: match_lines(F.col("code"), rule.java), "block": lambda: _block(rule.id), "tree": lambda: _tree(rule.id)}[rule.kind]()
-    fits = applicable(rule) & ~F.col("is_test") if rule.id in SPARED else applicable(rule)
+def rule_lines(rule: Rule) -> str:
+    """SQL for the lines of a rule's findings in one file."""
+    found = {"regex": lambda: match_lines("code", rule.java), "block": lambda: _block(rule.id), "tree": lambda: _tree(rule.id)}[rule.kind]()
+    fits = _applies(rule)
+    if rule.id in SPARED:
+        fits += " AND NOT is_test"
     if rule.kind != "tree":  # facts are an array already
-        fits = fits & possible(rule)
-    return F.when(fits, found).otherwise(F.array().cast("array<int>"))
+        fits += f" AND {_possible(rule)}"
+    return f"if({fits}, {found}, {NO_LINES})"
 
 
 def prepared(files: DataFrame, rules: list[Rule] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -176,19 +175,18 @@ def prepared(files: DataFrame, rules: list[Rule] = RULES, keep: tuple[str, ...]
     bare = sorted({x for r in rules if needs(r)[1] for x in r.langs})
     low = lambda text: F.when(kind().isin(bare), folded(F.col(text))).otherwise("")
     rows = once(rows.withColumn("low", low("text"))).where(any_possible(rules, "text"))
-    rows = once(rows.withColumns({"code": blank_comments(F.col("text"), F.col("suffix"), F.col("name")), "is_test": is_test_file()}))
+    rows = once(rows.withColumns({"code": blank_comments(), "is_test": is_test_file()}))
     # Facts come from the blanked code: comments aren't part of a tree.
     trees = [r for r in rules if ".py" in r.langs]
     needed = (F.col("suffix") == ".py") & any_possible(trees, "code")
-    facts = fact_array(F.when(needed, F.col("code"))) if trees else F.from_json(F.lit("[]"), "array<struct<kind:string,first:int,last:int>>")
+    facts = fact_array(F.when(needed, F.col("code"))) if trees else F.expr("cast(array() AS array<struct<kind:string,first:int,last:int>>)")
     rows = once(rows.withColumn("facts", facts))
-    spans = F.array_sort(F.filter("facts", lambda x: x["kind"] == "docstring"), lambda a, b: a["first"] - b["first"])
-    piece = lambda a, b: F.substring(F.col("code"), a + 1, b - a)
-    spaced = lambda s, before: F.concat(piece(before, s["first"]), F.regexp_replace(piece(s["first"], s["last"]), "[^\n]", " "))
-    pieces = lambda rows: F.transform(rows, lambda s, i: spaced(s, F.coalesce(F.get(rows, i - 1)["last"], F.lit(0))))
-    tail = lambda rows: F.substring(F.col("code"), F.element_at(rows, -1)["last"] + 1, F.length("code"))
-    whole = let(spans, lambda rows: F.when(F.size(rows) > 0, F.concat(F.array_join(pieces(rows), ""), tail(rows))).otherwise(F.col("code")))
-    rows = once(rows.withColumn("code", whole))
+    spans = "array_sort(filter(facts, x -> x.kind = 'docstring'), (a, b) -> a.first - b.first)"
+    spaced = "regexp_replace(substring(code, s.first + 1, s.last - s.first), '[^\\n]', ' ')"
+    before = "coalesce(get(spans, i - 1).last, 0)"
+    pieces = f"array_join(transform(spans, (s, i) -> concat(substring(code, {before} + 1, s.first - {before}), {spaced})), '')"
+    tail = "substring(code, element_at(spans, -1).last + 1, length(code))"
+    rows = once(rows.withColumn("code", F.expr(f"get(transform(array({spans}), spans -> if(size(spans) > 0, concat({pieces}, {tail}), code)), 0)")))
     return once(rows.withColumn("low", low("code")))
 
 
@@ -204,15 +202,13 @@ def scan(files: DataFrame, disable: tuple[str, ...] = (), ignore: tuple[str, ...
         files = files.where(~ignored(F.col("path"), list(ignore)))
     rows = prepared(files, rules, keep)
     emit = EMIT | {r.id: max(EMIT.values()) + 1 + i for i, r in enumerate(own)}
-    each = [_tagged(r, emit[r.id]) for r in rules]
-    found = rows.select(F.col("path").alias("file"), *keep, F.explode(F.concat(*each)).alias("x")).select("file", *keep, "x.*")
-    text = lambda field: F.element_at(F.create_map(*[F.lit(v) for r in rules for v in (r.id, getattr(r, field))]), F.col("rule"))
+    found = rows.select(F.col("path").alias("file"), *keep, F.explode(F.expr(f"concat({', '.join(_tagged(r, emit[r.id]) for r in rules)})")).alias("x")).select("file", *keep, "x.*")
+    text = lambda field: F.expr(f"element_at(map({', '.join(quoted(v) for r in rules for v in (r.id, getattr(r, field)))}), rule)")
     return found.select("rule", text("severity").alias("severity"), "file", "line", text("message").alias("message"), text("suggestion").alias("suggestion"), text("hint").alias("co2e_estimate"), "emit_rank", *keep)
 
 
-def _tagged(rule: Rule, place: int) -> Column:
-    first = place << 20
-    return F.transform(rule_lines(rule), lambda line, i: F.struct(F.lit(rule.id).alias("rule"), line.alias("line"), (F.lit(first) + i).alias("emit_rank")))
+def _tagged(rule: Rule, place: int) -> str:
+    return f"transform({rule_lines(rule)}, (line, i) -> named_struct('rule', {quoted(rule.id)}, 'line', line, 'emit_rank', {place << 20} + i))"
 
 
 def register_findings(spark: SparkSession, files: DataFrame, name: str = "findings", **options) -> None:

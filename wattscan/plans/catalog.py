@@ -140,7 +140,7 @@ QUERIES = {f"rule_{r.id.lower()}": _rule(r.id) for r in RULES} | {
     "scan_disabled": lambda s, d: _all(s, d, disable=("GL005", "GL028")).select(*BRIEF),
     "scan_ignored": lambda s, d: _all(s, d, ignore=("vendor/*", "*/web/*", "k8s/f?.y[!m]ml")).select(*BRIEF),
     "test_file_exemption": lambda s, d: _all(s, d, only=("GL001", "GL002", "GL007")).select(*BRIEF),
-    "blank_comments": lambda s, d: with_parts(files(s, d)).withColumn("code", blank_comments(F.col("text"), F.col("suffix"), F.col("name"))).select("path", F.length("code").cast("long").alias("n_chars"), F.md5("code").alias("code_md5"), (F.length("code") == F.length("text")).alias("same_length")),
+    "blank_comments": lambda s, d: with_parts(files(s, d)).withColumn("code", blank_comments()).select("path", F.length("code").cast("long").alias("n_chars"), F.md5("code").alias("code_md5"), (F.length("code") == F.length("text")).alias("same_length")),
     "scannable_files": lambda s, d: scannable(files(s, d)).select("path"),
     "languages": lambda s, d: languages_of(files(s, d)).orderBy("language"),
     "list_rules": lambda s, d: rules_of(files(s, d)).select("rule", "severity", "message", "files"),
