@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import duck, sparked
-from wattscan.functions.text import STYLE_OF, blank_comments, universal_newlines, with_parts
+from wattscan.functions.text import STYLE_OF, blank_comments, quoted, universal_newlines, with_parts
 from wattscan.operators import baseline, globs, incremental, summary
 from wattscan.operators.pyfacts import facts
-from wattscan.operators.rules import RULES
+from wattscan.operators.rules import RULES, Rule
 from wattscan.operators.scan import ordered, scan
 
 SMALL = "/root/testdata/sf0.001"
@@ -189,3 +189,15 @@ def test_source_tree_reads_large_files(spark, tmp_path):
     assert [(r.rule, r.line) for r in scan(rows).select("rule", "line").collect()] == [("GL005", 400_001)]
     capped = spark.read.format("source_tree").option("max_bytes", "1000000").load(str(tmp_path)).collect()
     assert [(r.text, r.size) for r in capped] == [(None, 2_000_017)]
+
+
+def test_quoted_literals_are_read_back(spark):
+    odd = ["it's", "\\", "\\\\", "a\\'b", "\\%\\_", "\\n\n\t", "\\u0041\\101", "\"x\" /* -- */ ; ${y}", "\ue000\U0001f600", ""]
+    assert list(spark.range(1).select(*[F.expr(quoted(x)).alias(f"c{i}") for i, x in enumerate(odd)]).first()) == odd
+
+
+def test_own_rules_with_quotes_and_backslashes_and_scans_without_rules(spark):
+    table = spark.createDataFrame([("a.py", "x = 1\ny = 'it\\'s'\n"), ("b.py", "it's"), ("a.sql", "'it\\'s'")], "path string, text string")
+    own = Rule("XX001", "low", (".py",), "regex", "it's \\n", "don't \\%", "\\", r"'it\\'s'")
+    assert [(x.file, x.line, x.message, x.suggestion, x.co2e_estimate) for x in scan(table, only=("XX001",), own=(own,)).collect()] == [("a.py", 2, "it's \\n", "don't \\%", "\\")]
+    assert scan(table, only=()).collect() == []

@@ -34,7 +34,8 @@ def quoted(text: str) -> str:
 
     Long expressions are written as SQL: as columns, each of their nodes is several calls to the JVM, seconds for all rules.
     """
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    plain = text.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + plain.replace("${", "\\u0024{") + "'"  # else a variable's value would take its place
 
 
 NO_LINES = "cast(array() AS array<int>)"

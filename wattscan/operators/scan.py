@@ -23,11 +23,12 @@ TEST_DIRS = ("test", "tests", "spec", "specs")  # fixed values
 #: What a text must hold for a rule without a pattern of its own.
 KEYS = {"GL001": ("while",), "GL004": ("fetch-depth:",), "GL013": ("resource",), "GL014": ("kind:",), "GL024": ("resource",), "GL026": ("resource",), "GL029": ("install",), "GL033": ("HorizontalPodAutoscaler",), "GL034": ("services:",)}
 LOOPS = ("for", "while")
+NO_FINDINGS = "cast(array() AS array<struct<rule:string,line:int,emit_rank:int>>)"
 
 
 def _applies(rule: Rule) -> str:
-    fits = f"suffix IN ({', '.join(quoted(x) for x in rule.langs)})"
-    return f"({fits} OR name = 'Dockerfile')" if "Dockerfile" in rule.langs else fits
+    fits = [f"suffix IN ({', '.join(quoted(x) for x in rule.langs)})"] if rule.langs else ["false"]
+    return f"({' OR '.join([*fits, *["name = 'Dockerfile'"] * ('Dockerfile' in rule.langs)])})"
 
 
 def applicable(rule: Rule) -> Column:
@@ -63,7 +64,7 @@ def any_possible(rules: list[Rule], text: str) -> Column:
 
 
 def is_test_file() -> Column:
-    return F.col("name").rlike(TEST_NAME) | F.exists("dir_parts", lambda d: F.lower(d).isin(*TEST_DIRS))
+    return F.expr(f"name RLIKE {quoted(TEST_NAME)} OR exists(dir_parts, d -> lower(d) IN ({', '.join(map(quoted, TEST_DIRS))}))")
 
 
 def scannable(files: DataFrame) -> DataFrame:
@@ -202,8 +203,8 @@ def scan(files: DataFrame, disable: tuple[str, ...] = (), ignore: tuple[str, ...
         files = files.where(~ignored(F.col("path"), list(ignore)))
     rows = prepared(files, rules, keep)
     emit = EMIT | {r.id: max(EMIT.values()) + 1 + i for i, r in enumerate(own)}
-    found = rows.select(F.col("path").alias("file"), *keep, F.explode(F.expr(f"concat({', '.join(_tagged(r, emit[r.id]) for r in rules)})")).alias("x")).select("file", *keep, "x.*")
-    text = lambda field: F.expr(f"element_at(map({', '.join(quoted(v) for r in rules for v in (r.id, getattr(r, field)))}), rule)")
+    found = rows.select(F.col("path").alias("file"), *keep, F.explode(F.expr(f"concat({', '.join([NO_FINDINGS, *(_tagged(r, emit[r.id]) for r in rules)])})")).alias("x")).select("file", *keep, "x.*")
+    text = lambda field: F.expr(f"element_at(map({', '.join(quoted(v) for r in rules for v in (r.id, getattr(r, field)))}), rule)" if rules else "rule")
     return found.select("rule", text("severity").alias("severity"), "file", "line", text("message").alias("message"), text("suggestion").alias("suggestion"), text("hint").alias("co2e_estimate"), "emit_rank", *keep)
 
 
