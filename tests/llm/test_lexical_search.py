@@ -2,12 +2,15 @@
 
 import math
 import re
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tests.conftest import duck, sparked
 from wattscan.llm import lexical_search as ls
+from wattscan.llm.common import BATCH_BYTES, small_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +78,24 @@ def test_selection_keeps_ties_until_ids_decide():
         want = sorted((i for i in range(n) if scores[i] > 0), key=lambda i: (-scores[i], ids[i] is not None, ids[i] or 0))
         for k in (1, 3, 10):
             assert ls.best(scores, ids, k) == want[:k]
+
+
+def test_postings_lie_in_small_row_groups(spark):
+    """However many shards one task writes, few are in a row group, as a task holds a row group when it writes or reads."""
+    docs = spark.range(0, 2400, numPartitions=1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 1000), x -> hash(id, x))) AS text")
+    index = ls.build(docs)
+    groups = []
+    for path in index.shards.inputFiles():
+        meta = pq.ParquetFile(urlparse(path).path).metadata
+        groups += [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 4 and index.n_docs == 2400
+    assert max(g.num_rows for g in groups) <= 2 and max(g.total_byte_size for g in groups) < 48 << 20
+
+
+def test_small_batches_puts_the_setting_back(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), small_batches(spark):
+        assert spark.conf.get(key) == BATCH_BYTES
+        raise ValueError
+    assert spark.conf.get(key) == before

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from wattscan.functions.shared import shared_dir
 from wattscan.functions.text import once
 
-__all__ = ["SPACE_CLASS", "crc_mod", "cut", "once", "shared_dir", "shared_path", "table", "text_of"]
+__all__ = ["SPACE_CLASS", "crc_mod", "cut", "once", "shared_dir", "shared_path", "small_batches", "table", "text_of"]
 
 #: White space of the corpus contracts: space and tab to carriage return.
 SPACE_CLASS = r"\x20\x09-\x0D"
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +39,27 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it back, so that a lost executor costs no long lineage."""
+def cut(df: DataFrame, name: str = "cut", **options) -> DataFrame:
+    """Write a table to the shared folder (with the writer's ``options``) and read it back, so that a lost executor costs no long lineage."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs run in here hand rows to Python in Arrow batches of about ``BATCH_BYTES``: for rows of megabytes each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_of(col: str = "text"):
     """A text column with null read as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattscan.llm.common import cut, table
+from wattscan.llm.common import cut, small_batches, table
 
 #: Bytes of text from which a shard is closed.
 SHARD_BYTES = 6 << 20
+#: Parquet looks at its sizes once in 100 rows by default, and 100 shards in one page are more than a task can hold: look after each row.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: Queries and (not distinct) terms of a block.
 BLOCK_QUERIES, BLOCK_TERMS = 2_000, 200_000
 BEST = 10
@@ -135,7 +137,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
             yield shard.row(n_docs, n_terms, id_type, names)
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary"))
-    return Index(cut(rows.mapInArrow(run, _SHARD.format(kind.simpleString())), "postings"), n_docs, n_terms)
+    with small_batches(docs.sparkSession):
+        return Index(cut(rows.mapInArrow(run, _SHARD.format(kind.simpleString())), "postings", **LARGE_ROWS), n_docs, n_terms)
 
 
 def blocks(queries: DataFrame, id_col: str, text_col: str):
@@ -168,7 +171,8 @@ def frequencies(index: Index, terms: list[bytes]) -> dict[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], ["term", "df"])
 
     counted = index.shards.select("terms", "ends").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return {terms[r.term]: r.df for r in counted.toLocalIterator()}
+    with small_batches(index.shards.sparkSession):
+        return {terms[r.term]: r.df for r in counted.toLocalIterator()}
 
 
 def places(wanted: pa.Array, terms: pa.Array) -> np.ndarray:
@@ -234,7 +238,8 @@ def search(index: Index, queries: DataFrame, id_col: str = "item_id", text_col:
         top = _ranked(index, block, number, k, id_kind).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         names = spark.createDataFrame([(n, q) for n, (q, _) in enumerate(block)], T.StructType([T.StructField("query", T.IntegerType()), T.StructField(id_col, kind)]))
         named = top.join(F.broadcast(names), "query")  # one block's
-        result = result.union(cut(named.select(id_col, "rank", "doc_id", "score"), "ranked"))
+        with small_batches(spark):
+            result = result.union(cut(named.select(id_col, "rank", "doc_id", "score"), "ranked"))
     return result
 
 
