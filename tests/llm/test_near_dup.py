@@ -125,6 +125,41 @@ def test_near_dup_recall_beside_a_shared_passage(spark, monkeypatch, share, buck
     assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= (0.95 if share < 0.2 else 0.9) * pairs
 
 
+@pytest.mark.parametrize("size", near_dup.PREFIX_RUNS)
+def test_texts_within_the_limit_share_a_prefix(size):
+    """Whatever the counts are and wherever the edits: a pair at the limit has a run in both prefixes."""
+    r = random.Random(12)
+    counts = np.array([r.randrange(4) for _ in range(near_dup.SLOTS)])
+    for _ in range(400):
+        a = np.array([r.randrange(30 if r.random() < 0.3 else 10**6) for _ in range(r.randrange(5, 90))], np.uint64)
+        b = list(a)
+        for _ in range(int(len(a) * 0.25)):
+            kind, at = r.randrange(3), r.randrange(len(b))
+            if kind == 0 and len(b) > 5:
+                del b[at]
+            elif kind == 1:
+                b.insert(at, r.randrange(10**6))
+            else:
+                b[at] = r.randrange(10**6)
+            now = np.array(b, np.uint64)
+            if edits.within(a, now, int(0.2 * max(len(a), len(b)) + 1e-9)):
+                assert np.intersect1d(near_dup.prefix(a, size, counts), near_dup.prefix(now, size, counts)).size
+
+
+@pytest.mark.parametrize("bucket, share", [(32, 0.2), (4, 0.2)])
+def test_no_pair_of_a_large_bucket_is_lost(spark, monkeypatch, bucket, share):
+    """Texts of which half is one passage: all near pairs are found, also at the limit and where lists of words and runs are large too."""
+    monkeypatch.setattr(near_dup, "BUCKET", bucket)
+    r = random.Random(13)
+    rows, pairs, passage = [], 150, [f"p{i}" for i in range(150)]
+    for i in range(pairs):
+        a = [f"w{r.randrange(8 if i % 2 else 10**6)}" for _ in range(150)]
+        b = changed(r, a, 2 * share, i % 2 == 0)
+        rows += [(2 * i, " ".join(a[:75] + passage + a[75:])), (2 * i + 1, " ".join(b[:75] + passage + b[75:]))]
+    got = {x.doc_id: x.class_id for x in near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * pairs)}
+
+
 def test_near_dup_long_texts(spark):
     """A near pair of long texts is decided, and a long pair beyond the limit too."""
     r = random.Random(11)

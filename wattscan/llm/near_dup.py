@@ -13,10 +13,12 @@ Equal texts form one node first, so copies never meet in buckets. In each bucket
 (a star, no pairs among them). Where a bucket of over ``BUCKET`` members still holds several classes, it is large because
 its texts share a passage or because it is a family with odd members. It is split by four times as many picks of the same
 sketch, again and again, with a star in each part, until parts are small or all picks agree; the work stays in proportion
-to its members. Two texts may agree in little beside the shared passage, so all members of such buckets also meet in
-buckets of what is rare among them: each is sketched over its runs of ``RARE_RUN`` words that two to ``BUCKET`` of them hold,
-one pick a sketch, so these buckets are small whatever the texts share. In buckets of up to ``BUCKET`` members every pair of
-different classes is compared. Tests hold recall at 0.9 and more up to the edit limit, with and without a shared passage.
+to its members. Splits only save work: the pairs of classes that they leave are found exactly, by prefix filters. Of a text
+of n words, the rarest 2n/5 + 1 runs of two words (labelled by occurrence) hold one that any text within the limit has among
+its own rarest, whatever the two share besides. Texts with a run in a list of over ``BUCKET`` texts are also listed by their
+rarest n/5 + 1 single words. In buckets and lists every pair of different classes is compared, also in
+those that are still large then; that work alone can grow with the square of a list. So every pair that met in a bucket is decided, and the sketches alone set the recall;
+tests hold it at 0.9 and more up to the edit limit.
 
 Nulls: a null text counts as empty; empty texts are equal, so they are one class. A row without an id, or whose id is no
 whole number, is its own class (null) and stays. Rows repeating an id get the same class. Ties: a class is named by its
@@ -44,8 +46,11 @@ SALTS = 16
 BROADCAST_IDS = 1_000_000
 #: Open buckets with more members are split; in others each pair is compared.
 BUCKET = 32
-#: Words of a run, and sketches, of what is rare among the members of large open buckets.
-RARE_RUN, RARE_SKETCHES = 2, 24
+#: Words of the runs by which members of large open buckets are compared, one after the other while lists are large.
+PREFIX_RUNS = (2, 1)
+#: Slots of the counts that order runs by rarity (the order only has to be the same for all texts).
+SLOTS = 1 << 16
+_SLOT = np.uint64(48)
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -147,21 +152,50 @@ def _split(level: int):
     return run
 
 
-def _rare_runs(batches):
-    for batch in batches:
-        runs = [np.unique(shingles(words, RARE_RUN)).view(np.int64) for words in _lists(batch.column("words"))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), _list_array(runs)], ["id", "n", "runs"])
+def prefix_size(n: int, size: int) -> int:
+    """How many of its rarest runs a text of ``n`` words needs, so that it shares one with every text within the limit.
+
+    An edit takes away ``size`` runs at most, so such texts share all runs of the longer one but ``size`` for each edit.
+    """
+    longer = np.arange(n, int(n / SIMILAR) + 2)
+    return int((n - longer + size * np.floor((1 - SIMILAR) * longer + 1e-9)).max()) + 1
+
+
+def prefix(words: np.ndarray, size: int, counts: np.ndarray) -> np.ndarray:
+    """The rarest labelled runs of ``size`` words, in an order that is the same for all texts: by the count of a run's slot, then by hash."""
+    runs = labelled(shingles(words, size))
+    order = np.lexsort((runs, counts[(runs >> _SLOT).astype(np.int64)]))
+    return runs[order[: prefix_size(len(words), size)]].view(np.int64)
+
+
+def _counts(texts: DataFrame, size: int) -> np.ndarray:
+    """In how many texts the runs of each slot are; the slots are of a fixed number."""
+
+    def run(batches):
+        found = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for words in _lists(batch.column("words")):
+                found += np.bincount((labelled(shingles(words, size)) >> _SLOT).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["slot", "texts"])
+
+    got = texts.select("words").mapInArrow(run, "slot long, texts long").groupBy("slot").agg(F.sum("texts").alias("texts")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("texts").to_numpy()
+    return out
 
 
-def _rare(texts: DataFrame) -> DataFrame:
-    """``key, id, n``: the least run of each sketch among those that two to ``BUCKET`` of the texts hold."""
-    runs = cut(texts.select("id", "n", "words").mapInArrow(_rare_runs, "id long, n int, runs array<long>"), "runs").select("id", "n", F.explode("runs").alias("run"))
-    rare = runs.groupBy("run").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts").between(2, BUCKET)).select("run")
-    least = [F.min(F.struct(F.xxhash64("run", F.lit(i)).alias("hash"), "run")).alias(f"s{i}") for i in range(RARE_SKETCHES)]
-    picked = runs.join(rare, "run").groupBy("id", "n").agg(*least)
-    # A run is one bucket in all sketches.
-    keys = F.array_distinct(F.array(*[F.col(f"s{i}.run") for i in range(RARE_SKETCHES)]))
-    return cut(picked.select(F.explode(keys).alias("key"), "id", "n"), "rare")
+def _listed(texts: DataFrame, size: int) -> DataFrame:
+    """``key, id, n, root``: the prefix of each text (``id, n, root, words``)."""
+    counts = texts.sparkSession.sparkContext.broadcast(_counts(texts, size))  # SLOTS numbers
+
+    def run(batches):
+        for batch in batches:
+            keys = [prefix(words, size, counts.value) for words in _lists(batch.column("words"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("root"), _list_array(keys)], ["id", "n", "root", "keys"])
+
+    listed = texts.select("id", "n", "root", "words").repartition("id").mapInArrow(run, "id long, n int, root long, keys array<long>")
+    return listed.select(F.explode("keys").alias("key"), "id", "n", "root")
 
 
 def _verified(batches):
@@ -199,11 +233,38 @@ def _near():
     return F.least("n", "n_u") >= SIMILAR * F.greatest("n", "n_u") - 1e-9
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``key, id, n, root, rows`` of buckets whose members are in several classes."""
-    named = members.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    buckets = named.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("rows")).where("first < last").select("key", "rows")
-    return cut(named.join(buckets, "key"), "open")
+def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the ``root`` of their ``id``."""
+    return rows.join(roots, "id", "left").select(*rows.columns, F.coalesce("root", "id").alias("root"))
+
+
+def _shared(named: DataFrame) -> DataFrame:
+    """``key, rows, top`` of buckets whose members are in several classes; ``top`` is the largest of these."""
+    classes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    buckets = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("rows").alias("rows"), F.max(F.struct("rows", "root")).alias("largest"))
+    return buckets.where("classes > 1").select("key", "rows", F.col("largest.root").alias("top"))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """``key, id, n, root, rows, top`` of buckets whose members are in several classes."""
+    return cut(named.join(_shared(named), "key"), "open")
+
+
+def _compared(texts: DataFrame, roots: DataFrame) -> list[DataFrame]:
+    """``key, id, n`` of lists in which every pair of ``texts`` that is within the limit, and of two classes, is at least once.
+
+    A pair is in a list of each kind of runs. Texts of large lists go on to the next kind; what is large in the last stays whole.
+    """
+    texts, found = cut(_named(texts.drop("keys"), roots), "texts"), []
+    for size in PREFIX_RUNS:
+        listed = _listed(texts, size)
+        lists = cut(_shared(listed), "lists")
+        last = size == PREFIX_RUNS[-1]
+        found.append(cut(listed.join(lists if last else lists.where(F.col("rows") <= BUCKET), "key").select("key", "id", "n"), "listed"))
+        large = lists.where(F.col("rows") > BUCKET).select("key")
+        if last or large.isEmpty():
+            return found
+        texts = cut(texts.join(listed.join(large, "key", "left_semi").select("id").distinct(), "id", "left_semi"), "texts")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -215,7 +276,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     roots = components(_linked(pairs, docs))
     small, level = [], 0
     while True:
-        opened = _open(members, roots)
+        opened = _open(_named(members, roots))
         small.append(opened.where(F.col("rows") <= BUCKET).select("key", "id", "n"))
         large = opened.where(F.col("rows") > BUCKET)
         if large.isEmpty():
@@ -224,17 +285,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
         keys = cut(large.groupBy("id", "n").agg(F.collect_set("key").alias("keys")), "large")  # at most one a sketch
         texts = keys.join(_words_of(docs, keys.select("id"), keys.count() <= BROADCAST_IDS), "id")
         if level == 1:
-            texts = cut(texts, "texts")
-            small.append(_rare(texts))
+            texts = crowded = cut(texts, "texts")
         split = texts.mapInArrow(_split(level), "id long, n int, keys array<long>")
         members, pairs = _stars(split.select("id", "n", F.explode("keys").alias("key")))
         roots = _joined(roots, _linked(pairs, docs))
+    if level:
+        small += _compared(crowded, roots)
     active = small[0]
     for more in small[1:]:
         active = active.union(more)
-    opened = _open(active, roots)  # buckets of at most BUCKET members
-    others = opened.select("key", F.col("id").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("n_u"))
-    pairs = opened.join(others, "key").where((F.col("u") < F.col("id")) & (F.col("root") != F.col("u_root")) & _near()).select("u", F.col("id").alias("v")).distinct()
+    opened = _open(_named(active, roots))  # of at most BUCKET members, but for lists that stayed large
+    # Only members outside of a bucket's largest class are compared with the others.
+    others = opened.where(F.col("root") != F.col("top")).select("key", F.col("id").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("n_u"))
+    met = (F.col("root") != F.col("u_root")) & _near() & ((F.col("root") == F.col("top")) | (F.col("u") < F.col("id")))
+    pairs = opened.join(others, "key").where(met).select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
     roots = _joined(roots, _linked(pairs, docs))
     return _assembled(docs, sketched, equal, roots)
 
