@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_native_ops import SMALL, odd_rows
 from wattscan.llm import edits, near_dup
@@ -160,6 +161,33 @@ def test_no_pair_of_a_large_bucket_is_lost(spark, monkeypatch, bucket, share):
     assert got == {i: i - i % 2 for i in range(2 * pairs)}
 
 
+def test_pairs_of_a_large_list_are_made_once(spark, monkeypatch):
+    """Texts that share many words: each pair is made in one list, and no run that a single text holds is listed."""
+    monkeypatch.setattr(near_dup, "BUCKET", 4)
+    rows = [(i, " ".join([f"p{j}" for j in range(60)] + [f"w{i}x{j}" for j in range(8)])) for i in range(30)]
+    texts = near_dup._words(spark.createDataFrame(rows, "doc_id long, text string")).select("id", F.size("words").alias("n"), "words")
+    roots = spark.createDataFrame([], "id long, root long")
+    *some, listed = near_dup._compared(texts, roots)
+    for more in some:
+        listed = listed.union(more)
+    assert listed.groupBy("key").count().where("count < 2").isEmpty()
+    assert listed.select("key").distinct().count() > 1
+    got = near_dup._met(near_dup._open(near_dup._named(listed, roots))).collect()
+    assert sorted((x.u, x.v) for x in got) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
+
+
+def test_no_pair_is_aligned_twice(spark, monkeypatch):
+    """Texts that meet in buckets, splits, lists of runs and lists of words: what was compared once isn't compared again."""
+    tried, linked = [], near_dup._linked
+    monkeypatch.setattr(near_dup, "_linked", lambda pairs, docs: tried.extend((x.u, x.v) for x in pairs.collect()) or linked(pairs, docs))
+    monkeypatch.setattr(near_dup, "BUCKET", 4)
+    r = random.Random(15)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(passage + [f"w{r.randrange(30 if i % 2 else 10**6)}" for _ in range(30)])) for i in range(40)]
+    near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert tried and len(tried) == len(set(tried))
+
+
 def test_near_dup_long_texts(spark):
     """A near pair of long texts is decided, and a long pair beyond the limit too."""
     r = random.Random(11)

@@ -15,10 +15,12 @@ its texts share a passage or because it is a family with odd members. It is spli
 sketch, again and again, with a star in each part, until parts are small or all picks agree; the work stays in proportion
 to its members. Splits only save work: the pairs of classes that they leave are found exactly, by prefix filters. Of a text
 of n words, the rarest 2n/5 + 1 runs of two words (labelled by occurrence) hold one that any text within the limit has among
-its own rarest, whatever the two share besides. Texts with a run in a list of over ``BUCKET`` texts are also listed by their
-rarest n/5 + 1 single words. In buckets and lists every pair of different classes is compared, also in
-those that are still large then; that work alone can grow with the square of a list. So every pair that met in a bucket is decided, and the sketches alone set the recall;
-tests hold it at 0.9 and more up to the edit limit.
+its own rarest, whatever the two share besides. Runs that no other text holds are not listed. Texts with a run in a list of
+over ``BUCKET`` texts, or with one so common that it isn't listed, are also listed by their rarest n/5 + 1 single words. In
+buckets and lists every pair of different classes is compared, also in those that are still large then; a pair that shares
+several words is made once, in the first list of both, and no pair is aligned twice. The pairs of a list that stays large can still grow with the square
+of its texts. So every pair that met in a bucket is decided, and the sketches alone set the recall; tests hold it at 0.9 and
+more up to the edit limit.
 
 Nulls: a null text counts as empty; empty texts are equal, so they are one class. A row without an id, or whose id is no
 whole number, is its own class (null) and stays. Rows repeating an id get the same class. Ties: a class is named by its
@@ -48,9 +50,13 @@ BROADCAST_IDS = 1_000_000
 BUCKET = 32
 #: Words of the runs by which members of large open buckets are compared, one after the other while lists are large.
 PREFIX_RUNS = (2, 1)
-#: Slots of the counts that order runs by rarity (the order only has to be the same for all texts).
-SLOTS = 1 << 16
-_SLOT = np.uint64(48)
+#: Slots of the counts that order runs by rarity (the order only has to be the same for all texts); a run is known to be in one text only where its slot is.
+SLOTS = 1 << 22
+_SLOT = np.uint64(64 - 22)
+#: Runs in more than this share of the texts aren't listed where another kind of runs follows: their texts go on to it.
+COMMON = 1 / 16
+#: Lists of a text, the most common words first, in which a pair is known to have met before. More would only save more work.
+MET = 64
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -169,33 +175,39 @@ def prefix(words: np.ndarray, size: int, counts: np.ndarray) -> np.ndarray:
 
 
 def _counts(texts: DataFrame, size: int) -> np.ndarray:
-    """In how many texts the runs of each slot are; the slots are of a fixed number."""
+    """In how many texts the runs of each slot are; the slots are of a fixed number, and those of one text stay at the driver's default."""
 
     def run(batches):
-        found = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for words in _lists(batch.column("words")):
-                found += np.bincount((labelled(shingles(words, size)) >> _SLOT).astype(np.int64), minlength=SLOTS)
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["slot", "texts"])
+            runs = [labelled(shingles(words, size)) >> _SLOT for words in _lists(batch.column("words"))]
+            some, found = np.unique(np.concatenate([np.empty(0, np.uint64), *runs]).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found)], ["slot", "texts"])
 
-    got = texts.select("words").mapInArrow(run, "slot long, texts long").groupBy("slot").agg(F.sum("texts").alias("texts")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
+    got = texts.select("words").mapInArrow(run, "slot int, texts long").groupBy("slot").agg(F.sum("texts").alias("texts")).where("texts > 1")
+    got = got.select("slot", F.least("texts", F.lit(2**31 - 1)).cast("int").alias("texts")).toArrow()
+    out = np.ones(SLOTS, np.int32)
     out[got.column("slot").to_numpy()] = got.column("texts").to_numpy()
     return out
 
 
-def _listed(texts: DataFrame, size: int) -> DataFrame:
-    """``key, id, n, root``: the prefix of each text (``id, n, root, words``)."""
+def _listed(texts: DataFrame, size: int, common: float) -> DataFrame:
+    """``id, n, root, keys, more`` of each text (``id, n, root, words``): its prefix, the most common runs first.
+
+    Runs that only this text holds are left out, and so are those in over ``common`` texts; ``more`` tells that there are such.
+    """
     counts = texts.sparkSession.sparkContext.broadcast(_counts(texts, size))  # SLOTS numbers
 
     def run(batches):
         for batch in batches:
-            keys = [prefix(words, size, counts.value) for words in _lists(batch.column("words"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("root"), _list_array(keys)], ["id", "n", "root", "keys"])
+            keys, more = [], []
+            for words in _lists(batch.column("words")):
+                own = prefix(words, size, counts.value)[::-1]  # falling count, then falling hash: one order for all texts
+                found = counts.value[(own.view(np.uint64) >> _SLOT).astype(np.int64)]
+                keys.append(own[(found > 1) & (found <= common)])
+                more.append(bool((found > common).any()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("root"), _list_array(keys), pa.array(more, pa.bool_())], ["id", "n", "root", "keys", "more"])
 
-    listed = texts.select("id", "n", "root", "words").repartition("id").mapInArrow(run, "id long, n int, root long, keys array<long>")
-    return listed.select(F.explode("keys").alias("key"), "id", "n", "root")
+    return texts.select("id", "n", "root", "words").repartition("id").mapInArrow(run, "id long, n int, root long, keys array<long>, more boolean")
 
 
 def _verified(batches):
@@ -212,8 +224,7 @@ def _words_of(docs: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked ones of candidate pairs ``u, v``. A text that very many pairs share makes a skewed join, which is split as it runs."""
-    pairs = cut(pairs, "pairs")
+    """The linked ones of written candidate pairs ``u, v``. A text that very many pairs share makes a skewed join, which is split as it runs."""
     few = pairs.count() <= BROADCAST_IDS
     of_v = _words_of(docs, pairs.select("v"), few).select(F.col("id").alias("v"), F.col("words").alias("words_v"))
     of_u = _words_of(docs, pairs.select("u"), few).select(F.col("id").alias("u"), F.col("words").alias("words_u"))
@@ -251,20 +262,38 @@ def _open(named: DataFrame) -> DataFrame:
 
 
 def _compared(texts: DataFrame, roots: DataFrame) -> list[DataFrame]:
-    """``key, id, n`` of lists in which every pair of ``texts`` that is within the limit, and of two classes, is at least once.
+    """``key, id, n, before`` of lists in which every pair of ``texts`` that is within the limit, and of two classes, is at least once.
 
-    A pair is in a list of each kind of runs. Texts of large lists go on to the next kind; what is large in the last stays whole.
+    A pair is in a list of each kind of runs. Texts of large lists go on to the next kind; what is large in the last stays whole,
+    and there ``before`` holds earlier lists of a text: of two texts that have one in common, the pair is made in that.
     """
     texts, found = cut(_named(texts.drop("keys"), roots), "texts"), []
-    for size in PREFIX_RUNS:
-        listed = _listed(texts, size)
+    for size in PREFIX_RUNS[:-1]:
+        prefixes = cut(_listed(texts, size, max(BUCKET, COMMON * texts.count())), "prefixes")
+        listed = prefixes.select(F.explode("keys").alias("key"), "id", "n", "root")
         lists = cut(_shared(listed), "lists")
-        last = size == PREFIX_RUNS[-1]
-        found.append(cut(listed.join(lists if last else lists.where(F.col("rows") <= BUCKET), "key").select("key", "id", "n"), "listed"))
-        large = lists.where(F.col("rows") > BUCKET).select("key")
-        if last or large.isEmpty():
+        listed = cut(listed.join(lists, "key").select("key", "id", "n", "rows"), "listed")
+        found.append(listed.where(F.col("rows") <= BUCKET).select("key", "id", "n", _none()))
+        on = listed.where(F.col("rows") > BUCKET).select("id").union(prefixes.where("more").select("id")).distinct()
+        texts = cut(texts.join(on, "id", "left_semi"), "texts")
+        if texts.isEmpty():
             return found
-        texts = cut(texts.join(listed.join(large, "key", "left_semi").select("id").distinct(), "id", "left_semi"), "texts")
+    prefixes = cut(_listed(texts, PREFIX_RUNS[-1], np.inf), "prefixes")
+    listed = prefixes.select("id", "n", "root", F.slice("keys", 1, MET).alias("firsts"), F.posexplode("keys").alias("at", "key"))
+    return [*found, cut(listed.join(cut(_shared(listed), "lists"), "key", "left_semi").select("key", "id", "n", F.expr(f"slice(firsts, 1, least(at, {MET}))").alias("before")), "listed")]
+
+
+def _none():
+    """No list before: the pairs of small buckets and lists are made in each of them."""
+    return F.array().cast("array<long>").alias("before")
+
+
+def _met(opened: DataFrame) -> DataFrame:
+    """``u, v`` of two classes that are in one of the ``opened`` buckets or lists."""
+    # Only members outside of a bucket's largest class are compared with the others.
+    others = opened.where(F.col("root") != F.col("top")).select("key", F.col("id").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("n_u"), F.col("before").alias("u_before"))
+    new = (F.col("root") != F.col("u_root")) & _near() & ((F.col("root") == F.col("top")) | (F.col("u") < F.col("id"))) & ~F.arrays_overlap("before", "u_before")
+    return opened.join(others, "key").where(new).select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -273,11 +302,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
     equal = sketched.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     nodes = sketched.join(equal, (sketched["same"] == equal["same"]) & (sketched["id"] == equal["rep"]), "left_semi")
     members, pairs = _stars(nodes.select("id", "n", F.explode("keys").alias("key")))
-    roots = components(_linked(pairs, docs))
+    tried = cut(pairs, "pairs")
+    roots = components(_linked(tried, docs))
     small, level = [], 0
     while True:
         opened = _open(_named(members, roots))
-        small.append(opened.where(F.col("rows") <= BUCKET).select("key", "id", "n"))
+        small.append(opened.where(F.col("rows") <= BUCKET).select("key", "id", "n", _none()))
         large = opened.where(F.col("rows") > BUCKET)
         if large.isEmpty():
             break
@@ -288,17 +318,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
             texts = crowded = cut(texts, "texts")
         split = texts.mapInArrow(_split(level), "id long, n int, keys array<long>")
         members, pairs = _stars(split.select("id", "n", F.explode("keys").alias("key")))
-        roots = _joined(roots, _linked(pairs, docs))
+        pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        roots, tried = _joined(roots, _linked(pairs, docs)), tried.union(pairs)
     if level:
         small += _compared(crowded, roots)
     active = small[0]
     for more in small[1:]:
         active = active.union(more)
-    opened = _open(_named(active, roots))  # of at most BUCKET members, but for lists that stayed large
-    # Only members outside of a bucket's largest class are compared with the others.
-    others = opened.where(F.col("root") != F.col("top")).select("key", F.col("id").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("n_u"))
-    met = (F.col("root") != F.col("u_root")) & _near() & ((F.col("root") == F.col("top")) | (F.col("u") < F.col("id")))
-    pairs = opened.join(others, "key").where(met).select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
+    pairs = _met(_open(_named(active, roots))).distinct()  # buckets of at most BUCKET members, but for lists that stayed large
+    pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")  # no pair is aligned twice
     roots = _joined(roots, _linked(pairs, docs))
     return _assembled(docs, sketched, equal, roots)
 
