@@ -176,6 +176,41 @@ def test_pairs_of_a_large_list_are_made_once(spark, monkeypatch):
     assert sorted((x.u, x.v) for x in got) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
 
 
+def test_variants_beyond_the_limit_are_no_pairs(spark, monkeypatch):
+    """Variants of one text, all in large lists: pairs within the limit are made, and few of those beyond it."""
+    monkeypatch.setattr(near_dup, "BUCKET", 4)
+    r = random.Random(16)
+    base, texts = [f"p{j}" for j in range(100)], {}
+    for i in range(40):
+        gone = set(r.sample(range(100), 12))
+        texts[i] = [f"w{i}x{j}" if j in gone else w for j, w in enumerate(base)]
+    docs = near_dup._words(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string"))
+    roots = spark.createDataFrame([], "id long, root long")
+    runs, words = near_dup._compared(docs.select("id", F.size("words").alias("n"), "words"), roots)
+    opened = near_dup._open(near_dup._named(runs.union(words), roots))
+    got = {(x.u, x.v) for x in near_dup._met(opened, near_dup._signed(docs)).collect()}
+    differ = {(i, j): sum(x != y for x, y in zip(texts[i], texts[j])) for i in texts for j in texts if i < j}
+    near = {p for p, d in differ.items() if d <= 20}
+    assert near and near <= got
+    assert len(got - near) < 0.1 * len(differ)
+
+
+def test_parities_leave_out_no_pair_within_the_limit():
+    """Whatever the counts are: the words that differ by parities are no more than those that do, repeated words and long texts included."""
+    r = random.Random(17)
+    for _ in range(200):
+        some = r.choice([30, 10**6])
+        a = [r.randrange(some) for _ in range(r.choice([5, 40, 300, 6000]))]
+        b = [w if r.random() > 0.2 else r.randrange(some) for w in a if r.random() > 0.05]
+        words = [np.array(x, np.uint64) for x in (a, b)]
+        counts = np.ones(near_dup.SLOTS, np.int64)
+        both = np.intersect1d(*(near_dup.labelled(near_dup.shingles(w, 1)) for w in words))
+        counts[(both >> near_dup._SLOT).astype(np.int64)] = 2
+        (own_a, odd_a), (own_b, odd_b) = (near_dup.parities(w, counts) for w in words)
+        differ = len(a) + len(b) - 2 * sum((collections.Counter(a) & collections.Counter(b)).values())
+        assert own_a + own_b + int(np.bitwise_count(odd_a ^ odd_b).sum()) <= differ
+
+
 def test_no_pair_is_aligned_twice(spark, monkeypatch):
     """Texts that meet in buckets, splits, lists of runs and lists of words: what was compared once isn't compared again."""
     tried, linked = [], near_dup._linked

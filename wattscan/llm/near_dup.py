@@ -18,8 +18,9 @@ of n words, the rarest 2n/5 + 1 runs of two words (labelled by occurrence) hold
 its own rarest, whatever the two share besides. Runs that no other text holds are not listed. Texts with a run in a list of
 over ``BUCKET`` texts, or with one so common that it isn't listed, are also listed by their rarest n/5 + 1 single words. In
 buckets and lists every pair of different classes is compared, also in those that are still large then; a pair that shares
-several words is made once, in the first list of both, and no pair is aligned twice. The pairs of a list that stays large can still grow with the square
-of its texts. So every pair that met in a bucket is decided, and the sketches alone set the recall; tests hold it at 0.9 and
+several words is made once, in the first list of both, and no pair is aligned twice. Pairs that are over the limit by their
+words alone, counted from parities of 128 bytes a text, are left out before words are fetched; that bound loses no link. In a
+list that stays large the comparisons of parities, and the pairs within that bound, can still grow with the square of its texts. So every pair that met in a bucket is decided, and the sketches alone set the recall; tests hold it at 0.9 and
 more up to the edit limit.
 
 Nulls: a null text counts as empty; empty texts are equal, so they are one class. A row without an id, or whose id is no
@@ -57,6 +58,8 @@ _SLOT = np.uint64(64 - 22)
 COMMON = 1 / 16
 #: Lists of a text, the most common words first, in which a pair is known to have met before. More would only save more work.
 MET = 64
+#: Parities by which texts of large buckets are told apart before their words are fetched. More would leave fewer pairs.
+PARITIES = 1024
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -190,6 +193,30 @@ def _counts(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def parities(words: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many labelled words only this text holds, by ``counts``, and of each of ``PARITIES`` parts of the others whether it holds an odd number.
+
+    A word that one of two texts holds alone changes one part at most, so parts that differ are no more than such words.
+    """
+    runs = labelled(shingles(words, 1))
+    others = runs[counts[(runs >> _SLOT).astype(np.int64)] > 1]
+    odd = np.bincount((others % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return len(runs) - len(others), np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _signed(texts: DataFrame) -> DataFrame:
+    """``signed, own, odd``: the id and ``parities`` of each text (``id, words``); null where several rows have the id."""
+    counts = texts.sparkSession.sparkContext.broadcast(_counts(texts, 1))  # SLOTS numbers
+
+    def run(batches):
+        for batch in batches:
+            found = [parities(words, counts.value) for words in _lists(batch.column("words"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x for x, _ in found], pa.int32()), _list_array([x for _, x in found])], ["signed", "own", "odd"])
+
+    found, one = texts.select("id", "words").mapInArrow(run, "signed long, own int, odd array<long>"), F.count(F.lit(1)) == 1
+    return found.groupBy("signed").agg(F.when(one, F.first("own")).alias("own"), F.when(one, F.first("odd")).alias("odd"))
+
+
 def _listed(texts: DataFrame, size: int, common: float) -> DataFrame:
     """``id, n, root, keys, more`` of each text (``id, n, root, words``): its prefix, the most common runs first.
 
@@ -244,6 +271,14 @@ def _near():
     return F.least("n", "n_u") >= SIMILAR * F.greatest("n", "n_u") - 1e-9
 
 
+def _alike():
+    """Texts within the limit share all words of the longer one but one for each edit; of words told by parities, those that differ are counted."""
+    longer = F.greatest("n", "n_u")
+    most = F.least("n", "n_u") - longer + 2 * F.floor((1 - SIMILAR) * longer + 1e-9)
+    differ = F.expr("own + own_u + aggregate(zip_with(odd, odd_u, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)")
+    return F.coalesce(differ <= most, F.lit(True))
+
+
 def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows with the ``root`` of their ``id``."""
     return rows.join(roots, "id", "left").select(*rows.columns, F.coalesce("root", "id").alias("root"))
@@ -288,11 +323,14 @@ def _none():
     return F.array().cast("array<long>").alias("before")
 
 
-def _met(opened: DataFrame) -> DataFrame:
-    """``u, v`` of two classes that are in one of the ``opened`` buckets or lists."""
+def _met(opened: DataFrame, signed: DataFrame | None = None) -> DataFrame:
+    """``u, v`` of two classes that are in one of the ``opened`` buckets or lists, but for those over the limit by ``signed`` parities."""
+    own, odd = F.lit(None).cast("int").alias("own"), F.lit(None).cast("array<long>").alias("odd")
+    # Written, as both sides of the join below read it.
+    opened = cut(opened.join(signed, F.col("id") == F.col("signed"), "left"), "met") if signed is not None else opened.select("*", own, odd)
     # Only members outside of a bucket's largest class are compared with the others.
-    others = opened.where(F.col("root") != F.col("top")).select("key", F.col("id").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("n_u"), F.col("before").alias("u_before"))
-    new = (F.col("root") != F.col("u_root")) & _near() & ((F.col("root") == F.col("top")) | (F.col("u") < F.col("id"))) & ~F.arrays_overlap("before", "u_before")
+    others = opened.where(F.col("root") != F.col("top")).select("key", F.col("id").alias("u"), F.col("root").alias("u_root"), *[F.col(c).alias(f"{c}_u") for c in ("n", "own", "odd", "before")])
+    new = (F.col("root") != F.col("u_root")) & _near() & ((F.col("root") == F.col("top")) | (F.col("u") < F.col("id"))) & _alike() & ~F.arrays_overlap("before", "before_u")
     return opened.join(others, "key").where(new).select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v"))
 
 
@@ -304,7 +342,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     members, pairs = _stars(nodes.select("id", "n", F.explode("keys").alias("key")))
     tried = cut(pairs, "pairs")
     roots = components(_linked(tried, docs))
-    small, level = [], 0
+    small, level, signed = [], 0, None
     while True:
         opened = _open(_named(members, roots))
         small.append(opened.where(F.col("rows") <= BUCKET).select("key", "id", "n", _none()))
@@ -322,10 +360,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
         roots, tried = _joined(roots, _linked(pairs, docs)), tried.union(pairs)
     if level:
         small += _compared(crowded, roots)
+        signed = cut(_signed(crowded), "signed")
     active = small[0]
     for more in small[1:]:
         active = active.union(more)
-    pairs = _met(_open(_named(active, roots))).distinct()  # buckets of at most BUCKET members, but for lists that stayed large
+    pairs = _met(_open(_named(active, roots)), signed).distinct()  # buckets of at most BUCKET members, but for lists that stayed large
     pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")  # no pair is aligned twice
     roots = _joined(roots, _linked(pairs, docs))
     return _assembled(docs, sketched, equal, roots)
