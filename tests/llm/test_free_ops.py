@@ -117,6 +117,21 @@ def test_lm_hashes_equal_plain_words():
             assert [h for x in got for h in x[1 + i].tolist()] == [hashed(w, i) for t in of for w in t]
 
 
+def test_lm_hashes_are_the_same_at_any_place():
+    """A word has one hash wherever it stands, also in a text that is longer than a block."""
+    import pyarrow as pa
+
+    texts = ["Ab c \xe9 " * 90000, "ab", "\xe9", " c"]
+    assert len(texts[0].encode()) > lm_score.BYTES
+    first, second, sizes = ([*x] for x in zip(*(y[1:] for y in lm_score._texts([pa.RecordBatch.from_arrays([pa.array(texts)], ["_text"])], 1))))
+    first, second, sizes = np.concatenate(first), np.concatenate(second), np.concatenate(sizes)
+    assert sizes.tolist() == [270001, 2, 2, 2]
+    for i, got in enumerate((first, second)):
+        factor = int(lm_score._factor(2 + i))
+        want = [lm_score._mixed(np.array([sum((c + 1) * pow(factor, k + 1, 1 << 64) for k, c in enumerate(w)) % (1 << 64)], np.uint64))[0] for w in (b"ab", b"c", b"\xc3\xa9", b"\t")]
+        assert (got[:270000].reshape(-1, 3) == want[:3]).all() and got[270000:].tolist() == [want[j] for j in (3, 0, 3, 2, 3, 1, 3)]
+
+
 def test_lm_whole_keeps_what_occurs_once(spark):
     """The unpruned trie against brute force, with pairs and triples seen once."""
     r = random.Random(8)
@@ -146,6 +161,40 @@ def test_lm_whole_keeps_what_occurs_once(spark):
         assert got[i] == pytest.approx(score, abs=2.5e-4 * len(seq))
 
 
+def test_lm_keys_are_a_row_for_each_part(monkeypatch):
+    """Keys of a block are as many rows as parts, not one each, and the parts hold every count."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    r, items = random.Random(9), (1 << 32) + 15
+    keys = [r.choice([0, 1, items, (1 << 64) - 1, r.randrange(1 << 64), r.randrange(5000)]) for _ in range(30000)]
+    keys += [k for k in keys if r.random() < 0.5]
+    blocks = [np.array(keys[a : a + 9000], np.uint64) for a in range(0, len(keys), 9000)]
+    for row in (1 << 22, 700):
+        monkeypatch.setattr(lm_score, "ROW", row)
+        rows = [[*lm_score.dealt(block, 7)] for block in blocks]
+        if row > 9000:
+            assert all(len(x) == 1 and x[0].num_rows <= 7 for x in rows)
+        table = pa.Table.from_batches([x for y in rows for x in y])
+        for least in (1, 2):
+            got = {}
+            for part in range(7):
+                some = table.filter(pc.equal(table["part"], part))
+                found = lm_score.gathered(some, items, least).to_pylist()
+                got |= {x["ctx"] * items + x["item"]: x["n"] for x in found}
+                assert 0.5 * len(table) / 7 <= len(some) <= 2 * len(table) / 7
+            assert got == {k: n for k, n in collections.Counter(keys).items() if n >= least}
+    assert not [*lm_score.dealt(np.empty(0, np.uint64), 7)]
+
+
+def test_lm_counts_in_parts_and_in_two_columns(spark, monkeypatch):
+    """Many small parts, and keys too many for one number, give the same scores."""
+    want = {r.doc_id: r.score for r in lm_score.op8_lm_score(spark, SMALL).collect()}
+    for name, value in (("PART", 300), ("KEYS", 1)):
+        monkeypatch.setattr(lm_score, name, value)
+        assert {r.doc_id: r.score for r in lm_score.op8_lm_score(spark, SMALL).collect()} == want
+
+
 def test_lm_odd_rows(spark):
     rows = odd_rows(spark)
     trie = lm_score.trained(rows.where(crc_mod("doc_id", 5) != 1))

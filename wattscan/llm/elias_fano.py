@@ -63,9 +63,22 @@ class EliasFano:
     def _lows(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.width
         word, shift = bit >> 6, (bit & 63).astype(_U)
-        spill = np.where(shift > 0, self.low[word + 1] << (_U(64) - np.maximum(shift, _U(1))), _U(0))
+        spill = self.low[word + 1] << (_U(63) - shift) << _U(1)  # in two steps, as a shift by 64 isn't defined
         return (self.low[word] >> shift | spill) & _U((1 << self.width) - 1)
 
+    def _bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first position of each bucket and the one behind its last: its ones follow the zero of the bucket before."""
+        place = np.zeros(len(bucket), np.int64)
+        later = slice(None) if len(bucket) and bucket.min() > 0 else np.flatnonzero(bucket > 0)
+        place[later] = self._select(bucket[later] - 1, self.zeros, True) + 1
+        word, shift = place >> 6, (place & 63).astype(_U)
+        bits = self.high[word] >> shift | self.high[np.minimum(word + 1, len(self.high) - 1)] << (_U(63) - shift) << _U(1)
+        start = place - bucket
+        stop = start + np.bitwise_count(bits & ~(bits + _U(1)))
+        full = np.flatnonzero(bits == ~_U(0))  # 64 ones, perhaps more
+        stop[full] = self._select(bucket[full], self.zeros, True) - bucket[full]
+        return start, stop
+
     def at(self, index: np.ndarray) -> np.ndarray:
         """Values at positions below ``n``."""
         index = np.asarray(index, np.int64)
@@ -85,17 +98,19 @@ class EliasFano:
         bucket = (values >> _U(self.width)).astype(np.int64)
         beyond = bucket >= self.buckets
         bucket = np.minimum(bucket, self.buckets - 1)
-        stop = self._select(bucket, self.zeros, True) - bucket
-        start = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), self.zeros, True) - (bucket - 1), 0)
-        start, stop = np.where(beyond, self.n, start), np.where(beyond, self.n, stop)
+        start, stop = self._bucket(bucket)
+        start[beyond] = stop[beyond] = self.n
         if begin is not None:
             start, stop = np.clip(start, begin, end), np.clip(stop, begin, end)
-        part, last = values & _U((1 << self.width) - 1), stop.copy()
-        while len(some := np.flatnonzero(start < stop)):
-            middle = start[some] + stop[some] >> 1
-            less = self._lows(middle) < part[some]
-            start[some[less]] = middle[less] + 1
-            stop[some[~less]] = middle[~less]
-        found = start < last
-        found[found] = self._lows(start[found]) == part[found]
+        part, found = values & _U((1 << self.width) - 1), np.zeros(len(values), bool)
+        some = np.flatnonzero(start < stop)
+        while len(some):
+            low, high = start[some], stop[some]
+            middle = low + high >> 1
+            here, wanted = self._lows(middle), part[some]
+            less = here < wanted
+            found[some] |= here == wanted  # of equal ones the first is where the search ends
+            start[some] = low = np.where(less, middle + 1, low)
+            stop[some] = high = np.where(less, high, middle)
+            some = some[low < high]
         return start, found

@@ -2,8 +2,11 @@
 
 Spark counts words, then pairs, then triples of the training texts. Pairs and triples are kept from ``least`` occurrences:
 all of them with one (``op8_lm_score_whole``), those that occur again with two (``op8_lm_score``). A triple can only reach
-``least`` if both its pairs did, so only such triples are counted. The kept n-grams go to sorted shards of three levels in
-the shared folder; tasks map them into memory and touch only the pages that they need:
+``least`` if both its pairs did, so only such triples are counted. Pairs and triples are nearly as many as the tokens, so
+they are not a row each: a task's are dealt by their hash to parts, and a row holds those of one part. Spark brings a part's
+rows together, and the number of parts grows with the training tokens.
+The kept n-grams go to sorted shards of three levels in the shared folder; tasks map them into memory and touch only the
+pages that they need:
 
 * words: sorted 64-bit hashes (Elias-Fano) with their counts; a word's id is its place. A second hash of 64 bits tells
   words of one hash apart: the seed is one under which no two training words share a hash, and half of the second hash is
@@ -53,6 +56,9 @@ DISCOUNT = 0.5
 LOWEST, CODES = 16.0, 65535
 #: Rows of a shard, about; tokens of a block, and bytes of text that are cut into words at once (a longer text comes alone).
 SHARD_ROWS, BLOCK, BYTES = 500_000, 400_000, 1 << 19
+#: Training tokens for each part in which pairs and triples are counted; occurrences that a task holds before it deals them;
+#: the most keys of a row; how many keys one number can tell apart.
+PART, HELD, ROW, KEYS = 1 << 20, 1 << 21, 1 << 23, 1 << 64
 _U = np.uint64
 _TOP = _U(1 << 63)  # signed order as unsigned order
 
@@ -66,8 +72,9 @@ def restored(codes: np.ndarray) -> np.ndarray:
 
 
 _BYTE = np.arange(256)
-_LOW = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
-_SPACE = (_BYTE == 32) | (_BYTE >= 9) & (_BYTE <= 13)
+#: What a byte adds to a word's hash: one more than its value with A-Z as a-z, nothing if it is white space.
+_CHAR = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 33, _BYTE + 1).astype(_U)
+_CHAR[(_BYTE == 32) | (_BYTE >= 9) & (_BYTE <= 13)] = 0
 _MIX = _U(0xD6E8FEB86659FD93)
 #: The end of a text, hashed like a word of one tab, which no word is.
 END = 9
@@ -82,10 +89,24 @@ def _factor(seed: int) -> np.uint64:
     return _mixed(np.array([2 * seed + 1], _U))[0] | _U(1)
 
 
+def _powers(factor: int, size: int) -> np.ndarray:
+    """The first powers of a factor; those for a block's bytes are kept."""
+    if size <= BYTES:
+        return _kept_powers(factor)[:size]
+    out = np.full(size, factor, _U)
+    return np.cumprod(out, out=out)
+
+
+@cache
+def _kept_powers(factor: int) -> np.ndarray:
+    return np.cumprod(np.full(BYTES, factor, _U))
+
+
 def _hashed(data: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two independent hashes of the words (A-Z as a-z) and the end of each text, and each text's number of tokens."""
     ends = np.cumsum(sizes)
-    space = _SPACE[data]
+    chars = _CHAR[data]
+    space = chars == 0
     first = ~space
     begins = np.zeros(len(data) + 1, bool)
     begins[ends] = True  # a text begins where the one before ends
@@ -96,18 +117,15 @@ def _hashed(data: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray,
     last = np.cumsum(words + 1) - 1
     is_word = np.ones(len(out[0]), bool)
     is_word[last] = False
-    if len(starts):
-        at = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
-        place = at - np.maximum.accumulate(np.where(first, at, 0))
-        place[space] = 0
-        chars = _LOW[data].astype(_U) + _U(1)
-        chars[space] = 0
-        longest = int(place.max()) + 1
     for i in range(2):
         factor = _factor(2 * seed + i)
         out[i][last] = np.array([END + 1], _U) * factor
         if len(starts):
-            out[i][is_word] = np.add.reduceat(chars * np.cumprod(np.full(longest, factor))[place], starts)
+            # Powers by place in the data, taken back by the place where the word starts.
+            found = np.add.reduceat(chars * _powers(int(factor), len(data)), starts)
+            later = starts > 0
+            found[later] *= _powers(pow(int(factor), -1, 1 << 64), len(data))[starts[later] - 1]
+            out[i][is_word] = found
     return _mixed(out[0]), _mixed(out[1]), words + 1
 
 
@@ -151,7 +169,7 @@ def _blocks(batches, column: str):
 @cache
 def _arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a shard file, mapped."""
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))  # plain arrays are indexed faster
     out, at = {}, 8 + int(raw[:8].view(np.int64)[0])
     for field in bytes(raw[8:at]).decode().strip().split(";"):
         name, kind, n = field.split(":")
@@ -337,20 +355,18 @@ class Tokens:
         self.distinct, self.code = np.unique(self.id, return_inverse=True)
         self.count = trie.counts_of(self.distinct.astype(np.int64))[self.code]
 
-    def tally_pairs(self, counted: bool = False):
-        """The distinct pairs that may be kept (``ctx, item``, rising), ``which`` of them each position ends (-1: none), and how often."""
+    def pair_ends(self) -> np.ndarray:
+        """The positions that end a pair which may be kept."""
         often = (self.count >= self.trie.least) | ~self.scored
-        at = np.flatnonzero(np.r_[False, self.scored[1:] & often[1:] & (self.id[1:] >= 0) & often[:-1] & (self.id[:-1] >= 0)])
-        size = len(self.distinct)  # numbers of the block's own words can't overflow
-        keys, back, *n = np.unique(self.code[at - 1] * size + self.code[at], return_inverse=True, return_counts=counted)
+        return np.flatnonzero(np.r_[False, self.scored[1:] & often[1:] & (self.id[1:] >= 0) & often[:-1] & (self.id[:-1] >= 0)])
+
+    def look_up_pairs(self):
+        """``which`` of the distinct pairs each position ends (-1: none), their places, codes and items (places among the first word's pairs); ``kept`` is ``which`` without pairs that have no place."""
+        at, size = self.pair_ends(), len(self.distinct)  # numbers of the block's own words can't overflow
+        keys, back = np.unique(self.code[at - 1] * size + self.code[at], return_inverse=True)
         self.ctx, self.next = self.distinct[keys // size].astype(np.int64), self.distinct[keys % size].astype(np.int64)
         self.which = np.full(len(self.id), -1, np.int64)
         self.which[at] = back
-        return n[0] if n else None
-
-    def look_up_pairs(self):
-        """Places, codes and items (places among the first word's pairs) of the distinct pairs; what isn't kept is marked -1 in ``which``."""
-        self.tally_pairs()
         self.place, self.pair_code, self.pair_off, begins = self.trie.find(self.trie.pairs, self.ctx, self.next)
         self.item = self.place - begins
         self.kept = np.where((self.which >= 0) & (self.place[np.maximum(self.which, 0)] >= 0) if len(self.place) else False, self.which, -1)
@@ -384,6 +400,36 @@ def _tallied(ctx: np.ndarray, item: np.ndarray, n: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ctx, item, n)], ["ctx", "item", "n"])
 
 
+#: Odd, so that multiplying is one to one on 64 bits and can be undone.
+_SCATTER = 0x9E3779B97F4A7C15
+_GATHER = pow(_SCATTER, -1, 1 << 64)
+
+
+def dealt(keys: np.ndarray, parts: int):
+    """Rows (part, distinct scattered keys, how often each) of keys that may repeat."""
+    keys, n = np.unique(keys * _U(_SCATTER), return_counts=True)
+    bounds = np.array([-(-(i << 64) // parts) for i in range(parts)], _U)
+    for at in range(0, len(keys), ROW):
+        some, often = keys[at : at + ROW], n[at : at + ROW].astype(np.uint32)
+        cuts = np.r_[np.searchsorted(some, bounds), len(some)]
+        used = np.flatnonzero(np.diff(cuts))
+        ends = np.r_[cuts[used], len(some)].astype(np.int32)
+        packed = [pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (some, often)]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *packed], ["part", "keys", "n"])
+
+
+def gathered(rows: pa.Table, items: int, least: int) -> pa.RecordBatch:
+    """Counts (``ctx, item, n``) of the keys of whole parts that occur ``least`` times; a key is context * ``items`` + item."""
+    keys, n = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("keys", _U), ("n", np.uint32)))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    total = np.add.reduceat(n[order], first, dtype=np.int64)
+    often = total >= least
+    keys = keys[first[often]] * _U(_GATHER)
+    return _tallied((keys // _U(items)).view(np.int64), (keys % _U(items)).view(np.int64), total[often])
+
+
 def _sharded(rows: DataFrame, build) -> list[dict]:
     """Cut written counts (``ctx, item, n``) into sorted shards and write each; the driver gets a row for each shard."""
     shards = max(1, -(-rows.count() // SHARD_ROWS))
@@ -500,24 +546,41 @@ def grown(trie: Trie, ids: DataFrame, folder: str) -> Trie:
     spark, ids = ids.sparkSession, ids.select("ids")
 
     def counts(run, name, contexts, items):
-        """Counts of what ``run`` yields, under one number for context and item where that can't overflow."""
-        if contexts * items >= 1 << 63:
-            found = ids.mapInArrow(run, "ctx long, item long, n long").groupBy("ctx", "item").agg(F.sum("n").alias("n"))
-            return cut(found.where(F.col("n") >= trie.least), name)
-
-        def joined(batches):
-            for batch in run(batches):
-                keys = batch.column("ctx").to_numpy() * items + batch.column("item").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("n")], ["key", "n"])
-
-        found = ids.mapInArrow(joined, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= trie.least)
-        return cut(found.select(F.expr(f"key div {items}L").alias("ctx"), F.expr(f"key % {items}L").alias("item"), "n"), name)
-
-    def pairs_of(batches):
-        for _, values, sizes in _blocks(batches, "ids"):
-            block = Tokens(trie, values, sizes)
-            n = block.tally_pairs(True)
-            yield _tallied(block.ctx, block.next, n)
+        """Counts of the (context, item) that ``run`` gives for a block, under one number for both where that can't overflow."""
+        least, parts = trie.least, -(-max(trie.tokens, 1) // PART)
+
+        def whole(batches):
+            for _, values, sizes in _blocks(batches, "ids"):
+                ctx, item = run(Tokens(trie, values, sizes))
+                order = np.lexsort((item, ctx))
+                first = np.flatnonzero(np.r_[True, (np.diff(ctx[order]) != 0) | (np.diff(item[order]) != 0)]) if len(order) else order
+                yield _tallied(ctx[order[first]], item[order[first]], np.diff(np.r_[first, len(order)]))
+
+        def packed(batches):
+            held = []
+            for _, values, sizes in _blocks(batches, "ids"):
+                ctx, item = run(Tokens(trie, values, sizes))
+                held.append(ctx.astype(_U) * _U(items) + item.astype(_U))
+                if sum(map(len, held)) >= HELD:
+                    yield from dealt(np.concatenate(held), parts)
+                    held = []
+            if held:
+                yield from dealt(np.concatenate(held), parts)
+
+        def counted(batches):
+            got = [b for b in batches if b.num_rows]  # a part's keys: PART at most, about
+            if got:
+                yield gathered(pa.Table.from_batches(got), items, least)
+
+        if contexts * items > KEYS:
+            found = ids.mapInArrow(whole, "ctx long, item long, n long").groupBy("ctx", "item").agg(F.sum("n").alias("n"))
+            return cut(found.where(F.col("n") >= least), name)
+        rows = ids.mapInArrow(packed, "part int, keys binary, n binary")
+        return cut(rows.repartitionById(parts, "part").mapInArrow(counted, "ctx long, item long, n long"), name)
+
+    def pairs_of(block):
+        at = block.pair_ends()
+        return block.id[at - 1].astype(np.int64), block.id[at].astype(np.int64)
 
     def coded(ctx, item, n, sums, types, total, lower):
         weight = np.maximum(1 - (sums - DISCOUNT * types) / total, 10.0**-LOWEST)
@@ -528,14 +591,10 @@ def grown(trie: Trie, ids: DataFrame, folder: str) -> Trie:
 
     trie.pairs = _joined(spark, folder, _sharded(counts(pairs_of, "pairs", trie.words.n + 1, trie.words.n + 1), lambda *x: _leveled(folder, *x, coded_pairs)), coded_pairs)
 
-    def triples_of(batches):
-        for _, values, sizes in _blocks(batches, "ids"):
-            block = Tokens(trie, values, sizes)
-            block.look_up_pairs()
-            at = np.flatnonzero(np.r_[False, (block.kept[1:] >= 0) & (block.kept[:-1] >= 0)])
-            size = max(len(block.place), 1)
-            keys, n = np.unique(block.kept[at - 1] * size + block.kept[at], return_counts=True)
-            yield _tallied(block.place[keys // size], block.item[keys % size], n)
+    def triples_of(block):
+        block.look_up_pairs()
+        at = np.flatnonzero(np.r_[False, (block.kept[1:] >= 0) & (block.kept[:-1] >= 0)])
+        return block.place[block.kept[at - 1]], block.item[block.kept[at]]
 
     def coded_triples(ctx, item, n, sums, types):
         # The middle word of a context is known by the pair that an item stands for.
